@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_dp, common, content_dedup, mixture, rendezvous, token_records
+from . import bpe_dp, common, content_dedup, mixture, rendezvous, simhash_cover, token_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,10 @@ def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendezvous.assign_slots(sharded, "shard", ["doc_id", "size", "text_crc32"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op8_simhash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_cover.near_groups(table(spark, sf_dir, "documents"), width=3, radius=2)
+
+
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = mixture.mix(table(spark, sf_dir, "documents"))
     whole = ["doc_id", "size", "source_size", "target", "source", "copy"]
@@ -51,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "op2_content_sort_dedup": op2_content_sort_dedup,
     "op4_prefix_bpe": op4_prefix_bpe,
     "op6_rendezvous_shards": op6_rendezvous_shards,
+    "op8_simhash_cover": op8_simhash_cover,
     "op9_mixture": op9_mixture,
 }
 
