@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_dp, common, content_dedup, mixture, rendezvous, simhash_cover, token_records
+from . import bpe_dp, common, content_dedup, mixture, quality_rank, rendezvous, simhash_cover, token_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,12 @@ def op2_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op3_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ranker = quality_rank.train(docs, table(spark, sf_dir, "labels"))
+    return quality_rank.score(docs, ranker).select("doc_id", quality_rank.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_dp.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), outputs=False)
 
@@ -53,6 +59,7 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_records": op1_token_records,
     "op2_content_sort_dedup": op2_content_sort_dedup,
+    "op3_quality_rank": op3_quality_rank,
     "op4_prefix_bpe": op4_prefix_bpe,
     "op6_rendezvous_shards": op6_rendezvous_shards,
     "op8_simhash_cover": op8_simhash_cover,

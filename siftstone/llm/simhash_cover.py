@@ -32,6 +32,8 @@ BITS = 64
 SEED = 42
 #: A bucket of more fingerprints takes the other way.
 HOT_BUCKET = 512
+#: Buckets up to this size are compared all at once.
+SMALL_BUCKET = 24
 
 
 def masks(radius: int) -> list[int]:
@@ -68,112 +70,138 @@ def fingerprint(text: str | None, width: int, seed: int = SEED) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id``, ``fp``): each row's fingerprint as a signed 64-bit integer."""
+def fingerprints(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", words: int = 1) -> DataFrame:
+    """(``id``, ``fp``) or, with two ``words``, (``id``, ``fp``, ``fp2``): fingerprints as signed 64-bit integers."""
+    names = ["fp", "fp2"][:words]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps = np.array([fingerprint(t, width) for t in batch["t"].tolist()], np.uint64)
-            yield pd.DataFrame({"id": batch["i"], "fp": fps.view(np.int64)})
+            texts = batch["t"].tolist()
+            yield pd.DataFrame({"id": batch["i"]} | {n: np.array([fingerprint(t, width, SEED + k) for t in texts], np.uint64).view(np.int64) for k, n in enumerate(names)})
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).mapInPandas(run, f"id {kind}, fp bigint")
+    schema = f"id {kind}" + "".join(f", {n} bigint" for n in names)
+    return df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).mapInPandas(run, schema)
 
 
-def _spanning(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the radius, enough to connect what is linked; ``group`` ascends."""
-    xs, ys = [], []
+def _spanning(words: list[np.ndarray], group: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are linked, enough pairs to connect what all links connect.
+
+    ``words`` are the fingerprints' 64-bit words; ``group`` tells buckets apart and ascends.
+    """
+
+    def near(i, j) -> np.ndarray:
+        return sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words) <= limit
+
     begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[begins, len(group)])
-    left = np.repeat(begins + sizes, sizes) - np.arange(len(group))  # rows of the group from here on
+    xs, ys = [group[:0]], [group[:0]]
+    # Small buckets: all of them at once, each row with the next, the one after, ...
+    ahead = np.where(np.repeat(sizes, sizes) <= SMALL_BUCKET, np.repeat(begins + sizes, sizes) - np.arange(len(group)), 0)
     at, lag = np.arange(len(group)), 1
-    while len(at := at[left[at] > lag]):
-        near = np.bitwise_count(fp[at] ^ fp[at + lag]) <= radius
-        xs.append(at[near])
-        ys.append(at[near] + lag)
+    while len(at := at[ahead[at] > lag]):
+        hit = at[near(at, at + lag)]
+        xs.append(hit)
+        ys.append(hit + lag)
         lag += 1
-    if not xs:
-        return fp[:0], fp[:0]
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (p := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(p, p)
-        return x
-
-    x_out, y_out = [], []
-    for x, y in zip(np.concatenate(xs).tolist(), np.concatenate(ys).tolist(), strict=True):
-        a, b = root(x), root(y)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            x_out.append(x)
-            y_out.append(y)
-    return fp[np.array(x_out, int)], fp[np.array(y_out, int)]
-
-
-def links(nodes: DataFrame, radius: int) -> DataFrame:
-    """Edges (``a``, ``b``) that connect exactly what links within ``radius`` connect.
-
-    ``nodes`` has distinct fingerprints ``fp``.
+    # Large ones: grow one component after the other; what is reached is compared no more.
+    for begin, size in zip(begins[sizes > SMALL_BUCKET].tolist(), sizes[sizes > SMALL_BUCKET].tolist(), strict=True):
+        rest = np.arange(begin, begin + size)
+        front: list[int] = []
+        while len(rest):
+            if not front:
+                front, rest = [int(rest[0])], rest[1:]
+            here = front.pop()
+            hit = near(here, rest)
+            reached, rest = rest[hit], rest[~hit]
+            xs.append(np.full(len(reached), here))
+            ys.append(reached)
+            front += reached.tolist()
+    return np.concatenate(xs).astype(np.int64), np.concatenate(ys).astype(np.int64)
+
+
+def links(nodes: DataFrame, radius: int, words: list[str], limit: int) -> DataFrame:
+    """Edges (``a``, ``b``) between nodes that connect exactly what the found links connect.
+
+    ``nodes`` has ``node`` and the fingerprint's ``words``.  Candidates are the pairs that
+    share a bucket of the first word's tables; a pair is linked if all words together differ
+    in ``limit`` bits at most.
     """
     kept = masks(radius)
-    rows = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in kept])).alias("tab", "key"))
-    hot = rows.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_BUCKET).select("tab", "key", F.lit(True).alias("hot"))
-    marked = written(rows.join(hot, ["tab", "key"], "left"), "buckets")
+    first = F.col(words[0])
+    tables = F.posexplode(F.array(*[first.bitwiseAND(F.lit(_signed(m))) for m in kept])).alias("tab", "key")
+    rows = nodes.select("node", *[w for w in words if w != "node"], tables)
+    exact = radius <= 2 and words == ["node"] and limit == radius  # else hot buckets are compared as they are
+    shared = rows.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    shared = shared.select("tab", "key", (F.col("n") > (HOT_BUCKET if exact else 1 << 62)).alias("hot"))
+    marked = written(rows.join(shared, ["tab", "key"]), "buckets")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame({"tab": [], "key": [], "fp": []}, dtype=np.int64)
+        held = None
         for batch in batches:
-            held = pd.concat([held, batch])
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
             tab, key = held["tab"].to_numpy(), held["key"].to_numpy()
-            last = len(held) if not len(held) else int(np.flatnonzero((tab != tab[-1]) | (key != key[-1])).max(initial=-1)) + 1
+            last = int(np.flatnonzero((tab != tab[-1]) | (key != key[-1])).max(initial=-1)) + 1 if len(held) else 0
             yield compared(held.iloc[:last])
             held = held.iloc[last:]
-        yield compared(held)
+        if held is not None:
+            yield compared(held)
 
     def compared(rows: pd.DataFrame) -> pd.DataFrame:
-        tab, key = rows["tab"].to_numpy(), rows["key"].to_numpy()
-        group = np.cumsum(np.r_[0, (tab[1:] != tab[:-1]) | (key[1:] != key[:-1])])[: len(rows)] if len(rows) else tab
-        a, b = _spanning(rows["fp"].to_numpy(np.int64).view(np.uint64), group, radius) if len(rows) else (tab, tab)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        if not len(rows):
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        tab, key, node = (rows[c].to_numpy() for c in ("tab", "key", "node"))
+        group = np.cumsum(np.r_[False, (tab[1:] != tab[:-1]) | (key[1:] != key[:-1])])
+        x, y = _spanning([rows[w].to_numpy(np.int64).view(np.uint64) for w in words], group, limit)
+        return pd.DataFrame({"a": node[x], "b": node[y]}).drop_duplicates()
 
     usual = (
-        marked.filter(F.col("hot").isNull())
-        .select(F.col("tab").cast("long").alias("tab"), "key", "fp")
+        marked.filter(~F.col("hot"))
+        .select("tab", "key", "node", *[w for w in words if w != "node"])
         .repartition("tab", "key")
-        .sortWithinPartitions("tab", "key", "fp")
+        .sortWithinPartitions("tab", "key")
         .mapInPandas(run, "a bigint, b bigint")
     )
+    if not exact:
+        return usual
     cleared = F.lit(None)
     for t, m in enumerate(kept):
         free = [i for i in range(BITS) if not m >> i & 1]
-        options = ",".join(str(_signed(~sum(1 << i for i in some) & (1 << BITS) - 1)) + "L" for some in combinations(free, min(radius, len(free))))
+        options = ",".join(str(_signed(~sum(1 << i for i in some) & (1 << BITS) - 1)) + "L" for some in combinations(free, radius))
         cleared = F.when(F.col("tab") == t, F.expr(f"array({options})")).otherwise(cleared)
     dense = (
         marked.filter("hot")
-        .select("tab", "fp", F.explode(cleared).alias("clear"))
-        .groupBy("clear", F.col("fp").bitwiseAND(F.col("clear")).alias("rest"))
-        .agg(F.collect_set("fp").alias("fps"))  # 2 ** radius at most
-        .filter(F.size("fps") > 1)
-        .select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
+        .select("tab", "node", F.explode(cleared).alias("clear"))
+        .groupBy("clear", F.col("node").bitwiseAND(F.col("clear")).alias("rest"))
+        .agg(F.collect_set("node").alias("nodes"))  # 2 ** radius at most
+        .filter(F.size("nodes") > 1)
+        .select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b"))
         .filter("a <> b")
     )
     return usual.unionByName(dense)
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, limit: int | None = None) -> DataFrame:
     """(``id_col``, ``fingerprint`` of 16 hex digits, ``component_id``), a row for each row of ``df``.
 
-    Fingerprints that differ in ``radius`` bits at most are linked; ``component_id`` is the
-    smallest identifier that links reach.  A null text counts as empty, and texts without
-    words share fingerprint 0, which links like any other.  Null identifiers keep their
-    row, and their component's id is that of the others (null if there are none).  Repeated
-    rows stay.  An empty table gives an empty result.  Other columns are not read.
+    Without ``limit``, fingerprints that differ in ``radius`` bits at most are linked.  With
+    it, fingerprints have a second word (of hashes with another seed): pairs within
+    ``radius`` in the first word, and what else shares a bucket of its tables, are linked
+    if both words together differ in ``limit`` bits at most.
+
+    ``component_id`` is the smallest identifier that links reach.  A null text counts as
+    empty, and texts without words share fingerprint 0, which links like any other.  Null
+    identifiers keep their row, and their component's id is that of the others (null if
+    there are none).  Repeated rows stay.  An empty table gives an empty result.  Other
+    columns are not read.
     """
-    docs = written(fingerprints(df, width, id_col, text_col), "fingerprints")
-    nodes = docs.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = least_reachable(links(nodes.select("fp"), radius))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    docs = fingerprints(df, width, id_col, text_col, 1 if limit is None else 2)
+    node = F.col("fp") if limit is None else F.xxhash64("fp", "fp2")
+    docs = written(docs.withColumn("node", node), "fingerprints")
+    words = ["node"] if limit is None else ["fp", "fp2"]
+    nodes = docs.groupBy("node").agg(F.min("id").alias("least"), *[F.min(w).alias(w) for w in words if w != "node"])
+    roots = least_reachable(links(nodes, radius, words, radius if limit is None else limit)).withColumnRenamed("node", "n")
+    rooted = nodes.join(roots, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.select("fp", "root").join(heads, "root").select("fp", "component_id")
-    return docs.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = rooted.select("node", "root").join(heads, "root").select("node", "component_id")
+    return docs.join(of, "node").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
