@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_dp, common, content_dedup, mixture, quality_rank, rendezvous, simhash_cover, token_records
+from . import bpe_dp, common, content_dedup, html_main, mixture, quality_rank, rendezvous, simhash_cover, token_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,10 @@ def op4_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_dp.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), outputs=False)
 
 
+def op5_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("key").alias("law")
@@ -61,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op2_content_sort_dedup": op2_content_sort_dedup,
     "op3_quality_rank": op3_quality_rank,
     "op4_prefix_bpe": op4_prefix_bpe,
+    "op5_html_main": op5_html_main,
     "op6_rendezvous_shards": op6_rendezvous_shards,
     "op8_simhash_cover": op8_simhash_cover,
     "op9_mixture": op9_mixture,
