@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_dp, common, content_dedup, html_main, mixture, quality_rank, rendezvous, simhash_cover, token_records
+from . import bpe_dp, common, content_dedup, html_main, mixture, quality_rank, rendezvous, simhash_cover, sorted_projection, token_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,10 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.withColumnRenamed("crc", "copy").groupBy(*whole).agg(F.sum("take").alias("taken"), F.count("shard").alias("blocks")).drop("copy")
 
 
+def op10_sorted_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sorted_projection.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_records": op1_token_records,
     "op2_content_sort_dedup": op2_content_sort_dedup,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op6_rendezvous_shards": op6_rendezvous_shards,
     "op8_simhash_cover": op8_simhash_cover,
     "op9_mixture": op9_mixture,
+    "op10_sorted_projection": op10_sorted_projection,
 }
 
 ORACLES: dict[str, str] = {
