@@ -308,7 +308,7 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     ``path`` is a byte-level BPE file of the tokenizers library that every worker can open.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * outputs
+    schema = f"`{id_col}` string, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * outputs
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = encoder(path)
@@ -323,4 +323,6 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             }
             yield pd.DataFrame(out | ({"ids": ids, "decoded": decoded} if outputs else {}))
 
-    return df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).mapInPandas(run, schema)
+    # identifiers travel as strings: pandas has no null among integers
+    rows = df.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").alias("t")).mapInPandas(run, schema)
+    return rows.withColumn(id_col, F.col(f"`{id_col}`").cast(kind))

@@ -287,7 +287,7 @@ def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep
     Null or empty markup gives an empty text.  Markup of any length is read whole.  Null and
     repeated identifiers keep their rows; an empty table gives an empty result.
     """
-    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (id_col, *keep)]
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (id_col, *keep)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -295,5 +295,7 @@ def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep
             out = batch.drop(columns="__html")
             yield out.assign(text=texts, n_chars=[len(t) for t in texts])
 
-    rows = df.select(*[F.col(f"`{c}`") for c in (id_col, *keep)], F.col(f"`{html_col}`").alias("__html"))
-    return rows.mapInPandas(run, ", ".join([*fields, "text string", "n_chars bigint"]))
+    # what is carried along travels as strings, since pandas has no null among integers
+    rows = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in kinds], F.col(f"`{html_col}`").alias("__html"))
+    out = rows.mapInPandas(run, ", ".join([*[f"`{c}` string" for c in kinds], "text string", "n_chars bigint"]))
+    return out.select(*[F.col(f"`{c}`").cast(k).alias(c) for c, k in kinds.items()], "text", "n_chars")

@@ -179,5 +179,6 @@ def score(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str
                 if len(batch):
                     yield pd.DataFrame({"i": batch["i"], "score": ranker.scores(np.array([features(t) for t in batch["t"].tolist()]))})
 
-        scored = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).mapInPandas(run, f"i {kind}, score double").withColumnRenamed("i", id_col)
+        rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").alias("t")).mapInPandas(run, "i string, score double")
+        scored = rows.select(F.col("i").cast(kind).alias(id_col), "score")  # as strings, since pandas has no null among integers
     return scored.withColumn("predicted", F.when(F.col("score") >= ACCEPTED, 1).otherwise(0).cast("int"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_dp, common, content_dedup, html_main, mixture, quality_rank, rendezvous, simhash_cover, sorted_projection, token_records
+from . import bpe_dp, common, content_dedup, html_main, mixture, quality_rank, rendezvous, simhash_cover, sorted_projection, substring_trees, token_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,10 @@ def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendezvous.assign_slots(sharded, "shard", ["doc_id", "size", "text_crc32"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op7_substring_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_trees.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op8_simhash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_cover.near_groups(table(spark, sf_dir, "documents"), width=3, radius=2)
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op4_prefix_bpe": op4_prefix_bpe,
     "op5_html_main": op5_html_main,
     "op6_rendezvous_shards": op6_rendezvous_shards,
+    "op7_substring_trees": op7_substring_trees,
     "op8_simhash_cover": op8_simhash_cover,
     "op9_mixture": op9_mixture,
     "op10_sorted_projection": op10_sorted_projection,

@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -80,8 +80,9 @@ def fingerprints(df: DataFrame, width: int, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame({"id": batch["i"]} | {n: np.array([fingerprint(t, width, SEED + k) for t in texts], np.uint64).view(np.int64) for k, n in enumerate(names)})
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}" + "".join(f", {n} bigint" for n in names)
-    return df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).mapInPandas(run, schema)
+    schema = "id string" + "".join(f", {n} bigint" for n in names)
+    rows = df.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").alias("t")).mapInPandas(run, schema)
+    return rows.withColumn("id", F.col("id").cast(kind))  # as strings, since pandas has no null among integers
 
 
 def _spanning(words: list[np.ndarray], group: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,47 +124,48 @@ def _spanning(words: list[np.ndarray], group: np.ndarray, limit: int) -> tuple[n
 def links(nodes: DataFrame, radius: int, words: list[str], limit: int) -> DataFrame:
     """Edges (``a``, ``b``) between nodes that connect exactly what the found links connect.
 
-    ``nodes`` has ``node`` and the fingerprint's ``words``.  Candidates are the pairs that
+    ``nodes`` has the fingerprint's ``words``; a node is its one word, or a hash of two.
+    Candidates are the pairs that
     share a bucket of the first word's tables; a pair is linked if all words together differ
     in ``limit`` bits at most.
     """
     kept = masks(radius)
     first = F.col(words[0])
-    tables = F.posexplode(F.array(*[first.bitwiseAND(F.lit(_signed(m))) for m in kept])).alias("tab", "key")
-    rows = nodes.select("node", *[w for w in words if w != "node"], tables)
-    exact = radius <= 2 and words == ["node"] and limit == radius  # else hot buckets are compared as they are
-    shared = rows.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    shared = shared.select("tab", "key", (F.col("n") > (HOT_BUCKET if exact else 1 << 62)).alias("hot"))
-    marked = written(rows.join(shared, ["tab", "key"]), "buckets")
+    tables = F.posexplode(F.array(*[first.bitwiseAND(F.lit(_signed(m))) for m in kept])).alias("tab", "kept")
+    rows = nodes.select(*words, tables).select(F.xxhash64("tab", "kept").alias("key"), "tab", *words)
+    cells = [f"{w}_{side}" for side in "ab" for w in words]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            tab, key = held["tab"].to_numpy(), held["key"].to_numpy()
-            last = int(np.flatnonzero((tab != tab[-1]) | (key != key[-1])).max(initial=-1)) + 1 if len(held) else 0
+            key = held["key"].to_numpy()
+            last = int(np.flatnonzero(key != key[-1]).max(initial=-1)) + 1 if len(held) else 0
             yield compared(held.iloc[:last])
             held = held.iloc[last:]
         if held is not None:
             yield compared(held)
 
     def compared(rows: pd.DataFrame) -> pd.DataFrame:
+        fps = [rows[w].to_numpy(np.int64) for w in words]
         if not len(rows):
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        tab, key, node = (rows[c].to_numpy() for c in ("tab", "key", "node"))
-        group = np.cumsum(np.r_[False, (tab[1:] != tab[:-1]) | (key[1:] != key[:-1])])
-        x, y = _spanning([rows[w].to_numpy(np.int64).view(np.uint64) for w in words], group, limit)
-        return pd.DataFrame({"a": node[x], "b": node[y]}).drop_duplicates()
-
-    usual = (
-        marked.filter(~F.col("hot"))
-        .select("tab", "key", "node", *[w for w in words if w != "node"])
-        .repartition("tab", "key")
-        .sortWithinPartitions("tab", "key")
-        .mapInPandas(run, "a bigint, b bigint")
-    )
-    if not exact:
-        return usual
+            return pd.DataFrame(dict.fromkeys(cells, fps[0]))
+        key = rows["key"].to_numpy()
+        x, y = _spanning([f.view(np.uint64) for f in fps], np.cumsum(np.r_[False, key[1:] != key[:-1]]), limit)
+        return pd.DataFrame(dict(zip(cells, [f[side] for side in (x, y) for f in fps], strict=True))).drop_duplicates()
+
+    def search(dealt: DataFrame) -> DataFrame:
+        """Links found by comparing what shares a bucket; buckets of one have none."""
+        size = F.count(F.lit(1)).over(Window.partitionBy("key"))
+        together = dealt.select("key", *words).repartition("key").withColumn("n", size).filter("n > 1").drop("n").sortWithinPartitions("key")
+        found = together.mapInPandas(run, ", ".join(f"{c} bigint" for c in cells))
+        ends = [F.col(f"{words[0]}_{side}") if len(words) == 1 else F.xxhash64(*[f"{w}_{side}" for w in words]) for side in "ab"]
+        return found.select(ends[0].alias("a"), ends[1].alias("b"))
+
+    if len(words) > 1 or limit > radius or radius > 2:
+        return search(rows)
+    hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_BUCKET).select("key", F.lit(True).alias("hot"))
+    marked = written(rows.join(hot, "key", "left"), "buckets")
     cleared = F.lit(None)
     for t, m in enumerate(kept):
         free = [i for i in range(BITS) if not m >> i & 1]
@@ -171,14 +173,14 @@ def links(nodes: DataFrame, radius: int, words: list[str], limit: int) -> DataFr
         cleared = F.when(F.col("tab") == t, F.expr(f"array({options})")).otherwise(cleared)
     dense = (
         marked.filter("hot")
-        .select("tab", "node", F.explode(cleared).alias("clear"))
-        .groupBy("clear", F.col("node").bitwiseAND(F.col("clear")).alias("rest"))
-        .agg(F.collect_set("node").alias("nodes"))  # 2 ** radius at most
-        .filter(F.size("nodes") > 1)
-        .select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b"))
+        .select(first.alias("fp"), F.explode(cleared).alias("clear"))
+        .groupBy("clear", F.col("fp").bitwiseAND(F.col("clear")).alias("rest"))
+        .agg(F.collect_set("fp").alias("fps"))  # 2 ** radius at most
+        .filter(F.size("fps") > 1)
+        .select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
         .filter("a <> b")
     )
-    return usual.unionByName(dense)
+    return search(marked.filter(F.col("hot").isNull())).unionByName(dense)
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, limit: int | None = None) -> DataFrame:
@@ -198,8 +200,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     docs = fingerprints(df, width, id_col, text_col, 1 if limit is None else 2)
     node = F.col("fp") if limit is None else F.xxhash64("fp", "fp2")
     docs = written(docs.withColumn("node", node), "fingerprints")
-    words = ["node"] if limit is None else ["fp", "fp2"]
-    nodes = docs.groupBy("node").agg(F.min("id").alias("least"), *[F.min(w).alias(w) for w in words if w != "node"])
+    words = ["fp"] if limit is None else ["fp", "fp2"]
+    nodes = docs.groupBy("node", *words).agg(F.min("id").alias("least"))
     roots = least_reachable(links(nodes, radius, words, radius if limit is None else limit)).withColumnRenamed("node", "n")
     rooted = nodes.join(roots, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -1,4 +1,8 @@
-"""The stages of the corpus pipeline."""
+"""The stages of the corpus pipeline.
+
+Each takes what the one before has kept, with the columns of ``documents``, and all but the
+last return these columns.
+"""
 
 from __future__ import annotations
 
@@ -6,25 +10,56 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_dp, content_dedup
+from . import bpe_dp, content_dedup, mixture, quality_rank, simhash_cover
 from .common import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Near copies: shingles of five words, and fingerprints that agree in 80 % of their 128 bits.
+SHINGLE = 5
+LIMIT = 25
+#: Pairs within so many bits of the first 64 are certain to be compared.
+RADIUS = 6
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    ranker = quality_rank.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rank.score(docs, ranker, keep_columns=True).filter("predicted = 1").select("row.*")
+
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """Of equal texts the one with the smallest identifier stays."""
     return content_dedup.drop_exact_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest identifier stays.
+
+    Rows without an identifier stay.
+    """
+    groups = simhash_cover.near_groups(docs, width=SHINGLE, radius=RADIUS, limit=LIMIT)
+    dropped = written(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are mixed to their target weights: a document stays, is repeated or goes."""
+    return mixture.mixed_rows(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes what is left: identifier, ids and digests."""
+    """Encodes what is left and decodes it again: token counts and digests."""
     return bpe_dp.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), outputs=False)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality),
     ("exact dedup", exact_dedup),
+    ("simhash near-dedup", near_dedup),
+    ("mixing", mix),
     ("bpe", bpe),
 ]
 
