@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unit, word_count, written
+from .common import SPACE, unit, word_count, written
 
 SEED = 90_210
 RANGES = 1024
@@ -77,6 +77,11 @@ def _ranked(rows: DataFrame, group: str, hash_: str, order: list[Column], value:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _drawn(population: Column, good: Column, draws: Column, uniform: Column) -> Column:
     """A hypergeometric draw: how many of ``draws`` from ``population`` are among its ``good``.
 
@@ -84,49 +89,59 @@ def _drawn(population: Column, good: Column, draws: Column, uniform: Column) ->
     up by their ratios, values going from the mode upwards and then downwards.  A draw takes
     time in proportion to the standard deviation, and constant memory.
     """
-    least = F.greatest(F.lit(0), draws + good - population)
-    most = F.least(draws, good)
-    mode = F.greatest(least, F.least(most, F.floor((draws + 1).cast("double") * (good + 1).cast("double") / (population + 2).cast("double")).cast("long")))
-    share = good.cast("double") / F.greatest(population, F.lit(1)).cast("double")
-    reach = (F.lit(8) + F.lit(float(REACH)) * F.sqrt(draws.cast("double") * share * (F.lit(1.0) - share))).cast("long")
-    high = F.least(most, mode + reach)
-    low = F.greatest(least, mode - reach)
 
     def f(c: Column) -> Column:
         return c.cast("double")
 
-    none = F.expr("CAST(array() AS ARRAY<BIGINT>)")
-    up = F.when(high > mode, F.sequence(mode + 1, high)).otherwise(none)
-    down = F.when(low < mode, F.sequence(mode - 1, low, F.lit(-1).cast("long"))).otherwise(none)
+    def ends(g: Column) -> Column:
+        n, k, m = g["population"], g["good"], g["draws"]
+        least, most = F.greatest(F.lit(0).cast("long"), m + k - n), F.least(m, k)
+        mode = F.greatest(least, F.least(most, F.floor(f(m + 1) * f(k + 1) / f(n + 2)).cast("long")))
+        share = f(k) / F.greatest(f(n), F.lit(1.0))
+        reach = (F.lit(8) + F.lit(float(REACH)) * F.sqrt(f(m) * share * (F.lit(1.0) - share))).cast("long")
+        return F.struct(n.alias("n"), k.alias("good"), m.alias("m"), g["u"].alias("u"), least.alias("least"), most.alias("most"), mode.alias("mode"), reach.alias("reach"))
 
-    def rising(k: Column) -> Column:
-        return f(good - k + 1) * f(draws - k + 1) / (f(k) * f(population - good - draws + k))
+    def ratio(e: Column, k: Column, up: bool) -> Column:
+        """The probability of ``k`` relative to that of the value before it."""
+        at = k if up else k + 1
+        odds = f(e["good"] - at + 1) * f(e["m"] - at + 1) / (f(at) * f(e["n"] - e["good"] - e["m"] + at))
+        return odds if up else F.lit(1.0) / odds
 
-    def falling(k: Column) -> Column:
-        return f(k + 1) * f(population - good - draws + k + 1) / (f(good - k) * f(draws - k))
+    def steps(e: Column, up: bool) -> Column:
+        none = F.expr("CAST(array() AS ARRAY<BIGINT>)")
+        if up:
+            return F.when(e["most"] > e["mode"], F.sequence(e["mode"] + 1, F.least(e["most"], e["mode"] + e["reach"]))).otherwise(none)
+        return F.when(e["least"] < e["mode"], F.sequence(e["mode"] - 1, F.greatest(e["least"], e["mode"] - e["reach"]), F.lit(-1).cast("long"))).otherwise(none)
 
-    def mass(steps: Column, ratio) -> Column:
+    def mass(e: Column, up: bool) -> Column:
         return F.aggregate(
-            steps,
+            steps(e, up),
             F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("sum")),
-            lambda a, k: F.struct((a["p"] * ratio(k)).alias("p"), (a["sum"] + a["p"] * ratio(k)).alias("sum")),
+            lambda a, k: _let(a["p"] * ratio(e, k, up), lambda p: F.struct(p.alias("p"), (a["sum"] + p).alias("sum"))),
             lambda a: a["sum"],
         )
 
-    def reached(steps: Column, ratio, left: Column) -> Column:
+    def reached(e: Column, up: bool, left: Column) -> Column:
         return F.aggregate(
-            steps,
-            F.struct(F.lit(1.0).alias("p"), left.alias("left"), mode.alias("k")),
-            lambda a, k: F.when(a["left"] < 0, a).otherwise(
-                F.struct((a["p"] * ratio(k)).alias("p"), (a["left"] - a["p"] * ratio(k)).alias("left"), k.alias("k"))
-            ),
+            steps(e, up),
+            F.struct(F.lit(1.0).alias("p"), left.alias("left"), e["mode"].alias("k")),
+            lambda a, k: F.when(a["left"] < 0, a).otherwise(_let(a["p"] * ratio(e, k, up), lambda p: F.struct(p.alias("p"), (a["left"] - p).alias("left"), k.alias("k")))),
             lambda a: a["k"],
         )
 
-    above, below = mass(up, rising), mass(down, falling)
-    left = uniform * (F.lit(1.0) + above + below) - F.lit(1.0)
-    picked = F.when(left < 0, mode).when(left < above, reached(up, rising, left)).otherwise(reached(down, falling, left - above))
-    return F.when(most <= least, least).otherwise(picked)
+    def pick(e: Column) -> Column:
+        sums = F.struct(mass(e, True).alias("above"), mass(e, False).alias("below"))
+        inside = _let(
+            sums,
+            lambda s: _let(
+                e["u"] * (F.lit(1.0) + s["above"] + s["below"]) - F.lit(1.0),
+                lambda left: F.when(left < 0, e["mode"]).when(left < s["above"], reached(e, True, left)).otherwise(reached(e, False, left - s["above"])),
+            ),
+        )
+        return F.when(e["most"] <= e["least"], e["least"]).otherwise(inside)
+
+    given = F.struct(population.alias("population"), good.alias("good"), draws.alias("draws"), uniform.alias("u"))
+    return _let(given, lambda g: _let(ends(g), pick))
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
@@ -152,11 +167,13 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
 
         def step(acc, s):
             u = unit(F.xxhash64(F.lit(seed), F.col("lo"), F.col("hi"), s["place"]))
-            n = _drawn(acc["population"], s["k"], acc["draws"], u)
-            return F.struct(
-                (acc["population"] - s["k"]).alias("population"),
-                (acc["draws"] - n).alias("draws"),
-                F.array_append(acc["out"], F.struct(s["place"].alias("place"), s["k"].alias("k"), n.alias("left"))).alias("out"),
+            return _let(
+                _drawn(acc["population"], s["k"], acc["draws"], u),
+                lambda n: F.struct(
+                    (acc["population"] - s["k"]).alias("population"),
+                    (acc["draws"] - n).alias("draws"),
+                    F.array_append(acc["out"], F.struct(s["place"].alias("place"), s["k"].alias("k"), n.alias("left"))).alias("out"),
+                ),
             )
 
         drawn = packed.withColumn("out", F.when(F.col("hi") - F.col("lo") > 1, F.aggregate("sources", start, step)["out"]))
@@ -167,7 +184,9 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
                 F.struct(half.alias("lo"), F.col("hi").alias("hi"), F.transform("out", lambda s: F.struct(s["place"].alias("place"), (s["k"] - s["left"]).alias("k"))).alias("sources")),
             ),
         ).otherwise(F.array(F.struct("lo", "hi", "sources")))
+        # a table for each level, so that no plan holds more than one
         nodes = drawn.select("all", F.explode(child).alias("c")).select("all", "c.lo", "c.hi", F.explode("c.sources").alias("s")).select("all", "lo", "hi", "s.place", "s.k")
+        nodes = written(nodes, "mix-tree")
         widest = -(-widest // 2)
     earlier = Window.partitionBy("place").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
     return nodes.select("place", F.col("lo").alias("shard"), F.col("k").alias("blocks"), F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("before"))
@@ -216,3 +235,22 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     located = _ranked(shuffled, "shard", "g", [F.col("h"), F.col("id"), F.col("epoch")], F.lit(1).cast("long"), "position")
     columns = [F.col("id").alias(id_col), "source", "size", "source_size", "target", "crc", "epoch", "take"]
     return located.select(*columns, "shard", "position").unionByName(blocks.filter(F.col("take") <= 0).select(*columns), allowMissingColumns=True)
+
+
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``df`` that the mix takes, once for each pass, with ``df``'s columns.
+
+    The text of a block that is cut is its first words, joined by single spaces.  Options
+    are those of :func:`mix`.
+    """
+    blocks = mix(df, id_col, text_col, source_col, **options).filter("take > 0")
+    takes = blocks.groupBy(F.col(f"`{id_col}`").alias("__id"), F.col("crc").alias("__crc"), F.col("size").alias("__size")).agg(F.collect_list("take").alias("__takes"))
+    text = F.col(f"`{text_col}`")
+    same = Window.partitionBy("__i", "__c", "__s").orderBy("__c")
+    # Rows alike in identifier and text have their passes in one list: the first of them takes it.
+    keyed = df.withColumns({"__i": F.col(f"`{id_col}`"), "__c": F.crc32(text), "__s": word_count(text)}).withColumn("__nth", F.row_number().over(same)).filter("__nth = 1")
+    on = F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__c") == F.col("__crc")) & (F.col("__s") == F.col("__size"))
+    taken = keyed.join(takes, on).withColumn("__take", F.explode("__takes"))
+    words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
+    cut = F.when(F.col("__take") < F.col("__s"), F.array_join(F.slice(words, F.lit(1), F.col("__take").cast("int")), " ")).otherwise(text)
+    return taken.withColumn(text_col, cut).select(*[F.col(f"`{c}`") for c in df.columns])
