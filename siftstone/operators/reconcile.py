@@ -1,0 +1,52 @@
+"""Joining sources with reviews and cached responses, under checks."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .checks import duplicates, require_none
+
+
+def reconcile(source: DataFrame, reviews: DataFrame, key: Sequence[str], flag: str = "has_saved_review", check: bool = True) -> DataFrame:
+    """``source`` with the review of each row, one to one; ``flag`` says whether there is one.
+
+    Repeated keys on either side, and reviews without a source, are errors.
+    """
+    if check:
+        require_none(duplicates(source, key), "the source repeats keys")
+        require_none(duplicates(reviews, key), "the reviews repeat keys")
+        require_none(reviews.join(source, list(key), "left_anti").select(*key), "reviews without a source")
+    return source.join(reviews.withColumn(flag, F.lit(True)), list(key), "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
+def enrich(df: DataFrame, responses: DataFrame, key: str, kind: str, kinds: Sequence[str], value: str, missing: str = "pending") -> DataFrame:
+    """``df`` with a column for each kind of response: its value, or ``missing``."""
+    wide = responses.groupBy(key).pivot(kind, list(kinds)).agg(F.first(value, ignorenulls=True))
+    out = df.join(wide, key, "left")
+    return out.withColumns({k: F.coalesce(F.col(k), F.lit(missing)) for k in kinds})
+
+
+def coalesced_update(table: DataFrame, changes: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``table`` with the columns of ``changes`` where it has a row for the key: UPDATE ... FROM."""
+    new = changes.select(*key, F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in columns])
+    out = table.join(new, list(key), "left")
+    return out.withColumns({c: F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)) for c in columns}).select(*table.columns)
+
+
+def compare_and_set(table: DataFrame, changes: DataFrame, key: Sequence[str], column: str, old: str, new: str) -> DataFrame:
+    """``table`` with new values where the old one is as expected, and ``outcome`` for each row."""
+    c = changes.select(*key, F.lit(True).alias("__hit"), F.col(old).alias("__old"), F.col(new).alias("__new"))
+    out = table.join(c, list(key), "left")
+    same = F.col(column).eqNullSafe(F.col("__old"))
+    outcome = F.when(F.col("__hit").isNull(), "unchanged").when(same, "set").otherwise("conflict")
+    value = F.when(F.col("__hit") & same, F.col("__new")).otherwise(F.col(column))
+    return out.withColumn("outcome", outcome).withColumn(column, value).drop("__hit", "__old", "__new")
+
+
+def routed(df: DataFrame, name: str, *routes: tuple[str, Column]) -> DataFrame:
+    """A row of ``df`` for each route whose condition holds: the sheets that it belongs on."""
+    places = F.array(*[F.when(c, F.lit(n)) for n, c in routes])
+    return df.withColumn(name, F.explode(F.filter(places, lambda p: p.isNotNull())))

@@ -1,6 +1,720 @@
-"""Registered queries over the standard tables, and their SQL."""
+"""Registered queries over the standard tables, each with its SQL.
+
+Orders stand for reviews (an item is a customer, a label an order priority), customers for
+items of a batch (a nation), events for photos of an owner (a user).
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import dates, geo, text
+from ..operators import candidates, checks, consensus, evidence, places, progress, reconcile, rounds, timeline, versioned
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+FLAGS = {"is_pressing": ["1-URGENT", "2-HIGH"], "is_open": ["4-NOT SPECIFIED"], "exclude_from_training": ["5-LOW", "4-NOT SPECIFIED"]}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with the SQL that gives the same rows."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def long(c: str | Column) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("long")
+
+
+# --- consensus, latest answers -------------------------------------------------------
+
+CONSENSUS_SQL = """
+    WITH t AS (SELECT o_custkey, o_orderpriority AS l, count(*) AS n, max(o_orderdate) AS latest FROM orders GROUP BY ALL),
+    m AS (SELECT *, max(n) OVER (PARTITION BY o_custkey) AS mx FROM t)
+    SELECT o_custkey, min(l) FILTER (n = mx) AS consensus_label, CAST(sum(n) AS BIGINT) AS review_count,
+           count(*) = 1 AS "unanimous", count(*) FILTER (n = mx) > 1 AS tied, max(latest) AS reviewed_at
+    FROM m GROUP BY o_custkey
+"""
+
+
+@query(CONSENSUS_SQL)
+def consensus_plurality(t):
+    return consensus.plurality(t("orders"), ["o_custkey"], "o_orderpriority", "o_orderdate", PRIORITIES)
+
+
+@query(f"""
+    WITH c AS ({CONSENSUS_SQL})
+    SELECT o_custkey, consensus_label, consensus_label IN ('1-URGENT', '2-HIGH') AS is_pressing, consensus_label = '4-NOT SPECIFIED' AS is_open,
+           tied OR consensus_label IN ('5-LOW', '4-NOT SPECIFIED') AS exclude_from_training
+    FROM c
+""")
+def consensus_derived_flags(t):
+    found = consensus.plurality(t("orders"), ["o_custkey"], "o_orderpriority", "o_orderdate", PRIORITIES)
+    return consensus.with_flags(found, "consensus_label", FLAGS, "tied", "exclude_from_training").select("o_custkey", "consensus_label", *FLAGS)
+
+
+@query("""
+    SELECT o_orderkey, o_custkey, c_name, c_mktsegment, n_name, r_name, o_orderpriority, o_orderdate AS reviewed_at, 6 AS schema_version
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+""")
+def raw_review_export(t):
+    small = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(small, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select("o_orderkey", "o_custkey", "c_name", "c_mktsegment", "n_name", "r_name", "o_orderpriority", F.col("o_orderdate").alias("reviewed_at"), F.lit(6).alias("schema_version"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderpriority, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
+def lean_export(t):
+    rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.select("o_orderkey", "o_custkey", "o_orderpriority", "c_mktsegment")
+
+
+@query("""
+    WITH t AS (SELECT o_custkey, o_orderpriority AS l, count(*) AS n FROM orders GROUP BY ALL)
+    SELECT o_custkey, string_agg(l || ':' || n, ',' ORDER BY l) AS counts FROM t GROUP BY o_custkey
+""")
+def vote_counts_map(t):
+    found = consensus.label_counts(t("orders"), ["o_custkey"], "o_orderpriority")
+    pairs = F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return found.select("o_custkey", F.array_join(pairs, ",").alias("counts"))
+
+
+LATEST_SQL = "SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"
+
+
+@query(f"SELECT o_custkey, o_orderkey, o_orderpriority, o_orderdate FROM ({LATEST_SQL})")
+def latest_answer(t):
+    rows = t("orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderdate")
+    return consensus.latest(rows, ["o_custkey"], "o_orderdate", "o_orderkey")
+
+
+GROUP_CASE = "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'yes' WHEN o_orderpriority IN ('3-MEDIUM', '5-LOW') THEN 'no' ELSE 'none' END"
+
+
+def answer_group(label: str) -> Column:
+    return evidence.ladder(("yes", F.col(label).isin("1-URGENT", "2-HIGH")), ("no", F.col(label).isin("3-MEDIUM", "5-LOW")), otherwise="none")
+
+
+@query(f"SELECT o_custkey, o_orderkey, {GROUP_CASE} AS answer_group FROM ({LATEST_SQL})")
+def latest_three_way_groups(t):
+    rows = t("orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderdate")
+    found = consensus.latest(rows, ["o_custkey"], "o_orderdate", "o_orderkey")
+    return found.select("o_custkey", "o_orderkey", answer_group("o_orderpriority").alias("answer_group"))
+
+
+@query("""
+    WITH t AS (SELECT o_custkey, o_orderpriority AS l, count(*) AS n FROM orders GROUP BY ALL),
+    m AS (SELECT *, sum(n) OVER (PARTITION BY o_custkey) AS total FROM t)
+    SELECT o_custkey, coalesce(max(l) FILTER (2 * n > total), 'Disputed') AS result FROM m GROUP BY o_custkey
+""")
+def classification_sheets(t):
+    return consensus.strict_majority(t("orders"), ["o_custkey"], "o_orderpriority")
+
+
+@query("SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate, o_orderkey) AS history FROM orders GROUP BY o_custkey")
+def ordered_history(t):
+    found = consensus.ordered_history(t("orders"), ["o_custkey"], ["o_orderdate"], "o_orderkey")
+    return found.select("o_custkey", F.array_join(F.transform("history", lambda x: x.cast("string")), ",").alias("history"))
+
+
+# --- filters, semi joins, progress ---------------------------------------------------
+
+
+@query("SELECT event_id, user_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-10 23:00:00' AND ts < TIMESTAMP '2024-01-11 23:00:00'")
+def local_day_window(t):
+    return t("events").filter(dates.in_local_day(F.col("ts").cast("timestamp"), "2024-01-11", "Europe/Berlin")).select("event_id", "user_id", "ts")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def reviewed_keys_semi(t):
+    seen = t("orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return t("customer").join(seen, "c_custkey", "left_semi").select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+def unreviewed_anti(t):
+    seen = t("orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return progress.pending(t("customer"), seen, ["c_custkey"]).select("c_custkey", "c_name")
+
+
+PROGRESS_SQL = """
+    WITH r AS (SELECT o_custkey, bool_or(o_orderstatus = 'O') AS own FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
+    SELECT n_nationkey, n_name, count(c_custkey) AS total, count(*) FILTER (c_custkey IS NOT NULL AND o_custkey IS NOT NULL) AS team,
+           count(*) FILTER (own) AS personal
+    FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN r ON o_custkey = c_custkey GROUP BY ALL
+"""
+
+
+def _progress(t) -> DataFrame:
+    items = t("customer").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_custkey").alias("item"))
+    reviews = t("orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("item"), F.col("o_orderstatus").alias("reviewer"))
+    return progress.batch_progress(t("nation").select("n_nationkey", "n_name"), items, reviews, "n_nationkey", "item", "reviewer", "O")
+
+
+@query(f"SELECT n_nationkey, n_name, total, team, personal, total > 0 AND team = total AS complete, row_number() OVER (ORDER BY team >= total, n_name, n_nationkey) AS place FROM ({PROGRESS_SQL})")
+def dataset_progress_menu(t):
+    order = Window.orderBy(*progress.menu_order(F.col("total"), F.col("team"), F.col("n_name"), r"^SERIES ([A-C])", F.col("n_nationkey")))
+    return _progress(t).withColumn("place", long(F.row_number().over(order)))
+
+
+@query(f"SELECT n_nationkey, n_name, total - team AS missing FROM ({PROGRESS_SQL}) WHERE team < total")
+def pending_batches(t):
+    return progress.pending_batches(_progress(t)).select("n_nationkey", "n_name", (F.col("total") - F.col("team")).alias("missing"))
+
+
+NEXT_SQL = """coalesce(lead({k}) OVER w, min({k}) OVER (PARTITION BY {g})) AS next_position, coalesce(lag({k}) OVER w, max({k}) OVER (PARTITION BY {g})) AS previous_position"""
+
+
+@query(f"SELECT o_custkey, o_orderkey, {NEXT_SQL.format(k='o_orderkey', g='o_custkey')} FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def cursor_next_previous(t):
+    return progress.neighbours(t("orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
+
+
+@query(f"""
+    WITH p AS (SELECT * FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R'))
+    SELECT o_custkey, o_orderkey, {NEXT_SQL.format(k='o_orderkey', g='o_custkey')} FROM p WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)
+""")
+def pending_cursor(t):
+    reviewed = t("lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    left = progress.pending(t("orders").select("o_custkey", "o_orderkey"), reviewed, ["o_orderkey"])
+    return progress.neighbours(left, ["o_custkey"], "o_orderkey")
+
+
+@query("""
+    WITH a AS (SELECT c_nationkey AS batch, CAST(v AS BIGINT) AS anchor FROM (SELECT DISTINCT c_nationkey FROM customer), (VALUES (-5), (17), (400), (100000000)) x(v))
+    SELECT batch, anchor, coalesce(min(c_custkey) FILTER (c_custkey > anchor), min(c_custkey)) AS next_position,
+           coalesce(max(c_custkey) FILTER (c_custkey < anchor), max(c_custkey)) AS previous_position
+    FROM a JOIN customer ON c_nationkey = batch GROUP BY ALL
+""")
+def cursor_seek_any_anchor(t):
+    items = t("customer").select(F.col("c_nationkey").alias("batch"), F.col("c_custkey").alias("position"))
+    anchors = items.select("batch").distinct().withColumn("anchor", F.explode(F.array(*[F.lit(v).cast("long") for v in (-5, 17, 400, 100_000_000)])))
+    return progress.seek(items, anchors, ["batch"], "position", "anchor")
+
+
+@query("""
+    SELECT c_nationkey, c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AS reviewed FROM customer
+    QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'), c_custkey) = 1
+""")
+def resume_first_unreviewed(t):
+    seen = t("orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("reviewed", F.lit(True))
+    items = t("customer").join(seen, "c_custkey", "left").select("c_nationkey", "c_custkey", F.col("c_custkey").alias("position"), F.coalesce("reviewed", F.lit(False)).alias("reviewed"))
+    return progress.resume(items, ["c_nationkey"], "position", "c_custkey", "reviewed").select("c_nationkey", "c_custkey", "reviewed")
+
+
+@query("""
+    SELECT o_orderkey, EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderpriority <> o.o_orderpriority AND p.o_orderstatus = 'F') AS previously_reviewed
+    FROM orders o
+""")
+def prior_review_marker(t):
+    o = t("orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    return progress.prior_review(o, o.filter("o_orderstatus = 'F'"), ["o_custkey"], "o_orderpriority").select("o_orderkey", "previously_reviewed")
+
+
+# --- rounds, positions ---------------------------------------------------------------
+
+
+@query("""
+    SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('["' || c_mktsegment || '", "' || c_custkey || '"]'), c_custkey) AS position
+    FROM customer
+""")
+def round_members_md5_positions(t):
+    rows = t("customer").select("c_custkey", "c_mktsegment")
+    return rounds.digest_positions(rows, ["c_mktsegment"], "c_mktsegment", "c_custkey", ["c_custkey"]).withColumn("position", long("position"))
+
+
+@query("""
+    SELECT *, row_number() OVER (ORDER BY c_mktsegment, c_nationkey) AS group_number
+    FROM (SELECT c_mktsegment, c_nationkey, count(*) AS members FROM customer GROUP BY c_mktsegment, c_nationkey)
+""")
+def round_group_numbers(t):
+    return rounds.group_numbers(t("customer"), ["c_mktsegment", "c_nationkey"]).withColumn("group_number", long("group_number"))
+
+
+@query("""
+    SELECT o_orderkey, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END, o_orderkey) AS destination FROM orders
+""")
+def regroup_destination(t):
+    rows = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return rounds.regroup(rows, ["o_custkey"], "o_orderkey", [F.when(F.col("o_orderstatus") == "O", 0).otherwise(1), F.col("o_orderkey")]).select("o_orderkey", "destination")
+
+
+@query("""
+    WITH a AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS r, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
+    b AS (SELECT *, (n + 9) // 10 AS b FROM a), q AS (SELECT *, n // b AS q, n % b AS m FROM b)
+    SELECT c_custkey, c_nationkey, CASE WHEN r < m * (q + 1) THEN r // (q + 1) ELSE m + (r - m * (q + 1)) // q END + 1 AS bucket,
+           CASE WHEN r < m * (q + 1) THEN r % (q + 1) ELSE (r - m * (q + 1)) % q END + 1 AS bucket_position
+    FROM q
+""")
+def balanced_buckets(t):
+    return rounds.balanced(t("customer").select("c_custkey", "c_nationkey"), ["c_nationkey"], ["c_custkey"], 10)
+
+
+@query("SELECT c_custkey, c_nationkey, ntile(3) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS bucket FROM customer")
+def fixed_ntile(t):
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    return t("customer").select("c_custkey", "c_nationkey", long(F.ntile(3).over(w)).alias("bucket"))
+
+
+@query("""
+    SELECT c_custkey, c_nationkey, (SELECT max(s_suppkey) FROM supplier WHERE s_nationkey = c_nationkey) IS NULL AS fresh,
+           coalesce((SELECT max(s_suppkey) FROM supplier WHERE s_nationkey = c_nationkey), 0) + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS position
+    FROM customer
+""")
+def append_positions(t):
+    old = t("supplier").select(F.col("s_nationkey").alias("c_nationkey"), F.col("s_suppkey").alias("position"))
+    out = rounds.append_positions(old, t("customer").select("c_custkey", "c_nationkey"), ["c_nationkey"], "position", ["c_custkey"])
+    has = old.select("c_nationkey").distinct().withColumn("known", F.lit(True))
+    return out.join(has, "c_nationkey", "left").select("c_custkey", "c_nationkey", F.col("known").isNull().alias("fresh"), "position")
+
+
+@query("""
+    SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS position FROM customer
+    WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')
+""")
+def refresh_remaining(t):
+    seen = t("orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    left = progress.pending(t("customer").select("c_custkey", "c_nationkey"), seen, ["c_custkey"])
+    return consensus.by_rank(left, ["c_nationkey"], [F.col("c_custkey")], "position").withColumn("position", long("position"))
+
+
+@query("SELECT o_orderkey, sha256('shuffle:0:' || o_orderkey) AS digest, row_number() OVER (ORDER BY sha256('shuffle:0:' || o_orderkey), o_orderkey) - 1 AS ordinal FROM orders")
+def seeded_hash_shuffle(t):
+    rows = t("orders").select("o_orderkey", rounds.hash_order("shuffle", 0, F.col("o_orderkey")).alias("digest"))
+    return rounds.logical_batches(rows, "digest", ["o_orderkey"], 1000, "B").select("o_orderkey", "digest", "ordinal")
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY sha256('import:7:' || o_orderkey), o_orderkey) - 1 AS i FROM orders)
+    SELECT o_orderkey, i // 1000 + 1 AS batch_number, i % 1000 + 1 AS position, 'BATCH-' || lpad(CAST(i // 1000 + 1 AS VARCHAR), 3, '0') AS batch_code FROM o
+""")
+def logical_batches(t):
+    rows = t("orders").select("o_orderkey", rounds.hash_order("import", 7, F.col("o_orderkey")).alias("digest"))
+    return rounds.logical_batches(rows, "digest", ["o_orderkey"], 1000, "BATCH").select("o_orderkey", "batch_number", "position", "batch_code")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_in_batch_check(t):
+    return candidates.repeated_in_batch(t("lineitem"), ["l_orderkey"], ["l_linenumber"])
+
+
+@query("SELECT l_orderkey FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY 1 HAVING min(l_linenumber) <> 1 OR max(l_linenumber) <> count(*)")
+def contiguity_check(t):
+    return checks.not_contiguous(t("lineitem").select("l_orderkey", "l_linenumber").distinct(), ["l_orderkey"], "l_linenumber").select("l_orderkey")
+
+
+# --- rows, JSON, fingerprints --------------------------------------------------------
+
+
+@query("""
+    SELECT page_id, trim(url) AS url, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, starts_with(url, 'https://') AS secure,
+           CASE WHEN NOT starts_with(url, 'https://') THEN 'url isn''t a plain https address' END AS problem
+    FROM pages
+""")
+def normalise_candidates(t):
+    rows = candidates.normalise(t("pages").select("page_id", "url"), {"url": 2048}, {}, "url")
+    return rows.select("page_id", "url", F.try_parse_url("url", F.lit("HOST")).alias("host"), text.https_url(F.col("url")).alias("secure"), "problem")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0")
+def json_path_extract(t):
+    k = F.get_json_object("props", "$.k").try_cast("long")
+    return t("events").select("event_id", k.alias("k")).filter("k % 2 = 0")
+
+
+@query("SELECT event_id, json_exists(props, '$.k') AS has_k, json_exists(props, '$.missing') AS has_other FROM events")
+def json_key_exists(t):
+    return t("events").select("event_id", text.has_key(F.col("props"), "k").alias("has_k"), text.has_key(F.col("props"), "missing").alias("has_other"))
+
+
+@query("""
+    SELECT c_custkey, md5(concat_ws('|', coalesce(c_name, '\\N'), coalesce(CAST(c_nationkey AS VARCHAR), '\\N'), coalesce(c_mktsegment, '\\N'))) AS fingerprint FROM customer
+""")
+def version_preservation_check(t):
+    return checks.fingerprint(t("customer"), ["c_custkey"], ["c_name", "c_nationkey", "c_mktsegment"])
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
+def changed_versions(t):
+    before = checks.fingerprint(t("customer"), ["c_custkey"], ["c_mktsegment"])
+    moved = t("customer").withColumn("c_mktsegment", F.when(F.col("c_mktsegment") == "BUILDING", "MOVED").otherwise(F.col("c_mktsegment")))
+    return checks.changed(before, checks.fingerprint(moved, ["c_custkey"], ["c_mktsegment"]), ["c_custkey"])
+
+
+@query("""
+    SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS occurrence_count, md5(l_returnflag || '|' || l_linestatus || '|' || l_linenumber) AS evidence_id
+    FROM lineitem GROUP BY ALL
+""")
+def evidence_dedup(t):
+    return evidence.dedup(t("lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"])
+
+
+# --- joins of sources, reviews, responses --------------------------------------------
+
+
+@query("""
+    WITH s AS (SELECT o_custkey, count(*) AS orders, max(o_orderdate) AS last_order FROM orders GROUP BY 1)
+    SELECT c_custkey, c_name, orders, last_order, o_custkey IS NOT NULL AS has_saved_review FROM customer LEFT JOIN s ON o_custkey = c_custkey
+""")
+def reconcile_left_join(t):
+    reviews = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("orders"), F.max("o_orderdate").alias("last_order"))
+    return reconcile.reconcile(t("customer").select("c_custkey", "c_name"), reviews, ["c_custkey"], check=False)
+
+
+@query("""
+    SELECT user_id, """ + ", ".join(f"count(*) FILTER (event_type = '{k}') AS n_{k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY user_id")
+def enrichment_pivot(t):
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    wide = t("events").groupBy("user_id").pivot("event_type", kinds).count()
+    return wide.select("user_id", *[F.coalesce(k, F.lit(0)).cast("long").alias(f"n_{k}") for k in kinds])
+
+
+@query("""
+    WITH f AS (SELECT user_id, min(event_id) FILTER (event_type = 'purchase') AS p, min(event_id) FILTER (event_type = 'error') AS e FROM events GROUP BY 1)
+    SELECT DISTINCT user_id, coalesce(CAST(p AS VARCHAR), 'pending') AS purchase, coalesce(CAST(e AS VARCHAR), 'pending') AS error FROM f
+""")
+def enrichment_join(t):
+    e = t("events")
+    first = e.groupBy("user_id", "event_type").agg(F.min("event_id").cast("string").alias("payload"))
+    return reconcile.enrich(e.select("user_id").distinct(), first, "user_id", "event_type", ["purchase", "error"], "payload")
+
+
+@query("""
+    SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer
+""")
+def coalesced_update(t):
+    rows = t("customer").select("c_custkey", "c_mktsegment")
+    changes = t("customer").filter("c_nationkey % 2 = 0").select("c_custkey", F.lit("MOVED").alias("c_mktsegment"))
+    return reconcile.coalesced_update(rows, changes, ["c_custkey"], ["c_mktsegment"])
+
+
+@query("""
+    SELECT c_custkey, CASE WHEN c_nationkey % 3 <> 0 THEN 'unchanged' WHEN c_mktsegment = 'BUILDING' THEN 'set' ELSE 'conflict' END AS outcome,
+           CASE WHEN c_nationkey % 3 = 0 AND c_mktsegment = 'BUILDING' THEN 'GEOTAGGED' ELSE c_mktsegment END AS c_mktsegment
+    FROM customer
+""")
+def compare_and_set(t):
+    changes = t("customer").filter("c_nationkey % 3 = 0").select("c_custkey", F.lit("BUILDING").alias("old"), F.lit("GEOTAGGED").alias("new"))
+    return reconcile.compare_and_set(t("customer").select("c_custkey", "c_mktsegment"), changes, ["c_custkey"], "c_mktsegment", "old", "new")
+
+
+# --- timelines -----------------------------------------------------------------------
+
+PAIRS_SQL = """
+    SELECT v.event_id, p.event_id AS anchor_id, epoch_us(v.ts) - epoch_us(p.ts) AS d
+    FROM events v JOIN events p ON p.user_id = v.user_id AND p.event_type = 'purchase' AND v.event_type = 'view' AND p.event_id <> v.event_id
+     AND p.ts BETWEEN v.ts - INTERVAL 24 HOUR AND v.ts + INTERVAL 24 HOUR
+"""
+
+
+def _pairs(t) -> DataFrame:
+    e = t("events").select("event_id", "user_id", "ts", "event_type")
+    return timeline.interval_join(e.filter("event_type = 'view'"), e.filter("event_type = 'purchase'"), "user_id", "ts", "event_id")
+
+
+@query(f"SELECT event_id, anchor_id, CAST(d AS DOUBLE) / 1000000 AS delta_seconds FROM ({PAIRS_SQL})")
+def temporal_interval_join(t):
+    return _pairs(t).select("event_id", F.col("anchor_event_id").alias("anchor_id"), "delta_seconds")
+
+
+@query(f"""
+    WITH p AS ({PAIRS_SQL}), w AS (SELECT *, CASE WHEN d > 0 THEN 'before' WHEN d < 0 THEN 'after' ELSE 'same_time' END AS relation, "window"
+        FROM p, (VALUES ('hour', 3600000000), ('day', 86400000000)) x("window", reach) WHERE abs(d) <= reach)
+    SELECT event_id, "window", relation, anchor_id, CAST(d AS DOUBLE) / 1000000 / 60 AS minutes, count(*) OVER (PARTITION BY event_id, "window", relation) AS anchors
+    FROM w QUALIFY row_number() OVER (PARTITION BY event_id, "window", relation ORDER BY abs(d), anchor_id) = 1
+""")
+def temporal_nearest(t):
+    return timeline.nearest(_pairs(t), "event_id")
+
+
+@query(f"""
+    SELECT event_id, anchor_id, CAST(d AS DOUBLE) / 1000000 AS delta_seconds FROM ({PAIRS_SQL}) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(d), anchor_id) = 1
+""")
+def closest_neighbour(t):
+    return timeline.closest(_pairs(t), "event_id")
+
+
+@query("""
+    SELECT user_id, event_id, ts, source_rank FROM (SELECT *, CASE event_type WHEN 'view' THEN 0 ELSE 1 END AS source_rank FROM events WHERE event_type IN ('view', 'purchase'))
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY source_rank, ts, event_id) = 1
+""")
+def anchor_priority(t):
+    e = t("events").select("user_id", "event_id", "ts", "event_type")
+    parts = [e.filter(F.col("event_type") == k).drop("event_type") for k in ("view", "purchase")]
+    return timeline.first_source(parts, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "ts", "source_rank")
+
+
+# --- texts and coordinates -----------------------------------------------------------
+
+
+@query("""
+    WITH p AS (SELECT c_custkey, c_acctbal / 60 AS lat, CAST(c_nationkey * 20 - 200 AS DOUBLE) AS lon FROM customer)
+    SELECT c_custkey, abs(lat) <= 90 AND abs(lon) <= 180 AND NOT (lat = 0 AND lon = 0) AS valid FROM p
+""")
+def coordinate_validity(t):
+    return t("customer").select("c_custkey", geo.valid_point(F.col("c_acctbal") / 60, (F.col("c_nationkey") * 20 - 200).cast("double")).alias("valid"))
+
+
+@query("""
+    WITH p AS (SELECT c_custkey, 'taken at Latitude: ' || (c_custkey % 90) || '.25, longitude: -' || c_nationkey || '.5 by the lake' AS s FROM customer)
+    SELECT c_custkey, CAST(regexp_extract(s, '(?i)latitude: (-?[0-9.]+)', 1) AS DOUBLE) AS lat, CAST(regexp_extract(s, '(?i)longitude: (-?[0-9.]+)', 1) AS DOUBLE) AS lon FROM p
+""")
+def text_coordinates(t):
+    s = F.concat(F.lit("taken at Latitude: "), (F.col("c_custkey") % 90).cast("string"), F.lit(".25, longitude: -"), F.col("c_nationkey").cast("string"), F.lit(".5 by the lake"))
+    lat, lon = text.labelled_coordinates(s)
+    return t("customer").select("c_custkey", lat.alias("lat"), lon.alias("lon"))
+
+
+@query("""
+    SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_custkey % 80 AS DOUBLE) END AS lat, CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_nationkey AS DOUBLE) END AS lon FROM customer
+""")
+def machine_tag_pair(t):
+    one = F.concat(F.lit("geo:lat="), (F.col("c_custkey") % 80).cast("string"), F.lit(" geo:lon="), F.col("c_nationkey").cast("string"))
+    tags = F.when(F.col("c_custkey") % 3 == 0, F.concat(one, F.lit(" geo:lat=-7.5"))).otherwise(one)
+    lat, lon = text.machine_tag_pair(F.lit(None).cast("string"), tags)
+    return t("customer").select("c_custkey", lat.alias("lat"), lon.alias("lon"))
+
+
+@query("SELECT c_custkey, CAST(c_custkey % 80 AS DOUBLE) AS lat, CAST(-c_nationkey AS DOUBLE) AS lon FROM customer")
+def map_link_coordinates(t):
+    a, b = (F.col("c_custkey") % 80).cast("string"), F.concat(F.lit("-"), F.col("c_nationkey").cast("string"))
+    forms = [("?mlat=", "&mlon="), ("?q=", ","), ("/@", ","), ("#map=12/", "/")]
+    url = F.lit(None).cast("string")
+    for k, (x, y) in enumerate(forms):
+        url = F.when(F.col("c_custkey") % 4 == k, F.concat(F.lit("https://maps.example.org/place" + x), a, F.lit(y), b)).otherwise(url)
+    lat, lon = text.link_coordinates(url)
+    return t("customer").select("c_custkey", lat.alias("lat"), lon.alias("lon"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS links, regexp_extract(html, 'href=\"([^\"]*)\"', 1) AS first_link FROM pages")
+def html_links(t):
+    found = text.hrefs(F.col("html"))
+    return t("pages").select("page_id", long(F.size(found)).alias("links"), F.get(found, 0).alias("first_link"))
+
+
+@query()
+def visible_text(t):
+    seen = text.visible_text(F.col("html"))
+    return t("pages").select("page_id", seen.alias("v")).select("page_id", F.col("v.text").alias("text"), F.size("v.links").alias("links"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS n_tokens FROM documents")
+def text_tokens(t):
+    return t("documents").select("doc_id", long(F.size(text.tokens(F.col("text")))).alias("n_tokens"))
+
+
+@query("SELECT doc_id, trim(substring(text, 1 + greatest(0, 200 - 140), least(length(text), 210 + 140) - greatest(0, 200 - 140)), ' ') AS excerpt FROM documents WHERE length(text) > 250")
+def text_excerpt(t):
+    rows = t("documents").filter(F.char_length("text") > 250)
+    return rows.select("doc_id", text.excerpt(F.col("text"), F.lit(200), F.lit(210)).alias("excerpt"))
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL WHEN o_orderkey % 5 = 3 THEN 30 ELSE (1 + o_orderkey % 9) * CASE o_orderkey % 5 WHEN 0 THEN 60 WHEN 1 THEN 1440 ELSE 10080 END END AS minutes,
+           CASE WHEN o_orderkey % 5 = 4 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'before' ELSE 'after' END AS relation
+    FROM orders
+""")
+def relative_time(t):
+    number, word = (1 + F.col("o_orderkey") % 9).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, " earlier").otherwise(" later")
+    unit = F.when(F.col("o_orderkey") % 5 == 0, " hours").when(F.col("o_orderkey") % 5 == 1, " days").otherwise(" weeks")
+    phrase = F.when(F.col("o_orderkey") % 5 == 4, "no time here").when(F.col("o_orderkey") % 5 == 3, F.concat(F.lit("seen half an hour"), word)).otherwise(F.concat(F.lit("we came "), number, unit, word, F.lit(" again")))
+    minutes, relation = text.relative_minutes(phrase)
+    return t("orders").select("o_orderkey", minutes.alias("minutes"), relation.alias("relation"))
+
+
+@query()
+def gazetteer_matches(t):
+    names = t("conversations").select(F.col("conv_id").cast("string").alias("place"), F.array_join(F.slice(text.tokens(F.col("text")), 1, 2), " ").alias("alias"))
+    return places.match_phrases(t("documents"), "doc_id", F.col("text"), names, "alias", "place").select("doc_id", "start", "length", F.size("places").alias("places"))
+
+
+# --- evidence, ranking, maps ---------------------------------------------------------
+
+TAG_ORDER = ["error", "signup", "purchase", "click", "view"]
+
+
+@query("""
+    SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS tags,
+           ['error', 'signup', 'purchase', 'click', 'view'][min(list_position(['error', 'signup', 'purchase', 'click', 'view'], event_type))] AS primary_tag
+    FROM events GROUP BY user_id
+""")
+def clue_tags_primary(t):
+    found = evidence.tags(t("events").select("user_id", "event_type"), "user_id", "event_type", TAG_ORDER)
+    return found.select("user_id", F.array_join("tags", ",").alias("tags"), "primary_tag")
+
+
+@query("""
+    WITH u AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type = 'purchase') AS p, count(*) AS n FROM events GROUP BY 1)
+    SELECT user_id, CASE WHEN e > 15 THEN 'coordinates' WHEN p > 15 THEN 'named' WHEN n > 60 THEN 'neighbour' ELSE 'none' END AS status FROM u
+""")
+def status_precedence(t):
+    u = t("events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("e"), F.count_if(F.col("event_type") == "purchase").alias("p"), F.count(F.lit(1)).alias("n"))
+    return u.select("user_id", evidence.ladder(("coordinates", F.col("e") > 15), ("named", F.col("p") > 15), ("neighbour", F.col("n") > 60), otherwise="none").alias("status"))
+
+
+HAVERSINE_SQL = "2 * 6371.0088 * asin(sqrt(least(1.0, sin((radians({b}) - radians({a})) / 2) ^ 2 + cos(radians({a})) * cos(radians({b})) * sin((radians({d}) - radians({c})) / 2) ^ 2)))"
+
+
+@query(f"""
+    WITH p AS (SELECT n_nationkey AS k, n_regionkey AS r, CAST(n_nationkey * 5 - 60 AS DOUBLE) AS lat, CAST(n_nationkey * 13 - 170 AS DOUBLE) AS lon FROM nation),
+    c AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY r ORDER BY k) = 1)
+    SELECT p.r, round(max({HAVERSINE_SQL.format(a='c.lat', b='p.lat', c='c.lon', d='p.lon')}), 1) AS spread_km FROM p JOIN c ON c.r = p.r GROUP BY p.r
+""")
+def haversine_spread(t):
+    p = t("nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r"), (F.col("n_nationkey") * 5 - 60).cast("double").alias("lat"), (F.col("n_nationkey") * 13 - 170).cast("double").alias("lon"))
+    c = p.groupBy("r").agg(F.min_by(F.struct(F.col("lat").alias("clat"), F.col("lon").alias("clon")), "k").alias("c")).select("r", "c.*")
+    return p.join(c, "r").groupBy("r").agg(F.round(F.max(geo.haversine_km(F.col("clat"), F.col("clon"), F.col("lat"), F.col("lon"))), 1).alias("spread_km"))
+
+
+@query("""
+    WITH r AS (SELECT l_partkey, l_suppkey, max(l_linenumber) AS best, count(DISTINCT l_returnflag) AS sources FROM lineitem GROUP BY ALL),
+    s AS (SELECT *, best + 4 * least(3, sources - 1) AS total FROM r),
+    k AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY total DESC, sources DESC, l_suppkey) AS n FROM s)
+    SELECT l_partkey, max(l_suppkey) FILTER (n = 1) AS chosen, max(total) FILTER (n = 1) AS chosen_score,
+           coalesce(string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY n) FILTER (n BETWEEN 2 AND 11), '') AS alternatives, count(*) AS candidates
+    FROM k GROUP BY l_partkey
+""")
+def place_rank(t):
+    found = evidence.rank_candidates(t("lineitem"), "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    ids = F.array_join(F.transform("alternatives", lambda x: x.cast("string")), ",")
+    return found.select("l_partkey", "chosen", long("chosen_score").alias("chosen_score"), ids.alias("alternatives"), long("candidates").alias("candidates"))
+
+
+@query(f"""
+    WITH p AS (SELECT n_nationkey AS k, CAST((n_nationkey * 37) % 120 - 60 AS DOUBLE) AS lat, CAST((n_nationkey * 71) % 340 - 170 AS DOUBLE) AS lon FROM nation),
+    d AS (SELECT a.k, {HAVERSINE_SQL.format(a='a.lat', b='b.lat', c='a.lon', d='b.lon')} AS km FROM p a JOIN p b ON a.lat <> b.lat OR a.lon <> b.lon)
+    SELECT k, round(km, 3) AS isolation_km FROM d QUALIFY row_number() OVER (PARTITION BY k ORDER BY km) = 5
+""")
+def isolation_knn(t):
+    p = t("nation").select(F.col("n_nationkey").alias("k"), ((F.col("n_nationkey") * 37) % 120 - 60).cast("double").alias("lat"), ((F.col("n_nationkey") * 71) % 340 - 170).cast("double").alias("lon"))
+    return places.kth_nearest_km(p, "k", "lat", "lon").select("k", F.round("isolation_km", 3).alias("isolation_km"))
+
+
+BOXES = [("south", -1000.0, 2000.0, 0, 9, 1), ("middle", 2000.0, 6000.0, 0, 24, 2), ("rich", 5000.0, 10000.0, 5, 20, 3)]
+
+
+@query("""
+    WITH b AS (SELECT * FROM (VALUES ('south', -1000.0, 2000.0, 0, 9, 1), ('middle', 2000.0, 6000.0, 0, 24, 2), ('rich', 5000.0, 10000.0, 5, 20, 3)) x(region, x0, x1, y0, y1, o))
+    SELECT c_custkey, min_by(region, o) AS region FROM customer LEFT JOIN b ON c_acctbal BETWEEN x0 AND x1 AND c_nationkey BETWEEN y0 AND y1 GROUP BY c_custkey
+""")
+def region_lookup(t):
+    rows = t("customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    boxes = rows.sparkSession.createDataFrame(BOXES, "region string, x0 double, x1 double, y0 int, y1 int, o int")
+    return places.in_boxes(rows, boxes, "c_acctbal", "c_nationkey", "x0", "x1", "y0", "y1", "o", "region").select("c_custkey", "region")
+
+
+@query("""
+    SELECT CAST(floor(c_acctbal / 1000) AS BIGINT) AS cell_x, CAST(c_nationkey AS BIGINT) AS cell_y, count(*) AS points, count(DISTINCT c_mktsegment) AS series,
+           least(38.0, 6 * sqrt(count(DISTINCT c_mktsegment))) AS radius, max(c_custkey) AS newest
+    FROM customer GROUP BY 1, 2
+""")
+def map_cells(t):
+    rows = t("customer").select("c_custkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 1000).cast("long").alias("cell_x"), long("c_nationkey").alias("cell_y"))
+    return places.map_cells(rows, ["cell_x", "cell_y"], "c_mktsegment", "c_custkey", "c_custkey")
+
+
+@query("""
+    WITH f AS (SELECT o_orderkey, greatest(0.0, least(1.0, datediff('day', DATE '1993-01-01', CAST(o_orderdate AS DATE)) / datediff('day', DATE '1993-01-01', DATE '1998-01-01'))) AS f FROM orders)
+    SELECT o_orderkey, round(f, 9) AS fraction FROM f
+""")
+def date_colour(t):
+    share = geo.ramp_fraction(F.col("o_orderdate").cast("date"), "1993-01-01", "1998-01-01")
+    return t("orders").select("o_orderkey", F.round(share, 9).alias("fraction"))
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders)
+    SELECT o_orderkey, day FROM o WHERE day IS NULL OR year(day) BETWEEN 1994 AND 1995
+""")
+def year_filter_keep_null(t):
+    rows = t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate").cast("date")).alias("day"))
+    return rows.filter(dates.in_years(F.col("day"), 1994, 1995))
+
+
+@query("""
+    SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'excluded' WHEN c_custkey % 5 = 0 THEN 'included' WHEN c_nationkey IN (3, 7) THEN 'region' ELSE 'none' END AS selection FROM customer
+""")
+def selection_precedence(t):
+    key = F.col("c_custkey")
+    found = evidence.ladder(("excluded", key % 11 == 0), ("included", key % 5 == 0), ("region", F.col("c_nationkey").isin(3, 7)), otherwise="none")
+    return t("customer").select("c_custkey", found.alias("selection"))
+
+
+@query("""
+    WITH r AS (SELECT c_custkey, c_mktsegment, unnest(list_concat(['All'], CASE WHEN c_acctbal > 5000 THEN ['Rich'] ELSE ['Poor'] END, CASE WHEN c_nationkey < 5 THEN ['Near'] ELSE [] END)) AS sheet FROM customer)
+    SELECT sheet, count(*) AS n, string_agg(DISTINCT c_mktsegment, '; ' ORDER BY c_mktsegment) AS names FROM r GROUP BY sheet
+""")
+def workbook_groups(t):
+    rows = reconcile.routed(t("customer"), "sheet", ("All", F.lit(True)), ("Rich", F.col("c_acctbal") > 5000), ("Poor", F.col("c_acctbal") <= 5000), ("Near", F.col("c_nationkey") < 5))
+    counts = rows.groupBy("sheet").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(evidence.distinct_names(rows, ["sheet"], "c_mktsegment"), "sheet")
+
+
+@query("""
+    SELECT count(*) AS events, count(DISTINCT user_id) AS users, count(*) FILTER (event_type = 'error') AS errors, count(DISTINCT user_id) FILTER (event_type = 'purchase') AS buyers,
+           min(ts) AS first_ts, max(ts) AS last_ts
+    FROM events
+""")
+def run_summary(t):
+    is_ = lambda k: F.col("event_type") == k
+    return t("events").agg(
+        F.count(F.lit(1)).alias("events"), F.countDistinct("user_id").alias("users"), F.count_if(is_("error")).alias("errors"),
+        F.countDistinct(F.when(is_("purchase"), F.col("user_id"))).alias("buyers"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+    )
+
+
+@query("SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL ORDER BY n DESC, p_brand, p_type LIMIT 25")
+def exploration_topk(t):
+    return t("part").groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "p_brand", "p_type").limit(25)
+
+
+@query("SELECT doc_id, sha256('sample:3:' || doc_id) AS digest FROM documents ORDER BY digest, doc_id LIMIT 50")
+def hash_sample(t):
+    digest = rounds.hash_order("sample", 3, F.col("doc_id"))
+    return rounds.top_by_hash(t("documents"), F.col("doc_id"), 50, "sample", 3).select("doc_id", digest.alias("digest"))
+
+
+@query("SELECT event_type, user_id % 10 AS bucket, count(*) AS n FROM events GROUP BY ALL")
+def queue_state_counts(t):
+    return t("events").groupBy("event_type", (F.col("user_id") % 10).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS calls, min(ts) AS first_call FROM events GROUP BY ALL")
+def hourly_calls(t):
+    return t("events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("calls"), F.min("ts").alias("first_call"))
+
+
+@query("SELECT DISTINCT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier")
+def union_distinct(t):
+    return t("customer").select(F.col("c_nationkey").alias("nation")).union(t("supplier").select("s_nationkey")).distinct()
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type LIKE 'p%' OR regexp_matches(event_type, '^(view|click)$') GROUP BY ALL")
+def code_filters(t):
+    kind = F.col("event_type")
+    return t("events").filter(kind.like("p%") | kind.rlike("^(view|click)$")).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def review_upsert_fold(t):
+    """Events as saves: every user is an item, the event type a label, and each fifth save comes with an old version."""
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = t("events").withColumn("seq", rank.cast("long"))
+    late = F.floor((F.col("seq") - 1) / 5)
+    expected = F.when(F.col("seq") % 5 == 0, F.lit(0)).otherwise(F.col("seq") - 1 - late).cast("int")
+    return versioned.apply_log(rows.select(F.col("user_id").alias("item"), F.lit("r").alias("reviewer"), "seq", F.col("event_id").cast("string").alias("submission"), F.col("event_type").alias("label"), expected.alias("expected")))
