@@ -26,7 +26,7 @@ def tags(df: DataFrame, key: str, tag: str, order: Sequence[str]) -> DataFrame:
     """(key, ``tags`` sorted, ``primary_tag``: the first in ``order`` that the key has)."""
     wanted = F.array(*[F.lit(t) for t in order])
     own = df.groupBy(key).agg(F.sort_array(F.collect_set(tag)).alias("tags"))  # no more than there are kinds of tags
-    return own.withColumn("primary_tag", F.filter(wanted, lambda t: F.array_contains("tags", t))[0])
+    return own.withColumn("primary_tag", F.get(F.filter(wanted, lambda t: F.array_contains("tags", t)), 0))
 
 
 def ladder(*steps: tuple[str, Column], otherwise: str) -> Column:

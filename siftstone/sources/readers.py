@@ -12,6 +12,8 @@ from pyspark.sql.types import StructType
 from ..operators.checks import CheckFailed, duplicates, require_columns, require_none
 
 INFERRED_ROWS = 100
+#: Stands for an unquoted empty value, so that a quoted one stays an empty text.
+NO_VALUE = "\x00none"
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, strings: bool = False) -> DataFrame:
@@ -19,7 +21,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
 
     Without a schema the types are those of the first rows, and then strict.
     """
-    options = {"header": True, "multiLine": True, "escape": '"', "mode": "FAILFAST", "nullValue": "", "emptyValue": "", "enforceSchema": False}
+    options = {"header": True, "multiLine": True, "escape": '"', "mode": "FAILFAST", "nullValue": NO_VALUE, "emptyValue": "", "enforceSchema": False}
     if strings:
         schema = ", ".join(f"`{c}` string" for c in spark.read.options(**options).csv(path).columns)
     elif schema is None:
@@ -34,7 +36,7 @@ def _kind(lines: DataFrame, column: str) -> str:
     """The narrowest type that all of a sample's values of a column have."""
     value = F.get_json_object("j", f"$['{column}']")
     tests = {"bigint": value.rlike(r"^[+-]?\d{1,18}$"), "double": value.try_cast("double").isNotNull(), "boolean": F.lower(value).isin("true", "false"), "timestamp_ntz": value.try_cast("timestamp_ntz").isNotNull() & value.contains("-")}
-    found = lines.agg(F.count(value).alias("n"), *[F.coalesce(F.bool_and(F.coalesce(t, value.isNull())), F.lit(False)).alias(k) for k, t in tests.items()]).first()
+    found = lines.agg(F.count(value).alias("n"), *[F.coalesce(F.bool_and(value.isNull() | t), F.lit(False)).alias(k) for k, t in tests.items()]).first()
     return next((k for k in tests if found["n"] and found[k]), "string")
 
 
