@@ -201,3 +201,43 @@ def test_versioned_saves(spark):
         "item string, reviewer string, seq long, submission string, label string, expected int",
     )
     assert [r["result"] for r in versioned.apply_log(log).orderBy("seq").collect()] == ["inserted", "replayed", "conflict", "stale", "updated", "conflict"]
+
+
+def test_units_and_mentions(spark):
+    from siftstone.operators import clues
+
+    photos = spark.createDataFrame(
+        [("p", "Lake", "Lake", ["geo:lat=1", "camera:iso=5", "lake"], [("o", "mine"), ("x", "nice?"), ("x", "nice?")], " ", "o")],
+        "id string, title string, description string, tags array<string>, comments array<struct<author: string, text: string>>, profile string, owner string",
+    )
+    got = clues.units(photos, "id", "title", "description", "tags", "comments", "profile", "owner")
+    assert values(got, "source", "text", "by_owner") == sorted(
+        [("title", "Lake", True), ("description", "Lake", True), ("tag", "geo:lat=1", True), ("tag", "lake", True), ("comment", "mine", True), ("comment", "nice?", False)], key=repr
+    )
+    rows = spark.createDataFrame([("comment", True, "was in Rome", ""), ("title", True, "x", "taken in "), ("tag", True, "rome?", ""), ("owner_profile", True, "a?", ""), ("description", True, "native to Rome", "")], "s string, o boolean, t string, b string")
+    assert [r[0] for r in rows.select(clues.mention_kind(F.col("s"), F.col("o"), F.col("t"), F.col("b"))).collect()] == ["owner_comment", "capture", "question", "owner_profile", "distribution"]
+
+
+def test_provisional_places(spark):
+    from siftstone.operators import clues
+
+    e = spark.createDataFrame(
+        [
+            ("a", "rome", "settlement", "IT", 41.9, 12.5, "title", "t", 60, None), ("a", "rome", "settlement", "IT", 41.9, 12.5, "tag", "g", 55, None), ("a", "oslo", "settlement", "NO", 59.9, 10.7, "title", "t", 62, None),
+            ("b", "oslo", "settlement", "NO", 59.9, 10.7, "title", "t", 60, "IT"), ("c", "zero", "settlement", None, 0.0, 0.0, "title", "t", 60, None),
+        ],
+        "id string, place string, level string, country string, latitude double, longitude double, kind string, source string, score int, owner_country string",
+    )
+    n = spark.createDataFrame([("b", 7, 50.0, 1.0, 2.0), ("b", 8, 40.0, 0.0, 0.0), ("a", 9, 1.0, 1.0, 1.0)], "id string, anchor_id int, delta_seconds double, latitude double, longitude double")
+    got = {r["id"]: r for r in clues.provisional(e, n, "id").collect()}
+    assert set(got) == {"a", "b"} and got["a"]["place"] == "rome" and got["a"]["alternatives"] == ["oslo"] and set(got["a"]["flags"]) == {"several", "spread"}
+    assert got["b"]["basis"] == "hour_neighbour" and got["b"]["place"] == "7"
+
+
+def test_statuses_in_order(spark):
+    from siftstone.operators import clues
+
+    row = spark.range(1).select(clues.status(other_mention=F.lit(True), machine_tags=F.lit(True), profile_only=F.lit(None).cast("boolean")), clues.status(profile_only=F.lit(False))).first()
+    assert tuple(row) == ("machine_tags", "none")
+    c = spark.createDataFrame([("a", 1, "IT"), ("a", 1, "FR"), ("a", 2, "IT"), ("b", 1, "IT"), ("b", 1, "FR")], "id string, u int, c string")
+    assert values(clues.country_context(c, "u", "id", "c"), "id", "context") == sorted([("a", "IT"), ("b", None)], key=repr)
