@@ -21,7 +21,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 SHINGLE = 5
 LIMIT = 25
 #: Pairs within so many bits of the first 64 are certain to be compared.
-RADIUS = 6
+RADIUS = 7
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
