@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .checks import require_none
@@ -45,14 +45,19 @@ def rank_candidates(df: DataFrame, key: str, candidate: str, score: str, source:
     """
     rolled = df.groupBy(key, candidate).agg(F.max(score).alias("best"), F.countDistinct(source).alias("sources"))
     total = F.col("best") + 4 * F.least(F.lit(3), F.col("sources") - 1)
-    ranked = rolled.withColumn("total", total).groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("a"), (-F.col("sources")).alias("b"), F.col(candidate).alias("c")))).alias("all"))
-    first = F.col("all")[0]
-    return ranked.select(
+    scored = rolled.withColumn("total", total)
+    # Spark limits each key's rows before the shuffle, so no more than keep + 1 meet for any key.
+    order = Window.partitionBy(key).orderBy(F.desc("total"), F.desc("sources"), candidate)
+    best = scored.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= keep + 1)
+    lists = best.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", F.col(candidate).alias("c"), F.col("total").alias("t")))).alias("top"))
+    counts = scored.groupBy(key).agg(F.count(F.lit(1)).alias("candidates"))
+    first = F.col("top")[0]
+    return lists.join(counts, key).select(
         key,
         first["c"].alias("chosen"),
-        (-first["a"]).alias("chosen_score"),
-        F.transform(F.slice("all", 2, keep), lambda x: x["c"]).alias("alternatives"),
-        F.size("all").alias("candidates"),
+        first["t"].alias("chosen_score"),
+        F.transform(F.slice("top", 2, keep), lambda x: x["c"]).alias("alternatives"),
+        "candidates",
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -125,7 +125,9 @@ def map_cells(points: DataFrame, cell: Sequence[str], series: str, at: str, key:
     out = out.withColumn("radius", geo.radius(F.col("series")))
     if photos is None:
         return out
-    listed = points.groupBy(*cell).agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct(at, key)), asc=False), 1, photos), lambda p: p[key]).alias("newest_first"))
+    order = Window.partitionBy(*cell).orderBy(F.desc_nulls_last(at), F.desc(key))
+    first = points.select(*cell, F.col(key).alias("k"), F.row_number().over(order).alias("n")).filter(F.col("n") <= photos)
+    listed = first.groupBy(*cell).agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "k"))), lambda p: p["k"]).alias("newest_first"))
     return out.join(listed, list(cell))
 
 
@@ -139,7 +141,8 @@ def match_phrases(units: DataFrame, unit: str, text: str, aliases: DataFrame, al
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\p{L}\p{N}]+"), F.lit(0))
     listed = aliases.select(F.array_join(F.regexp_extract_all(F.lower(alias), F.lit(r"(?U)[\p{L}\p{N}]+"), F.lit(0)), " ").alias("phrase"), F.col(place).alias("p"))
     listed = listed.filter("phrase <> ''").groupBy("phrase").agg(F.sort_array(F.collect_set("p")).alias("places"))
-    rows = units.select(unit, tokens.alias("t")).select(unit, "t", F.posexplode("t").alias("start", "first"))
+    heads = listed.select(F.split("phrase", " ")[0].alias("first")).distinct()
+    rows = units.select(unit, tokens.alias("t")).select(unit, "t", F.posexplode("t").alias("start", "first")).join(heads, "first", "left_semi")
     grams = rows.withColumn("length", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("t") - F.col("start"))))).select(
         unit, "start", "length", F.array_join(F.slice("t", F.col("start") + 1, F.col("length")), " ").alias("phrase")
     )
