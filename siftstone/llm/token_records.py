@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 
 BLOCK = 1 << 20
 #: Words whose ids a worker keeps, and the bytes of the longest of them.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 800_000
 KEPT_LENGTH = 64
+#: Words that the library encodes at once.
+LINE = 4_000
 NULL_ID, WIDE = 1, 2
 
 INDEX = "file string, ordinal bigint, offset bigint, length bigint, id bigint, n_tokens bigint, file_start bigint, ids_crc32 bigint"
@@ -109,18 +111,31 @@ class WordEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; the library gets them as lines of many words, and its offsets tell whose an id is."""
+        out: list[bytes] = []
+        for k in range(0, len(words), LINE):
+            part = words[k : k + LINE]
+            line = self.library.encode(" ".join(part), add_special_tokens=False)
+            begins = np.fromiter((a for a, _ in line.offsets), np.int64, len(line.ids))
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            stops = (np.searchsorted(begins, ends) * 4).tolist()  # the first id that begins after the word
+            ids = np.array(line.ids, np.uint32).tobytes()
+            out += [ids[i:j] for i, j in zip([0, *stops], stops, strict=False)]
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        get = self.known.get
         split = [t.encode("utf-8").split() for t in texts]
-        found = [list(map(get, words)) for words in split]
-        new = list({w for words, ids in zip(split, found, strict=True) for w, i in zip(words, ids, strict=True) if i is None})
-        fresh = dict(zip(new, self._library([w.decode("utf-8") for w in new]), strict=True)) if new else {}
-        if len(self.known) < KEPT_WORDS:
-            self.known.update((w, i) for w, i in fresh.items() if len(w) <= KEPT_LENGTH)
-        return [
-            np.frombuffer(b"".join([fresh[w] if i is None else i for w, i in zip(words, ids, strict=True)]), np.uint32)
-            for words, ids in zip(split, found, strict=True)
-        ]
+        known = self.known
+        new = list(set().union(*split).difference(known))
+        known.update(zip(new, self._of_words([w.decode("utf-8") for w in new]), strict=True))
+        ids_of = known.__getitem__
+        out = [np.frombuffer(b"".join(map(ids_of, words)), np.uint32) for words in split]
+        full = len(known) > KEPT_WORDS
+        for w in new:
+            if full or len(w) > KEPT_LENGTH:
+                del known[w]
+        return out
 
 
 @cache
