@@ -32,6 +32,8 @@ BITS = 64
 SEED = 42
 #: A bucket of more fingerprints takes the other way.
 HOT_BUCKET = 512
+#: Tables whose links are found before those of the others, in a search with a limit.
+FIRST_TABLES = 16
 #: Buckets up to this size are compared all at once.
 SMALL_BUCKET = 24
 
@@ -121,18 +123,43 @@ def _spanning(words: list[np.ndarray], group: np.ndarray, limit: int) -> tuple[n
     return np.concatenate(xs).astype(np.int64), np.concatenate(ys).astype(np.int64)
 
 
-def links(nodes: DataFrame, radius: int, words: list[str], limit: int) -> DataFrame:
+def _between(x: np.ndarray, y: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between rows, enough to connect the labels that all of them connect."""
+    other = label[x] != label[y]
+    x, y = x[other], y[other]
+    parent: dict[int, int] = {}
+
+    def root(n: int) -> int:
+        while (up := parent.get(n, n)) != n:
+            parent[n] = n = parent.get(up, up)
+        return n
+
+    used = np.zeros(len(x), bool)
+    for k, (a, b) in enumerate(zip(label[x].tolist(), label[y].tolist(), strict=True)):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            used[k] = True
+    return x[used], y[used]
+
+
+def links(nodes: DataFrame, radius: int, words: list[str], limit: int, tables: slice = slice(None), label: str | None = None) -> DataFrame:
     """Edges (``a``, ``b``) between nodes that connect exactly what the found links connect.
 
     ``nodes`` has the fingerprint's ``words``; a node is its one word, or a hash of two.
     Candidates are the pairs that
     share a bucket of the first word's tables; a pair is linked if all words together differ
     in ``limit`` bits at most.
+
+    ``tables`` may name a part of the tables.  Nodes that share a ``label`` (a column) are
+    known to be connected: a bucket's links then connect labels, and none are returned
+    within one.
     """
-    kept = masks(radius)
+    kept = masks(radius)[tables]
     first = F.col(words[0])
-    tables = F.posexplode(F.array(*[first.bitwiseAND(F.lit(_signed(m))) for m in kept])).alias("tab", "kept")
-    rows = nodes.select(*words, tables).select(F.xxhash64("tab", "kept").alias("key"), "tab", *words)
+    marks = [label] if label else []
+    exploded = F.posexplode(F.array(*[first.bitwiseAND(F.lit(_signed(m))) for m in kept])).alias("tab", "kept")
+    rows = nodes.select(*words, *marks, exploded).select(F.xxhash64("tab", "kept").alias("key"), "tab", *words, *marks)
     cells = [f"{w}_{side}" for side in "ab" for w in words]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,17 +179,19 @@ def links(nodes: DataFrame, radius: int, words: list[str], limit: int) -> DataFr
             return pd.DataFrame(dict.fromkeys(cells, fps[0]))
         key = rows["key"].to_numpy()
         x, y = _spanning([f.view(np.uint64) for f in fps], np.cumsum(np.r_[False, key[1:] != key[:-1]]), limit)
+        if label:
+            x, y = _between(x, y, rows[label].to_numpy())
         return pd.DataFrame(dict(zip(cells, [f[side] for side in (x, y) for f in fps], strict=True))).drop_duplicates()
 
     def search(dealt: DataFrame) -> DataFrame:
         """Links found by comparing what shares a bucket; buckets of one have none."""
         size = F.count(F.lit(1)).over(Window.partitionBy("key"))
-        together = dealt.select("key", *words).repartition("key").withColumn("n", size).filter("n > 1").drop("n").sortWithinPartitions("key")
+        together = dealt.select("key", *words, *marks).repartition("key").withColumn("n", size).filter("n > 1").drop("n").sortWithinPartitions("key")
         found = together.mapInPandas(run, ", ".join(f"{c} bigint" for c in cells))
         ends = [F.col(f"{words[0]}_{side}") if len(words) == 1 else F.xxhash64(*[f"{w}_{side}" for w in words]) for side in "ab"]
         return found.select(ends[0].alias("a"), ends[1].alias("b"))
 
-    if len(words) > 1 or limit > radius or radius > 2:
+    if len(words) > 1 or limit > radius or radius > 2 or label or len(kept) < len(masks(radius)):
         return search(rows)
     hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_BUCKET).select("key", F.lit(True).alias("hot"))
     marked = written(rows.join(hot, "key", "left"), "buckets")
@@ -202,7 +231,16 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     docs = written(docs.withColumn("node", node), "fingerprints")
     words = ["fp"] if limit is None else ["fp", "fp2"]
     nodes = docs.groupBy("node", *words).agg(F.min("id").alias("least"))
-    roots = least_reachable(links(nodes, radius, words, radius if limit is None else limit)).withColumnRenamed("node", "n")
+    if limit is None:
+        roots = least_reachable(links(nodes, radius, words, radius))
+    else:  # the first tables connect most of each large group, so that all others need not say so again
+        nodes = written(nodes, "nodes")
+        first = least_reachable(links(nodes, radius, words, limit, slice(FIRST_TABLES)))
+        known = first.select(F.col("node").alias("m"), F.col("root").alias("label"))
+        labelled = nodes.join(known, F.col("node") == F.col("m"), "left").withColumn("label", F.coalesce("label", "node"))
+        more = links(labelled, radius, words, limit, slice(FIRST_TABLES, None), "label")
+        roots = least_reachable(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    roots = roots.withColumnRenamed("node", "n")
     rooted = nodes.join(roots, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.select("node", "root").join(heads, "root").select("node", "component_id")
