@@ -490,9 +490,9 @@ def machine_tag_pair(t):
     return t("customer").select("c_custkey", lat.alias("lat"), lon.alias("lon"))
 
 
-@query("SELECT c_custkey, CAST(c_custkey % 80 AS DOUBLE) AS lat, CAST(-c_nationkey AS DOUBLE) AS lon FROM customer")
+@query("SELECT c_custkey, CAST(c_custkey % 80 AS DOUBLE) AS lat, CAST(-1 - c_nationkey AS DOUBLE) AS lon FROM customer")
 def map_link_coordinates(t):
-    a, b = (F.col("c_custkey") % 80).cast("string"), F.concat(F.lit("-"), F.col("c_nationkey").cast("string"))
+    a, b = (F.col("c_custkey") % 80).cast("string"), F.concat(F.lit("-"), (F.col("c_nationkey") + 1).cast("string"))
     forms = [("?mlat=", "&mlon="), ("?q=", ","), ("/@", ","), ("#map=12/", "/")]
     url = F.lit(None).cast("string")
     for k, (x, y) in enumerate(forms):
