@@ -310,6 +310,13 @@ def test_masks_cover_every_pair():
             assert any(not any(m >> i & 1 for i in some) for m in kept)
 
 
+@pytest.mark.parametrize("radius", [1, 2, 4, 5, 6, 7])
+def test_masks_keep_about_half_of_the_bits(radius):
+    kept = simhash_cover.masks(radius)
+    assert len(set(kept)) == 2 ** (radius + 1) - 1
+    assert all(16 <= m.bit_count() <= 48 for m in kept)
+
+
 def test_near_groups_on_documents(spark, pairs):
     rows = sorted(pairs)
     fps = [simhash_cover.fingerprint(t, 3) for _, t in rows]
