@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_dp, content_dedup, mixture, quality_rank, simhash_cover
+from . import bpe_dp, content_dedup, mixture, near_copies, quality_rank
 from .common import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -40,8 +40,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without an identifier stay.
     """
-    groups = simhash_cover.near_groups(docs, width=SHINGLE, radius=RADIUS, limit=LIMIT)
-    dropped = written(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    groups = near_copies.near_copies(docs, width=SHINGLE, similarity=0.0, radius=RADIUS, limit=LIMIT)
+    heads = groups.groupBy("component").agg(F.min("doc_id").alias("head"))
+    dropped = written(groups.join(heads, "component").filter("doc_id <> head").select("doc_id").distinct(), "dropped")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
