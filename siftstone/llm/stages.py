@@ -17,9 +17,11 @@ from .common import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Near copies: shingles of five words, and fingerprints that agree in 80 % of their 128 bits.
+#: Near copies: a Jaccard similarity of 0.8 at least between the sets of shingles of five words.
 SHINGLE = 5
-LIMIT = 25
+SIMILARITY = 0.8
+#: Of 128 bits so many may differ in pairs that are verified; at 0.8 more do in one pair of a thousand.
+LIMIT = 32
 #: Pairs within so many bits of the first 64 are certain to be compared.
 RADIUS = 7
 
@@ -40,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without an identifier stay.
     """
-    groups = near_copies.near_copies(docs, width=SHINGLE, similarity=0.0, radius=RADIUS, limit=LIMIT)
+    groups = near_copies.near_copies(docs, width=SHINGLE, similarity=SIMILARITY, radius=RADIUS, limit=LIMIT)
     heads = groups.groupBy("component").agg(F.min("doc_id").alias("head"))
     dropped = written(groups.join(heads, "component").filter("doc_id <> head").select("doc_id").distinct(), "dropped")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

@@ -36,3 +36,44 @@ def test_lone_pairs_are_found(spark):
     left = kept(spark, planted(400, 0.8, 0.85, 1))
     assert {2 * k for k in range(400)} <= left
     assert sum(2 * k + 1 not in left for k in range(400)) >= 0.9 * 400
+
+
+def test_pairs_below_the_similarity_stay(spark):
+    pairs = planted(150, 0.7, 0.78, 2)
+    assert kept(spark, pairs) == set(range(300))
+
+
+def test_groups_are_what_jaccard_connects(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(6):  # chains: neighbours reach 0.8, others mostly don't
+        words = [f"w{rng.randrange(20000)}" for _ in range(400)]
+        for _ in range(12):
+            texts.append(" ".join(words))
+            for at in rng.sample(range(400), 4):
+                words[at] = f"w{rng.randrange(20000)}"
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if jaccard(texts[a], texts[b]) >= 0.8:
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    found = {r["doc_id"]: r["component"] for r in near_copies.near_copies(table(spark, enumerate(texts))).collect()}
+    least = {}
+    for k in range(len(texts)):
+        least.setdefault(found[k], k)
+    assert [least[found[k]] for k in range(len(texts))] == [root(k) for k in range(len(texts))]
+
+
+def test_odd_texts(spark):
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE "), (None, "one"), (6, "one two three four five"), (7, "one two three four six")]
+    found = {}
+    for r in near_copies.near_copies(table(spark, rows)).collect():
+        found.setdefault(r["component"], set()).add(r["doc_id"])
+    assert sorted(found.values(), key=repr) == sorted([{1, 2, 3}, {4, 5, None}, {6}, {7}], key=repr)
+    assert near_copies.near_copies(table(spark, [])).count() == 0
