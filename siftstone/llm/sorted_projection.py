@@ -9,19 +9,22 @@ all passes are merged, and their components found.
 Equal vectors are one point with a multiplicity from the start, so copies fill no window.
 
 Windows.  A pass's order is cut into blocks of ``BLOCK`` points, and each block is compared
-with itself and the next one.  The bound loses nothing where points crowd: blocks that lie
-within one cell of the order (equal leading ``CELL`` bits) are compared with all blocks of
-that cell.  Places in the order come from two levels (counts of hash ranges, summed up, and
-ranks within a range), so that no task ranks a whole pass.
+with itself and the next one.  Cells are what agrees on the first ``log2(points / BLOCK)``
+signs (rounded up; ``CELL`` at most): all blocks that touch a cell are compared with each
+other, so two points of a cell are compared however many crowd there.  Places in the order
+come from two levels (counts of hash ranges, summed up, and ranks within a range), so that
+no task ranks a whole pass.
 
 Recall.  Two vectors at angle ``a`` agree on a sign with probability ``1 - a / pi``, and
-share a window if they agree on about ``log2(points / BLOCK)`` leading signs.  At cosine
-0.9 and 50,000 points, twelve passes find 99 of 100 pairs; each doubling of the points
-wants a pass or two more, or a block of twice the size.
+meet in a pass that gives them one cell.  The number of passes follows from the number of
+points, so that vectors at the given cosine meet with probability ``RECALL``: 13 passes for
+50,000 points, 27 for 1 million, 61 for 30 million.  Comparisons grow with the square of
+what crowds in a cell, as the links do that are counted.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +35,11 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import least_reachable
 
+#: Passes at least, and the recall that more are added for.
 PASSES = 12
+RECALL = 0.995
 BLOCK = 512
+#: The most leading signs of a cell.
 CELL = 16
 BITS = 60
 SEED = 31_337
@@ -72,8 +78,21 @@ def _places(keyed: DataFrame) -> DataFrame:
     return placed.select("dim", "pass", "point", "hash", F.floor((F.col("start") + F.col("rank")) / BLOCK).cast("long").alias("block"))
 
 
-def _pairs(points: DataFrame, cosine: float, passes: int, seed: int) -> DataFrame:
-    """The distinct pairs (``a`` < ``b``) of points that share a window and reach ``cosine``."""
+def cell_depth(points: int) -> int:
+    """Leading signs that would leave ``BLOCK`` of evenly spread points in a cell."""
+    return min(CELL, max(0, math.ceil(math.log2(max(points, 1) / BLOCK))))
+
+
+def passes_for(points: int, cosine: float) -> int:
+    """Passes that bring two vectors at ``cosine`` into one cell with probability ``RECALL``."""
+    missed = 1 - (1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi) ** cell_depth(points)
+    if missed in (0, 1):
+        return PASSES
+    return max(PASSES, math.ceil(math.log(1 - RECALL) / math.log(missed)))
+
+
+def _pairs(points: DataFrame, cosine: float, passes: int, seed: int, cell: int) -> DataFrame:
+    """The distinct pairs (``a`` < ``b``) of points that share a window or a cell and reach ``cosine``."""
 
     def hash_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -83,7 +102,7 @@ def _pairs(points: DataFrame, cosine: float, passes: int, seed: int) -> DataFram
                     yield pd.DataFrame({"dim": np.int32(dim), "pass": np.int32(p), "point": rows["point"], "hash": hashes(x, p, seed)})
 
     placed = written(_places(points.select("point", "v").mapInPandas(hash_all, "dim int, pass int, point bigint, hash bigint")), "places")
-    blocks = placed.groupBy("dim", "pass", "block").agg(F.shiftright(F.min("hash"), BITS - CELL).alias("low"), F.shiftright(F.max("hash"), BITS - CELL).alias("high"))
+    blocks = placed.groupBy("dim", "pass", "block").agg(F.shiftright(F.min("hash"), BITS - cell).alias("low"), F.shiftright(F.max("hash"), BITS - cell).alias("high"))
     dense = written(blocks.filter("low = high").select("dim", "pass", F.col("block"), F.col("low").alias("cell")), "dense")
     other = dense.withColumnRenamed("block", "last")
     crowded = dense.join(other, ["dim", "pass", "cell"]).filter("last >= block + 2").select("dim", "pass", "block", "last")
@@ -110,7 +129,7 @@ def _pairs(points: DataFrame, cosine: float, passes: int, seed: int) -> DataFram
     return rows.groupBy("dim", "pass", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, passes: int = PASSES, seed: int = SEED) -> DataFrame:
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, passes: int | None = None, seed: int = SEED) -> DataFrame:
     """(``id_col``, ``n_links``, ``component_id``, ``kept``), a row for each row of ``df``.
 
     Vectors are linked if their cosine reaches ``cosine``; ``n_links`` counts the other rows
@@ -118,7 +137,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     reach.  Vectors that are null, empty or zero or hold null or non-finite components, and
     rows without an identifier, link with nothing, nor do vectors of different lengths.
     Repeated rows are rows of their own and link with each other.  An empty table gives an
-    empty result.  Other columns are not read.
+    empty result.  Other columns are not read.  Without ``passes``, :func:`passes_for` tells
+    their number.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v"))
     fit = rows.filter(F.col("id").isNotNull() & F.coalesce(_valid(F.col("v")), F.lit(False)))
@@ -129,7 +149,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         points.withColumn("least", F.col("point")).withColumn("nth", F.row_number().over(clash)).withColumn("point", F.when(F.col("nth") == 1, F.col("point")).otherwise(-F.abs(F.xxhash64("v")) - 2)).drop("nth"),
         "points",
     )
-    pairs = written(_pairs(points, cosine, passes, seed), "pairs")
+    count = points.count()
+    pairs = written(_pairs(points, cosine, passes or passes_for(count, cosine), seed, cell_depth(count)), "pairs")
     ways = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counts = ways.join(points.select(F.col("point").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
     roots = least_reachable(pairs)

@@ -68,6 +68,12 @@ def test_dense_cells_are_compared_whole(spark, monkeypatch):
     assert {(r["n_links"], r["component_id"]) for r in got} == {(299, 0)}
 
 
+def test_passes_follow_the_points():
+    for points in (100, 50_000, 1_000_000, 10_000_000, 30_000_000):
+        alike = (1 - np.arccos(0.9) / np.pi) ** np.ceil(max(0, np.log2(points / sorted_projection.BLOCK)))
+        assert 1 - (1 - alike) ** sorted_projection.passes_for(points, 0.9) >= 0.99
+
+
 def test_on_the_table(spark):
     rows = spark.read.parquet(f"{DATA}/embeddings.parquet").collect()
     ids = [r["vec_id"] for r in rows]
