@@ -102,10 +102,9 @@ def _pairs(points: DataFrame, cosine: float, passes: int, seed: int, cell: int)
                     yield pd.DataFrame({"dim": np.int32(dim), "pass": np.int32(p), "point": rows["point"], "hash": hashes(x, p, seed)})
 
     placed = written(_places(points.select("point", "v").mapInPandas(hash_all, "dim int, pass int, point bigint, hash bigint")), "places")
-    blocks = placed.groupBy("dim", "pass", "block").agg(F.shiftright(F.min("hash"), BITS - cell).alias("low"), F.shiftright(F.max("hash"), BITS - cell).alias("high"))
-    dense = written(blocks.filter("low = high").select("dim", "pass", F.col("block"), F.col("low").alias("cell")), "dense")
-    other = dense.withColumnRenamed("block", "last")
-    crowded = dense.join(other, ["dim", "pass", "cell"]).filter("last >= block + 2").select("dim", "pass", "block", "last")
+    touched = written(placed.select("dim", "pass", "block", F.shiftright("hash", BITS - cell).alias("cell")).distinct(), "touched")
+    other = touched.withColumnRenamed("block", "last")
+    crowded = touched.join(other, ["dim", "pass", "cell"]).filter("last >= block + 2").select("dim", "pass", "block", "last").distinct()
     sides = F.explode(F.array(F.struct(F.col("block").alias("i"), (F.col("block") + 1).alias("j"), F.lit(0).alias("side")), F.struct((F.col("block") - 1).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))))
     usual = placed.select("dim", "pass", "point", sides.alias("s")).select("dim", "pass", "point", "s.*")
     ends = crowded.select("dim", "pass", F.col("block").alias("i"), F.col("last").alias("j"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("block").alias("at")), F.struct(F.lit(1).alias("side"), F.col("last").alias("at")))).alias("e"))

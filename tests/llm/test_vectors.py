@@ -68,6 +68,20 @@ def test_dense_cells_are_compared_whole(spark, monkeypatch):
     assert {(r["n_links"], r["component_id"]) for r in got} == {(299, 0)}
 
 
+def test_crowds_over_many_cells_are_found(spark, monkeypatch):
+    monkeypatch.setattr(sorted_projection, "BLOCK", 32)
+    rng = np.random.default_rng(8)
+    center = rng.standard_normal(64)
+    crowd = center + 0.314 * rng.standard_normal((500, 64)) * np.linalg.norm(center) / 8
+    x = np.vstack([rng.standard_normal((1250, 64)), crowd]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    links, _ = brute(list(range(len(x))), x.astype(float))
+    found = {r["vec_id"]: r["n_links"] for r in sorted_projection.near_vectors(df).collect()}
+    share = sum(found.values()) / links.sum()
+    print("share of links", share)
+    assert links.sum() > 100_000 and share >= 0.985
+
+
 def test_passes_follow_the_points():
     for points in (100, 50_000, 1_000_000, 10_000_000, 30_000_000):
         alike = (1 - np.arccos(0.9) / np.pi) ** np.ceil(max(0, np.log2(points / sorted_projection.BLOCK)))
