@@ -202,13 +202,14 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     takes nothing of it.  The words of a source add up to its target rounded.
 
     Null texts are empty and have no words.  Null is a source like the others, the last.
-    Repeated rows are documents of their own.  An empty table gives an empty result; in a
+    Repeated rows are documents of their own, told apart by ``nth``.  An empty table gives an empty result; in a
     table without any words every target is 0.  Other columns are not read.
     """
+    equal = Window.partitionBy("id", "source", "size", "crc").orderBy("crc")
     docs = written(
         df.select(
             F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), F.crc32(F.col(f"`{text_col}`")).alias("crc")
-        ),
+        ).withColumn("nth", F.row_number().over(equal)),
         "mix-sizes",
     )
     targets = source_targets(docs, most_epochs)
@@ -218,7 +219,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     targets = written(targets, "mix-targets")
     placed = docs.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     hashed = placed.withColumn("h", F.xxhash64(F.lit(seed), "id", "crc", "size"))
-    tie = [F.col("id"), F.col("size"), F.col("crc")]
+    tie = [F.col("id"), F.col("size"), F.col("crc"), F.col("nth")]
     ordered = _ranked(hashed, "place", "h", tie, F.col("size"), "words_before")
     extra = F.least(F.greatest(F.col("rest") - F.col("words_before"), F.lit(0)), F.col("size"))
     blocks = ordered.withColumn("extra", extra).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.col("full") - F.when(F.col("extra") > 0, 0).otherwise(1), F.lit(0)))))
@@ -229,11 +230,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     taken = blocks.filter(F.col("take") > 0)
     quotas = taken.groupBy("place").agg(F.count(F.lit(1)).alias("quota"))
     cuts = split_quotas(quotas, shards, seed).groupBy("place").agg(F.sort_array(F.collect_list(F.struct("before", "shard", "blocks"))).alias("cuts"))
-    ranked = _ranked(taken, "place", "h", [F.col("id"), F.col("epoch"), F.col("size"), F.col("crc")], F.lit(1).cast("long"), "rank")
+    ranked = _ranked(taken, "place", "h", [F.col("id"), F.col("epoch"), F.col("size"), F.col("crc"), F.col("nth")], F.lit(1).cast("long"), "rank")
     dealt = ranked.join(cuts, "place").withColumn("shard", F.filter("cuts", lambda c: (c["before"] <= F.col("rank")) & (F.col("rank") < c["before"] + c["blocks"]))[0]["shard"])
     shuffled = dealt.withColumn("g", F.xxhash64(F.lit(seed + 2), "h"))
-    located = _ranked(shuffled, "shard", "g", [F.col("h"), F.col("id"), F.col("epoch")], F.lit(1).cast("long"), "position")
-    columns = [F.col("id").alias(id_col), "source", "size", "source_size", "target", "crc", "epoch", "take"]
+    located = _ranked(shuffled, "shard", "g", [F.col("h"), F.col("id"), F.col("epoch"), F.col("nth")], F.lit(1).cast("long"), "position")
+    columns = [F.col("id").alias(id_col), "source", "size", "source_size", "target", "crc", "nth", "epoch", "take"]
     return located.select(*columns, "shard", "position").unionByName(blocks.filter(F.col("take") <= 0).select(*columns), allowMissingColumns=True)
 
 

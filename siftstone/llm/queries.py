@@ -60,8 +60,8 @@ def op8_simhash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = mixture.mix(table(spark, sf_dir, "documents"))
-    whole = ["doc_id", "size", "source_size", "target", "source", "copy"]
-    return blocks.withColumnRenamed("crc", "copy").groupBy(*whole).agg(F.sum("take").alias("taken"), F.count("shard").alias("blocks")).drop("copy")
+    whole = ["doc_id", "size", "source_size", "target", "source", "copy", "nth"]
+    return blocks.withColumnRenamed("crc", "copy").groupBy(*whole).agg(F.sum("take").alias("taken"), F.count("shard").alias("blocks")).drop("copy", "nth")
 
 
 def op10_sorted_projection(spark: SparkSession, sf_dir: str) -> DataFrame:

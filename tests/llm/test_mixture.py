@@ -96,3 +96,11 @@ def test_blocks_and_rows(spark):
     assert mixture.mix(none).count() == 0 and mixture.mixed_rows(none).count() == 0
     empty = spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")
     assert [r["take"] for r in mixture.mix(empty).collect()] == [0, 0]
+
+
+def test_repeated_rows_keep_a_row_each(spark, monkeypatch):
+    rows = [(1, "a b c", "x")] * 4 + [(2, "d e", "x"), (3, "f g h i", "y"), (4, None, "y"), (4, None, "y")]
+    monkeypatch.setattr(queries, "table", lambda *_: spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = queries.op9_mixture(spark, "").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows)
+    assert all(r["taken"] <= 3 * r["size"] for r in got)
