@@ -40,12 +40,16 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest identifier stays.
 
-    Rows without an identifier stay.
+    Rows without an identifier stay.  Rows are told apart by identifier and text, so that
+    those which repeat an identifier stay or go by their own text.
     """
     groups = near_copies.near_copies(docs, width=SHINGLE, similarity=SIMILARITY, radius=RADIUS, limit=LIMIT)
-    heads = groups.groupBy("component").agg(F.min("doc_id").alias("head"))
-    dropped = written(groups.join(heads, "component").filter("doc_id <> head").select("doc_id").distinct(), "dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    row = F.struct("doc_id", "text_hash")
+    heads = groups.filter("doc_id IS NOT NULL").groupBy("component").agg(F.min(row).alias("head"))
+    dropped = groups.join(heads, "component").filter(F.col("doc_id").isNotNull() & (row != F.col("head")))
+    dropped = written(dropped.select("doc_id", "text_hash").distinct(), "dropped")
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    return hashed.join(dropped, ["doc_id", "text_hash"], "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

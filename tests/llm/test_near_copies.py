@@ -77,3 +77,12 @@ def test_odd_texts(spark):
         found.setdefault(r["component"], set()).add(r["doc_id"])
     assert sorted(found.values(), key=repr) == sorted([{1, 2, 3}, {4, 5, None}, {6}, {7}], key=repr)
     assert near_copies.near_copies(table(spark, [])).count() == 0
+
+
+def test_repeated_identifiers(spark):
+    (a, b), (other, _) = planted(2, 0.9, 0.99, 5)
+    rows = [(1, a), (2, b), (2, other), (None, b)]
+    got = stages.near_dedup(spark, table(spark, rows), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(1, a), (2, other), (0, b)])
+    got = stages.near_dedup(spark, table(spark, [(1, a), (1, b)]), "").collect()
+    assert len(got) == 1
