@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,12 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor share.
 
     A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests,
-    local runs) a folder of this machine stands in.
+    local runs) a folder of this machine stands in.  Any other cluster must set it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = getattr(spark, "_siftstone_dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"set spark.checkpoint.dir: executors of {master} don't share this machine's folders")
         folder = "file://" + tempfile.mkdtemp(prefix="siftstone-")
         spark._siftstone_dir = folder
         spark.sparkContext.setCheckpointDir(folder)
@@ -74,3 +79,44 @@ def unit(hash_: Column) -> Column:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+class WordHashes(dict):
+    """64-bit hashes of words.  Short words that were met are kept, up to a bound."""
+
+    LONGEST = 32
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = h
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the pairs (a, b); their order matters."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(31))
+
+
+def run_hashes(h: np.ndarray, length: int) -> np.ndarray:
+    """The hash of the ``length`` elements from each place on."""
+    width, x = 1, h
+    while width * 2 <= length:
+        x = mixed(x[:-width], x[width:] + np.uint64(width))
+        width *= 2
+    rest = length - width
+    return mixed(x[: len(x) - rest], x[rest:] + np.uint64(length)) if rest else x

@@ -1,66 +1,105 @@
 """Near copies of texts: covering SimHash tables for candidates, exact Jaccard for links.
 
-Each text has ``WORDS`` independent SimHash words over its distinct shingles.  The first is
-searched with covering masks for the given radius, so that no pair within it is missed; the
-others, ``MORE_BITS`` bits of each, with those for ``MORE_RADIUS``.  By the SimHash law
-these 503 tables bring a lone pair of Jaccard similarity 0.8 together with probability
-above 0.9, one of 0.85 above 0.97; larger groups gain by chaining.
-
-Texts with equal shingles are one node.  A bucket row is a key and a node; fingerprints are
-joined to the few rows that share a bucket.  Candidates differ in ``limit`` of the first 128
-bits at most, and are linked if the exact Jaccard similarity of their shingles is high
-enough.  The first tables' candidates, a spanning set for each bucket, connect most of each
-large group; of all tables then every candidate between what isn't yet connected is
-verified, so that the result is what all verified candidates connect.
+Texts have several independent SimHash words over their distinct shingles.  Each word is
+searched with the covering masks of ``RADIUS`` bits: two texts that differ in so many bits of
+any word are certain to share one of its buckets.  At a given Jaccard similarity that
+happens with a known probability, so the number of words follows from the similarity and
+``RECALL``, and their length from the number of texts, such that a bucket holds few unlike
+texts at any size: 13 words of 35 bits (91 tables) for 200,000 texts, 31 of 45 (217) for
+12 million.
+
+Texts with equal shingles are one node.  A bucket row is a key and a node; the ``COMPARED``
+first words of bits are joined to the rows that share a bucket.  Candidates differ in
+``LIMIT`` of these bits at most (at similarity 0.8 one pair in a thousand differs in more)
+and are linked if the exact Jaccard similarity of their shingles is high enough.
+
+Buckets of more than ``BLOCK`` rows are cut into blocks, so no task holds one.  In the first
+tables a spanning set of near candidates, taken block by block, connects most of each large
+group.  Then every candidate in all tables between what isn't yet connected is verified: of
+a bucket, the rows outside its largest group are compared with all its rows, block by block.
+The result is what all verified candidates connect.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import WordHashes, run_hashes, written
 from .components import least_reachable
-from .simhash_cover import FIRST_TABLES, SEED, _signed, _spanning, masks
-
-WORDS = 9
-MORE_RADIUS = 4
-MORE_BITS = 52
-#: Rows of a bucket that are compared with the others at once.
+from .simhash_cover import SEED, SMALL_BUCKET, masks, signed, spanning
+
+RADIUS = 2
+#: Probability that a lone pair at the least similarity shares a bucket.
+RECALL = 0.93
+#: A bucket holds ``1 / 2 ** SPARE`` unlike texts on average.
+SPARE = 2
+#: 64-bit words of bits that are compared, and how many bits may differ in candidates, and in near ones.
+COMPARED = 4
+LIMIT = 56
+NEAR = 30
+#: Words whose tables are searched first.
+FIRST_WORDS = 2
+#: Rows of a bucket that are compared at once, and of these those that are compared with the others in one step.
+BLOCK = 2048
 CHUNK = 256
-SALTS = np.random.default_rng(SEED).integers(0, 1 << 64, WORDS, np.uint64)
-COLUMNS = [f"w{k}" for k in range(WORDS)]
+SALTS = np.random.default_rng(SEED).integers(0, 1 << 64, 128, np.uint64)
+BITS = [f"c{k}" for k in range(COMPARED)]
+_WORD_HASHES = WordHashes(100_000)
+
+
+def differing(similarity: float) -> float:
+    """The probability that a SimHash bit differs between sets of this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+@cache
+def found(differ: float, bits: int, radius: int = RADIUS) -> float:
+    """The probability that two words, whose bits differ with probability ``differ``, share a bucket."""
+    count = (1 << radius + 1) - 1
+    touched = [1 - (1 - differ) ** len(range(v, bits, count)) for v in range(count)]  # by the vector of a position
+    total = 0.0
+    for some in range(1 << count):
+        if any(all(((v + 1) & t).bit_count() % 2 == 0 for v in range(count) if some >> v & 1) for t in range(1, count + 1)):
+            total += math.prod(p if some >> v & 1 else 1 - p for v, p in enumerate(touched))
+    return total
+
+
+def layout(rows: int, similarity: float) -> tuple[int, int]:
+    """How many SimHash words, and the bits of each, for so many texts."""
+    count = (1 << RADIUS + 1) - 1
+    bits = min(64, max(2 * count, math.ceil((math.log2(max(rows, 1)) + SPARE) * count / (1 << RADIUS))))
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - found(differing(similarity), bits))), bits
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The distinct hashes of a text's shingles, ascending; words as in :func:`simhash_cover.fingerprint`."""
-    import xxhash
-
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    runs = zip(*(words[k:] for k in range(width)), strict=False) if len(words) > width else [words]
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in runs], np.uint64))
+    h = _WORD_HASHES.of(words)
+    return np.unique(run_hashes(h, min(width, len(h)))) if len(h) else h
 
 
-def fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """The ``WORDS`` words of a set of shingles: majorities of the bits of their hashes, mixed anew for each word."""
-    counts = np.zeros(64 * WORDS, np.int64)
-    for at in range(0, len(hashes), 1 << 12):
-        x = hashes[at : at + (1 << 12), None] ^ SALTS
+def majorities(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` times 64 bits of a set of shingles: majorities of the bits of their hashes, mixed anew for each word."""
+    counts = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), 255):
+        x = hashes[at : at + 255, None] ^ SALTS[:words]
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
-        counts += np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
-    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
+        counts += np.unpackbits(x.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little")
 
 
-def _fingerprints(rows: DataFrame, width: int) -> DataFrame:
-    """(``id`` as a string, ``text_hash``, ``node``, words) of rows (``id``, ``text_hash``, ``text``)."""
+def _fingerprints(rows: DataFrame, width: int, words: int, bits: int) -> DataFrame:
+    """(``id`` as a string, ``text_hash``, ``node``, ``size``, compared bits, ``words``) of rows (``id``, ``text_hash``, ``text``)."""
+    pool = max(COMPARED, -(-words * bits // 64))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -68,25 +107,37 @@ def _fingerprints(rows: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             sets = [shingles(t, width) for t in batch["text"]]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            words = np.array([fingerprint(s) for s in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pd.DataFrame({"id": batch["id"], "text_hash": batch["text_hash"], "node": node} | {c: words[:, k] for k, c in enumerate(COLUMNS)})
+            packed = np.array([majorities(s, pool) for s in sets], np.uint8).reshape(-1, pool * 8)
+            each = np.zeros((len(sets), words, 64), np.uint8)
+            each[:, :, :bits] = np.unpackbits(packed, axis=1, bitorder="little")[:, : words * bits].reshape(-1, words, bits)
+            cut = np.packbits(each, axis=2, bitorder="little").view("<i8").reshape(-1, words)
+            compared = packed.view("<i8")
+            out = {"id": batch["id"], "text_hash": batch["text_hash"], "node": node, "size": np.fromiter(map(len, sets), np.int64, len(sets))}
+            yield pd.DataFrame(out | {c: compared[:, k] for k, c in enumerate(BITS)} | {"words": list(cut)})
+
+    return rows.mapInPandas(run, "id string, text_hash bigint, node bigint, size bigint, " + ", ".join(f"{c} bigint" for c in BITS) + ", words array<bigint>")
+
 
-    return rows.mapInPandas(run, "id string, text_hash bigint, node bigint, " + ", ".join(f"{c} bigint" for c in COLUMNS))
+def _together(nodes: DataFrame, words: int, bits: int) -> DataFrame:
+    """(``key``, ``n``, ``node``, ``size``, compared bits) where ``n`` nodes share a bucket; a key's lowest bits are its table."""
+    tables = [(k, m) for k in range(words) for m in masks(RADIUS, bits)]
+    key = [F.xxhash64(F.lit(t), F.col("words")[k].bitwiseAND(F.lit(signed(m)))).bitwiseAND(F.lit(-4096)).bitwiseOR(F.lit(t)) for t, (k, m) in enumerate(tables)]
+    dealt = nodes.select(F.explode(F.array(*key)).alias("key"), "node").repartition("key")
+    shared = dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+    return shared.join(nodes.drop("words"), "node").select("key", "n", "node", "size", *BITS)
 
 
-def _together(nodes: DataFrame, radius: int) -> DataFrame:
-    """(``key``, ``tab``, ``node``, ``w0``, ``w1``) where nodes share a bucket."""
-    kept = [(0, m) for m in masks(radius)] + [(k, m) for k in range(1, WORDS) for m in masks(MORE_RADIUS, MORE_BITS)]
-    buckets = F.posexplode(F.array(*[F.xxhash64(F.lit(t), F.col(COLUMNS[k]).bitwiseAND(F.lit(_signed(m)))) for t, (k, m) in enumerate(kept)])).alias("tab", "key")
-    # the table is in the key's lowest bits, so that rows need no column for it
-    key = F.col("key").bitwiseAND(F.lit(-1024)).bitwiseOR(F.col("tab").cast("long"))
-    dealt = nodes.select("node", buckets).select(key.alias("key"), "node").repartition("key")
-    shared = dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1").select("key", "node")
-    return shared.join(nodes.select("node", "w0", "w1"), "node").select("key", F.col("key").bitwiseAND(F.lit(1023)).alias("tab"), "node", "w0", "w1")
+def _blocks(n: Column) -> Column:
+    return F.ceil(n / F.lit(BLOCK)).cast("int")
+
+
+def _part(blocks: Column, salt: int) -> Column:
+    """Which of ``blocks`` parts of its bucket a row is in."""
+    return F.pmod(F.xxhash64("key", "node", F.lit(salt)), blocks).cast("int")
 
 
 def _by_bucket(rows: DataFrame, compare, schema: str) -> DataFrame:
-    """What ``compare`` yields of whole buckets; it gets rows ordered by ``key``, and where each bucket begins and the last ends."""
+    """What ``compare`` yields of whole buckets; it gets rows ordered by ``key`` and ``node``, and where each bucket begins and the last ends."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -95,63 +146,99 @@ def _by_bucket(rows: DataFrame, compare, schema: str) -> DataFrame:
             key = held["key"].to_numpy()
             last = int(np.flatnonzero(key != key[-1]).max(initial=-1)) + 1 if len(held) else 0
             if last:
-                yield from compared(held.iloc[:last])
+                yield compared(held.iloc[:last])
             held = held.iloc[last:]
         if held is not None and len(held):
-            yield from compared(held)
+            yield compared(held)
 
-    def compared(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def compared(part: pd.DataFrame) -> pd.DataFrame:
         key = part["key"].to_numpy()
-        yield from compare(part, np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]))
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(run, schema)
-
-
-def _words(part: pd.DataFrame) -> list[np.ndarray]:
-    return [part[c].to_numpy(np.int64).view(np.uint64) for c in ("w0", "w1")]
+        return compare(part, np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]))
 
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInPandas(run, schema)
 
-def _first_pairs(rows: DataFrame, limit: int) -> DataFrame:
-    """Candidates that connect, in each bucket, what its candidates connect."""
-
-    def compare(part: pd.DataFrame, edges: np.ndarray) -> Iterator[pd.DataFrame]:
-        x, y = _spanning(_words(part), np.repeat(np.arange(len(edges) - 1), np.diff(edges)), limit)
-        node = part["node"].to_numpy()
-        yield pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])}).drop_duplicates()
-
-    return _by_bucket(rows, compare, "a bigint, b bigint").distinct()
 
+def _compared(part: pd.DataFrame) -> list[np.ndarray]:
+    return [part[c].to_numpy(np.int64).view(np.uint64) for c in BITS]
 
-def _candidates(rows: DataFrame, limit: int) -> DataFrame:
-    """Nodes that are in a candidate pair."""
 
-    def compare(part: pd.DataFrame, edges: np.ndarray) -> Iterator[pd.DataFrame]:
-        x, y = _spanning(_words(part), np.repeat(np.arange(len(edges) - 1), np.diff(edges)), limit)
-        yield pd.DataFrame({"node": np.unique(part["node"].to_numpy()[np.r_[x, y]])})
+def _ordered(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
-    return _by_bucket(rows, compare, "node bigint").distinct()
 
+def _first_pairs(rows: DataFrame) -> DataFrame:
+    """Candidates that connect, in each block, what its near candidates connect."""
 
-def _pairs_between(rows: DataFrame, limit: int) -> DataFrame:
-    """All candidates of different ``label``."""
-
-    def compare(part: pd.DataFrame, edges: np.ndarray) -> Iterator[pd.DataFrame]:
-        words, node, label = _words(part), part["node"].to_numpy(), part["label"].to_numpy()
-        for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            names, which, counts = np.unique(label[begin:end], return_inverse=True, return_counts=True)
-            if len(names) < 2:
-                continue
-            # one side of such a pair is always outside the largest label
+    def compare(part: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+        x, y = spanning(_compared(part), np.repeat(np.arange(len(edges) - 1), np.diff(edges)), NEAR)
+        node = part["node"].to_numpy()
+        return _ordered(node[x], node[y])
+
+    return _by_bucket(_in_blocks(rows), compare, "a bigint, b bigint").distinct()
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("key", F.xxhash64("key", _part(_blocks(F.col("n")), 0))).drop("n")
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """Nodes that are in a candidate pair, and all of buckets that are too large to compare at once."""
+
+    def compare(part: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+        x, y = spanning(_compared(part), np.repeat(np.arange(len(edges) - 1), np.diff(edges)), LIMIT)
+        return pd.DataFrame({"node": np.unique(part["node"].to_numpy()[np.r_[x, y]])})
+
+    small = _by_bucket(rows.filter(F.col("n") <= BLOCK).drop("n", "size"), compare, "node bigint")
+    return small.unionByName(rows.filter(F.col("n") > BLOCK).select("node")).distinct()
+
+
+def _pairs_between(rows: DataFrame, similarity: float) -> DataFrame:
+    """All candidates of different ``label`` in all buckets."""
+    counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    largest = F.max(F.struct("m", "label"))
+    mixed_ = counts.groupBy(F.col("key").alias("of")).agg(F.sum("m").alias("all"), largest["label"].alias("major"), (F.sum("m") - largest["m"]).alias("few")).filter("few > 0")
+    whole, minor = _blocks(F.col("all")), _blocks(F.col("few"))
+    one = F.array(F.struct(F.lit(0).alias("b"), F.lit(0).alias("u"), F.lit(0).alias("side")))
+    own_b, own_u = _part(whole, 0), _part(minor, 1)
+    as_any = F.transform(F.sequence(F.lit(0), minor - 1), lambda u: F.struct(own_b.alias("b"), u.alias("u"), F.lit(1).alias("side")))
+    as_few = F.transform(F.sequence(F.lit(0), whole - 1), lambda b: F.struct(b.alias("b"), own_u.alias("u"), F.lit(2).alias("side")))
+    cells = F.when(whole == 1, one).when(F.col("label") == F.col("major"), as_any).otherwise(F.concat(as_any, as_few))
+    dealt = rows.join(mixed_, F.col("key") == F.col("of")).select("key", "node", "size", "label", *BITS, F.explode(cells).alias("cell"))
+    dealt = dealt.select(F.xxhash64("key", "cell.b", "cell.u").alias("key"), "cell.side", "node", "size", "label", *BITS)
+
+    def compare(part: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+        bits, node, label, size, side = _compared(part), *(part[c].to_numpy() for c in ("node", "label", "size", "side"))
+
+        def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            fits = (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
+            return fits & (sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int16) for w in bits) <= LIMIT)
+
+        begins, sizes = edges[:-1], np.diff(edges)
+        small = (sizes <= SMALL_BUCKET) & (side[begins] == 0) if len(begins) else sizes > 0
+        xs, ys = [node[:0]], [node[:0]]
+        # small buckets: all of them at once, each row with the next, the one after, ...
+        ahead = np.where(np.repeat(small, sizes), np.repeat(begins + sizes, sizes) - np.arange(len(part)), 0)
+        at, lag = np.arange(len(part)), 1
+        while len(at := at[ahead[at] > lag]):
+            hit = at[linked(at, at + lag)]
+            xs.append(node[hit])
+            ys.append(node[hit + lag])
+            lag += 1
+        for begin, end in zip(begins[~small].tolist(), edges[1:][~small].tolist(), strict=True):
             here = np.arange(begin, end)
-            few = here[which != counts.argmax()]
-            for at in range(0, len(few), CHUNK):
-                i = few[at : at + CHUNK]
-                differ = sum(np.bitwise_count(w[i, None] ^ w[None, here]).astype(np.int16) for w in words)
-                x, y = np.nonzero((differ <= limit) & (label[i, None] != label[None, here]))
-                a, b = node[i[x]], node[here[y]]
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+            if side[begin]:
+                few, rest = here[side[begin:end] == 2], here[side[begin:end] == 1]
+            else:  # one side of such a pair is always outside the largest label
+                _, which, counts = np.unique(label[begin:end], return_inverse=True, return_counts=True)
+                few, rest = here[which != counts.argmax()], here
+            for k in range(0, len(few), CHUNK):
+                i = few[k : k + CHUNK]
+                x, y = np.nonzero(linked(i[:, None], rest[None, :]))
+                xs.append(node[i[x]])
+                ys.append(node[rest[y]])
+        return _ordered(np.concatenate(xs), np.concatenate(ys))
 
-    return _by_bucket(rows, compare, "a bigint, b bigint").distinct()
+    return _by_bucket(dealt, compare, "a bigint, b bigint").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -161,21 +248,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return sized.filter(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 7, limit: int = 32) -> DataFrame:
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(``id_col``, ``text_hash``, ``node``, ``component``), a row for each row of ``df``.
 
     Rows of one ``component`` are connected by pairs of texts whose sets of shingles
     (``width`` words) have a Jaccard similarity of ``similarity`` at least.  Texts with equal
     sets are one ``node``; so are texts without words, whose sets are empty.  A null text
-    counts as empty.  ``text_hash`` is ``xxhash64`` of the text.
+    counts as empty.  ``text_hash`` is ``xxhash64`` of the text.  Null and repeated
+    identifiers keep their rows; an empty table gives an empty result; other columns are
+    not read.
     """
     kind = df.schema[id_col].dataType.simpleString()
     text = F.col(f"`{text_col}`")
     texts = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    docs = written(_fingerprints(texts, width).withColumn("id", F.col("id").cast(kind)), "fingerprints")
-    nodes = docs.groupBy("node").agg(*[F.min(c).alias(c) for c in COLUMNS])
-    together = written(_together(written(nodes, "nodes"), radius), "buckets")
-    wanted = docs.join(_candidates(together, limit), "node").groupBy("node").agg(F.min("text_hash").alias("h"))
+    words, bits = layout(texts.count(), similarity)
+    docs = written(_fingerprints(texts, width, words, bits).withColumn("id", F.col("id").cast(kind)), "fingerprints")
+    nodes = docs.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", *BITS, "words")])
+    together = written(_together(written(nodes, "nodes"), words, bits), "buckets")
+    wanted = docs.join(_candidates(together), "node").groupBy("node").agg(F.min("text_hash").alias("h"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -183,11 +273,12 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     held = texts.join(wanted, F.col("text_hash") == F.col("h")).select("node", "text").mapInPandas(run, "node bigint, shingles array<bigint>")
     sets = written(held.dropDuplicates(["node"]), "shingles")
-    first = written(_verified(_first_pairs(together.filter(F.col("tab") < FIRST_TABLES), limit), sets, similarity), "first")
+    in_first = F.col("key").bitwiseAND(F.lit(4095)) < FIRST_WORDS * len(masks(RADIUS, bits))
+    first = written(_verified(_first_pairs(together.filter(in_first)), sets, similarity), "first")
     roots = least_reachable(first)
     known = roots.select(F.col("node").alias("m"), F.col("root").alias("label"))
-    labelled = together.join(known, F.col("node") == F.col("m"), "left").select("key", "node", "w0", "w1", F.coalesce("label", "node").alias("label"))
-    more = _verified(_pairs_between(labelled, limit), sets, similarity)
+    labelled = written(together.join(known, F.col("node") == F.col("m"), "left").withColumn("label", F.coalesce("label", "node")).drop("m", "n"), "labelled")
+    more = _verified(_pairs_between(labelled, similarity), sets, similarity)
     roots = least_reachable(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)).withColumnRenamed("node", "m")
     of = docs.select("id", "text_hash", "node").join(roots, F.col("node") == F.col("m"), "left")
     return of.select(F.col("id").alias(id_col), "text_hash", "node", F.coalesce("root", "node").alias("component"))

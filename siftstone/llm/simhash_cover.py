@@ -31,12 +31,10 @@ from .components import least_reachable
 
 BITS = 64
 SEED = 42
-#: Of the first 400 seeds the one whose masks for radius 7 keep the most bits at least (25 to 41 of 64).
+#: Decides the vectors of positions where there are more of them than positions.
 MASK_SEED = 158
 #: A bucket of more fingerprints takes the other way.
 HOT_BUCKET = 512
-#: Tables whose links are found before those of the others, in a search with a limit.
-FIRST_TABLES = 16
 #: Buckets up to this size are compared all at once.
 SMALL_BUCKET = 24
 
@@ -53,7 +51,7 @@ def masks(radius: int, bits: int = BITS) -> list[int]:
     return kept
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << BITS) if x >> BITS - 1 else x
 
 
@@ -81,22 +79,20 @@ def fingerprint(text: str | None, width: int, seed: int = SEED) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", words: int = 1) -> DataFrame:
-    """(``id``, ``fp``) or, with two ``words``, (``id``, ``fp``, ``fp2``): fingerprints as signed 64-bit integers."""
-    names = ["fp", "fp2"][:words]
+def fingerprints(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(``id``, ``fp``): fingerprints as signed 64-bit integers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch["t"].tolist()
-            yield pd.DataFrame({"id": batch["i"]} | {n: np.array([fingerprint(t, width, SEED + k) for t in texts], np.uint64).view(np.int64) for k, n in enumerate(names)})
+            fps = [fingerprint(t, width) for t in batch["t"].tolist()]
+            yield pd.DataFrame({"id": batch["i"], "fp": np.array(fps, np.uint64).view(np.int64)})
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = "id string" + "".join(f", {n} bigint" for n in names)
-    rows = df.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").alias("t")).mapInPandas(run, schema)
+    rows = df.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").alias("t")).mapInPandas(run, "id string, fp bigint")
     return rows.withColumn("id", F.col("id").cast(kind))  # as strings, since pandas has no null among integers
 
 
-def _spanning(words: list[np.ndarray], group: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def spanning(words: list[np.ndarray], group: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows that are linked, enough pairs to connect what all links connect.
 
     ``words`` are the fingerprints' 64-bit words; ``group`` tells buckets apart and ascends.
@@ -132,44 +128,11 @@ def _spanning(words: list[np.ndarray], group: np.ndarray, limit: int) -> tuple[n
     return np.concatenate(xs).astype(np.int64), np.concatenate(ys).astype(np.int64)
 
 
-def _between(x: np.ndarray, y: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of links between rows, enough to connect the labels that all of them connect."""
-    other = label[x] != label[y]
-    x, y = x[other], y[other]
-    parent: dict[int, int] = {}
-
-    def root(n: int) -> int:
-        while (up := parent.get(n, n)) != n:
-            parent[n] = n = parent.get(up, up)
-        return n
-
-    used = np.zeros(len(x), bool)
-    for k, (a, b) in enumerate(zip(label[x].tolist(), label[y].tolist(), strict=True)):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            used[k] = True
-    return x[used], y[used]
-
-
-def links(nodes: DataFrame, radius: int, words: list[str], limit: int, tables: slice = slice(None), label: str | None = None) -> DataFrame:
-    """Edges (``a``, ``b``) between nodes that connect exactly what the found links connect.
-
-    ``nodes`` has the fingerprint's ``words``; a node is its one word, or a hash of two.
-    Candidates are the pairs that
-    share a bucket of the first word's tables; a pair is linked if all words together differ
-    in ``limit`` bits at most.
-
-    ``tables`` may name a part of the tables.  Nodes that share a ``label`` (a column) are
-    known to be connected: a bucket's links then connect labels, and none are returned
-    within one.
-    """
-    kept = masks(radius)[tables]
-    first = F.col(words[0])
-    marks = [label] if label else []
-    exploded = F.posexplode(F.array(*[first.bitwiseAND(F.lit(_signed(m))) for m in kept])).alias("tab", "kept")
-    rows = nodes.select(*words, *marks, exploded).select(F.xxhash64("tab", "kept").alias("key"), "tab", *words, *marks)
-    cells = [f"{w}_{side}" for side in "ab" for w in words]
+def links(nodes: DataFrame, radius: int) -> DataFrame:
+    """Edges (``a``, ``b``) between fingerprints (column ``fp``) that connect exactly what those within ``radius`` bits connect."""
+    kept = masks(radius)
+    exploded = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in kept])).alias("tab", "kept")
+    rows = nodes.select("fp", exploded).select(F.xxhash64("tab", "kept").alias("key"), "tab", "fp")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -183,74 +146,49 @@ def links(nodes: DataFrame, radius: int, words: list[str], limit: int, tables: s
             yield compared(held)
 
     def compared(rows: pd.DataFrame) -> pd.DataFrame:
-        fps = [rows[w].to_numpy(np.int64) for w in words]
-        if not len(rows):
-            return pd.DataFrame(dict.fromkeys(cells, fps[0]))
-        key = rows["key"].to_numpy()
-        x, y = _spanning([f.view(np.uint64) for f in fps], np.cumsum(np.r_[False, key[1:] != key[:-1]]), limit)
-        if label:
-            x, y = _between(x, y, rows[label].to_numpy())
-        return pd.DataFrame(dict(zip(cells, [f[side] for side in (x, y) for f in fps], strict=True))).drop_duplicates()
-
-    def search(dealt: DataFrame) -> DataFrame:
-        """Links found by comparing what shares a bucket; buckets of one have none."""
-        size = F.count(F.lit(1)).over(Window.partitionBy("key"))
-        together = dealt.select("key", *words, *marks).repartition("key").withColumn("n", size).filter("n > 1").drop("n").sortWithinPartitions("key")
-        found = together.mapInPandas(run, ", ".join(f"{c} bigint" for c in cells))
-        ends = [F.col(f"{words[0]}_{side}") if len(words) == 1 else F.xxhash64(*[f"{w}_{side}" for w in words]) for side in "ab"]
-        return found.select(ends[0].alias("a"), ends[1].alias("b"))
-
-    if len(words) > 1 or limit > radius or radius > 2 or label or len(kept) < len(masks(radius)):
-        return search(rows)
+        fp, key = rows["fp"].to_numpy(np.int64), rows["key"].to_numpy()
+        if not len(fp):
+            return pd.DataFrame({"a": fp, "b": fp})
+        x, y = spanning([fp.view(np.uint64)], np.cumsum(np.r_[False, key[1:] != key[:-1]]), radius)
+        return pd.DataFrame({"a": fp[x], "b": fp[y]}).drop_duplicates()
+
     hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_BUCKET).select("key", F.lit(True).alias("hot"))
     marked = written(rows.join(hot, "key", "left"), "buckets")
     cleared = F.lit(None)
     for t, m in enumerate(kept):
         free = [i for i in range(BITS) if not m >> i & 1]
-        options = ",".join(str(_signed(~sum(1 << i for i in some) & (1 << BITS) - 1)) + "L" for some in combinations(free, radius))
+        options = ",".join(str(signed(~sum(1 << i for i in some) & (1 << BITS) - 1)) + "L" for some in combinations(free, radius))
         cleared = F.when(F.col("tab") == t, F.expr(f"array({options})")).otherwise(cleared)
     dense = (
         marked.filter("hot")
-        .select(first.alias("fp"), F.explode(cleared).alias("clear"))
+        .select("fp", F.explode(cleared).alias("clear"))
         .groupBy("clear", F.col("fp").bitwiseAND(F.col("clear")).alias("rest"))
         .agg(F.collect_set("fp").alias("fps"))  # 2 ** radius at most
         .filter(F.size("fps") > 1)
         .select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
         .filter("a <> b")
     )
-    return search(marked.filter(F.col("hot").isNull())).unionByName(dense)
+    size = F.count(F.lit(1)).over(Window.partitionBy("key"))  # buckets of one have no links
+    together = marked.filter(F.col("hot").isNull()).select("key", "fp").repartition("key").withColumn("n", size).filter("n > 1").drop("n").sortWithinPartitions("key")
+    return together.mapInPandas(run, "a bigint, b bigint").unionByName(dense)
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, limit: int | None = None) -> DataFrame:
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
     """(``id_col``, ``fingerprint`` of 16 hex digits, ``component_id``), a row for each row of ``df``.
 
-    Without ``limit``, fingerprints that differ in ``radius`` bits at most are linked.  With
-    it, fingerprints have a second word (of hashes with another seed): pairs within
-    ``radius`` in the first word, and what else shares a bucket of its tables, are linked
-    if both words together differ in ``limit`` bits at most.
-
+    Fingerprints that differ in ``radius`` bits at most (2 or less) are linked.
     ``component_id`` is the smallest identifier that links reach.  A null text counts as
     empty, and texts without words share fingerprint 0, which links like any other.  Null
     identifiers keep their row, and their component's id is that of the others (null if
     there are none).  Repeated rows stay.  An empty table gives an empty result.  Other
     columns are not read.
     """
-    docs = fingerprints(df, width, id_col, text_col, 1 if limit is None else 2)
-    node = F.col("fp") if limit is None else F.xxhash64("fp", "fp2")
-    docs = written(docs.withColumn("node", node), "fingerprints")
-    words = ["fp"] if limit is None else ["fp", "fp2"]
-    nodes = docs.groupBy("node", *words).agg(F.min("id").alias("least"))
-    if limit is None:
-        roots = least_reachable(links(nodes, radius, words, radius))
-    else:  # the first tables connect most of each large group, so that all others need not say so again
-        nodes = written(nodes, "nodes")
-        first = least_reachable(links(nodes, radius, words, limit, slice(FIRST_TABLES)))
-        known = first.select(F.col("node").alias("m"), F.col("root").alias("label"))
-        labelled = nodes.join(known, F.col("node") == F.col("m"), "left").withColumn("label", F.coalesce("label", "node"))
-        more = links(labelled, radius, words, limit, slice(FIRST_TABLES, None), "label")
-        roots = least_reachable(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    roots = roots.withColumnRenamed("node", "n")
-    rooted = nodes.join(roots, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    if not 0 <= radius <= 2:
+        raise ValueError("a radius above 2 would make too many cleared positions of a hot bucket")
+    docs = written(fingerprints(df, width, id_col, text_col), "fingerprints")
+    nodes = docs.groupBy("fp").agg(F.min("id").alias("least"))
+    roots = least_reachable(links(nodes, radius)).withColumnRenamed("node", "n")
+    rooted = nodes.join(roots, F.col("fp") == F.col("n"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.select("node", "root").join(heads, "root").select("node", "component_id")
-    return docs.join(of, "node").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = rooted.select("fp", "root").join(heads, "root").select("fp", "component_id")
+    return docs.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

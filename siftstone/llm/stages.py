@@ -20,10 +20,6 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Near copies: a Jaccard similarity of 0.8 at least between the sets of shingles of five words.
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Of 128 bits so many may differ in pairs that are verified; at 0.8 more do in one pair of a thousand.
-LIMIT = 32
-#: Pairs within so many bits of the first 64 are certain to be compared.
-RADIUS = 7
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +37,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest identifier stays.
 
     Rows without an identifier stay.  Rows are told apart by identifier and text, so that
-    those which repeat an identifier stay or go by their own text.
+    those which repeat an identifier stay or go by their own text.  Fully repeated rows stay
+    or go together (the exact dedup before leaves none).
     """
-    groups = near_copies.near_copies(docs, width=SHINGLE, similarity=SIMILARITY, radius=RADIUS, limit=LIMIT)
+    groups = near_copies.near_copies(docs, width=SHINGLE, similarity=SIMILARITY)
     row = F.struct("doc_id", "text_hash")
     heads = groups.filter("doc_id IS NOT NULL").groupBy("component").agg(F.min(row).alias("head"))
     dropped = groups.join(heads, "component").filter(F.col("doc_id").isNotNull() & (row != F.col("head")))

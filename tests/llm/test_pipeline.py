@@ -9,13 +9,18 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from siftstone.llm import simhash_cover, stages
+from siftstone.llm import stages
 
 from ..conftest import DATA
 from .test_mixture import targets
 from .test_texts import lowered
 
 
+def shingles_of(text):
+    words = lowered(text or "").split()
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or {tuple(words)}
+
+
 @pytest.fixture(scope="module")
 def outputs(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("stages")
@@ -48,8 +53,7 @@ def test_exact_copies(outputs):
 
 def test_near_copies(outputs):
     rows = sorted(((r["doc_id"], r["text"]) for r in outputs[2].collect()))
-    fps = [(simhash_cover.fingerprint(t, stages.SHINGLE), simhash_cover.fingerprint(t, stages.SHINGLE, simhash_cover.SEED + 1)) for _, t in rows]
-    kept_bits = simhash_cover.masks(stages.RADIUS)
+    sets = [shingles_of(t) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(x):
@@ -59,8 +63,8 @@ def test_near_copies(outputs):
 
     for a in range(len(rows)):
         for b in range(a):
-            one, two = fps[a][0] ^ fps[b][0], fps[a][1] ^ fps[b][1]
-            if one.bit_count() + two.bit_count() <= stages.LIMIT and any(not one & m for m in kept_bits):
+            common = len(sets[a] & sets[b])
+            if common >= stages.SIMILARITY * (len(sets[a]) + len(sets[b]) - common):
                 parent[max(root(a), root(b))] = min(root(a), root(b))
     assert sorted(r["doc_id"] for r in outputs[3].collect()) == [rows[k][0] for k in range(len(rows)) if root(k) == k]
 
@@ -82,6 +86,30 @@ def test_encoding(outputs):
     assert Counter((r["doc_id"], r["n_tokens"]) for r in outputs[5].collect()) == want
 
 
+def test_odd_documents(spark):
+    """Nulls in any column, repeated rows and identifiers, and a column that is named like an inner one."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    some = docs.orderBy("doc_id").limit(60)
+    odd = spark.createDataFrame(
+        [(None, None, None, None, None), (7, None, "en", "web", 0), (8, "", None, None, None), (None, "a b c d e f g", "en", None, 13), (9, "one", "en", "web", 3)], docs.schema
+    )
+    docs = some.unionByName(some.limit(20)).unionByName(odd)
+    had = {r["doc_id"] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DATA)
+        rows = docs.collect()
+        assert rows and {r["doc_id"] for r in rows} <= had, name
+        docs = spark.createDataFrame(rows, docs.schema)
+
+
+def test_stages_without_decisions_keep_odd_rows(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (7, "a", "en", "web", 1), (7, "a", "en", "web", 1)], docs.schema)
+    assert len(stages.exact_dedup(spark, odd, DATA).collect()) == 2
+    assert len(stages.near_dedup(spark, odd, DATA).collect()) == 3
+    assert len(stages.bpe(spark, odd, DATA).collect()) == 3
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
