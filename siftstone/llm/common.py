@@ -45,11 +45,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Removes a folder that no frame reads any more."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
-        sc = spark.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        dropped(spark, path)
     except Exception:  # the session has ended already
         pass
 

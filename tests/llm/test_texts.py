@@ -267,19 +267,60 @@ def test_repeats_on_documents(spark, pairs):
     assert Counter(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect())) == removed(pairs, 35)
 
 
-@pytest.mark.parametrize(("window", "gram", "hot"), [(5, 2, 2000), (4, 4, 2000), (6, 3, 3)])
-def test_repeats_of_small_alphabets(spark, monkeypatch, window, gram, hot):
-    monkeypatch.setattr(substring_trees, "HOT_ROUTE", hot)
+@pytest.mark.parametrize(("window", "gram", "long", "together"), [(5, 2, 2000, 1024), (4, 4, 2000, 1), (6, 3, 3, 2), (5, 3, 2, 1)])
+def test_repeats_of_small_alphabets(spark, monkeypatch, window, gram, long, together):
+    monkeypatch.setattr(substring_trees, "LONG_FROM", long)
+    monkeypatch.setattr(substring_trees, "TOGETHER", together)
+    monkeypatch.setattr(substring_trees, "GROUP", 50)
     monkeypatch.setattr(substring_trees, "BATCH", 2000)
     random.seed(window)
     rows = [(k, " ".join(random.choices("a b c dd e".split(), k=random.randint(0, 40)))) for k in range(60)] + ODD + [(900, "q " * 50)]
     got = substring_trees.remove_repeats(table(spark, rows), window=window, gram=gram)
     assert Counter(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect())) == removed(rows, window)
-    assert all(hashlib.sha256(r["kept"].encode()).hexdigest() == r["kept_sha256"] for r in got.collect())
+    for r in got.collect():
+        assert hashlib.sha256(r["kept"].encode()).hexdigest() == r["kept_sha256"]
+        assert sum(x["stop"] - x["start"] for x in r["repeats"]) == r["n_removed"]
 
 
 def test_repeats_of_nothing(spark):
     assert substring_trees.remove_repeats(table(spark, [])).count() == 0
+    assert not spark.sql("SHOW TABLES").filter("tableName LIKE 'siftstone_%'").count()
+
+
+def test_repeats_of_short_texts(spark):
+    rows = [(k, " ".join(["word"] * (k % 35))) for k in range(40)] + [(90, None), (None, "")]
+    got = substring_trees.remove_repeats(table(spark, rows))
+    assert Counter(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect())) == removed(rows, 35)
+
+
+def test_a_passage_in_every_batch_and_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(substring_trees, "BATCH", 4000)
+    monkeypatch.setattr(substring_trees, "TOGETHER", 3)
+    monkeypatch.setattr(substring_trees, "LONG_FROM", 20)
+    random.seed(8)
+    passage = " ".join(f"p{k}" for k in range(50))
+    own = lambda n: " ".join(f"w{random.randrange(10**6)}" for _ in range(n))
+    rows = [(k, f"{own(30)} {passage} {own(30)}") for k in range(150)] + [(500, own(200_000) + " " + passage)]
+    got = {r["doc_id"]: r for r in substring_trees.remove_repeats(table(spark, rows)).collect()}
+    assert all(got[k]["n_removed"] == 50 and "p7" not in got[k]["kept"] for k, _ in rows)
+    assert [tuple(x) for x in got[500]["repeats"]] == [(200_000, 200_050)] and [tuple(x) for x in got[3]["repeats"]] == [(30, 80)]
+
+
+def test_subtree_is_a_suffix_tree():
+    """Suffix array, common prefixes and nodes against sorted suffixes."""
+    random.seed(2)
+    segments = [" ".join(random.choices("a b c".split(), k=random.randint(9, 30))).encode() for _ in range(12)]
+    counts = np.array([s.count(b" ") + 2 - 7 for s in segments])
+    tree = substring_trees.Subtree(segments, counts, 7)
+    suffixes = [tuple(s.split(b" ")[k : k + 7]) for s, n in zip(segments, counts.tolist(), strict=True) for k in range(n)]
+    assert [suffixes[k] for k in tree.order.tolist()] == sorted(suffixes)
+    for k, n in enumerate(tree.common.tolist()):
+        a, b = suffixes[tree.order[k]], suffixes[tree.order[k + 1]]
+        assert n == next((i for i in range(7) if a[i] != b[i]), 7)
+    for depth in (1, 3, 7):
+        under = [suffixes[k][:depth] for k in tree.order.tolist()]
+        groups = [[k for k, x in enumerate(under) if x == g] for g in dict.fromkeys(under)]
+        assert [(g[0], g[-1]) for g in groups if len(g) > 1] == list(zip(*(x.tolist() for x in tree.nodes(depth)), strict=True))
 
 
 # --- fingerprints --------------------------------------------------------------------
