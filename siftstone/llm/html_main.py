@@ -6,7 +6,7 @@ comments, by element, role or the last word of a class or id) go.  Each paragrap
 points: one, one for each comma, one for each hundred characters up to three.  It passes
 them to its parent, half to its grandparent and less to what is further up; a container's
 sum is discounted by its link density.  The best container is kept, with the siblings whose
-points come near it or that read like its paragraphs; inside, lists made of links go.
+points come near it or that read like its paragraphs, and all that they hold.
 
 Text blocks are the runs of text between block elements, in page order.
 """
@@ -14,6 +14,7 @@ Text blocks are the runs of text between block elements, in page order.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -49,70 +50,151 @@ WORDS = frozenset(
 )
 GOOD = frozenset("article main content post entry story body text page hentry blog".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+ENDS = re.compile(r"""[>"']""")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol dl table".split())
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPLIT_WORDS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "children", "points", "size", "linked", "holds_main")
+    __slots__ = ("tag", "attributes", "parent", "children", "points", "size", "linked", "commas", "holds_main")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None):
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list[Node | str] = []
         self.points = 0.0
-        self.size = self.linked = 0
+        self.size = self.linked = self.commas = 0
         self.holds_main = False
 
 
+class _Tags:
+    """The tags of a page, one after the other, in time that grows with its length only."""
+
+    def __init__(self, html: str):
+        self.html, self.quoted = html, True
+
+    def _close(self, at: int) -> int:
+        """Where the tag ends whose attributes begin at ``at``; -1 if it doesn't.  Quotes hide a ``>``."""
+        html, begin = self.html, at
+        while self.quoted:
+            end = ENDS.search(html, at)
+            if end and end[0] == ">":
+                return end.start()
+            at = html.find(end[0], end.end()) + 1 if end else 0
+            if not at:  # a quote is never closed: from here on quotes hide nothing
+                self.quoted = False
+        return html.find(">", begin)
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Start and end of the next tag or comment from ``at`` on, its slash, name (empty in a comment) and attributes."""
+        html = self.html
+        while (start := html.find("<", at)) >= 0:
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(html), "", "", ""
+            name = NAME.match(html, start + 1)
+            if name:
+                end = self._close(name.end())
+                if end < 0:
+                    return None
+                return start, end + 1, name[1], name[2].lower(), html[name.end() : end]
+            if html[start + 1 : start + 2] in ("!", "?", "/") and start + 1 < len(html):
+                end = html.find(">", start)
+                if end < 0:
+                    return None
+                return start, end + 1, "", "", ""
+            at = start + 1
+        return None
+
+
+class _Open:
+    """The open elements: the innermost, and how many of a name are open in all, in its scope and in its list.
+
+    The counts tell whether climbing would find anything, so that each climb closes what it
+    passes.
+    """
+
+    def __init__(self, root: Node):
+        self.here = self.root = root
+        self.all: Counter[str] = Counter()
+        self.scopes: list[Counter[str]] = [Counter()]
+        self.lists: list[Counter[str]] = [Counter()]
+
+    def enter(self, node: Node) -> None:
+        self.all[node.tag] += 1
+        self.scopes[-1][node.tag] += 1
+        self.lists[-1][node.tag] += 1
+        if node.tag in SCOPES:
+            self.scopes.append(Counter())
+        if node.tag in LISTS:
+            self.lists.append(Counter())
+        self.here = node
+
+    def leave(self) -> None:
+        node = self.here
+        if node.tag in SCOPES:
+            self.scopes.pop()
+        if node.tag in LISTS:
+            self.lists.pop()
+        self.all[node.tag] -= 1
+        self.scopes[-1][node.tag] -= 1
+        self.lists[-1][node.tag] -= 1
+        self.here = node.parent
+
+    def close(self, names: frozenset[str]) -> None:
+        while self.here.tag not in names:
+            self.leave()
+        self.leave()
+
+    def end(self, name: str) -> None:
+        """An end tag closes the innermost element of its name; one that is no block, only in the same scope."""
+        if self.scopes[-1][name] or name in BLOCK and self.all[name]:
+            self.close(frozenset([name]))
+
+    def begin(self, name: str) -> None:
+        """What a start tag closes."""
+        if name in BLOCK:
+            scope = self.scopes[-1]
+            if scope["p"]:
+                self.close(frozenset(["p"]))
+            elif name in HEADINGS and any(scope[h] for h in HEADINGS):
+                self.close(HEADINGS)
+        closed = CLOSED_BY.get(name)
+        while closed and any(self.lists[-1][c] for c in closed):
+            self.close(closed)
+
+
 def parse(html: str) -> Node:
-    root = here = Node("#root", {}, None)
+    root = Node("#root", {}, None)
+    tags, open_ = _Tags(html), _Open(root)
     at, n = 0, len(html)
     while at < n:
-        tag = TAG.search(html, at)
+        tag = tags.next(at)
         if not tag:
-            here.children.append(html[at:])
+            open_.here.children.append(html[at:])
             break
-        if tag.start() > at:
-            here.children.append(html[at : tag.start()])
-        at = tag.end()
-        name = tag[2]
+        start, end, slash, name, text = tag
+        if start > at:
+            open_.here.children.append(html[at:start])
+        at = end
         if not name:
             continue
-        name = name.lower()
-        if tag[1]:
-            node = here
-            while node is not root and node.tag != name:
-                if node.tag in SCOPES and name not in BLOCK:
-                    break
-                node = node.parent
-            if node.tag == name and node is not root:
-                here = node.parent
+        if slash:
+            open_.end(name)
             continue
-        if name in BLOCK:  # what a start tag closes
-            node = here
-            while node is not root and node.tag not in SCOPES:
-                if node.tag == "p" or (node.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and name in ("h1", "h2", "h3", "h4", "h5", "h6")):
-                    here = node.parent
-                    break
-                node = node.parent
-        if name in CLOSED_BY:
-            node, outer = here, frozenset(["ul", "ol", "dl", "table"])
-            while node is not root and node.tag not in outer:
-                if node.tag in CLOSED_BY[name]:
-                    here = node.parent
-                node = node.parent
-        text = tag[3]
+        open_.begin(name)
         attributes = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)} if text and not text.isspace() else {}
-        child = Node(name, attributes, here)
-        here.children.append(child)
+        child = Node(name, attributes, open_.here)
+        open_.here.children.append(child)
         if name in VOID or text.endswith("/") and name in ("svg", "path"):
             continue
         if name in RAW:
-            end = re.compile(f"</{name}", re.I).search(html, at)
-            at = end.start() if end else n
+            close = re.compile(f"</{name}", re.I).search(html, at)
+            at = close.start() if close else n
             continue
-        here = child
+        open_.enter(child)
     return root
 
 
@@ -168,6 +250,7 @@ def _measure(root: Node) -> list[Node]:
         stack += [c for c in reversed(node.children) if type(c) is Node]
     for node in reversed(order):
         node.size = sum(len(" ".join(c.split())) if type(c) is str else c.size for c in node.children)
+        node.commas = sum(c.count(",") if type(c) is str else c.commas for c in node.children)
         node.linked = node.size if node.tag == "a" else sum(c.linked for c in node.children if type(c) is Node)
     return order
 
@@ -199,8 +282,7 @@ def _is_paragraph(node: Node) -> bool:
 def _best(root: Node, order: list[Node]) -> Node | None:
     for node in order:
         if _is_paragraph(node) and node.size >= 25:
-            text = _flat(node)
-            points = (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - _density(node))
+            points = (1 + node.commas + min(node.size // 100, 3)) * (1 - _density(node))
             up, level = node.parent if node.tag not in ("article", "main", "body", "div", "section") else node, 0
             while up is not None and level < 6:
                 up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
@@ -233,8 +315,6 @@ def _blocks(part: Node, out: list[str]) -> None:
             line.append(x)
         elif x.tag == "br":
             line.append(" ")
-        elif x is not part and x.tag in ("ul", "ol", "dl", "table", "div", "section") and x.size and _density(x) > 0.66:
-            continue
         else:
             block = x.tag in BLOCK
             if block:

@@ -70,6 +70,21 @@ def test_records_of_nothing(spark, tmp_path):
     assert token_records.write_index(spark, path, f"file://{tmp_path}/index").count() == 0
 
 
+def test_files_of_a_range_roll(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_records, "BLOCK", 400)
+    monkeypatch.setattr(token_records, "FILE_BLOCKS", 2)
+    rows = [(k, f"text {k} " * 20) for k in range(400)] + [(401, "long text " * 200_000), (None, "x"), (None, "x")]
+    path = f"file://{tmp_path}/data"
+    token_records.write_records(table(spark, rows), path, WORD_BPE)
+    index = token_records.write_index(spark, path, f"file://{tmp_path}/index").collect()
+    assert len({r["file"] for r in index}) > 50
+    start = 0
+    for r in sorted(index, key=lambda r: (r["id"] is not None, r["id"] or 0)):
+        assert r["start"] == start or r["id"] is None
+        start += r["n_tokens"]
+    assert max(r["n_tokens"] for r in index) == 400_001
+
+
 def test_damaged_records_are_noticed():
     data = bytearray(token_records.frame(np.arange(5, dtype=np.uint32), 7))
     assert token_records.parsed(token_records.payload_at(bytes(data), 0))[0] == 7
@@ -193,6 +208,34 @@ def test_main_text():
     assert len(html_main.main_text("<article>" + "<p>word, word</p>" * 20_000)) == 20_000 * 11 - 1
 
 
+def test_links_in_the_article_stay():
+    page = "<body><nav><a href=/>home</a></nav><article><h1>Works</h1><p>These works, listed here, are what this page is about.</p><h2>Sources</h2><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></article></body>"
+    assert html_main.main_text(page).split("\n") == ["Works", "These works, listed here, are what this page is about.", "Sources", "One", "Two"]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<p>x</p>" + "<span>" * 150_000 + "</i>" * 150_000,
+        '<article><p>hello, world, x</p><a href="' + "x<b>" * 300_000,
+        "<a '>' " * 200_000,
+        "<a " * 500_000,
+        "<blockquote>long, enough, text to be scored here, so" * 40_000,
+        "<div>" * 50_000 + "<li>a" * 50_000,
+        "<i><div>" + "<span>" * 100_000 + "</i>" * 100_000,
+        "<p>text, text, text, that is long enough" * 50_000,
+        "<!" * 500_000,
+    ],
+)
+def test_long_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_main.main_text(page)
+    whole = time.process_time() - began
+    assert len(page) >= 500_000 and whole < 30  # a quadratic parser takes many minutes
+
+
 def test_main_text_of_pages(spark):
     import html
     import re
