@@ -14,8 +14,10 @@ checksums stay useful.  Frames are written in blocks: a uint64 with the block's
 frames, a newline byte.
 
 Files are written by Spark's text sink, whose rows are here blocks of bytes: it works on any
-file system, and its committer makes retried and speculative tasks safe.  A file holds one
-range of identifiers, sorted, and files in the order of their names are in ascending order.
+file system, and its committer makes retried and speculative tasks safe.  A task writes one
+range of identifiers, sorted, and begins a new file after ``FILE_BLOCKS`` blocks, so files
+have a bounded size however much a range holds; ordered by the two numbers in their names
+(range, and file of the range) they are in ascending order.
 The index is a Parquet table with a row for each record; it is made by reading the files, so
 whatever it lists has passed both checksums.
 """
@@ -34,6 +36,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 20
+#: Blocks in a file: 64 MB, if no document is longer.
+FILE_BLOCKS = 64
 #: Words whose ids a worker keeps, and the bytes of the longest of them.
 KEPT_WORDS = 800_000
 KEPT_LENGTH = 64
@@ -187,6 +191,7 @@ def write_records(df: DataFrame, path: str, tokenizer: str, end_id: int | None =
         .mapInPandas(run, "block binary")
         .select(F.col("block").cast("string").alias("value"))
         .write.option("compression", "none")
+        .option("maxRecordsPerFile", FILE_BLOCKS)
         .text(path)
     )
 
@@ -200,7 +205,12 @@ def _name(path: Column | str) -> Column:
 
 
 def scan_index(spark: SparkSession, path: str) -> DataFrame:
-    """Reads and checks all records; the index's columns, offsets of frames and running counts by file."""
+    """Reads and checks all records; the index's columns, offsets of frames and running counts by file.
+
+    A record without an identifier has a null ``id``; repeated identifiers have a row each.
+    A folder without records gives no rows.  A frame that doesn't fit its checksums raises
+    :class:`CorruptRecord`.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -221,13 +231,18 @@ def write_index(spark: SparkSession, path: str, index: str) -> DataFrame:
     """Writes the index of ``path`` to the folder ``index``.
 
     Returns it with ``start``: the ids in all records before.  Its window runs over one
-    row for each file.
+    row for each file, a range of files at a time and then over the ranges.  Null and
+    repeated identifiers keep their rows; without records the index is empty.
     """
     scan_index(spark, path).write.parquet(index)
     table = spark.read.parquet(index)
-    totals = table.groupBy(F.col("file").alias("f")).agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("f", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    at, nth = (F.regexp_extract("file", r"^part-(\d+)-.*-c(\d+)", k).cast("long") for k in (1, 2))
+    totals = table.groupBy(F.col("file").alias("f"), at.alias("at"), nth.alias("nth")).agg(F.sum("n_tokens").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("at").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
+    inside = totals.select("f", "at", F.coalesce(before, F.lit(0)).alias("inside"))
+    earlier = F.sum("m").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = totals.groupBy("at").agg(F.sum("n").alias("m")).select(F.col("at").alias("r"), F.coalesce(earlier, F.lit(0)).alias("base"))
+    starts = inside.join(ranges, F.col("at") == F.col("r")).select("f", (F.col("base") + F.col("inside")).alias("base"))
     return table.join(starts, F.col("file") == F.col("f")).withColumn("start", F.col("base") + F.col("file_start")).drop("f", "base")
 
 
@@ -235,7 +250,8 @@ def read_shuffled(spark: SparkSession, path: str, index: DataFrame, seed: int =
     """All records as (``position``, ``id``, ``ids``), in an order that ``seed`` decides.
 
     Files change places by a hash, and the index's offsets are visited in a permuted order
-    within each file; sort by ``position`` for the one global order.
+    within each file; sort by ``position`` for the one global order.  Null and repeated
+    identifiers keep their rows, and an empty index gives none.
     """
 
     def run(key, files: pd.DataFrame) -> pd.DataFrame:
