@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,10 +42,35 @@ def not_contiguous(df: DataFrame, group: Sequence[str], position: str) -> DataFr
     return found.filter((F.col("low") != 1) | (F.col("high") != F.col("n")) | (F.col("kinds") != F.col("n")))
 
 
+def told_apart(content: Sequence[str]) -> Column:
+    """The columns as one text, which no other values give: each with its length in front, nulls as ``-``."""
+    parts = []
+    for c in content:
+        text = F.col(c).cast("string")
+        parts.append(F.when(text.isNull(), F.lit("-")).otherwise(F.concat(F.char_length(text).cast("string"), F.lit(":"), text)))
+    return F.concat(*parts)
+
+
 def fingerprint(df: DataFrame, keys: Sequence[str], content: Sequence[str], name: str = "fingerprint") -> DataFrame:
     """Keys with an MD5 of the content columns as text, which stands for a row's version."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in content])
-    return df.select(*keys, F.md5(text).alias(name))
+    return df.select(*keys, F.md5(told_apart(content)).alias(name))
+
+
+def table_fingerprint(df: DataFrame, content: Sequence[str]) -> DataFrame:
+    """One row for a whole table: ``rows`` and ``digest``, which no order of the rows changes.
+
+    The digest adds up the halves of the rows' SHA-256, so repeated rows count.
+    """
+    sha = F.sha2(told_apart(content), 256)
+    halves = [F.conv(F.substring(sha, at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 16, 31, 46)]
+    sums = [F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).cast("string") for h in halves]
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.concat_ws(",", *sums), 256).alias("digest"))
+
+
+def require_unchanged_rows(before: DataFrame, after: DataFrame, keys: Sequence[str], content: Sequence[str]) -> None:
+    """Raises unless both frames have the same keys with the same content."""
+    b, a = fingerprint(before, keys, content), fingerprint(after, keys, content)
+    require_none(differing(b, a), "rows have changed")
 
 
 def changed(before: DataFrame, after: DataFrame, keys: Sequence[str], name: str = "fingerprint") -> DataFrame:

@@ -7,13 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .checks import require_none
+from .checks import require_none, told_apart
 
 
 def dedup(df: DataFrame, content: Sequence[str], count: str = "occurrence_count", name: str = "evidence_id") -> DataFrame:
     """Equal rows become one, with their number and an identifier that is a digest of the content."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in content])
-    return df.groupBy(*content).agg(F.count(F.lit(1)).alias(count)).withColumn(name, F.md5(text))
+    return df.groupBy(*content).agg(F.count(F.lit(1)).alias(count)).withColumn(name, F.md5(told_apart(content)))
 
 
 def require_one_payload(df: DataFrame, key: str, payload: Sequence[str]) -> None:

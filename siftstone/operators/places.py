@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.text import folded_tokens
 
 
-def in_boxes(points: DataFrame, boxes: DataFrame, x: str, y: str, low_x: str, high_x: str, low_y: str, high_y: str, order: str, name: str) -> DataFrame:
-    """The first box (by ``order``) that holds each point, both ends included; ``name`` is null without one.
+def in_boxes(points: DataFrame, boxes: Sequence[tuple[str, float, float, float, float]], x: str, y: str, name: str = "region") -> DataFrame:
+    """``points`` with the name of the first of ``boxes`` (name, low x, high x, low y, high y) that holds them, both ends included.
 
-    ``boxes`` is a list of regions, not data: it is broadcast.
+    ``name`` is null without one.  Boxes are a short list of regions, which becomes one
+    expression: nothing is joined, and equal points stay rows of their own.
     """
-    inside = F.col(x).between(F.col(low_x), F.col(high_x)) & F.col(y).between(F.col(low_y), F.col(high_y))
-    keys = points.columns
-    met = points.join(F.broadcast(boxes), inside, "left")
-    return met.groupBy(*keys).agg(F.min_by(name, order).alias(name))
+    held = [F.when(F.col(x).between(x0, x1) & F.col(y).between(y0, y1), n) for n, x0, x1, y0, y1 in boxes]
+    return points.withColumn(name, F.coalesce(*held) if held else F.lit(None).cast("string"))
 
 
 def in_rings(px: np.ndarray, py: np.ndarray, rings: Sequence[np.ndarray]) -> np.ndarray:
@@ -37,30 +38,53 @@ def in_rings(px: np.ndarray, py: np.ndarray, rings: Sequence[np.ndarray]) -> np.
     return inside
 
 
-def _edge_km(lat: float, lon: float, rings: Sequence[np.ndarray]) -> float:
-    """Distance to the nearest edge on a plane scaled at the point; longitudes wrap."""
-    best = np.inf
+def _wrapped(degrees: np.ndarray) -> np.ndarray:
+    return (degrees + 180) % 360 - 180
+
+
+def edge_km(lat: np.ndarray, lon: np.ndarray, rings: Sequence[np.ndarray], chunk: int = 1 << 20) -> np.ndarray:
+    """Distance of each point to the nearest edge, on a plane scaled at the point.
+
+    Of an edge the first end is wrapped to the point and the second to the first, so an edge
+    stays as short as it is wherever it lies.
+    """
+    best = np.full(len(lat), np.inf)
+    km = np.pi * geo.EARTH_KM / 180
     for ring in rings:
-        dx = (ring[:, 0] - lon + 180) % 360 - 180
-        p = np.stack([dx * np.cos(np.radians(lat)), ring[:, 1] - lat], 1) * (np.pi * geo.EARTH_KM / 180)
-        a, b = np.roll(p, 1, 0), p
-        d = b - a
-        t = np.clip(-(a * d).sum(1) / np.maximum((d * d).sum(1), 1e-12), 0, 1)
-        best = min(best, float(np.sqrt(((a + t[:, None] * d) ** 2).sum(1)).min()))
+        step = max(1, chunk // len(ring))
+        first, along = np.roll(ring, 1, 0), _wrapped(ring[:, 0] - np.roll(ring[:, 0], 1))
+        for k in range(0, len(lat), step):
+            y, x = lat[k : k + step, None], lon[k : k + step, None]
+            scale = np.maximum(0.01, np.cos(np.radians(y))) * km
+            ax, ay = _wrapped(first[None, :, 0] - x) * scale, (first[None, :, 1] - y) * km
+            dx, dy = along[None, :] * scale, (ring[None, :, 1] - first[None, :, 1]) * km
+            t = np.clip(-(ax * dx + ay * dy) / np.maximum(dx * dx + dy * dy, 1e-12), 0, 1)
+            best[k : k + step] = np.minimum(best[k : k + step], np.sqrt((ax + t * dx) ** 2 + (ay + t * dy) ** 2).min(1))
     return best
 
 
+def box_km(lat: np.ndarray, lon: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
+    """A distance that no edge inside a box (west, south, east, north) falls below."""
+    west, south, east, north = box
+    apart = np.min([np.maximum(np.maximum(west - x, x - east), 0) for x in (lon - 360, lon, lon + 360)], axis=0)
+    scale = np.maximum(0.01, np.cos(np.radians(lat)))
+    return np.hypot(apart * scale, np.maximum(np.maximum(south - lat, lat - north), 0)) * (np.pi * geo.EARTH_KM / 180)
+
+
 def region_of(points: DataFrame, lat: str, lon: str, regions: Sequence[tuple[str, Sequence[Sequence[Sequence[float]]]]], reach_km: float = 200.0, name: str = "region", other: str = "Other") -> DataFrame:
     """``points`` with the first region whose rings hold them, else the nearest within ``reach_km``, else ``other``.
 
-    ``regions`` are (name, rings of [lon, lat]); they travel with the function.  Points
-    without coordinates get null.
+    ``regions`` are (name, rings of [lon, lat]), a list that a driver holds; Spark sends them
+    to each executor once.  Points without coordinates get null.  Only regions whose box is
+    near enough are measured.
     """
     shapes = [(n, [np.asarray(r, float) for r in rings]) for n, rings in regions]
     boxes = [(min(r[:, 0].min() for r in rings), min(r[:, 1].min() for r in rings), max(r[:, 0].max() for r in rings), max(r[:, 1].max() for r in rings)) for _, rings in shapes]
+    sent = points.sparkSession.sparkContext.broadcast((shapes, boxes))
 
     @F.pandas_udf("string")
     def find(lats: pd.Series, lons: pd.Series) -> pd.Series:
+        shapes, boxes = sent.value
         y, x = lats.to_numpy(float), lons.to_numpy(float)
         out = np.full(len(x), None, object)
         todo = ~(np.isnan(x) | np.isnan(y))
@@ -69,50 +93,90 @@ def region_of(points: DataFrame, lat: str, lon: str, regions: Sequence[tuple[str
             hit = near[in_rings(x[near], y[near], rings)] if len(near) else near
             out[hit] = n
             todo[hit] = False
-        for k in np.flatnonzero(todo):
-            distances = [(_edge_km(y[k], x[k], rings), i) for i, (_, rings) in enumerate(shapes)]
-            d, i = min(distances, default=(np.inf, -1))
-            out[k] = shapes[i][0] if d <= reach_km else other
+        left = np.flatnonzero(todo)
+        best = np.full(len(left), reach_km)
+        out[left] = other
+        for (n, rings), box in zip(shapes, boxes, strict=True):
+            near = np.flatnonzero(box_km(y[left], x[left], box) <= best)
+            if len(near):
+                km = edge_km(y[left[near]], x[left[near]], rings)
+                closer = (km < best[near]) | (km == best[near]) & (out[left[near]] == other)
+                out[left[near[closer]]], best[near[closer]] = n, km[closer]
         return pd.Series(out)
 
     return points.withColumn(name, find(F.col(lat).cast("double"), F.col(lon).cast("double")))
 
 
-def kth_nearest_km(points: DataFrame, key: str, lat: str, lon: str, k: int = 5, degrees: float = 5.0, name: str = "isolation_km") -> DataFrame:
-    """``points`` with the distance to the ``k``-th nearest other distinct point.
+#: Sizes of the grids' cells, in degrees; each divides the one before.
+CELLS = (45.0, 15.0, 5.0, 1.0, 0.25, 0.05, 0.01)
+SALTS = 64
 
-    Distinct points are bucketed by a grid; each point is first compared with its own and
-    the neighbouring buckets, which settles it if the ``k``-th distance found can't be
-    beaten from outside them.  What is left, isolated points, is compared with all distinct
-    points in blocks.  Null where there are fewer than ``k`` other points.
-    """
-    distinct = points.select(F.col(lat).alias("b_lat"), F.col(lon).alias("b_lon")).distinct()
-
-    def row(c):
-        return F.floor(c / degrees).cast("long")
 
-    def column(c):
-        return F.pmod(F.floor(c / degrees).cast("long"), F.lit(int(360 / degrees)))
+def kth_nearest_km(points: DataFrame, key: str, lat: str, lon: str, k: int = 5, cells: Sequence[float] = CELLS, name: str = "isolation_km") -> DataFrame:
+    """``points`` with the distance to the ``k``-th nearest other distinct point.
 
-    here = points.select(key, F.col(lat).alias("a_lat"), F.col(lon).alias("a_lon"))
-    around = here.withColumn("r", F.explode(F.array(*[row(F.col("a_lat")) + d for d in (-1, 0, 1)]))).withColumn(
-        "c", F.explode(F.array(*[F.pmod(column(F.col("a_lon")) + d, F.lit(int(360 / degrees))) for d in (-1, 0, 1)]))
-    )
-    cells = distinct.withColumn("r", row(F.col("b_lat"))).withColumn("c", column(F.col("b_lon")))
+    Each point looks at the nine cells around it, in the grid that suits its neighbourhood:
+    the finest in which these hold more than ``k`` distinct points, or one or two steps
+    coarser, until the ``k``-th distance found can't be beaten from outside them.  So a dense
+    place is looked at closely and a lonely one from afar, and no point meets more others
+    than a few cells hold.  What the coarsest grid doesn't settle, the loneliest points, is
+    compared with all distinct points.  Only the ``k`` nearest of a point are kept before
+    anything is shuffled.  Null where there are fewer than ``k`` other points, or without
+    coordinates.  ``key`` tells points apart; repeated keys share a distance.
+    """
+    here = points.select(F.col(key).alias("__k"), F.col(lat).cast("double").alias("a_lat"), F.col(lon).cast("double").alias("a_lon"))
+    here = here.filter(geo.valid_point(F.col("a_lat"), F.col("a_lon")) | ((F.col("a_lat") == 0) & (F.col("a_lon") == 0))).dropDuplicates(["a_lat", "a_lon", "__k"])
+    distinct = here.select(F.col("a_lat").alias("b_lat"), F.col("a_lon").alias("b_lon")).distinct()
+    degree = np.pi * geo.EARTH_KM / 180
+
+    def row(c: Column, size: float) -> Column:
+        return F.floor((c + 90) / size).cast("long")
+
+    def column(c: Column, size: float) -> Column:
+        return F.pmod(F.floor((c + 180) / size).cast("long"), F.lit(round(360 / size)))
+
+    def cell(level: int, r: Column, c: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), r.alias("r"), F.pmod(c, F.lit(round(360 / cells[level]))).alias("c"))
+
+    levels = range(len(cells))
+    of = distinct.select("b_lat", "b_lon", F.explode(F.array(*[cell(n, row(F.col("b_lat"), cells[n]), column(F.col("b_lon"), cells[n])) for n in levels])).alias("cell"))
+    counts = of.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    # how many distinct points a cell and its eight neighbours hold, from the cells' counts
+    turns = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
+    size_of = F.element_at(F.array(*[F.lit(round(360 / c)) for c in cells]), F.col("cell.level") + 1)
+    spread = [F.struct(F.col("cell.level").alias("level"), (F.col("cell.r") + dr).alias("r"), F.pmod(F.col("cell.c") + dc, size_of).alias("c")) for dr, dc in turns]
+    around = counts.select("n", F.explode(F.array(*spread)).alias("cell")).groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > k)
+    places_ = distinct.select(F.col("b_lat").alias("a_lat"), F.col("b_lon").alias("a_lon"))
+    mine = places_.select("a_lat", "a_lon", F.explode(F.array(*[cell(n, row(F.col("a_lat"), cells[n]), column(F.col("a_lon"), cells[n])) for n in levels])).alias("cell"))
+    finest = mine.join(around, "cell").groupBy("a_lat", "a_lon").agg(F.max("cell.level").alias("level"))
     far = (F.col("a_lat") != F.col("b_lat")) | (F.col("a_lon") != F.col("b_lon"))
     km = geo.haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    near = around.join(cells, ["r", "c"]).filter(far).groupBy(key).agg(F.slice(F.sort_array(F.collect_list(km)), 1, k).alias("d"))
-    # From a point, what isn't in the nine cells is at least one cell away: along the meridian
-    # by a cell's height, along the parallel by its width at the farther edge of the row.
-    reach = F.least(
-        F.lit(degrees * np.pi * geo.EARTH_KM / 180),
-        F.lit(degrees * np.pi * geo.EARTH_KM / 180 * 0.99) * F.cos(F.radians(F.least(F.lit(89.0), F.abs("a_lat") + 2 * degrees))),
-    )
-    first = here.join(near, key, "left").withColumn("settled", F.coalesce((F.size("d") >= k) & (F.col("d")[k - 1] <= reach), F.lit(False)))
-    left = first.filter(~F.col("settled")).select(key, "a_lat", "a_lon")
-    rest = left.join(distinct, far).groupBy(key).agg(F.slice(F.sort_array(F.collect_list(km)), 1, k).alias("e"))
-    done = first.join(rest, key, "left").select(F.col(key).alias("__k"), F.get(F.when(F.col("settled"), F.col("d")).otherwise(F.col("e")), k - 1).alias(name))
-    return points.join(done, F.col(key) == F.col("__k"), "left").drop("__k")
+    nearest = Window.partitionBy("a_lat", "a_lon").orderBy("km")
+
+    def kth(pairs: DataFrame) -> DataFrame:
+        return pairs.filter(far).select("a_lat", "a_lon", km.alias("km")).withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") == k).drop("nth")
+
+    def looked(todo: DataFrame, back: int) -> DataFrame:
+        at = F.greatest(F.col("level") - back, F.lit(0))
+        wanted = F.array(*[F.array(*[cell(n, row(F.col("a_lat"), cells[n]) + dr, column(F.col("a_lon"), cells[n]) + dc) for dr, dc in turns]) for n in levels])
+        asked = todo.select("a_lat", "a_lon", F.explode(F.array_distinct(F.element_at(wanted, at + 1))).alias("cell"))
+        # what isn't in the nine cells is a cell away at least, along the meridian or, at the farther edge of the row, along the parallel
+        size = F.element_at(F.array(*[F.lit(c) for c in cells]), at + 1)
+        reach = F.least(size * degree, size * degree * 0.99 * F.cos(F.radians(F.least(F.lit(89.9), F.abs("a_lat") + 2 * size))))
+        met = kth(asked.join(of, "cell"))
+        return todo.join(met, ["a_lat", "a_lon"], "left").select("a_lat", "a_lon", "level", F.when(F.col("km") <= reach, F.col("km")).alias("km"))
+
+    todo, settled = finest, []
+    for back in (0, 1, 2):
+        met = looked(todo, back)
+        settled.append(met.filter(F.col("km").isNotNull()).select("a_lat", "a_lon", "km"))
+        todo = met.filter(F.col("km").isNull()).select("a_lat", "a_lon", "level")
+    known = reduce(DataFrame.unionByName, settled)
+    lonely = places_.join(known, ["a_lat", "a_lon"], "left_anti").select("a_lat", "a_lon", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    everywhere = distinct.withColumn("salt", F.pmod(F.xxhash64("b_lat", "b_lon"), F.lit(SALTS)).cast("int"))
+    known = known.unionByName(kth(lonely.join(everywhere, "salt")))
+    done = here.join(known, ["a_lat", "a_lon"]).groupBy("__k").agg(F.min("km").alias(name))
+    return points.join(done, F.col(key).eqNullSafe(F.col("__k")), "left").drop("__k")
 
 
 def map_cells(points: DataFrame, cell: Sequence[str], series: str, at: str, key: str, photos: int | None = None) -> DataFrame:
@@ -131,29 +195,32 @@ def map_cells(points: DataFrame, cell: Sequence[str], series: str, at: str, key:
     return out.join(listed, list(cell))
 
 
-def match_phrases(units: DataFrame, unit: str, text: str, aliases: DataFrame, alias: str, place: str, longest: int = 12) -> DataFrame:
+def match_phrases(units: DataFrame, unit: str, text: Column, aliases: DataFrame, alias: str, place: str, longest: int = 12) -> DataFrame:
     """Occurrences of aliases (token sequences) in texts: leftmost, then longest, without overlaps.
 
-    Returns (unit, ``start``, ``length`` in tokens, ``places``: all places of the alias).
-    Candidates come from a join on token sequences; a pass over a unit's few candidates
-    then picks.  ``aliases`` may be of any size: Spark broadcasts it if it is small.
+    Returns (unit, ``start`` and ``stop`` in characters, ``length`` in tokens, ``places``: all
+    places of the alias).  Tokens are folded (NFKC, case) and an ideograph is one of its own.
+    Aliases of more than ``longest`` tokens are none.  A place in a text looks only for the
+    lengths that aliases with its first token have.  ``aliases`` may be of any size: Spark
+    broadcasts it if it is small.  A pass over a unit's few hits then picks.
     """
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\p{L}\p{N}]+"), F.lit(0))
-    listed = aliases.select(F.array_join(F.regexp_extract_all(F.lower(alias), F.lit(r"(?U)[\p{L}\p{N}]+"), F.lit(0)), " ").alias("phrase"), F.col(place).alias("p"))
-    listed = listed.filter("phrase <> ''").groupBy("phrase").agg(F.sort_array(F.collect_set("p")).alias("places"))
-    heads = listed.select(F.split("phrase", " ")[0].alias("first")).distinct()
-    rows = units.select(unit, tokens.alias("t")).select(unit, "t", F.posexplode("t").alias("start", "first")).join(heads, "first", "left_semi")
-    grams = rows.withColumn("length", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("t") - F.col("start"))))).select(
-        unit, "start", "length", F.array_join(F.slice("t", F.col("start") + 1, F.col("length")), " ").alias("phrase")
+    names = aliases.select(F.transform(folded_tokens(F.col(alias)), lambda t: t["token"]).alias("words"), F.col(place).alias("p"))
+    names = names.filter(F.size("words").between(1, longest)).select(F.array_join("words", " ").alias("phrase"), F.col("words")[0].alias("first"), F.size("words").alias("n"), "p")
+    listed = names.groupBy("phrase").agg(F.sort_array(F.collect_set("p")).alias("places"))
+    heads = names.groupBy("first").agg(F.sort_array(F.collect_set("n")).alias("lengths"))  # no more than ``longest``
+    rows = units.select(unit, folded_tokens(text).alias("t"))
+    starts = rows.select(unit, "t", F.posexplode(F.transform("t", lambda t: t["token"])).alias("at", "first")).join(heads, "first")
+    tried = starts.select(unit, "t", "at", F.explode("lengths").alias("length")).filter(F.col("at") + F.col("length") <= F.size("t"))
+    part = F.slice("t", F.col("at") + 1, F.col("length"))
+    grams = tried.select(
+        unit, "at", "length", F.col("t")[F.col("at")]["start"].alias("start"), F.col("t")[F.col("at") + F.col("length") - 1]["stop"].alias("stop"), F.array_join(F.transform(part, lambda t: t["token"]), " ").alias("phrase")
     )
-    hits = grams.join(listed, "phrase").groupBy(unit).agg(F.sort_array(F.collect_list(F.struct("start", (-F.col("length")).alias("n"), "places"))).alias("hits"))
-    start = F.struct(F.lit(0).alias("free"), F.slice("hits", 1, 0).alias("taken"))
+    found = F.struct("at", (-F.col("length")).alias("n"), "start", "stop", "places")
+    hits = grams.join(listed, "phrase").groupBy(unit).agg(F.sort_array(F.collect_list(found)).alias("hits"))
     picked = F.aggregate(
         "hits",
-        start,
-        lambda a, h: F.when(
-            h["start"] >= a["free"], F.struct((h["start"] - h["n"]).alias("free"), F.array_append(a["taken"], h).alias("taken"))
-        ).otherwise(a),
+        F.struct(F.lit(0).alias("free"), F.slice("hits", 1, 0).alias("taken")),
+        lambda a, h: F.when(h["at"] >= a["free"], F.struct((h["at"] - h["n"]).alias("free"), F.array_append(a["taken"], h).alias("taken"))).otherwise(a),
         lambda a: a["taken"],
     )
-    return hits.select(unit, F.explode(picked).alias("h")).select(unit, "h.start", (-F.col("h.n")).alias("length"), "h.places")
+    return hits.select(unit, F.explode(picked).alias("h")).select(unit, "h.start", "h.stop", (-F.col("h.n")).alias("length"), "h.places")

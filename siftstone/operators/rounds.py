@@ -86,7 +86,7 @@ def logical_batches(df: DataFrame, digest: str, ties: Sequence[str], size: int,
     return (
         out.withColumn("batch_number", batch)
         .withColumn("position", (F.col("ordinal") % size + 1).cast("long"))
-        .withColumn("batch_code", F.concat(F.lit(prefix + "-"), F.lpad(batch.cast("string"), 3, "0")))
+        .withColumn("batch_code", F.concat(F.lit(prefix + "-"), F.format_string("%03d", batch)))
         .drop("__b", "__c", "__s", "__r")
     )
 

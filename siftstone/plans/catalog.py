@@ -301,11 +301,11 @@ def seeded_hash_shuffle(t):
 
 @query("""
     WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY sha256('import:7:' || o_orderkey), o_orderkey) - 1 AS i FROM orders)
-    SELECT o_orderkey, i // 1000 + 1 AS batch_number, i % 1000 + 1 AS position, 'BATCH-' || lpad(CAST(i // 1000 + 1 AS VARCHAR), 3, '0') AS batch_code FROM o
+    SELECT o_orderkey, i // 7 + 1 AS batch_number, i % 7 + 1 AS position, 'BATCH-' || lpad(CAST(i // 7 + 1 AS VARCHAR), CAST(greatest(3, length(CAST(i // 7 + 1 AS VARCHAR))) AS INTEGER), '0') AS batch_code FROM o
 """)
 def logical_batches(t):
     rows = t("orders").select("o_orderkey", rounds.hash_order("import", 7, F.col("o_orderkey")).alias("digest"))
-    return rounds.logical_batches(rows, "digest", ["o_orderkey"], 1000, "BATCH").select("o_orderkey", "batch_number", "position", "batch_code")
+    return rounds.logical_batches(rows, "digest", ["o_orderkey"], 7, "BATCH").select("o_orderkey", "batch_number", "position", "batch_code")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -331,10 +331,9 @@ def normalise_candidates(t):
     return rows.select("page_id", "url", F.try_parse_url("url", F.lit("HOST")).alias("host"), text.https_url(F.col("url")).alias("secure"), "problem")
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0")
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_path_extract(t):
-    k = F.get_json_object("props", "$.k").try_cast("long")
-    return t("events").select("event_id", k.alias("k")).filter("k % 2 = 0")
+    return t("events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
 
 
 @query("SELECT event_id, json_exists(props, '$.k') AS has_k, json_exists(props, '$.missing') AS has_other FROM events")
@@ -343,7 +342,8 @@ def json_key_exists(t):
 
 
 @query("""
-    SELECT c_custkey, md5(concat_ws('|', coalesce(c_name, '\\N'), coalesce(CAST(c_nationkey AS VARCHAR), '\\N'), coalesce(c_mktsegment, '\\N'))) AS fingerprint FROM customer
+    SELECT c_custkey, md5(coalesce(length(c_name) || ':' || c_name, '-') || coalesce(length(CAST(c_nationkey AS VARCHAR)) || ':' || c_nationkey, '-') || coalesce(length(c_mktsegment) || ':' || c_mktsegment, '-')) AS fingerprint
+    FROM customer
 """)
 def version_preservation_check(t):
     return checks.fingerprint(t("customer"), ["c_custkey"], ["c_name", "c_nationkey", "c_mktsegment"])
@@ -357,11 +357,19 @@ def changed_versions(t):
 
 
 @query("""
-    SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS occurrence_count, md5(l_returnflag || '|' || l_linestatus || '|' || l_linenumber) AS evidence_id
-    FROM lineitem GROUP BY ALL
+    WITH l AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag || '|' ELSE l_returnflag END AS a, CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus ELSE '|' || l_linestatus END AS b, CASE WHEN l_linenumber < 6 THEN l_linenumber END AS c FROM lineitem)
+    SELECT a, b, c, count(*) AS occurrence_count, md5(length(a) || ':' || a || length(b) || ':' || b || coalesce(length(CAST(c AS VARCHAR)) || ':' || c, '-')) AS evidence_id
+    FROM l GROUP BY ALL
 """)
 def evidence_dedup(t):
-    return evidence.dedup(t("lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"])
+    """Values that hold the separator of a careless digest, and nulls: no two contents share an identifier."""
+    even = F.col("l_linenumber") % 2 == 0
+    rows = t("lineitem").select(
+        F.when(even, F.concat("l_returnflag", F.lit("|"))).otherwise(F.col("l_returnflag")).alias("a"),
+        F.when(even, F.col("l_linestatus")).otherwise(F.concat(F.lit("|"), "l_linestatus")).alias("b"),
+        F.when(F.col("l_linenumber") < 6, F.col("l_linenumber")).alias("c"),
+    )
+    return evidence.dedup(rows, ["a", "b", "c"])
 
 
 # --- joins of sources, reviews, responses --------------------------------------------
@@ -471,13 +479,20 @@ def coordinate_validity(t):
 
 
 @query("""
-    WITH p AS (SELECT c_custkey, 'taken at Latitude: ' || (c_custkey % 90) || '.25, longitude: -' || c_nationkey || '.5 by the lake' AS s FROM customer)
-    SELECT c_custkey, CAST(regexp_extract(s, '(?i)latitude: (-?[0-9.]+)', 1) AS DOUBLE) AS lat, CAST(regexp_extract(s, '(?i)longitude: (-?[0-9.]+)', 1) AS DOUBLE) AS lon FROM p
+    WITH p AS (SELECT c_custkey, c_nationkey, c_custkey % 100 AS a, c_nationkey * 8 AS b FROM customer)
+    SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'labelled_decimal' WHEN c_custkey % 3 = 1 THEN 'hemisphere_decimal' ELSE 'degrees' END AS kind,
+           CASE c_custkey % 3 WHEN 0 THEN a + 0.25 WHEN 1 THEN -(a + 0.25) ELSE a + CAST(30 AS DOUBLE) / 60 + 9.0 / 3600 END AS lat,
+           CASE c_custkey % 3 WHEN 0 THEN -(b + 0.5) WHEN 1 THEN b + 0.55 ELSE -(b + CAST(c_nationkey AS DOUBLE) / 60 + 1.5 / 3600) END AS lon
+    FROM p WHERE a < 90 AND b < 180 AND NOT (c_custkey % 3 = 0 AND a + 0.25 > 90)
 """)
 def text_coordinates(t):
-    s = F.concat(F.lit("taken at Latitude: "), (F.col("c_custkey") % 90).cast("string"), F.lit(".25, longitude: -"), F.col("c_nationkey").cast("string"), F.lit(".5 by the lake"))
-    lat, lon = text.labelled_coordinates(s)
-    return t("customer").select("c_custkey", lat.alias("lat"), lon.alias("lon"))
+    """Three ways to write a point; points off the globe are left out."""
+    a, b, n = (F.col("c_custkey") % 100).cast("string"), (F.col("c_nationkey") * 8).cast("string"), F.col("c_nationkey").cast("string")
+    labelled = F.concat(F.lit("taken at Latitude: "), a, F.lit(".25, longitude: -"), b, F.lit(".5 by the lake, lat 7"))
+    sided = F.concat(F.lit("here: "), a, F.lit(".25 S, "), b, F.lit(".55 E"))
+    parts = F.concat(a, F.lit("\u00b0 30' 9\" N, "), b, F.lit("\u00b0 "), n, F.lit("' 1.5\" W; 12\u00b0 70' 0\" N, 1\u00b0 0' 0\" E"))
+    s = F.when(F.col("c_custkey") % 3 == 0, labelled).when(F.col("c_custkey") % 3 == 1, sided).otherwise(parts)
+    return t("customer").select("c_custkey", F.explode(text.text_coordinates(s)).alias("p")).select("c_custkey", "p.kind", "p.lat", "p.lon")
 
 
 @query("""
@@ -490,27 +505,39 @@ def machine_tag_pair(t):
     return t("customer").select("c_custkey", lat.alias("lat"), lon.alias("lon"))
 
 
-@query("SELECT c_custkey, CAST(c_custkey % 80 AS DOUBLE) AS lat, CAST(-1 - c_nationkey AS DOUBLE) AS lon FROM customer")
+@query("""
+    SELECT c_custkey, CASE WHEN c_custkey % 7 < 5 THEN CAST(c_custkey % 80 + 0.5 AS DOUBLE) END AS lat, CASE WHEN c_custkey % 7 < 5 THEN CAST(-1.25 - c_nationkey AS DOUBLE) END AS lon FROM customer
+""")
 def map_link_coordinates(t):
-    a, b = (F.col("c_custkey") % 80).cast("string"), F.concat(F.lit("-"), (F.col("c_nationkey") + 1).cast("string"))
-    forms = [("?mlat=", "&mlon="), ("?q=", ","), ("/@", ","), ("#map=12/", "/")]
+    """Five forms of links; a shop's link and one whose named pair is off the globe have no point."""
+    a, b = F.concat((F.col("c_custkey") % 80).cast("string"), F.lit(".5")), F.concat(F.lit("-"), (F.col("c_nationkey") + 1).cast("string"), F.lit(".25"))
+    osm, maps = "https://www.openstreetmap.org/", "https://maps.google.com/"
+    forms = [(osm + "?mlat=", "&mlon=", ""), (maps + "?q=", ",", ""), (maps + "maps/@", ",", ",12z"), (osm + "#map=12/", "/", ""), (maps + "?q=cafe&ll=", "%2C", ""), ("https://shop.example/x?lat=", "&lon=", ""), (maps + "?lat=200&lon=5&q=", ",", "")]
     url = F.lit(None).cast("string")
-    for k, (x, y) in enumerate(forms):
-        url = F.when(F.col("c_custkey") % 4 == k, F.concat(F.lit("https://maps.example.org/place" + x), a, F.lit(y), b)).otherwise(url)
+    for k, (x, y, z) in enumerate(forms):
+        url = F.when(F.col("c_custkey") % 7 == k, F.concat(F.lit(x), a, F.lit(y), b, F.lit(z))).otherwise(url)
     lat, lon = text.link_coordinates(url)
     return t("customer").select("c_custkey", lat.alias("lat"), lon.alias("lon"))
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS links, regexp_extract(html, 'href=\"([^\"]*)\"', 1) AS first_link FROM pages")
+@query(r"""
+    WITH a AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*>'), lambda x: regexp_extract(x, '(?i)\shref\s*=\s*["'']?([^"''\s>]*)', 1)), lambda x: x <> '') AS l FROM pages)
+    SELECT page_id, len(l) AS links, l[1] AS first_link FROM a
+""")
 def html_links(t):
     found = text.hrefs(F.col("html"))
     return t("pages").select("page_id", long(F.size(found)).alias("links"), F.get(found, 0).alias("first_link"))
 
 
-@query()
+@query(r"""
+    WITH s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<script[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style[^>]*>.*?</style\s*>', '', 'g') AS h FROM pages),
+    b AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)</?(p|br|div|li)([\s/][^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS x FROM s),
+    e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS x FROM b),
+    l AS (SELECT page_id, list_filter(list_transform(string_split(x, chr(10)), lambda y: trim(regexp_replace(y, '[ \t\x{a0}]+', ' ', 'g'), ' ' || chr(9) || chr(13) || chr(12) || chr(11))), lambda y: y <> '') AS y FROM e)
+    SELECT page_id, array_to_string(y, chr(10)) AS text FROM l
+""")
 def visible_text(t):
-    seen = text.visible_text(F.col("html"))
-    return t("pages").select("page_id", seen.alias("v")).select("page_id", F.col("v.text").alias("text"), F.size("v.links").alias("links"))
+    return t("pages").select("page_id", text.visible_text(F.col("html"))["text"].alias("text"))
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS n_tokens FROM documents")
@@ -518,29 +545,59 @@ def text_tokens(t):
     return t("documents").select("doc_id", long(F.size(text.tokens(F.col("text")))).alias("n_tokens"))
 
 
-@query("SELECT doc_id, trim(substring(text, 1 + greatest(0, 200 - 140), least(length(text), 210 + 140) - greatest(0, 200 - 140)), ' ') AS excerpt FROM documents WHERE length(text) > 250")
+@query("SELECT doc_id, regexp_replace(substring(text, 1 + greatest(0, 200 - 140), least(length(text), 210 + 140) - greatest(0, 200 - 140)), '^\\s+|\\s+$', '', 'g') AS excerpt FROM documents WHERE length(text) > 250")
 def text_excerpt(t):
     rows = t("documents").filter(F.char_length("text") > 250)
     return rows.select("doc_id", text.excerpt(F.col("text"), F.lit(200), F.lit(210)).alias("excerpt"))
 
 
 @query("""
-    SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL WHEN o_orderkey % 5 = 3 THEN 30 ELSE (1 + o_orderkey % 9) * CASE o_orderkey % 5 WHEN 0 THEN 60 WHEN 1 THEN 1440 ELSE 10080 END END AS minutes,
-           CASE WHEN o_orderkey % 5 = 4 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'before' ELSE 'after' END AS relation
-    FROM orders
+    WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS f, o_orderkey % 9 AS n FROM orders)
+    SELECT o_orderkey, unnest(CASE f
+        WHEN 0 THEN [{m: CAST((n + 0.5) * 60 AS DOUBLE), r: 'after', k: 'relative_time_unspecified'}]
+        WHEN 1 THEN [{m: CAST(720 AS DOUBLE), r: 'before', k: 'travel_or_itinerary_timing'}]
+        WHEN 2 THEN [{m: CAST(1440 AS DOUBLE), r: 'before', k: 'biological_stage_timing'}, {m: CAST(n AS DOUBLE), r: 'after', k: 'biological_stage_timing'}]
+        WHEN 3 THEN [{m: CAST(15 AS DOUBLE), r: 'before', k: 'relative_time_unspecified'}, {m: CAST(30 AS DOUBLE), r: 'after', k: 'relative_time_unspecified'}]
+        WHEN 4 THEN [{m: CAST(20160 AS DOUBLE), r: 'before', k: 'group_or_greeting_timing'}]
+        ELSE [] END, recursive := true)
+    FROM o
 """)
 def relative_time(t):
-    number, word = (1 + F.col("o_orderkey") % 9).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, " earlier").otherwise(" later")
-    unit = F.when(F.col("o_orderkey") % 5 == 0, " hours").when(F.col("o_orderkey") % 5 == 1, " days").otherwise(" weeks")
-    phrase = F.when(F.col("o_orderkey") % 5 == 4, "no time here").when(F.col("o_orderkey") % 5 == 3, F.concat(F.lit("seen half an hour"), word)).otherwise(F.concat(F.lit("we came "), number, unit, word, F.lit(" again")))
-    minutes, relation = text.relative_minutes(phrase)
-    return t("orders").select("o_orderkey", minutes.alias("minutes"), relation.alias("relation"))
-
-
-@query()
+    """All phrases of a text, with decimals, words and short units, and what they are about."""
+    n = (F.col("o_orderkey") % 9).cast("string")
+    forms = [
+        F.concat(F.lit("we met "), n, F.lit(".5 "), F.lit("hours later again")),
+        F.lit("Twelve hrs ago the bus left"),
+        F.concat(F.lit("hatched twenty-four hours earlier, seen "), n, F.lit(" mins after")),
+        F.lit("quarter of an hour prior to it, or half an hour later"),
+        F.lit("greetings from us, two weeks before"),
+        F.lit("some time ago"),
+    ]
+    phrase = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        phrase = F.when(F.col("o_orderkey") % 6 == k, form).otherwise(phrase)
+    found = t("orders").select("o_orderkey", F.explode(text.relative_times(phrase)).alias("x"))
+    return found.select("o_orderkey", F.col("x.minutes").alias("m"), F.col("x.relation").alias("r"), F.col("x.narrative").alias("k"))
+
+
+@query(r"""
+    WITH tok AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\x{3400}-\x{9fff}]|[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM documents),
+    alias AS (SELECT DISTINCT p AS place, list_transform(regexp_extract_all(a, '[\x{3400}-\x{9fff}]|[\p{L}\p{N}]+'), lambda x: lower(x)) AS a
+              FROM (SELECT CAST(c_nationkey AS VARCHAR) AS p, word AS a FROM (SELECT DISTINCT c_nationkey FROM customer), (SELECT unnest(['the', 'in the', 'the the', 'and']) AS word) WHERE c_nationkey < 3)),
+    ph AS (SELECT array_to_string(a, ' ') AS phrase, len(a) AS n, count(DISTINCT place) AS places FROM alias GROUP BY ALL),
+    pos AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM tok),
+    hit AS (SELECT doc_id, i, max(n) AS n, arg_max(places, n) AS places FROM pos JOIN ph ON array_to_string(w[i + 1:i + n], ' ') = phrase AND i + n <= len(w) GROUP BY doc_id, i),
+    chain AS (SELECT doc_id, list({i: i, n: n, p: places} ORDER BY i) AS h FROM hit GROUP BY doc_id),
+    picked AS (SELECT doc_id, unnest(list_reduce(list_prepend({f: 0, t: CAST([] AS STRUCT(i BIGINT, n BIGINT, p BIGINT)[])}, list_transform(h, lambda x: {f: -1, t: [x]})),
+        lambda a, b: CASE WHEN b.t[1].i >= a.f THEN {f: CAST(b.t[1].i + b.t[1].n AS INTEGER), t: list_concat(a.t, b.t)} ELSE a END).t) AS x FROM chain)
+    SELECT doc_id, x.n AS length, x.p AS places, count(*) AS hits FROM picked GROUP BY ALL
+""")
 def gazetteer_matches(t):
-    names = t("conversations").select(F.col("conv_id").cast("string").alias("place"), F.array_join(F.slice(text.tokens(F.col("text")), 1, 2), " ").alias("alias"))
-    return places.match_phrases(t("documents"), "doc_id", F.col("text"), names, "alias", "place").select("doc_id", "start", "length", F.size("places").alias("places"))
+    """How often each document names a place, by the alias' length; leftmost, then longest, without overlaps."""
+    nation = F.col("c_nationkey").cast("string").alias("place")
+    names = t("customer").filter("c_nationkey < 3").select(nation).distinct().select("place", F.explode(F.array(*[F.lit(w) for w in ("the", "in the", "the the", "and")])).alias("alias"))
+    found = places.match_phrases(t("documents"), "doc_id", F.col("text"), names, "alias", "place")
+    return found.groupBy("doc_id", long("length").alias("length"), long(F.size("places")).alias("places")).agg(F.count(F.lit(1)).alias("hits"))
 
 
 # --- evidence, ranking, maps ---------------------------------------------------------
@@ -605,7 +662,7 @@ def isolation_knn(t):
     return places.kth_nearest_km(p, "k", "lat", "lon").select("k", F.round("isolation_km", 3).alias("isolation_km"))
 
 
-BOXES = [("south", -1000.0, 2000.0, 0, 9, 1), ("middle", 2000.0, 6000.0, 0, 24, 2), ("rich", 5000.0, 10000.0, 5, 20, 3)]
+BOXES = [("south", -1000.0, 2000.0, 0, 9), ("middle", 2000.0, 6000.0, 0, 24), ("rich", 5000.0, 10000.0, 5, 20)]
 
 
 @query("""
@@ -613,9 +670,25 @@ BOXES = [("south", -1000.0, 2000.0, 0, 9, 1), ("middle", 2000.0, 6000.0, 0, 24,
     SELECT c_custkey, min_by(region, o) AS region FROM customer LEFT JOIN b ON c_acctbal BETWEEN x0 AND x1 AND c_nationkey BETWEEN y0 AND y1 GROUP BY c_custkey
 """)
 def region_lookup(t):
-    rows = t("customer").select("c_custkey", "c_acctbal", "c_nationkey")
-    boxes = rows.sparkSession.createDataFrame(BOXES, "region string, x0 double, x1 double, y0 int, y1 int, o int")
-    return places.in_boxes(rows, boxes, "c_acctbal", "c_nationkey", "x0", "x1", "y0", "y1", "o", "region").select("c_custkey", "region")
+    return places.in_boxes(t("customer"), BOXES, "c_acctbal", "c_nationkey").select("c_custkey", "region")
+
+
+#: A square in the far east that runs past the meridian of 180 degrees, and one around the origin.
+SQUARES = [("east", [[[100.0, -10.0], [120.0, -10.0], [120.0, 10.0], [100.0, 10.0]]]), ("middle", [[[-5.0, -5.0], [5.0, -5.0], [5.0, 5.0], [-5.0, 5.0]]])]
+
+
+@query("""
+    WITH p AS (SELECT c_custkey, CAST(c_custkey % 41 - 20 AS DOUBLE) AS lat, CAST((c_custkey * 7) % 360 - 180 AS DOUBLE) AS lon FROM customer),
+    -- on the scaled plane of a point the nearest place of a square is the point with its coordinates held within the square's
+    d AS (SELECT c_custkey, n, greatest(x0 - lon, lon - x1, 0) * cos(radians(lat)) AS dx, greatest(y0 - lat, lat - y1, 0) AS dy
+          FROM p, (VALUES ('east', 100, 120, -10, 10), ('middle', -5, 5, -5, 5)) s(n, x0, x1, y0, y1)),
+    k AS (SELECT c_custkey, n, sqrt(dx * dx + dy * dy) * pi() * 6371.0088 / 180 AS km FROM d)
+    SELECT p.c_custkey, coalesce(min_by(n, km) FILTER (km <= 200), 'Other') AS region FROM p JOIN k ON k.c_custkey = p.c_custkey GROUP BY p.c_custkey
+""")
+def nearest_region(t):
+    """Points in or within 200 km of two squares; those on the far side of the globe are in neither."""
+    rows = t("customer").select("c_custkey", (F.col("c_custkey") % 41 - 20).cast("double").alias("lat"), ((F.col("c_custkey") * 7) % 360 - 180).cast("double").alias("lon"))
+    return places.region_of(rows, "lat", "lon", SQUARES).select("c_custkey", "region")
 
 
 @query("""
