@@ -16,8 +16,8 @@ forbids the pair, if it comes before both pieces are used up by their own tokens
 of equal rank is done from left to right, so at equal rank the left piece's own merge comes
 first and the right piece's own comes later.
 
-Words repeat, so each worker keeps the ids of words it has met, up to a fixed number of
-short ones.
+Words repeat, so a task keeps the ids of words it has met, up to a fixed number of short
+ones, and gives them up when it ends.
 """
 
 from __future__ import annotations
@@ -36,12 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words that a worker keeps, and the characters of the longest of them.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
 KEPT_LENGTH = 48
 #: Pairs of tokens that a worker keeps the compatibility of.
-KEPT_PAIRS = 2_000_000
+KEPT_PAIRS = 500_000
 #: Characters that are encoded together.
-BATCH_CHARACTERS = 2_000_000
+BATCH_CHARACTERS = 400_000
+#: Words that advance together.
+PART = 8_000
 #: A token takes so many bits of a packed pair.
 BITS, MASK = 20, (1 << 20) - 1
 #: Stands between words while they are encoded; not a letter of any vocabulary.
@@ -121,6 +123,11 @@ class PrefixBpe:
         self.words: dict[str, bytes] = {}  # a pre-token: its ids
         self.table = str.maketrans({chr(b): c for b, c in enumerate(self.letters)} | {"\xff": BETWEEN})
 
+    def forget(self) -> None:
+        """Gives up what was kept of the texts met: the worker may go on with other work."""
+        self.spaced.clear()
+        self.words.clear()
+
     def _edge(self, token: int, right: bool) -> list[tuple[int, int]]:
         """The pieces at one edge of a token, each with the rank of the merge that uses it up."""
         edge, used = [], NEVER
@@ -227,8 +234,8 @@ class PrefixBpe:
             if w not in out:
                 (short if len(w) <= KEPT_LENGTH else long_).append(w)
         for group in (short, *([w] for w in long_)):
-            for k in range(0, len(group), 20_000):
-                part = group[k : k + 20_000]
+            for k in range(0, len(group), PART):
+                part = group[k : k + PART]
                 out.update(zip(part, self.encode_words(part), strict=True))
         if len(known) < KEPT_WORDS:
             known.update((w, out[w]) for w in short)
@@ -322,6 +329,7 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 "decoded_sha256": [hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for d in decoded],
             }
             yield pd.DataFrame(out | ({"ids": ids, "decoded": decoded} if outputs else {}))
+        bpe.forget()
 
     # identifiers travel as strings: pandas has no null among integers
     rows = df.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").alias("t")).mapInPandas(run, schema)
