@@ -5,17 +5,17 @@ searched with the covering masks of ``RADIUS`` bits: two texts that differ in so
 any word are certain to share one of its buckets.  At a given Jaccard similarity that
 happens with a known probability, so the number of words follows from the similarity and
 ``RECALL``, and their length from the number of texts, such that a bucket holds few unlike
-texts at any size: 13 words of 35 bits (91 tables) for 200,000 texts, 31 of 45 (217) for
+texts at any size: 14 words of 35 bits (98 tables) for 200,000 texts, 33 of 45 (231) for
 12 million.
 
-Texts with equal shingles are one node.  A bucket row is a key and a node; the ``COMPARED``
-first words of bits are joined to the rows that share a bucket.  Candidates differ in
-``LIMIT`` of these bits at most (at similarity 0.8 one pair in a thousand differs in more)
-and are linked if the exact Jaccard similarity of their shingles is high enough.
+Texts with equal shingles are one node.  A bucket row is a key and a node; words of bits are
+joined to the rows that share a bucket, four for chance meetings and sixteen where more rows
+meet, which tell similar texts from almost similar ones.  Candidates differ in few of these
+bits and are linked if the exact Jaccard similarity of their shingles is high enough.
 
 Buckets of more than ``BLOCK`` rows are cut into blocks, so no task holds one.  In the first
-tables a spanning set of near candidates, taken block by block, connects most of each large
-group.  Then every candidate in all tables between what isn't yet connected is verified: of
+tables a spanning set of near candidates and each row's nearest ones, taken block by block,
+connect most of each large group.  Then every candidate in all tables between what isn't yet connected is verified: of
 a bucket, the rows outside its largest group are compared with all its rows, block by block.
 The result is what all verified candidates connect.
 """
@@ -37,13 +37,20 @@ from .simhash_cover import SEED, SMALL_BUCKET, masks, signed, spanning
 
 RADIUS = 2
 #: Probability that a lone pair at the least similarity shares a bucket.
-RECALL = 0.93
+RECALL = 0.94
 #: A bucket holds ``1 / 2 ** SPARE`` unlike texts on average.
 SPARE = 2
-#: 64-bit words of bits that are compared, and how many bits may differ in candidates, and in near ones.
-COMPARED = 4
-LIMIT = 56
+#: 64-bit words of bits that are compared in any bucket, and in those of more than ``FEW`` rows.
+COMPARED, ALL = 4, 16
+FEW = 3
+#: Bits that may differ in candidates: of the compared and of all (at the least similarity more do in
+#: one pair of a thousand, or of a hundred), and of the compared in near ones.
+LIMIT, LIMIT_OF_ALL = 56, 181
 NEAR = 30
+#: A distance that no candidates have.
+FAR = 1 << 14
+#: Of a block's rows each is verified with so many first.
+NEAREST = 3
 #: Words whose tables are searched first.
 FIRST_WORDS = 2
 #: Rows of a bucket that are compared at once, and of these those that are compared with the others in one step.
@@ -99,7 +106,7 @@ def majorities(hashes: np.ndarray, words: int) -> np.ndarray:
 
 def _fingerprints(rows: DataFrame, width: int, words: int, bits: int) -> DataFrame:
     """(``id`` as a string, ``text_hash``, ``node``, ``size``, compared bits, ``words``) of rows (``id``, ``text_hash``, ``text``)."""
-    pool = max(COMPARED, -(-words * bits // 64))
+    pool = max(ALL, -(-words * bits // 64))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -113,18 +120,20 @@ def _fingerprints(rows: DataFrame, width: int, words: int, bits: int) -> DataFra
             cut = np.packbits(each, axis=2, bitorder="little").view("<i8").reshape(-1, words)
             compared = packed.view("<i8")
             out = {"id": batch["id"], "text_hash": batch["text_hash"], "node": node, "size": np.fromiter(map(len, sets), np.int64, len(sets))}
-            yield pd.DataFrame(out | {c: compared[:, k] for k, c in enumerate(BITS)} | {"words": list(cut)})
+            more = [row.tobytes() for row in compared[:, COMPARED:ALL]]
+            yield pd.DataFrame(out | {c: compared[:, k] for k, c in enumerate(BITS)} | {"more": more, "words": list(cut)})
 
-    return rows.mapInPandas(run, "id string, text_hash bigint, node bigint, size bigint, " + ", ".join(f"{c} bigint" for c in BITS) + ", words array<bigint>")
+    return rows.mapInPandas(run, "id string, text_hash bigint, node bigint, size bigint, " + ", ".join(f"{c} bigint" for c in BITS) + ", more binary, words array<bigint>")
 
 
 def _together(nodes: DataFrame, words: int, bits: int) -> DataFrame:
-    """(``key``, ``n``, ``node``, ``size``, compared bits) where ``n`` nodes share a bucket; a key's lowest bits are its table."""
+    """(``key``, ``n``, ``node``, ``size``, bits) where ``n`` nodes share a bucket; a key's lowest bits are its table."""
     tables = [(k, m) for k in range(words) for m in masks(RADIUS, bits)]
     key = [F.xxhash64(F.lit(t), F.col("words")[k].bitwiseAND(F.lit(signed(m)))).bitwiseAND(F.lit(-4096)).bitwiseOR(F.lit(t)) for t, (k, m) in enumerate(tables)]
     dealt = nodes.select(F.explode(F.array(*key)).alias("key"), "node").repartition("key")
     shared = dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
-    return shared.join(nodes.drop("words"), "node").select("key", "n", "node", "size", *BITS)
+    more = F.when(F.col("n") > FEW, F.col("more")).alias("more")
+    return shared.join(nodes.drop("words"), "node").select("key", "n", "node", "size", *BITS, more)
 
 
 def _blocks(n: Column) -> Column:
@@ -162,17 +171,60 @@ def _compared(part: pd.DataFrame) -> list[np.ndarray]:
     return [part[c].to_numpy(np.int64).view(np.uint64) for c in BITS]
 
 
+class _Distances:
+    """Bits in which rows differ; ``FAR`` where they are no candidates.  Rows without more bits differ in none of these."""
+
+    def __init__(self, part: pd.DataFrame):
+        self.bits = _compared(part)
+        none = bytes(8 * (ALL - COMPARED))
+        packed = b"".join(none if m is None else bytes(m) for m in part["more"].tolist())
+        self.more = np.frombuffer(packed, "<u8").reshape(-1, ALL - COMPARED).T.copy()
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        d = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int16) for w in self.bits)
+        near = d <= LIMIT
+        d += sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int16) for w in self.more)
+        return np.where(near & (d <= LIMIT_OF_ALL), d, np.int16(FAR))
+
+
 def _ordered(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
 def _first_pairs(rows: DataFrame) -> DataFrame:
-    """Candidates that connect, in each block, what its near candidates connect."""
+    """Candidates: of each block those that connect what its near candidates connect, and each row with its ``NEAREST`` nearest."""
 
     def compare(part: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
-        x, y = spanning(_compared(part), np.repeat(np.arange(len(edges) - 1), np.diff(edges)), NEAR)
-        node = part["node"].to_numpy()
-        return _ordered(node[x], node[y])
+        far, node = _Distances(part), part["node"].to_numpy()
+        begins, sizes = edges[:-1], np.diff(edges)
+        xs, ys = (list(z) for z in zip(spanning(far.bits, np.repeat(np.arange(len(sizes)), sizes), NEAR), strict=True))
+        # small blocks: all of them at once, each row with the next, the one after, ...
+        small = sizes <= SMALL_BUCKET
+        ahead = np.where(np.repeat(small, sizes), np.repeat(begins + sizes, sizes) - np.arange(len(part)), 0)
+        at, lag, met = np.arange(len(part)), 1, [np.zeros((3, 0), np.int64)]
+        while len(at := at[ahead[at] > lag]):
+            d = far(at, at + lag)
+            few = at[d < FAR]
+            met.append(np.stack([few, few + lag, d[d < FAR]]))
+            lag += 1
+        x, y, d = np.concatenate(met, axis=1)
+        x, y, d = np.r_[x, y], np.r_[y, x], np.r_[d, d]
+        order = np.lexsort((d, x))
+        x, y = x[order], y[order]
+        place = np.arange(len(x)) - np.searchsorted(x, x)
+        xs.append(x[place < NEAREST])
+        ys.append(y[place < NEAREST])
+        for begin, end in zip(begins[~small].tolist(), edges[1:][~small].tolist(), strict=True):
+            here = np.arange(begin, end)
+            for k in range(0, len(here), CHUNK):
+                i = here[k : k + CHUNK]
+                d = far(i[:, None], here[None, :])
+                d[np.arange(len(i)), i - begin] = FAR
+                best = np.argpartition(d, NEAREST, axis=1)[:, :NEAREST]
+                row, at = np.nonzero(np.take_along_axis(d, best, 1) < FAR)
+                xs.append(i[row])
+                ys.append(here[best[row, at]])
+        return _ordered(node[np.concatenate(xs)], node[np.concatenate(ys)])
 
     return _by_bucket(_in_blocks(rows), compare, "a bigint, b bigint").distinct()
 
@@ -188,7 +240,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
         x, y = spanning(_compared(part), np.repeat(np.arange(len(edges) - 1), np.diff(edges)), LIMIT)
         return pd.DataFrame({"node": np.unique(part["node"].to_numpy()[np.r_[x, y]])})
 
-    small = _by_bucket(rows.filter(F.col("n") <= BLOCK).drop("n", "size"), compare, "node bigint")
+    small = _by_bucket(rows.filter(F.col("n") <= BLOCK).drop("n", "size", "more"), compare, "node bigint")
     return small.unionByName(rows.filter(F.col("n") > BLOCK).select("node")).distinct()
 
 
@@ -203,15 +255,16 @@ def _pairs_between(rows: DataFrame, similarity: float) -> DataFrame:
     as_any = F.transform(F.sequence(F.lit(0), minor - 1), lambda u: F.struct(own_b.alias("b"), u.alias("u"), F.lit(1).alias("side")))
     as_few = F.transform(F.sequence(F.lit(0), whole - 1), lambda b: F.struct(b.alias("b"), own_u.alias("u"), F.lit(2).alias("side")))
     cells = F.when(whole == 1, one).when(F.col("label") == F.col("major"), as_any).otherwise(F.concat(as_any, as_few))
-    dealt = rows.join(mixed_, F.col("key") == F.col("of")).select("key", "node", "size", "label", *BITS, F.explode(cells).alias("cell"))
-    dealt = dealt.select(F.xxhash64("key", "cell.b", "cell.u").alias("key"), "cell.side", "node", "size", "label", *BITS)
+    dealt = rows.join(mixed_, F.col("key") == F.col("of")).select("key", "node", "size", "label", *BITS, "more", F.explode(cells).alias("cell"))
+    dealt = dealt.select(F.xxhash64("key", "cell.b", "cell.u").alias("key"), "cell.side", "node", "size", "label", *BITS, "more")
 
     def compare(part: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
-        bits, node, label, size, side = _compared(part), *(part[c].to_numpy() for c in ("node", "label", "size", "side"))
+        far = _Distances(part)
+        node, label, size, side = (part[c].to_numpy() for c in ("node", "label", "size", "side"))
 
         def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             fits = (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
-            return fits & (sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int16) for w in bits) <= LIMIT)
+            return fits & (far(i, j) < FAR)
 
         begins, sizes = edges[:-1], np.diff(edges)
         small = (sizes <= SMALL_BUCKET) & (side[begins] == 0) if len(begins) else sizes > 0
@@ -263,7 +316,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     texts = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     words, bits = layout(texts.count(), similarity)
     docs = written(_fingerprints(texts, width, words, bits).withColumn("id", F.col("id").cast(kind)), "fingerprints")
-    nodes = docs.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", *BITS, "words")])
+    nodes = docs.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", *BITS, "more", "words")])
     together = written(_together(written(nodes, "nodes"), words, bits), "buckets")
     wanted = docs.join(_candidates(together), "node").groupBy("node").agg(F.min("text_hash").alias("h"))
 
