@@ -53,3 +53,13 @@ def later(now: Column, before: Column) -> Column:
 def in_years(day: Column, first: int, last: int) -> Column:
     """Whether a day lies in a range of years; days that aren't known always do."""
     return day.isNull() | F.year(day).between(first, last)
+
+
+def series_key(export_date: Column, key: Column) -> Column:
+    """What makes photos of a cell one series: the same full date; a partial date joins nothing."""
+    return F.when(F.char_length(export_date) == 10, export_date).otherwise(F.concat(F.lit("#"), key.cast("string")))
+
+
+def instant(text: Column) -> Column:
+    """A time with or without an offset (then UTC) as an instant; null for other text."""
+    return F.when(text.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(text)).otherwise(F.try_to_timestamp(F.concat(text, F.lit("Z"))))

@@ -80,6 +80,11 @@ def radius(series: Column) -> Column:
     return F.least(F.lit(38.0), 6 * F.sqrt(series.cast("double")))
 
 
+def marker_size(points: Column) -> Column:
+    """A marker's size: five and the binary logarithm of its points, 13 at most."""
+    return F.least(F.lit(13.0), 5 + F.log2(points.cast("double")))
+
+
 def ramp_fraction(day: Column, first: str, last: str) -> Column:
     """Where a day lies between two days, clamped to 0..1; null stays null."""
     share = F.datediff(day, F.to_date(F.lit(first))) / F.datediff(F.to_date(F.lit(last)), F.to_date(F.lit(first)))

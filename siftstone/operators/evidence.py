@@ -44,14 +44,14 @@ def rank_candidates(df: DataFrame, key: str, candidate: str, score: str, source:
     """
     rolled = df.groupBy(key, candidate).agg(F.max(score).alias("best"), F.countDistinct(source).alias("sources"))
     total = F.col("best") + 4 * F.least(F.lit(3), F.col("sources") - 1)
-    scored = rolled.withColumn("total", total)
-    # Spark limits each key's rows before the shuffle, so no more than keep + 1 meet for any key.
-    order = Window.partitionBy(key).orderBy(F.desc("total"), F.desc("sources"), candidate)
-    best = scored.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= keep + 1)
-    lists = best.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", F.col(candidate).alias("c"), F.col("total").alias("t")))).alias("top"))
-    counts = scored.groupBy(key).agg(F.count(F.lit(1)).alias("candidates"))
+    # one order and one count of the same rows, which need one shuffle by key
+    w = Window.partitionBy(key)
+    order = w.orderBy(F.desc("total"), F.desc("sources"), candidate)
+    scored = rolled.withColumn("total", total).withColumns({"n": F.row_number().over(order), "candidates": F.count(F.lit(1)).over(w)})
+    best = scored.filter(F.col("n") <= keep + 1)
+    lists = best.groupBy(key, "candidates").agg(F.sort_array(F.collect_list(F.struct("n", F.col(candidate).alias("c"), F.col("total").alias("t")))).alias("top"))
     first = F.col("top")[0]
-    return lists.join(counts, key).select(
+    return lists.select(
         key,
         first["c"].alias("chosen"),
         first["t"].alias("chosen_score"),

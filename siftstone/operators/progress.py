@@ -49,13 +49,21 @@ def neighbours(items: DataFrame, batch: Sequence[str], position: str) -> DataFra
 def seek(items: DataFrame, anchors: DataFrame, batch: Sequence[str], position: str, anchor: str) -> DataFrame:
     """For each anchor, which need not be a position of an item, the position after and before it, with wrap-around.
 
-    One pass per batch: minima and maxima on either side of the anchor.
+    Positions and anchors stand in one order, and each anchor looks back to the last position
+    below and ahead to the first above it, so anchors aren't joined with the items of their
+    batch.  Anchors of batches without items drop out.
     """
-    at, here = F.col(position), F.col(anchor)
-    found = anchors.join(items.select(*batch, position), list(batch)).groupBy(*batch, anchor).agg(
-        F.min(F.when(at > here, at)).alias("after"), F.max(F.when(at < here, at)).alias("before"), F.min(at).alias("first"), F.max(at).alias("last")
-    )
-    return found.select(*batch, anchor, F.coalesce("after", "first").alias("next_position"), F.coalesce("before", "last").alias("previous_position"))
+    at = items.select(*batch, F.col(position).cast("long").alias("__at"), F.lit(1).alias("__item")).distinct()
+    asked = anchors.select(*batch, F.col(anchor).cast("long").alias("__at"), F.lit(0).alias("__item"), F.lit(True).alias("__asked")).distinct()
+    both = at.withColumn("__asked", F.lit(False)).unionByName(asked)
+    w = Window.partitionBy(*batch)
+    seen = F.when(F.col("__item") == 1, F.col("__at"))
+    below = w.orderBy("__at").rangeBetween(Window.unboundedPreceding, -1)
+    above = w.orderBy("__at").rangeBetween(1, Window.unboundedFollowing)
+    found = both.withColumns({"before": F.max(seen).over(below), "after": F.min(seen).over(above)}).filter("__asked")
+    ends = items.groupBy(*batch).agg(F.min(position).cast("long").alias("first"), F.max(position).cast("long").alias("last"))
+    out = found.join(ends, list(batch))
+    return out.select(*batch, F.col("__at").alias(anchor), F.coalesce("after", "first").alias("next_position"), F.coalesce("before", "last").alias("previous_position"))
 
 
 def resume(items: DataFrame, batch: Sequence[str], position: str, item: str, reviewed: str) -> DataFrame:

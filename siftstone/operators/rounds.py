@@ -6,6 +6,41 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
+
+#: Parts into which the values of an order are cut, and leading characters that tell parts of texts.
+RANGES, LETTERS = 1024, 3
+
+
+def _coarse(df: DataFrame, column: str) -> Column:
+    """A value that never falls where ``column`` rises, and takes few values."""
+    c, kind = F.col(f"`{column}`"), df.schema[column].dataType
+    if isinstance(kind, StringType):
+        return F.substring(c, 1, LETTERS)
+    if not isinstance(kind, NumericType):
+        c = F.unix_micros(c.cast("timestamp"))
+    low, high = df.agg(F.min(c).cast("double"), F.max(c).cast("double")).first()
+    if low is None or high <= low:
+        return F.lit(0)
+    return F.floor((c.cast("double") - low) * (RANGES / (high - low))).cast("long")
+
+
+def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with the rank, from 1, of each row in its group in ascending ``order`` (columns, nulls first).
+
+    No task ranks a whole group: its rows fall into parts by the first column of the order,
+    counts of the parts are summed up, and ranks are taken within a part.
+    """
+    dealt = df.withColumn("__part", _coarse(df, order[0]))
+    counts = dealt.groupBy(*group, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(group)], F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = dealt.withColumn("__nth", F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order)))
+    same = F.col("__part").eqNullSafe(F.col("__p"))
+    for k, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{k}"))
+    out = inside.join(starts, same).withColumn(name, (F.col("__start") + F.col("__nth")).cast("long"))
+    return out.drop("__part", "__p", "__nth", "__start", *[f"__g{k}" for k in range(len(group))])
 
 
 def json_pair(a: Column, b: Column) -> Column:
@@ -19,8 +54,8 @@ def json_pair(a: Column, b: Column) -> Column:
 
 def digest_positions(df: DataFrame, group: Sequence[str], a: str, b: str, keys: Sequence[str], name: str = "position") -> DataFrame:
     """Positions within each group in the order of the MD5 of a JSON pair, then of the keys."""
-    order = [F.md5(json_pair(F.col(a).cast("string"), F.col(b).cast("string"))), *keys]
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    keyed = df.withColumn("__md5", F.md5(json_pair(F.col(a).cast("string"), F.col(b).cast("string"))))
+    return ranked(keyed, group, ["__md5", *keys], name).drop("__md5")
 
 
 def group_numbers(df: DataFrame, group: Sequence[str], name: str = "group_number") -> DataFrame:
@@ -36,11 +71,13 @@ def balanced(df: DataFrame, group: Sequence[str], order: Sequence[str], most: in
 
     The buckets are those of ``ntile``, whose number may here depend on the group.
     """
-    w = Window.partitionBy(*group)
-    rank = F.row_number().over(w.orderBy(*order)) - 1
-    numbered = df.withColumn("__r", rank).withColumn("__n", F.count(F.lit(1)).over(w))
+    sizes = df.groupBy(*[F.col(g).alias(f"__of{k}") for k, g in enumerate(group)]).agg(F.count(F.lit(1)).alias("__n"))
+    same = F.lit(True)
+    for k, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"__of{k}"))
+    numbered = ranked(df, group, order, "__r").withColumn("__r", F.col("__r") - 1).join(sizes, same)
     buckets = F.ceil(F.col("__n") / F.lit(most)).cast("long")
-    return _tile(numbered.withColumn("__b", buckets)).drop("__r", "__n", "__b", "__q", "__m", "__big")
+    return _tile(numbered.withColumn("__b", buckets)).drop("__r", "__n", "__b", "__q", "__m", "__big", *[f"__of{k}" for k in range(len(group))])
 
 
 def _tile(df: DataFrame) -> DataFrame:
@@ -56,8 +93,8 @@ def _tile(df: DataFrame) -> DataFrame:
 def append_positions(existing: DataFrame, new: DataFrame, batch: Sequence[str], position: str, order: Sequence[str]) -> DataFrame:
     """``new`` with positions that go on after the greatest of their batch."""
     last = existing.groupBy(*batch).agg(F.max(position).alias("__last"))
-    rank = F.row_number().over(Window.partitionBy(*batch).orderBy(*order))
-    return new.withColumn("__rank", rank).join(last, list(batch), "left").withColumn(position, (F.coalesce("__last", F.lit(0)) + F.col("__rank")).cast("long")).drop("__rank", "__last")
+    placed = ranked(new, batch, order, "__rank").join(last, list(batch), "left")
+    return placed.withColumn(position, (F.coalesce("__last", F.lit(0)) + F.col("__rank")).cast("long")).drop("__rank", "__last")
 
 
 def regroup(df: DataFrame, key: Sequence[str], batch: str, preferred: Sequence[Column]) -> DataFrame:
@@ -65,6 +102,10 @@ def regroup(df: DataFrame, key: Sequence[str], batch: str, preferred: Sequence[C
     return df.withColumn("destination", F.first(batch).over(Window.partitionBy(*key).orderBy(*preferred)))
 
 
+#: Hexadecimal digits that tell ranges of a digest.
+LEADING = 5
+
+
 def hash_order(salt: str, seed: int, ordinal: Column) -> Column:
     """The sort key of a seeded shuffle: SHA-256 of ``<salt>:<seed>:<ordinal>`` in hex."""
     return F.sha2(F.concat(F.lit(f"{salt}:{seed}:"), ordinal.cast("string")), 256)
@@ -73,15 +114,21 @@ def hash_order(salt: str, seed: int, ordinal: Column) -> Column:
 def logical_batches(df: DataFrame, digest: str, ties: Sequence[str], size: int, prefix: str) -> DataFrame:
     """Ordinals, batch numbers and positions of all rows in the order of a hex digest, and batch codes.
 
-    The order is global, but no task ranks all rows: those that share the first three digits
-    are ranked together, and a running sum over the 4,096 counts does the rest.
+    The order is global, but no task ranks all rows: those that share the first ``LEADING`` digits
+    are ranked together, and running sums over their counts do the rest, one over those that
+    share three digits and one over the 4,096 sums of these.
     """
-    dealt = df.withColumn("__b", F.substring(digest, 1, 3))
+    dealt = df.withColumn("__b", F.substring(digest, 1, LEADING))
     counts = dealt.groupBy(F.col("__b").alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__c", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))  # 4,096 rows at most
+    counts = counts.withColumn("__top", F.substring("__c", 1, 3))
+    tops = counts.groupBy(F.col("__top").alias("__t")).agg(F.sum("__n").alias("__m"))  # 4,096 rows at most
+    above = Window.orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("__t", F.coalesce(F.sum("__m").over(above), F.lit(0)).alias("__base"))
+    before = Window.partitionBy("__top").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    inside = counts.select("__c", "__top", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__in"))
+    starts = inside.join(F.broadcast(tops), F.col("__top") == F.col("__t")).select("__c", (F.col("__base") + F.col("__in")).alias("__s"))
     rank = F.row_number().over(Window.partitionBy("__b").orderBy(digest, *ties)) - 1
-    out = dealt.withColumn("__r", rank).join(F.broadcast(starts), F.col("__b") == F.col("__c")).withColumn("ordinal", F.col("__s") + F.col("__r"))
+    out = dealt.withColumn("__r", rank).join(starts, F.col("__b") == F.col("__c")).withColumn("ordinal", F.col("__s") + F.col("__r"))
     batch = F.floor(F.col("ordinal") / size).cast("long") + 1
     return (
         out.withColumn("batch_number", batch)

@@ -38,11 +38,16 @@ def relation(delta: Column) -> Column:
 
 
 def nearest(pairs: DataFrame, key: str, windows: Sequence[tuple[str, int]] = (("hour", HOUR), ("day", DAY))) -> DataFrame:
-    """For each target, window and relation the nearest anchor (then the least key) and how many there are."""
-    size = F.explode(F.array(*[F.struct(F.lit(n).alias("window"), F.lit(s).alias("reach")) for n, s in windows]))
-    wide = pairs.withColumn("__w", size).filter(F.abs("delta_seconds") <= F.col("__w.reach")).withColumn("relation", relation(F.col("delta_seconds")))
+    """For each target, window and relation the nearest anchor (then the least key) and how many there are.
+
+    An anchor counts in the first of ``windows`` that holds it, ends included, and in no other.
+    """
+    window = F.lit(None).cast("string")
+    for name, reach in reversed(windows):
+        window = F.when(F.abs("delta_seconds") <= reach, name).otherwise(window)
+    wide = pairs.withColumn("window", window).filter("window IS NOT NULL").withColumn("relation", relation(F.col("delta_seconds")))
     order = F.struct(F.abs("delta_seconds"), F.col(f"anchor_{key}"))
-    best = wide.groupBy(key, F.col("__w.window").alias("window"), "relation").agg(
+    best = wide.groupBy(key, "window", "relation").agg(
         F.min_by(F.struct(F.col(f"anchor_{key}").alias("anchor"), F.col("delta_seconds").alias("delta")), order).alias("b"), F.count(F.lit(1)).alias("anchors")
     )
     return best.select(key, "window", "relation", F.col("b.anchor").alias("anchor_id"), (F.col("b.delta") / 60).alias("minutes"), "anchors")

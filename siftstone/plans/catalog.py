@@ -6,41 +6,18 @@ items of a batch (a nation), events for photos of an owner (a user).
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, text
 from ..operators import candidates, checks, consensus, evidence, places, progress, reconcile, rounds, timeline, versioned
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import reviews  # noqa: F401  registers its queries
+from .registry import ORACLES, QUERIES, long, query  # noqa: F401
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 FLAGS = {"is_pressing": ["1-URGENT", "2-HIGH"], "is_open": ["4-NOT SPECIFIED"], "exclude_from_training": ["5-LOW", "4-NOT SPECIFIED"]}
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with the SQL that gives the same rows."""
-
-    def add(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-        run.__name__, run.__doc__ = f.__name__, f.__doc__
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def long(c: str | Column) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("long")
-
-
 # --- consensus, latest answers -------------------------------------------------------
 
 CONSENSUS_SQL = """
@@ -290,7 +267,7 @@ def append_positions(t):
 def refresh_remaining(t):
     seen = t("orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     left = progress.pending(t("customer").select("c_custkey", "c_nationkey"), seen, ["c_custkey"])
-    return consensus.by_rank(left, ["c_nationkey"], [F.col("c_custkey")], "position").withColumn("position", long("position"))
+    return rounds.ranked(left, ["c_nationkey"], ["c_custkey"], "position")
 
 
 @query("SELECT o_orderkey, sha256('shuffle:0:' || o_orderkey) AS digest, row_number() OVER (ORDER BY sha256('shuffle:0:' || o_orderkey), o_orderkey) - 1 AS ordinal FROM orders")
@@ -442,7 +419,7 @@ def temporal_interval_join(t):
 
 @query(f"""
     WITH p AS ({PAIRS_SQL}), w AS (SELECT *, CASE WHEN d > 0 THEN 'before' WHEN d < 0 THEN 'after' ELSE 'same_time' END AS relation, "window"
-        FROM p, (VALUES ('hour', 3600000000), ('day', 86400000000)) x("window", reach) WHERE abs(d) <= reach)
+        FROM (SELECT *, CASE WHEN abs(d) <= 3600000000 THEN 'hour' ELSE 'day' END AS "window" FROM p))
     SELECT event_id, "window", relation, anchor_id, CAST(d AS DOUBLE) / 1000000 / 60 AS minutes, count(*) OVER (PARTITION BY event_id, "window", relation) AS anchors
     FROM w QUALIFY row_number() OVER (PARTITION BY event_id, "window", relation ORDER BY abs(d), anchor_id) = 1
 """)

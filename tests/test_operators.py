@@ -64,6 +64,8 @@ def test_seeded_shuffle_and_batches(spark):
     assert [r["id"] for r in got] == [r["id"] for r in df.orderBy("d").collect()]
     assert [(r["batch_number"], r["position"]) for r in got] == [(k // 1000 + 1, k % 1000 + 1) for k in range(2500)]
     assert got[2000]["batch_code"] == "B-003"
+    codes = {r["batch_number"]: r["batch_code"] for r in rounds.logical_batches(df, "d", ["id"], 2, "B").collect()}
+    assert codes[999] == "B-999" and codes[1000] == "B-1000" and len(set(codes.values())) == 1250
 
 
 def test_balanced_like_ntile(spark):
@@ -95,7 +97,7 @@ def test_neighbours_in_time(spark):
     rows = spark.createDataFrame([("a", 1, at(12)), ("a", 2, at(13)), ("a", 3, at(12)), ("a", 4, at(10, 30)), ("b", 5, at(12))], "owner string, id int, at timestamp_ntz")
     pairs = timeline.interval_join(rows.filter("id = 1"), rows, "owner", "at", "id")
     assert values(timeline.nearest(pairs, "id"), "window", "relation", "anchor_id", "minutes", "anchors") == [
-        ("day", "after", 2, -60.0, 1), ("day", "before", 4, 90.0, 1), ("day", "same_time", 3, 0.0, 1), ("hour", "after", 2, -60.0, 1), ("hour", "same_time", 3, 0.0, 1),
+        ("day", "before", 4, 90.0, 1), ("hour", "after", 2, -60.0, 1), ("hour", "same_time", 3, 0.0, 1),
     ]
 
 
@@ -140,12 +142,12 @@ def test_phrases_leftmost_longest(spark):
     units = spark.createDataFrame([(1, "From New York City to York, new york!")], "u int, t string")
     names = spark.createDataFrame([("New York", "ny"), ("york city", "yc"), ("York", "y"), ("York", "y2"), ("new york city", "nyc")], "a string, p string")
     got = places.match_phrases(units, "u", F.col("t"), names, "a", "p").orderBy("start").collect()
-    assert [(r["start"], r["length"], r["places"]) for r in got] == [(1, 3, ["nyc"]), (5, 1, ["y", "y2"]), (6, 2, ["ny"])]
+    assert [(r["start"], r["length"], r["places"]) for r in got] == [(5, 3, ["nyc"]), (22, 1, ["y", "y2"]), (28, 2, ["ny"])]
 
 
 @pytest.mark.parametrize(
     ("phrase", "minutes", "relation"),
-    [("Two hours later", 120, "after"), ("half an hour before", 30, "before"), ("a week ago", 10080, "before"), ("15 min earlier", 15, "before"), ("quarter hour after", 15, "after"), ("no time", None, None)],
+    [("Two hours later", 120, "after"), ("half an hour before", 30, "before"), ("a week ago", 10080, "before"), ("15 min earlier", 15, "before"), ("quarter hour after", 15, "after"), ("3.5 hours later", 210, "after"), ("twenty-four hrs prior to it", 1440, "before"), ("no time", None, None)],
 )
 def test_relative_minutes(spark, phrase, minutes, relation):
     a, b = text.relative_minutes(F.lit(phrase))
@@ -214,8 +216,40 @@ def test_units_and_mentions(spark):
     assert values(got, "source", "text", "by_owner") == sorted(
         [("title", "Lake", True), ("description", "Lake", True), ("tag", "geo:lat=1", True), ("tag", "lake", True), ("comment", "mine", True), ("comment", "nice?", False)], key=repr
     )
-    rows = spark.createDataFrame([("comment", True, "was in Rome", ""), ("title", True, "x", "taken in "), ("tag", True, "rome?", ""), ("owner_profile", True, "a?", ""), ("description", True, "native to Rome", "")], "s string, o boolean, t string, b string")
-    assert [r[0] for r in rows.select(clues.mention_kind(F.col("s"), F.col("o"), F.col("t"), F.col("b"))).collect()] == ["owner_comment", "capture", "question", "owner_profile", "distribution"]
+
+
+def test_mentions_are_classified(spark):
+    from siftstone.operators import clues
+
+    it, us, land = ("rome", "settlement", "IT", True), ("rome-us", "settlement", "US", False), ("it", "country", "IT", True)
+    rows = [
+        # unit, source, by the owner, text, mention, places, countries of the photo
+        (1, "comment", True, "seen in Rome today", "Rome", [it], []),
+        (2, "comment", False, "was in Rome", "Rome", [it], []),
+        (3, "title", True, "taken in Rome", "Rome", [it, us], ["IT"]),
+        (4, "tag", True, "#Rome", "Rome", [it, us], []),
+        (5, "owner_profile", True, "Rome?", "Rome", [it], []),
+        (6, "description", True, "native to Rome", "Rome", [it], []),
+        (7, "description", True, "we like rome", "rome", [it], []),
+        (8, "description", True, "we like italy", "italy", [land], []),
+        (9, "description", True, "Where is this, Rome?", "Rome", [it], []),
+        (10, "title", True, "Rome", "Rome", [us], ["US"]),
+        (11, "title", True, "Rome", "Rome", [it], []),
+        (12, "description", True, "greetings from Rome", "Rome", [it], []),
+        (13, "tag", False, "geo:country=Italy", "Italy", [land], []),
+    ]
+    data = [(u, s, o, t, t.index(m), t.index(m) + len(m), p, c, []) for u, s, o, t, m, p, c in rows]
+    schema = "u int, source string, by_owner boolean, text string, start int, stop int, places array<struct<place: string, level: string, country: string, canonical: boolean>>, context array<string>, local array<string>"
+    got = {r["u"]: r for r in clues.classified(spark.createDataFrame(data, schema)).collect()}
+    assert {u: (r["kind"], r["eligible"]) for u, r in got.items()} == {
+        1: ("owner_comment_locality", True), 2: ("comment_place_mention", False), 3: ("explicit_photo_locality", True), 4: ("place_tag", False), 5: ("owner_profile_place", False),
+        6: ("distribution_place", False), 8: ("description_place_mention", False), 9: ("location_question", False), 10: ("title_place", False), 11: ("title_place", False),
+        12: ("greeting_or_group_place", False), 13: ("place_tag", True),
+    }
+    assert "ambiguous_place_name" in got[4]["flags"] and "alternate_settlement_name_without_capture_context" in got[10]["flags"]
+    assert "settlement_lacks_country_or_capture_context" in got[11]["flags"] and "tag_author_not_verified_as_owner" in got[13]["flags"]
+    local = clues.local_countries(spark.createDataFrame([(1, [land]), (1, [it, us]), (2, [it])], "u int, places array<struct<place: string, level: string, country: string, canonical: boolean>>"), "u")
+    assert values(local, "u", "local") == [(1, ["IT"]), (2, [])]
 
 
 def test_provisional_places(spark):
@@ -239,5 +273,102 @@ def test_statuses_in_order(spark):
 
     row = spark.range(1).select(clues.status(other_mention=F.lit(True), machine_tags=F.lit(True), profile_only=F.lit(None).cast("boolean")), clues.status(profile_only=F.lit(False))).first()
     assert tuple(row) == ("machine_tags", "none")
-    c = spark.createDataFrame([("a", 1, "IT"), ("a", 1, "FR"), ("a", 2, "IT"), ("b", 1, "IT"), ("b", 1, "FR")], "id string, u int, c string")
-    assert values(clues.country_context(c, "u", "id", "c"), "id", "context") == sorted([("a", "IT"), ("b", None)], key=repr)
+    c = spark.createDataFrame(
+        [
+            ("a", 1, "tag", "IT", "settlement", False), ("a", 1, "tag", "FR", "settlement", False), ("a", 2, "title", "IT", "settlement", False), ("b", 1, "tag", "IT", "settlement", False), ("b", 1, "tag", "FR", "settlement", False),
+            ("c", 1, "tag", "GE", "country", False), ("c", 1, "tag", "US", "region", False), ("c", 2, "comment", "US", "country", True), ("d", 1, "title", "NO", "country", False), ("d", 2, "tag", "SE", "country", True), ("d", 3, "tag", "DK", "settlement", False),
+        ],
+        "id string, m int, s string, c string, l string, f boolean",
+    )
+    # a: shared by two mentions; b, c: one ambiguous mention says nothing, comments don't count; d: what a tag states
+    assert values(clues.country_context(c, "id", "m", "s", "c", "l", "f"), "id", "context") == [("a", ["IT"]), ("d", ["SE"])]
+
+
+def test_regions_across_the_far_meridian(spark):
+    east = [[[100.0, -10.0], [120.0, -10.0], [120.0, 10.0], [100.0, 10.0]]]
+    dateline = [[[179.0, -10.0], [181.0, -10.0], [181.0, 10.0], [179.0, 10.0]]]
+    points = spark.createDataFrame([(1, 30.0, -70.0), (2, 0.0, 121.0), (3, 0.0, -178.5), (4, 0.0, 178.2)], "k int, lat double, lon double")
+    got = dict(values(places.region_of(points, "lat", "lon", [("east", east), ("dateline", dateline)]), "k", "region"))
+    assert got == {1: "Other", 2: "east", 3: "dateline", 4: "dateline"}
+
+
+def test_nearest_of_few_and_dense_points(spark):
+    rows = [(k, 10 + k * 1e-4, 20.0) for k in range(300)] + [(1000, 10.0, 20.0), (2000, -60.0, -170.0), (3000, None, 1.0)]
+    got = {r["k"]: r["isolation_km"] for r in places.kth_nearest_km(spark.createDataFrame(rows, "k int, lat double, lon double"), "k", "lat", "lon").collect()}
+    assert len(got) == len(rows) and got[3000] is None and got[0] == got[1000] == pytest.approx(5e-4 * 111.195, rel=1e-3) and got[2000] > 5000
+    few = places.kth_nearest_km(spark.createDataFrame(rows[:4], "k int, lat double, lon double"), "k", "lat", "lon")
+    assert {r["isolation_km"] for r in few.collect()} == {None}
+
+
+def test_digests_tell_contents_apart(spark):
+    rows = spark.createDataFrame([(1, "a|b", "c"), (2, "a", "b|c"), (3, None, "-"), (4, "-", None), (5, "1:a", None)], "k int, x string, y string")
+    assert len({r["fingerprint"] for r in checks.fingerprint(rows, ["k"], ["x", "y"]).collect()}) == 5
+    one, two = checks.table_fingerprint(rows, ["x", "y"]).first(), checks.table_fingerprint(rows.orderBy("y"), ["x", "y"]).first()
+    assert one == two and one != checks.table_fingerprint(rows.limit(4), ["x", "y"]).first()
+    with pytest.raises(checks.CheckFailed):
+        checks.require_unchanged_rows(rows, rows.withColumn("x", F.lit("a")), ["k"], ["x"])
+    checks.require_unchanged_rows(rows, rows.orderBy("y"), ["k"], ["x", "y"])
+
+
+@pytest.mark.parametrize(
+    ("url", "point"),
+    [
+        ("https://www.openstreetmap.org/?mlat=1.5&mlon=-2.5", (1.5, -2.5)), ("https://shop.example/x?lat=1.0&lon=2.0", (None, None)), ("https://maps.google.com/?lat=200&lon=1&q=1.5,2.5", (None, None)),
+        ("https://maps.google.com/?q=1.5%2C2.5", (1.5, 2.5)), ("https://maps.google.com/maps/@-1.5,2.5,3z", (-1.5, 2.5)), ("https://www.openstreetmap.org/#map=5/1/2", (1.0, 2.0)), ("https://maps.google.com/?q=0.0,0.0&ll=3.5,4.5", (3.5, 4.5)), (None, (None, None)),
+    ],
+)
+def test_points_in_links(spark, url, point):
+    lat, lon = text.link_coordinates(F.lit(url).cast("string"))
+    assert tuple(spark.range(1).select(lat, lon).first()) == point
+
+
+def test_excerpts_tokens_and_texts(spark):
+    row = spark.createDataFrame([("  \t" + "a" * 10 + " x\n\n", "Ｎew ß日本_9")], "a string, b string")
+    assert row.select(text.excerpt(F.col("a"), F.lit(5), F.lit(6))).first()[0] == "a" * 10 + " x"
+    assert [(t["token"], t["start"], t["stop"]) for t in row.select(text.folded_tokens("b")).first()[0]] == [("new", 0, 3), ("ss", 4, 5), ("日", 5, 6), ("本", 6, 7), ("9", 8, 9)]
+    page = "<p>One&amp;<b>two</b><br>three<!-- no --><script>if (a<b) {}</script></p><div><a HREF='x&amp;y'>link</a><a>none</a></div><style>p{}</style>last\xa0 word"
+    seen = spark.createDataFrame([(page,), (None,)], "h string").select(text.visible_text("h").alias("v")).collect()
+    assert (seen[0]["v"]["text"], seen[0]["v"]["links"]) == ("One&two\nthree\nlinknone\nlast word", ["x&y"]) and seen[1]["v"]["text"] == ""
+    assert spark.range(1).select(text.utf16_parts(F.lit("😀" * 5 + "ab"), F.lit(3))).first()[0] == ["😀"] * 4 + ["😀a", "b"]
+    assert spark.range(1).select(text.utf16_parts(F.lit(""), F.lit(3))).first()[0] == [""]
+
+
+def test_clocks_and_localities(spark):
+    from siftstone.operators import clues
+
+    rows = spark.createDataFrame([("We left at around 10.30 am and ate by 1:15 p.m., at 7:00", False), ("seen near the old mill, by us. Then home", False), ("locality: Wood End!", True)], "t string, known boolean")
+    got = rows.select(clues.clock_times(F.col("t")).alias("c"), clues.unlisted_locality(F.col("t"), F.col("known")).alias("l")).collect()
+    assert got[0]["c"] == ["10.30 am", "1:15 p.m"] and got[1]["l"] == "the old mill, by us" and got[2]["l"] is None
+
+
+def test_dates(spark):
+    row = spark.range(1).select(
+        dates.epoch_utc(F.lit("86400")).cast("string").alias("e"), dates.epoch_utc(F.lit("x")).alias("n"), dates.series_key(F.lit("2020-01-02"), F.lit(7)).alias("s"), dates.series_key(F.lit("2020-01"), F.lit(7)).alias("p"),
+        dates.later(F.lit("2020-01-01").cast("timestamp"), F.lit("2020-01-02").cast("timestamp")).cast("string").alias("l"), dates.instant(F.lit("2020-01-01 10:00:00+02:00")).cast("string").alias("i"), dates.instant(F.lit("junk")).alias("j"),
+    ).first()
+    assert row["e"].startswith("1970-01-02") and row["n"] is None and (row["s"], row["p"]) == ("2020-01-02", "#7")
+    assert row["l"] == "2020-01-02 00:00:00.000001" and row["i"] == "2020-01-01 08:00:00" and row["j"] is None
+
+
+def test_small_helpers(spark):
+    from siftstone.operators import clues
+
+    df = spark.createDataFrame([(" Moth ", 1, 2), ("x", 1, 3), (None, 2, 2)], "l string, k int, v int")
+    assert values(clues.fold_groups(df, "l", "g", ["moth"]), "l", "g") == sorted([(" Moth ", "moth"), ("x", "Other"), (None, "Other")], key=repr)
+    pairs = df.withColumn("w", F.lit(5))
+    assert values(evidence.single_pair(pairs, "k", "v", "w"), "k", "v", "w") == sorted([(1, None, None), (2, 2, 5)], key=repr)
+    with pytest.raises(checks.CheckFailed):
+        evidence.require_one_payload(df, "k", ["v"])
+    rows = spark.createDataFrame([('{"_content": "a"}',), ('"b"',)], "j string").select(F.concat(F.lit('{"x":'), "j", F.lit("}")).alias("j"))
+    assert [r[0] for r in rows.select(clues.text_or_content(F.col("j"), "$.x")).collect()] == ["a", "b"]
+    one = spark.range(1).select(geo.ramp_colour(F.lit(0.5), (0, 0, 0), (255, 255, 255)), geo.ramp_colour(F.lit(None).cast("double"), (0, 0, 0), (1, 1, 1)), text.slug(F.lit("A b/c!"))).first()
+    assert one[0] == "#808080" and one[1] == "#888888" and one[2].startswith("a-b-c-") and len(one[2]) == 16
+    score = lambda *a: spark.range(1).select(clues.evidence_score(*map(F.lit, a))).first()[0]
+    assert (score("capture", "settlement", True), score("title", "country", False), score("tag", "region", False), score("x", "settlement", False)) == (97, 30, 47, 20)
+
+
+def test_broken_updates(spark):
+    before = spark.createDataFrame([(1, "a", 1, 10), (2, "b", 1, 10), (3, "c", 1, 10)], "k int, fixed string, version int, at int")
+    after = spark.createDataFrame([(1, "a", 2, 11), (2, "z", 2, 11), (4, "d", 1, 1)], "k int, fixed string, version int, at int")
+    bad = {r["k"] for r in versioned.broken_updates(before, after, ["k"], ["fixed"], "version", "at").collect()}
+    assert bad == {2, 3}
