@@ -25,6 +25,7 @@ whatever it lists has passed both checksums.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -94,33 +95,53 @@ def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
         at += 1
 
 
+#: A word that needs no more than the tokenizer's model: letters, and a mark at its end that is a piece of its own.
+PLAIN = re.compile(rb"([a-z]+)([.,;:!?]?)")
+SAMPLE = ["thenat", "a", "zebra", "internationalisation", "qqxzj"]
+
+
 class WordEncoder:
-    """Encodes with a tokenizer of the tokenizers library that drops white space.
+    """Encodes with a tokenizer of the tokenizers library that drops white space and case.
 
     Such a tokenizer encodes a text word by word (words between ASCII white space), so the
-    library is asked once for a word and the ids are kept.
+    library is asked once for a word and the ids are kept.  Words of the letters a-z reach
+    its model at once, since normalising and splitting would leave them as they are; the
+    constructor tries that.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         if self._library(["a b", " a\n", "b"]) != [x + y for x, y in [self._library(["a", "b"]), (self._library(["a"])[0], b""), (self._library(["b"])[0], b"")]]:
             raise ValueError(f"{path} doesn't drop white space")
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        marked = [w + m for w in SAMPLE for m in ".,;:!?"]
+        ids = self._library(SAMPLE)
+        if (
+            ids != [np.array(e.ids, np.uint32).tobytes() for e in self.model.encode_batch(SAMPLE)]
+            or self._library([w.upper() for w in SAMPLE]) != ids
+            or self._library(marked) != [i + m for i in ids for m in self._library(list(".,;:!?"))]
+        ):
+            raise ValueError(f"{path} doesn't take lower-case letters as they are")
+        self.marks = dict(zip([b"", *(m.encode() for m in ".,;:!?")], [b"", *self._library(list(".,;:!?"))], strict=True))
         self.known: dict[bytes, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _of_words(self, words: list[str]) -> list[bytes]:
+    @staticmethod
+    def _of_words(tokenizer, words: list[str]) -> list[bytes]:
         """The ids of each word; the library gets them as lines of many words, and its offsets tell whose an id is."""
         out: list[bytes] = []
         for k in range(0, len(words), LINE):
             part = words[k : k + LINE]
-            line = self.library.encode(" ".join(part), add_special_tokens=False)
+            line = tokenizer.encode(" ".join(part), add_special_tokens=False)
             begins = np.fromiter((a for a, _ in line.offsets), np.int64, len(line.ids))
             ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
             stops = (np.searchsorted(begins, ends) * 4).tolist()  # the first id that begins after the word
@@ -128,18 +149,31 @@ class WordEncoder:
             out += [ids[i:j] for i, j in zip([0, *stops], stops, strict=False)]
         return out
 
+    def _of_new(self, new: list[bytes]) -> dict[bytes, bytes]:
+        plain = {w: m.groups() for w in new if (m := PLAIN.fullmatch(w))}
+        letters = list({a for a, _ in plain.values()})
+        ids = dict(zip(letters, self._of_words(self.model, [w.decode() for w in letters]), strict=True))
+        others = [w for w in new if w not in plain]
+        out = dict(zip(others, self._of_words(self.library, [w.decode("utf-8") for w in others]), strict=True))
+        out.update((w, ids[a] + self.marks[mark]) for w, (a, mark) in plain.items())
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode("utf-8").split() for t in texts]
+        # "<" may begin a special token, in which case counts
+        split = [(d if b"<" in d else d.lower()).split() for d in (t.encode("utf-8") for t in texts)]
         known = self.known
-        new = list(set().union(*split).difference(known))
-        known.update(zip(new, self._of_words([w.decode("utf-8") for w in new]), strict=True))
-        ids_of = known.__getitem__
-        out = [np.frombuffer(b"".join(map(ids_of, words)), np.uint32) for words in split]
-        full = len(known) > KEPT_WORDS
-        for w in new:
-            if full or len(w) > KEPT_LENGTH:
-                del known[w]
-        return out
+        get = known.get
+        found = [list(map(get, words)) for words in split]
+        missing = [(k, [i for i, x in enumerate(ids) if x is None]) for k, ids in enumerate(found) if None in ids]
+        new = list({split[k][i] for k, places in missing for i in places})
+        fresh = self._of_new(new)
+        for k, places in missing:
+            words, ids = split[k], found[k]
+            for i in places:
+                ids[i] = fresh[words[i]]
+        if len(known) < KEPT_WORDS:
+            known.update((w, x) for w, x in fresh.items() if len(w) <= KEPT_LENGTH)
+        return [np.frombuffer(b"".join(ids), np.uint32) for ids in found]
 
 
 @cache
