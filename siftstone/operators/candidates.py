@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,18 +61,19 @@ def byte_chunks(df: DataFrame, group: str, order: Sequence[str], size: str, most
     """
     w = Window.partitionBy(group).orderBy(*order)
     rows = df.withColumn("__i", F.row_number().over(w))
-    sizes = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("__i", F.col(size).cast("long").alias("s")))).alias("all"))
-    start = F.struct(F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("n"), F.lit(1).alias("chunk"), F.expr("CAST(array() AS ARRAY<INT>)").alias("out"))
-
-    def step(a, x):
-        full = (a["n"] > 0) & ((a["bytes"] + x["s"] > most_bytes) | (a["n"] >= most_rows))
-        chunk = F.when(full, a["chunk"] + 1).otherwise(a["chunk"])
-        return F.struct(
-            (F.when(full, F.lit(0).cast("long")).otherwise(a["bytes"]) + x["s"]).alias("bytes"),
-            (F.when(full, F.lit(0)).otherwise(a["n"]) + 1).alias("n"),
-            chunk.alias("chunk"),
-            F.array_append(a["out"], chunk).alias("out"),
-        )
-
-    chunks = sizes.select(F.col(group).alias("__g"), F.posexplode(F.aggregate("all", start, step)["out"]).alias("__p", name))
-    return rows.join(chunks, (F.col(group) == F.col("__g")) & (F.col("__i") == F.col("__p") + 1)).drop("__g", "__p", "__i")
+    kind = df.schema[group].dataType.simpleString()
+
+    def cut(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("__i", ignore_index=True)
+        ends = part["__s"].to_numpy(np.int64).cumsum()
+        chunks, begin, chunk = np.zeros(len(part), np.int32), 0, 0
+        while begin < len(part):  # one step for each chunk
+            used = int(ends[begin - 1]) if begin else 0
+            fits = int(np.searchsorted(ends, used + most_bytes, "right"))
+            end, chunk = min(max(fits, begin + 1), begin + most_rows), chunk + 1
+            chunks[begin:end], begin = chunk, end
+        return part[["__g", "__i"]].assign(**{name: chunks})
+
+    sizes = rows.select(F.col(group).alias("__g"), "__i", F.col(size).cast("long").alias("__s"))
+    chunks = sizes.groupBy("__g").applyInPandas(cut, f"__g {kind}, __i int, {name} int").withColumnRenamed("__i", "__j")
+    return rows.join(chunks, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__i") == F.col("__j"))).drop("__g", "__j", "__i")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .consensus import plurality, with_flags
@@ -36,6 +36,12 @@ DERIVED = {
 }
 
 
+def label_dimension(spark: SparkSession) -> DataFrame:
+    """(``code``, ``priority`` from 0, ``groups``): the labels and what is derived from them."""
+    rows = [(x, k, sorted(g for g, members in DERIVED.items() if x in members)) for k, x in enumerate(LABELS)]
+    return spark.createDataFrame(rows, "code string, priority int, groups array<string>")
+
+
 def _described(campaigns: DataFrame, batches: DataFrame, items: DataFrame, campaign: str | None) -> DataFrame:
     """Items with what is known of their batch and campaign."""
     c = campaigns.select(F.col("id").alias("campaign_id"), "campaign_code", "target_scientific_name")

@@ -85,6 +85,12 @@ def explorer_filter(df: DataFrame, text: Sequence[str], needle: str = "", mode:
     return out
 
 
+def explorer_order(df: DataFrame, mode: str, key: str) -> DataFrame:
+    """Rows of the explorer: the most isolated or the widest spread first, unknown ones last, then by key."""
+    by = {"isolated": ["isolation_km"], "ambiguous": ["spread_km"]}.get(mode, [])
+    return df.orderBy(*[F.col(c).desc_nulls_last() for c in by], key)
+
+
 def location_group(priority: Column, status: Column) -> Column:
     """The sheet of an image: with a hint, with a profile only, with none, or other; an unknown status aborts."""
     from .clues import STATUSES
@@ -99,3 +105,8 @@ def marker_groups(df: DataFrame, lat: str, lon: str, key: str) -> DataFrame:
     at = [F.bround(F.col(c), 5).alias(c) for c in (lat, lon)]
     out = df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(*at).agg(F.count(F.lit(1)).alias("points"), F.min(key).alias("first"))
     return out.withColumn("size", geo.marker_size(F.col("points")))
+
+
+def placed_counts(df: DataFrame, lat: str, by: str) -> DataFrame:
+    """(``by``, ``rows``, ``mapped``, ``unplaced``): how many rows have a place."""
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), F.count(lat).alias("mapped"), F.count_if(F.col(lat).isNull()).alias("unplaced"))

@@ -195,17 +195,17 @@ def map_cells(points: DataFrame, cell: Sequence[str], series: str, at: str, key:
     return out.join(listed, list(cell))
 
 
-def match_phrases(units: DataFrame, unit: str, text: Column, aliases: DataFrame, alias: str, place: str, longest: int = 12) -> DataFrame:
+def match_phrases(units: DataFrame, unit: str, text: Column, aliases: DataFrame, alias: str, place: str, longest: int = 12, shortest: int = 1) -> DataFrame:
     """Occurrences of aliases (token sequences) in texts: leftmost, then longest, without overlaps.
 
     Returns (unit, ``start`` and ``stop`` in characters, ``length`` in tokens, ``places``: all
     places of the alias).  Tokens are folded (NFKC, case) and an ideograph is one of its own.
-    Aliases of more than ``longest`` tokens are none.  A place in a text looks only for the
+    Aliases of more than ``longest`` tokens or fewer than ``shortest`` characters are none.  A place in a text looks only for the
     lengths that aliases with its first token have.  ``aliases`` may be of any size: Spark
     broadcasts it if it is small.  A pass over a unit's few hits then picks.
     """
     names = aliases.select(F.transform(folded_tokens(F.col(alias)), lambda t: t["token"]).alias("words"), F.col(place).alias("p"))
-    names = names.filter(F.size("words").between(1, longest)).select(F.array_join("words", " ").alias("phrase"), F.col("words")[0].alias("first"), F.size("words").alias("n"), "p")
+    names = names.filter(F.size("words").between(1, longest) & (F.char_length(F.array_join("words", " ")) >= shortest)).select(F.array_join("words", " ").alias("phrase"), F.col("words")[0].alias("first"), F.size("words").alias("n"), "p")
     listed = names.groupBy("phrase").agg(F.sort_array(F.collect_set("p")).alias("places"))
     heads = names.groupBy("first").agg(F.sort_array(F.collect_set("n")).alias("lengths"))  # no more than ``longest``
     rows = units.select(unit, folded_tokens(text).alias("t"))

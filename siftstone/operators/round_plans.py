@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_key, json_point
-from .checks import require_none
+from .checks import duplicates, not_contiguous, require_none
 from .rounds import append_positions, balanced, digest_positions, group_numbers, ranked
 
 #: The key that marks items of a second round, and labels whose category has a value of its own.
@@ -138,3 +138,24 @@ def refreshed(items: DataFrame, batches: DataFrame, reviews: DataFrame) -> tuple
 def second_round_label(label: Column, metadata: Column) -> Column:
     """The label that an answer in the second round also stores there; null in the first."""
     return F.when(has_key(metadata, ROUND_KEY), label)
+
+
+def published(batches: DataFrame, items: DataFrame, opened: DataFrame, closed: DataFrame) -> DataFrame:
+    """``batches`` after a round is published: those of ``opened`` (``id``) are open, those of ``closed`` closed.
+
+    Nothing opens unless its items have positions from 1 without gaps and no image twice, and
+    it has items at all; else the plan stops.
+    """
+    new = items.join(opened.select(F.col("id").alias("batch_id")), "batch_id", "left_semi")
+    require_none(opened.join(new.select(F.col("batch_id").alias("id")), "id", "left_anti"), "batches without items")
+    require_none(not_contiguous(new, ["batch_id"], "position"), "positions have gaps")
+    require_none(duplicates(new, ["batch_id", "source_provider", "image_id"]), "images repeat in a batch")
+    marks = opened.select("id", F.lit("open").alias("__to")).unionByName(closed.select("id", F.lit("closed").alias("__to")))
+    require_none(duplicates(marks, ["id"]), "batches both opened and closed")
+    return batches.join(marks, "id", "left").withColumn("status", F.coalesce("__to", "status")).drop("__to")
+
+
+def with_latest_members(items: DataFrame, members: DataFrame) -> DataFrame:
+    """``items`` with the latest member (``position``, ``stamp``) of a shuffled round that names them as its original; others drop out."""
+    latest = members.groupBy("original_id").agg(F.max_by(F.struct("position", "stamp"), F.struct("made", "position")).alias("m"))
+    return items.join(latest, F.col("id") == F.col("original_id")).select(items["*"], F.col("m.position").alias("member_position"), F.col("m.stamp").alias("member_stamp"))

@@ -42,6 +42,18 @@ def apply_log(commands: DataFrame) -> DataFrame:
     return commands.select(F.col("item").cast("string"), F.col("reviewer").cast("string"), "seq", "submission", "label", "expected").groupBy("item", "reviewer").applyInPandas(fold, RESULT)
 
 
+def guarded(commands: DataFrame, reviews: DataFrame) -> DataFrame:
+    """``commands`` (with ``image``) with ``blocked``: a first save of an image that someone else has reviewed and the reviewer has not.
+
+    ``reviews`` has (``image``, ``reviewer``).
+    """
+    by = reviews.groupBy(F.col("image").alias("__image")).agg(F.min("reviewer").alias("__low"), F.max("reviewer").alias("__high"))
+    own = reviews.select(F.col("image").alias("__of"), F.col("reviewer").alias("__by")).distinct().withColumn("__own", F.lit(True))
+    out = commands.join(by, F.col("image") == F.col("__image"), "left").join(own, (F.col("image") == F.col("__of")) & (F.col("reviewer") == F.col("__by")), "left")
+    other = F.coalesce((F.col("__low") != F.col("reviewer")) | (F.col("__high") != F.col("reviewer")), F.lit(False))
+    return out.withColumn("blocked", other & F.col("__own").isNull()).drop("__image", "__low", "__high", "__of", "__by", "__own")
+
+
 def broken_updates(before: DataFrame, after: DataFrame, key: list[str], fixed: list[str], version: str, at: str) -> DataFrame:
     """Rows that changed what is fixed, vanished, or whose version or time did not move forward by the rules."""
     a = after.select(*key, *[F.col(c).alias(f"__{c}") for c in (*fixed, version, at)], F.lit(True).alias("__there"))

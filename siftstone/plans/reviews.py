@@ -623,3 +623,80 @@ def union_count(t):
 def sorted_json(t):
     json = F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"a":1}'))
     return t("events").select("event_id", text.sorted_json(json).alias("sorted"))
+
+
+@query("SELECT c_mktsegment, count(*) AS rows, count(*) FILTER (c_custkey % 4 > 0) AS mapped, count(*) FILTER (c_custkey % 4 = 0) AS unplaced FROM customer GROUP BY 1")
+def mapped_and_unplaced(t):
+    rows = t("customer").select("c_mktsegment", F.when(F.col("c_custkey") % 4 > 0, F.col("c_acctbal")).alias("latitude"))
+    return hygiene.placed_counts(rows, "latitude", "c_mktsegment")
+
+
+@query(f"WITH {MODEL} SELECT id, unnest(CAST(json_extract_string(source_labels, '$[*]') AS VARCHAR[])) AS label FROM items")
+def source_label_rows(t):
+    """The elements of a JSON array as rows."""
+    items = model(t)["items"]
+    return items.select("id", F.explode(F.from_json("source_labels", "array<string>")).alias("label"))
+
+
+@query(f"""
+    WITH {MODEL}, k AS (SELECT i.id, batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY position, id) AS position FROM items i)
+    SELECT b.id, CASE WHEN b.id % 2 = 0 THEN CASE WHEN b.id IN (SELECT batch_id FROM k) THEN 'open' ELSE status END WHEN b.id % 5 = 1 THEN 'closed' ELSE status END AS status FROM batches b
+""")
+def publish_round(t):
+    """Statuses after a round whose batches have passed their checks."""
+    m = model(t)
+    items = rounds.ranked(m["items"].withColumnRenamed("position", "old"), ["batch_id"], ["old", "id"], "position").withColumn("image_id", F.col("id").cast("string"))
+    opened = items.select(F.col("batch_id").alias("id")).distinct().filter("id % 2 = 0")
+    closed = m["batches"].filter("id % 2 = 1 AND id % 5 = 1").select("id")
+    return round_plans.published(m["batches"], items, opened, closed).select("id", "status")
+
+
+@query(f"""
+    WITH {MODEL}, l AS (SELECT item_id, arg_max(struct_pack(p := id % 50, s := label), (updated_at, id % 50)) AS m FROM reviews WHERE id % 3 > 0 GROUP BY 1)
+    SELECT i.id, i.image_id, m.p AS member_position, m.s AS member_stamp FROM items i JOIN l ON l.item_id = i.id
+""")
+def latest_members(t):
+    """Items with the latest of the members that a shuffled round made of them."""
+    m = model(t)
+    members = m["reviews"].filter("id % 3 > 0").select(F.col("item_id").alias("original_id"), (F.col("id") % 50).alias("position"), F.col("label").alias("stamp"), F.col("updated_at").alias("made"))
+    return round_plans.with_latest_members(m["items"].select("id", "image_id"), members)
+
+
+@query("""
+    WITH c AS (SELECT * FROM (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer) WHERE place <= 40)
+    SELECT c_custkey, place FROM c
+""")
+def explorer_head(t):
+    """The head of the explorer's list: the widest spread first."""
+    rows = t("customer").select("c_custkey", F.col("c_acctbal").alias("spread_km"), (-F.col("c_acctbal")).alias("__down"))
+    first = hygiene.explorer_order(rows, "ambiguous", "c_custkey").limit(40)
+    return rounds.ranked(first, [], ["__down", "c_custkey"], "place").select("c_custkey", "place")
+
+
+PROVISIONAL = """
+    ev AS (SELECT l_orderkey % 200 AS photo, l_suppkey AS place, CASE l_suppkey % 3 WHEN 0 THEN 'country' WHEN 1 THEN 'region' ELSE 'settlement' END AS level, CASE WHEN l_suppkey % 4 > 0 THEN 'N' || (l_suppkey % 4) END AS country,
+                  CAST(l_suppkey % 10 * 8 - 40 AS DOUBLE) AS latitude, CAST(l_suppkey % 10 * 30 - 150 AS DOUBLE) AS longitude, 's' || (l_linenumber % 4) AS source, 20 + l_linenumber * 9 AS score, CASE WHEN l_orderkey % 5 = 0 THEN 'N1' END AS owner_country FROM lineitem),
+    ok AS (SELECT * FROM ev WHERE (owner_country IS NULL OR country IS NULL OR owner_country = country) AND NOT (latitude = 0 AND longitude = 0)),
+    cand AS (SELECT photo, place, level, country, latitude, longitude, max(score) + 4 * least(3, count(DISTINCT source) - 1) AS total, count(DISTINCT source) AS sources FROM ok GROUP BY ALL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY total DESC, sources DESC, place) AS nth FROM cand)
+"""
+
+
+@query(f"""
+    WITH {PROVISIONAL}
+    SELECT photo, max(CAST(place AS VARCHAR)) FILTER (nth = 1) AS place, coalesce(string_agg(CAST(place AS VARCHAR), ',' ORDER BY nth) FILTER (nth BETWEEN 2 AND 11), '') AS alternatives,
+           concat_ws(',', CASE WHEN count(*) > 1 THEN 'several' END, CASE WHEN max(level) FILTER (nth = 1) <> 'settlement' THEN 'coarse' END, CASE WHEN max(country) FILTER (nth = 1) IS NULL THEN 'no_country' END) AS flags
+    FROM n GROUP BY photo
+""")
+def provisional_places(t):
+    """The best place of each photo, its alternatives and flags (but that of the spread)."""
+    l, s = F.col("l_orderkey"), F.col("l_suppkey")
+    level = F.when(s % 3 == 0, "country").when(s % 3 == 1, "region").otherwise("settlement")
+    rows = t("lineitem").select(
+        (l % 200).alias("photo"), s.alias("place"), level.alias("level"), F.when(s % 4 > 0, _text("N", s % 4)).alias("country"), (s % 10 * 8 - 40).cast("double").alias("latitude"), (s % 10 * 30 - 150).cast("double").alias("longitude"),
+        F.lit("title").alias("kind"), _text("s", F.col("l_linenumber") % 4).alias("source"), (20 + F.col("l_linenumber") * 9).alias("score"), F.when(l % 5 == 0, "N1").alias("owner_country"),
+    )
+    none = rows.limit(0).select("photo", F.lit(0).alias("anchor_id"), F.lit(0.0).alias("delta_seconds"), "latitude", "longitude")
+    found = clues.provisional(rows, none, "photo")
+    flags = F.array_join(F.filter("flags", lambda f: f != "spread"), ",")
+    return found.select("photo", "place", F.array_join("alternatives", ",").alias("alternatives"), flags.alias("flags"))

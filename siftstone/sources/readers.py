@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +15,19 @@ INFERRED_ROWS = 100
 NO_VALUE = "\x00none"
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, strings: bool = False) -> DataFrame:
-    """A CSV with a header; values may span lines.  Only an unquoted empty value is null.
+def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, strings: bool = False, lines: bool = False) -> DataFrame:
+    """A CSV with a header.  Only an unquoted empty value is null.
 
-    Without a schema the types are those of the first rows, and then strict.
+    Without a schema the types are those of the first rows, and then strict.  Values may span
+    lines, which makes a file one task; where none does, ``lines`` lets Spark split files.
+    A header without a name for a column is an error.
     """
-    options = {"header": True, "multiLine": True, "escape": '"', "mode": "FAILFAST", "nullValue": NO_VALUE, "emptyValue": "", "enforceSchema": False}
+    options = {"header": True, "multiLine": not lines, "escape": '"', "mode": "FAILFAST", "nullValue": NO_VALUE, "emptyValue": "", "enforceSchema": False}
+    names = spark.read.options(**options).csv(path).columns
+    if unnamed := [c for k, c in enumerate(names) if not c.strip() or c == f"_c{k}"]:
+        raise CheckFailed(f"{path}: columns without a name {unnamed}")
     if strings:
-        schema = ", ".join(f"`{c}` string" for c in spark.read.options(**options).csv(path).columns)
+        schema = ", ".join(f"`{c}` string" for c in names)
     elif schema is None:
         head = spark.read.options(**options).csv(path).limit(INFERRED_ROWS)
         lines = head.select(F.to_json(F.struct("*")).alias("j"))
@@ -49,6 +53,16 @@ def read_ndjson(spark: SparkSession, path: str, known: StructType | str) -> Data
     return lines.select(F.from_json("value", known, {"mode": "FAILFAST"}).alias("k"), F.parse_json("value").alias("rest")).select("k.*", "rest")
 
 
+def late_columns(df: DataFrame, rest: str = "rest") -> DataFrame:
+    """``df`` of :func:`read_ndjson` with each top-level field that its columns lack as a column of JSON text, in the order of names.
+
+    Fields that turn up in any line count; ``rest`` goes.  Only the fields' names are gathered.
+    """
+    keys = df.select(F.explode(F.json_object_keys(F.to_json(rest))).alias("k")).distinct()
+    late = sorted(r["k"] for r in keys.filter(~F.col("k").isin(*df.columns)).collect())
+    return df.withColumns({c: F.to_json(F.try_variant_get(rest, f"$['{c}']", "variant")) for c in late}).drop(rest)
+
+
 def load(spark: SparkSession, path: str, known: StructType | str | None = None) -> DataFrame:
     """A reader by suffix: parquet, csv, ndjson or jsonl (also gzipped)."""
     name = path.removesuffix(".gz").rstrip("/")
@@ -79,14 +93,18 @@ def require_unchanged(before: DataFrame, after: DataFrame) -> None:
 
 
 def read_pinned_csv(spark: SparkSession, path: str, sha256: str) -> DataFrame:
-    """A (gzipped) CSV of strings whose unpacked bytes must have a known digest; a byte order mark is dropped."""
-    row = spark.read.format("binaryFile").load(path).select("content").first()
-    data = bytes(row["content"])
-    if data[:2] == b"\x1f\x8b":
-        import gzip
-
-        data = gzip.decompress(data)
-    if hashlib.sha256(data).hexdigest() != sha256:
+    """A (gzipped, then named ``.gz``) CSV of strings whose unpacked bytes must have a known digest; a byte order mark is dropped.
+
+    The bytes stream through the digest; no more than a buffer of them is held.
+    """
+    jvm = spark.sparkContext._jvm
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(file)
+    if path.endswith(".gz"):
+        stream = jvm.java.util.zip.GZIPInputStream(stream)
+    digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(jvm.java.security.DigestInputStream(stream, digest), jvm.java.io.OutputStream.nullOutputStream(), 1 << 16, True)
+    if bytes(b & 255 for b in digest.digest()).hex() != sha256:
         raise CheckFailed(f"{path} isn't the pinned file")
     df = read_csv(spark, path, strings=True)
     return df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns})

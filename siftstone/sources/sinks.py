@@ -5,12 +5,18 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.checks import CheckFailed, differing, require_none
+from ..functions.text import slug
+from ..operators.checks import CheckFailed, differing, require_none, table_fingerprint
+
+
+#: Null is an empty value, an empty text is quoted, quotes are doubled.
+CSV = {"header": True, "escape": '"', "nullValue": "", "emptyValue": '""'}
 
 
 def _fs(spark: SparkSession, path: str):
@@ -46,7 +52,7 @@ def publish(df: DataFrame, path: str, kind: str = "parquet", check: bool = False
     rows = df.coalesce(1) if single else df
     try:
         if kind == "csv":
-            rows.write.options(header=True, escape='"', nullValue="", emptyValue='""', **options).csv(staged)
+            rows.write.options(**CSV, **options).csv(staged)
         elif kind == "parquet":
             rows.write.options(compression="zstd", **{"parquet.enable.dictionary": "false"}, **options).parquet(staged)
         else:
@@ -60,11 +66,13 @@ def publish(df: DataFrame, path: str, kind: str = "parquet", check: bool = False
     _replace(spark, staged, path)
 
 
-def require_contract(df: DataFrame, schema: StructType, most_bytes: int = 16 << 20) -> None:
-    """Raises unless the columns and types are those of ``schema`` and no row's text exceeds ``most_bytes``."""
+def require_contract(df: DataFrame, schema: StructType, most_bytes: int = 16 << 20, unsigned: Sequence[str] = ()) -> None:
+    """Raises unless the columns and types are those of ``schema``, no row's text exceeds ``most_bytes``, and ``unsigned`` columns fit 32 bits without a sign."""
     if [(f.name, f.dataType) for f in df.schema] != [(f.name, f.dataType) for f in schema]:
         raise CheckFailed(f"columns are {df.schema.simpleString()}, not {schema.simpleString()}")
     require_none(df.filter(F.octet_length(F.to_json(F.struct("*"))) > most_bytes).select(F.lit(1).alias("row")), "rows are too large")
+    for c in unsigned:
+        require_none(df.filter(~F.col(c).between(0, (1 << 32) - 1)).select(c), f"{c} is out of range")
 
 
 def publish_bounded(df: DataFrame, path: str, rows: int = 1000, bytes_: int = 4 << 20) -> None:
@@ -80,11 +88,65 @@ def publish_parts(df: DataFrame, path: str, column: str, kind: str = "parquet")
     spark = df.sparkSession
     staged = f"{path}.{uuid.uuid4().hex}.new"
     writer = df.write.partitionBy(column)
-    writer.parquet(staged) if kind == "parquet" else writer.options(header=True, escape='"').csv(staged)
+    try:
+        writer.parquet(staged) if kind == "parquet" else writer.options(**CSV).csv(staged)
+    except Exception:
+        fs, p = _fs(spark, staged)
+        fs.delete(p, True)
+        raise
     _replace(spark, staged, path)
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def publish_categories(df: DataFrame, path: str, category: str, image: str) -> DataFrame:
+    """A folder for each category, named by its slug and digest; returns the manifest, which is also written as ``<path>-manifest``.
+
+    The manifest says how many rows and images each category has, and all have together
+    (``category`` is null there).
+    """
+    publish_parts(df.withColumn("part", slug(F.col(category))), path, "part")
+    counts = [F.count(F.lit(1)).alias("rows"), F.countDistinct(image).alias("images")]
+    each = df.groupBy(F.col(category).alias("category"), slug(F.col(category)).alias("part")).agg(*counts)
+    whole = df.agg(*counts).select(F.lit(None).cast("string").alias("category"), F.lit("all").alias("part"), "rows", "images")
+    publish(each.unionByName(whole), f"{path}-manifest", single=True)
+    return df.sparkSession.read.parquet(f"{path}-manifest")
+
+
+def publish_tables(frames: Mapping[str, DataFrame], folder: str, kinds: Sequence[str] = ("parquet",)) -> DataFrame:
+    """Writes several tables as one version, each kind of file of each, and then makes it the current one.
+
+    Returns the manifest: each table's rows and digest.  Tables without rows keep their
+    columns and types.  A failure leaves the version before in place; earlier versions stay
+    for those who read them.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    version = uuid.uuid4().hex
+    manifest = None
+    for name, df in frames.items():
+        for kind in kinds:
+            publish(df, f"{folder}/{version}/{name}.{kind}", kind)
+        first = spark.read.parquet(f"{folder}/{version}/{name}.parquet") if "parquet" in kinds else df
+        one = table_fingerprint(first, first.columns).select(F.lit(name).alias("table"), "rows", "digest")
+        manifest = one if manifest is None else manifest.unionByName(one)
+    publish(manifest, f"{folder}/{version}/manifest.parquet", single=True)
+    publish(spark.createDataFrame([(version,)], "version string"), f"{folder}/current", single=True)
+    return spark.read.parquet(f"{folder}/{version}/manifest.parquet")
+
+
+def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """All tables of the current version: one snapshot, whatever is published meanwhile."""
+    version = spark.read.parquet(f"{folder}/current").first()["version"]
+    names = [r["table"] for r in spark.read.parquet(f"{folder}/{version}/manifest.parquet").select("table").collect()]
+    return {n: spark.read.parquet(f"{folder}/{version}/{n}.parquet") for n in names}
+
+
+def selected_rows(df: DataFrame, key: str, wanted: Sequence) -> DataFrame:
+    """The rows of ``wanted`` keys in the order in which they were asked for, safe for spreadsheets; raises if one is missing."""
+    asked = df.sparkSession.createDataFrame([(k, w) for k, w in enumerate(wanted)], f"__place long, __key {df.schema[key].dataType.simpleString()}")
+    require_none(asked.join(df, asked["__key"] == df[key], "left_anti").select("__key"), "rows that don't exist")
+    return safe_cells(asked.join(df, asked["__key"] == df[key]).orderBy("__place").drop("__place", "__key"))
+
+
 def publish_archive(df: DataFrame, path: str, record: str, metadata: str, rows: int = 1000) -> DataFrame:
     """Archive shards (record, JSON, its MD5), checked after writing; returns what was written."""
     out = df.select(F.col(record).cast("string").alias("record_id"), F.col(metadata).alias("metadata_json"), F.md5(metadata).alias("metadata_md5"))

@@ -372,3 +372,9 @@ def test_broken_updates(spark):
     after = spark.createDataFrame([(1, "a", 2, 11), (2, "z", 2, 11), (4, "d", 1, 1)], "k int, fixed string, version int, at int")
     bad = {r["k"] for r in versioned.broken_updates(before, after, ["k"], ["fixed"], "version", "at").collect()}
     assert bad == {2, 3}
+
+
+def test_saves_of_others_images(spark):
+    reviews = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", "x")], "image string, reviewer string")
+    commands = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("c", "x")], "image string, reviewer string")
+    assert values(versioned.guarded(commands, reviews), "image", "reviewer", "blocked") == [("a", "x", False), ("a", "y", True), ("b", "x", False), ("c", "x", False)]

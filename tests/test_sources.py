@@ -34,6 +34,60 @@ def test_ndjson_keeps_late_fields(spark, tmp_path):
     assert [tuple(r) for r in got] == [(1, None), (2, 1)]
 
 
+def test_late_fields_become_columns(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n{"a": 2, "late": {"x": [1]}, "b c": "t"}\n')
+    df = readers.late_columns(readers.read_ndjson(spark, str(tmp_path / "a.jsonl"), "a int"))
+    assert df.columns == ["a", "b c", "late"] and sorted(map(tuple, df.collect())) == [(1, None, None), (2, '"t"', '{"x":[1]}')]
+
+
+def test_csv_needs_names_and_may_be_split(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text("a,\n1,2\n")
+    with pytest.raises(CheckFailed, match="without a name"):
+        readers.read_csv(spark, str(tmp_path / "bad.csv"))
+    (tmp_path / "a.csv").write_text("a,b\n" + "".join(f"{k},x\n" for k in range(50)))
+    assert readers.read_csv(spark, str(tmp_path / "a.csv"), "a int, b string", lines=True).count() == 50
+
+
+def test_sets_of_tables_are_one_version(spark, tmp_path):
+    folder = str(tmp_path / "set")
+    a, b = spark.range(3), spark.createDataFrame([], "x string, n int")
+    manifest = sinks.publish_tables({"a": a, "b": b}, folder, ("parquet", "csv"))
+    assert sorted((r["table"], r["rows"]) for r in manifest.collect()) == [("a", 3), ("b", 0)]
+    one = sinks.read_tables(spark, folder)
+    with pytest.raises(Exception):  # noqa: B017
+        sinks.publish_tables({"a": spark.range(9), "b": b.withColumn("x", F.lit("y")).union(spark.range(1).select(F.raise_error(F.lit("no")).cast("string"), F.lit(1)))}, folder)
+    assert sinks.read_tables(spark, folder)["a"].count() == 3
+    sinks.publish_tables({"a": spark.range(5), "b": b}, folder)
+    assert sinks.read_tables(spark, folder)["a"].count() == 5 and one["a"].count() == 3 and one["b"].schema.simpleString() == "struct<x:string,n:int>"
+
+
+def test_categories_and_selections(spark, tmp_path):
+    df = spark.createDataFrame([("A b", 1), ("A b", 1), ("a B", 2)], "c string, i int")
+    got = {(r["category"], r["rows"], r["images"]) for r in sinks.publish_categories(df, str(tmp_path / "c"), "c", "i").collect()}
+    assert got == {("A b", 2, 1), ("a B", 1, 1), (None, 3, 2)} and spark.read.parquet(str(tmp_path / "c")).select("part").distinct().count() == 2
+    rows = spark.createDataFrame([(1, "=x"), (2, "b"), (3, "c")], "k int, t string")
+    assert [tuple(r) for r in sinks.selected_rows(rows, "k", [3, 1]).collect()] == [(3, "c"), (1, "'=x")]
+    with pytest.raises(CheckFailed):
+        sinks.selected_rows(rows, "k", [9])
+    with pytest.raises(CheckFailed):
+        sinks.require_contract(rows.select(F.lit(-1).cast("long").alias("n")), spark.range(0).withColumnRenamed("id", "n").select(F.lit(1).cast("long").alias("n")).schema, unsigned=["n"])
+
+
+def test_inputs_that_change(spark, tmp_path):
+    path = str(tmp_path / "in")
+    spark.range(3).write.parquet(path)
+    before = spark.createDataFrame(readers.file_states(spark, path).collect(), "path string, length long, modificationTime timestamp")
+    readers.require_unchanged(before, readers.file_states(spark, path))
+    spark.range(1).write.mode("append").parquet(path)
+    with pytest.raises(CheckFailed):
+        readers.require_unchanged(before, readers.file_states(spark, path))
+    (tmp_path / "p.jsonl").write_text('{"k": 1}\n{"k": 1}\n')
+    with pytest.raises(CheckFailed):
+        readers.read_plan(spark, str(tmp_path / "p.jsonl"), "k")
+    (tmp_path / "i.csv").write_text("id,v\n007,x\n")
+    assert readers.load_with_id(spark, str(tmp_path / "i.csv"), "id").dtypes[0] == ("id", "string")
+
+
 def test_pinned_file(spark, tmp_path):
     data = b"\xef\xbb\xbfid,v\n1,x\n"
     path = tmp_path / "p.csv.gz"
