@@ -49,14 +49,14 @@ GRAM = 8
 #: Bytes of text in a batch.
 BATCH = 1 << 20
 #: Suffixes of a group.
-GROUP = 6_000
+GROUP = 24_000
 #: Occurrences from which a prefix is lengthened.
 LONG_FROM = 2_000
 #: Batches whose prefixes share a bucket, and batches that are counted together first.
 SPREAD = 6
 TOGETHER = 1024
 PLACE_BITS = 31
-_HASHES = WordHashes(200_000)
+_HASHES = WordHashes(400_000)
 
 SEGMENTS = "grp bigint, salt int, batch int, segments binary, windows binary, times binary, places binary"
 
