@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import re
 import tempfile
 import uuid
@@ -86,6 +87,15 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+#: Ranges of a hash at least, as a power of two, and rows in one beyond that.
+RANGE_BITS, RANGE_ROWS = 10, 200_000
+
+
+def range_bits(rows: int) -> int:
+    """Leading bits of a hash that cut so many rows into ranges of a bounded number of rows."""
+    return max(RANGE_BITS, math.ceil(math.log2(max(rows, 1) / RANGE_ROWS)))
+
+
 class WordHashes(dict):
     """64-bit hashes of words.  Short words that were met are kept, up to a bound."""
 

@@ -9,14 +9,15 @@
 3.  Splitting tree.  The quotas are divided among the output shards by halving the set of
     shards again and again: how many blocks of each source go left is drawn from the
     multivariate hypergeometric law (source after source, each from the univariate law
-    given what is left), so that shards get equal numbers of blocks and any assignment of
+    given what is left; of very many sources first part after part), so that shards get equal numbers of blocks and any assignment of
     blocks is as likely as if all blocks had been dealt at random, though nothing but
     quotas is touched.
 4.  Drawing.  A source's blocks in permuted order are cut at the shards' quotas: shards
     draw disjoint blocks.  Within a shard blocks are shuffled by a hash.
 
 Permuted orders are those of a seeded hash.  No task ranks a whole source: rows fall into
-ranges of the hash, the totals of ranges are summed up, and ranks are taken within a range.
+ranges of the hash (more of them where there are more rows), the totals of ranges are summed
+up, and ranks are taken within a range.
 Tables with a row for each source, or for each source and range, are all that grows no
 faster than the number of sources; they are aggregated before they are shuffled.
 
@@ -28,10 +29,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, unit, word_count, written
+from .common import SPACE, range_bits, unit, word_count, written
 
 SEED = 90_210
-RANGES = 1024
+#: Sources that are drawn one after the other; of more, first how many each part of them gets.
+WIDTH = 128
 #: Standard deviations on each side of the mean that a draw can reach.
 REACH = 9
 
@@ -61,9 +63,9 @@ def source_targets(sizes: DataFrame, most_epochs: int = 3) -> DataFrame:
     return final.select("source", "place", "weight", "source_size", target.alias("target"))
 
 
-def _ranked(rows: DataFrame, group: str, hash_: str, order: list[Column], value: Column, name: str) -> DataFrame:
-    """``rows`` with ``name``: the sum of ``value`` over the rows before, by ``hash_`` within ``group``."""
-    bucket = F.shiftrightunsigned(F.col(hash_), 64 - 10).cast("int")
+def _ranked(rows: DataFrame, group: str, hash_: str, order: list[Column], value: Column, name: str, bits: int) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` over the rows before, by ``hash_`` (in ranges of its leading ``bits``) within ``group``."""
+    bucket = F.shiftrightunsigned(F.col(hash_), 64 - bits).cast("int")
     dealt = rows.withColumn("__b", bucket).withColumn("__v", value)
     totals = dealt.groupBy(F.col(group).alias("__g"), F.col("__b").alias("__c")).agg(F.sum("__v").alias("__t"))
     earlier = Window.partitionBy("__g").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
@@ -144,6 +146,31 @@ def _drawn(population: Column, good: Column, draws: Column, uniform: Column) ->
     return _let(given, lambda g: _let(ends(g), pick))
 
 
+def _dealt(draws: Column, seed: int) -> Column:
+    """``sources`` (``place``, ``k``) of a node (``lo``, ``hi``) with ``left``: how many of each are among so many ``draws`` of all.
+
+    The multivariate hypergeometric law, source after source.
+    """
+    start = F.struct(
+        F.aggregate("sources", F.lit(0).cast("long"), lambda a, s: a + s["k"]).alias("population"),
+        draws.cast("long").alias("draws"),
+        F.expr("CAST(array() AS ARRAY<STRUCT<place: INT, k: BIGINT, left: BIGINT>>)").alias("out"),
+    )
+
+    def step(acc, s):
+        u = unit(F.xxhash64(F.lit(seed), F.col("lo"), F.col("hi"), s["place"]))
+        return _let(
+            _drawn(acc["population"], s["k"], acc["draws"], u),
+            lambda n: F.struct(
+                (acc["population"] - s["k"]).alias("population"),
+                (acc["draws"] - n).alias("draws"),
+                F.array_append(acc["out"], F.struct(s["place"].alias("place"), s["k"].alias("k"), n.alias("left"))).alias("out"),
+            ),
+        )
+
+    return F.aggregate("sources", start, step)["out"]
+
+
 def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     """Divides quotas among ``shards`` shards.
 
@@ -155,38 +182,24 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     # Blocks before shard j of all: floor(total * j / shards); fixed by the whole.
     nodes = nodes.withColumn("all", F.sum("k").over(Window.partitionBy()))
     edge = lambda shard: F.floor(F.col("all") * shard / F.lit(shards)).cast("long")
+    node = ["lo", "hi", "all"]
     widest = shards
     while widest > 1:
         half = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        packed = nodes.groupBy("lo", "hi", "all").agg(F.sort_array(F.collect_list(F.struct("place", "k"))).alias("sources"))
-        start = F.struct(
-            F.aggregate("sources", F.lit(0).cast("long"), lambda a, s: a + s["k"]).alias("population"),
-            (edge(half) - edge(F.col("lo"))).alias("draws"),
-            F.expr("CAST(array() AS ARRAY<STRUCT<place: INT, k: BIGINT, left: BIGINT>>)").alias("out"),
-        )
-
-        def step(acc, s):
-            u = unit(F.xxhash64(F.lit(seed), F.col("lo"), F.col("hi"), s["place"]))
-            return _let(
-                _drawn(acc["population"], s["k"], acc["draws"], u),
-                lambda n: F.struct(
-                    (acc["population"] - s["k"]).alias("population"),
-                    (acc["draws"] - n).alias("draws"),
-                    F.array_append(acc["out"], F.struct(s["place"].alias("place"), s["k"].alias("k"), n.alias("left"))).alias("out"),
-                ),
-            )
-
-        drawn = packed.withColumn("out", F.when(F.col("hi") - F.col("lo") > 1, F.aggregate("sources", start, step)["out"]))
-        child = F.when(
-            F.col("hi") - F.col("lo") > 1,
-            F.array(
-                F.struct(F.col("lo").alias("lo"), half.alias("hi"), F.transform("out", lambda s: F.struct(s["place"].alias("place"), s["left"].alias("k"))).alias("sources")),
-                F.struct(half.alias("lo"), F.col("hi").alias("hi"), F.transform("out", lambda s: F.struct(s["place"].alias("place"), (s["k"] - s["left"]).alias("k"))).alias("sources")),
-            ),
-        ).otherwise(F.array(F.struct("lo", "hi", "sources")))
+        parts = nodes.withColumn("part", F.floor(F.col("place") / WIDTH).cast("int"))
+        packed = parts.groupBy(*node, "part").agg(F.sort_array(F.collect_list(F.struct("place", "k"))).alias("sources"), F.sum("k").alias("sum"))
+        # first how many blocks of each part of the sources go left, then, given that, of each source in it
+        whole = packed.groupBy(*node).agg(F.sort_array(F.collect_list(F.struct(F.col("part").alias("place"), F.col("sum").alias("k")))).alias("sources"))
+        dealt = whole.select(*node, F.explode(_dealt(edge(half) - edge(F.col("lo")), seed + 3)).alias("d")).select(*[F.col(c).alias(f"__{c}") for c in node], F.col("d.place").alias("__part"), F.col("d.left").alias("draws"))
+        same = F.col("part") == F.col("__part")
+        for c in node:
+            same = same & (F.col(c) == F.col(f"__{c}"))
+        drawn = packed.join(dealt, same).select(*[F.col(c) for c in node], F.explode(_dealt(F.col("draws"), seed)).alias("d")).select(*node, "d.place", "d.k", "d.left")
+        left, right = F.col("left"), F.col("k") - F.col("left")
+        halves = F.array(F.struct(F.col("lo").alias("lo"), half.alias("hi"), left.alias("k")), F.struct(half.alias("lo"), F.col("hi").alias("hi"), right.alias("k")))
+        children = F.when(F.col("hi") - F.col("lo") <= 1, F.array(F.struct("lo", "hi", "k"))).otherwise(halves)
         # a table for each level, so that no plan holds more than one
-        nodes = drawn.select("all", F.explode(child).alias("c")).select("all", "c.lo", "c.hi", F.explode("c.sources").alias("s")).select("all", "lo", "hi", "s.place", "s.k")
-        nodes = written(nodes, "mix-tree")
+        nodes = written(drawn.select("all", "place", F.explode(children).alias("c")).select("all", "c.lo", "c.hi", "place", "c.k"), "mix-tree")
         widest = -(-widest // 2)
     earlier = Window.partitionBy("place").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
     return nodes.select("place", F.col("lo").alias("shard"), F.col("k").alias("blocks"), F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("before"))
@@ -212,6 +225,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         ).withColumn("nth", F.row_number().over(equal)),
         "mix-sizes",
     )
+    bits = range_bits(docs.count() * most_epochs)
     targets = source_targets(docs, most_epochs)
     words = F.round("target").cast("long")
     targets = targets.withColumn("words", words).withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0).cast("int"))
@@ -220,7 +234,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     placed = docs.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     hashed = placed.withColumn("h", F.xxhash64(F.lit(seed), "id", "crc", "size"))
     tie = [F.col("id"), F.col("size"), F.col("crc"), F.col("nth")]
-    ordered = _ranked(hashed, "place", "h", tie, F.col("size"), "words_before")
+    ordered = _ranked(hashed, "place", "h", tie, F.col("size"), "words_before", bits)
     extra = F.least(F.greatest(F.col("rest") - F.col("words_before"), F.lit(0)), F.col("size"))
     blocks = ordered.withColumn("extra", extra).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.col("full") - F.when(F.col("extra") > 0, 0).otherwise(1), F.lit(0)))))
     blocks = written(
@@ -230,10 +244,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     taken = blocks.filter(F.col("take") > 0)
     quotas = taken.groupBy("place").agg(F.count(F.lit(1)).alias("quota"))
     cuts = split_quotas(quotas, shards, seed).groupBy("place").agg(F.sort_array(F.collect_list(F.struct("before", "shard", "blocks"))).alias("cuts"))
-    ranked = _ranked(taken, "place", "h", [F.col("id"), F.col("epoch"), F.col("size"), F.col("crc"), F.col("nth")], F.lit(1).cast("long"), "rank")
+    ranked = _ranked(taken, "place", "h", [F.col("id"), F.col("epoch"), F.col("size"), F.col("crc"), F.col("nth")], F.lit(1).cast("long"), "rank", bits)
     dealt = ranked.join(cuts, "place").withColumn("shard", F.filter("cuts", lambda c: (c["before"] <= F.col("rank")) & (F.col("rank") < c["before"] + c["blocks"]))[0]["shard"])
     shuffled = dealt.withColumn("g", F.xxhash64(F.lit(seed + 2), "h"))
-    located = _ranked(shuffled, "shard", "g", [F.col("h"), F.col("id"), F.col("epoch"), F.col("nth")], F.lit(1).cast("long"), "position")
+    located = _ranked(shuffled, "shard", "g", [F.col("h"), F.col("id"), F.col("epoch"), F.col("nth")], F.lit(1).cast("long"), "position", bits)
     columns = [F.col("id").alias(id_col), "source", "size", "source_size", "target", "crc", "nth", "epoch", "take"]
     return located.select(*columns, "shard", "position").unionByName(blocks.filter(F.col("take") <= 0).select(*columns), allowMissingColumns=True)
 

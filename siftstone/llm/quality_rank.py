@@ -140,22 +140,30 @@ def held_out(identifier: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELS) -> Ranker:
-    """Fits on labelled documents that aren't held out, ``most`` at most."""
+    """Fits on labelled documents that aren't held out, ``most`` at most.
+
+    Null identifiers and labels teach nothing.  Of rows that share an identifier one counts,
+    with the least label and the text of the least hash, so what the driver gets is bounded
+    by ``most``.  A null text counts as empty.  Without labels, or with one kind only, every
+    document has one score and is accepted.
+    """
     known = (
         labels.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label_col}`").cast("int").alias("y"))
         .dropna()
         .filter(~held_out(F.col("i")))
-        .orderBy(F.xxhash64("i"), "i", "y")
+        .groupBy("i")
+        .agg(F.min("y").alias("y"))
+        .orderBy(F.xxhash64("i"), "i")
         .limit(most)
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"i": batch["i"], "y": batch["y"], "x": [features(t) for t in batch["t"].tolist()]})
+            yield pd.DataFrame({"i": batch["i"], "y": batch["y"], "h": batch["h"], "x": [features(t) for t in batch["t"].tolist()]})
 
-    texts = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"))
-    rows = texts.join(F.broadcast(known), "i").mapInPandas(run, "i bigint, y int, x array<double>").toPandas()  # bounded by `most` and the rows that share an identifier
-    rows = rows.assign(key=[tuple(x) for x in rows["x"]]).sort_values(["i", "y", "key"])
+    texts = docs.select(F.col(f"`{id_col}`").alias("i"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    found = texts.join(F.broadcast(known), "i").mapInPandas(run, "i bigint, y int, h bigint, x array<double>")
+    rows = found.groupBy("i", "y").agg(F.min_by("x", "h").alias("x")).toPandas().sort_values("i")  # at most ``most`` rows
     x = np.array(rows["x"].tolist()) if len(rows) else np.zeros((0, N_FEATURES))
     return fit(x, rows["y"].to_numpy())
 

@@ -6,8 +6,9 @@ to its weight.  A shard's bids depend on no other shard: adding one moves only r
 the new shard outbids, and removing one moves only its own.
 
 Slots number a shard's records from 0 without gaps.  They come from two levels, so that no
-task ranks a whole shard: records fall into ``buckets`` hash buckets, bucket totals (at
-most shards x buckets rows) are summed up in order, and ranks are taken within a bucket.
+task ranks a whole shard: records fall into hash buckets, more of them where there are more
+records, bucket totals (shards x buckets rows) are summed up in order, and ranks are taken
+within a bucket.
 """
 
 from __future__ import annotations
@@ -17,10 +18,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unit
+from .common import range_bits, unit
 
 SEED = 20_011
-BUCKETS = 1024
 
 
 def winner(key: Column, weights: Sequence[float], seed: int = SEED) -> Column:
@@ -56,7 +56,7 @@ def assign_shards(
     return out.withColumn(grown_col, winner(key, grown_weights).cast("int")) if grown_weights else out
 
 
-def assign_slots(df: DataFrame, shard_col: str, order: Sequence[str], slot_col: str = "slot", buckets: int = BUCKETS) -> DataFrame:
+def assign_slots(df: DataFrame, shard_col: str, order: Sequence[str], slot_col: str = "slot") -> DataFrame:
     """``df`` with gapless slots from 0 within each shard.
 
     Rows without a shard drop out.  ``order`` names columns that tell records apart; records equal in all of them take
@@ -64,6 +64,7 @@ def assign_slots(df: DataFrame, shard_col: str, order: Sequence[str], slot_col:
     """
     names = [F.col(f"`{c}`") for c in order]
     shard = F.col(f"`{shard_col}`")
+    buckets = 1 << range_bits(df.count())
     dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(SEED), *names), F.lit(buckets)).cast("int"))
     totals = dealt.groupBy(shard.alias("__shard"), F.col("__bucket").alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("__shard").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

@@ -18,7 +18,7 @@ no task ranks a whole pass.
 Recall.  Two vectors at angle ``a`` agree on a sign with probability ``1 - a / pi``, and
 meet in a pass that gives them one cell.  The number of passes follows from the number of
 points, so that vectors at the given cosine meet with probability ``RECALL``: 13 passes for
-50,000 points, 27 for 1 million, 61 for 30 million.  Comparisons grow with the square of
+50,000 points, 27 for 1 million, 61 for 30 million, 135 for a billion.  Comparisons grow with the square of
 what crowds in a cell, as the links do that are counted.
 """
 
@@ -40,7 +40,7 @@ PASSES = 12
 RECALL = 0.995
 BLOCK = 512
 #: The most leading signs of a cell.
-CELL = 16
+CELL = 40
 BITS = 60
 SEED = 31_337
 

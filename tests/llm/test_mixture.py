@@ -61,6 +61,23 @@ def test_quotas_are_split_exactly(spark):
     assert sorted(map(tuple, mixture.split_quotas(quotas, 7).collect())) == sorted(map(tuple, got))
 
 
+def test_very_many_sources(spark):
+    import random
+
+    random.seed(3)
+    quotas = [(k, random.randint(0, 20) if k else 50_000) for k in range(12_000)]
+    got = mixture.split_quotas(spark.createDataFrame(quotas, "place int, quota long"), 4).collect()
+    by_shard, by_place = defaultdict(int), defaultdict(dict)
+    for r in got:
+        by_shard[r["shard"]] += r["blocks"]
+        by_place[r["place"]][r["shard"]] = r["blocks"]
+    assert max(by_shard.values()) - min(by_shard.values()) <= 1
+    assert all(sum(by_place[k].values()) == q and min(by_place[k].values()) >= 0 for k, q in quotas)
+    assert all(abs(n - 12_500) < 600 for n in by_place[0].values())  # six standard deviations
+    ones = sum(by_place[k][0] for k, q in quotas if 0 < k < 128)
+    assert abs(ones - sum(q for k, q in quotas if 0 < k < 128) / 4) < 160
+
+
 def test_mix_of_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = queries.op9_mixture(spark, DATA).collect()

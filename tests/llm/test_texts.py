@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import string
+import struct
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -158,6 +161,57 @@ def test_preference_pairs_recover_an_order():
     assert np.corrcoef((x - mean) / scale @ w, truth)[0, 1] > 0.98
 
 
+def plain_features(text):
+    """The features, told in words and characters one by one."""
+    data = (text or "").encode()
+    kinds = [0] * (6 + len(quality_rank.SINGLE))
+    for b in data:
+        c = chr(b)
+        at = quality_rank.SINGLE.find(b)
+        kinds[6 + at if at >= 0 else 1 if c == " " else 2 if "a" <= c <= "z" else 3 if "A" <= c <= "Z" else 4 if "0" <= c <= "9" else 5 if b > 127 else 0] += 1
+    out = [math.sqrt(k / len(data)) if data else 0.0 for k in kinds]
+    words = data.split()
+    if not words:
+        return out + [0.0] * 8
+    n, same = len(words), sum(words[k] == words[k + 1] for k in range(len(words) - 1))
+    upper, letters = sum(65 <= b <= 90 for b in data), sum(65 <= b <= 90 or 97 <= b <= 122 for b in data)
+    marks = sum(b < 127 and chr(b) in string.punctuation for b in data)
+    return out + [same / n, math.sqrt(same / n), upper / max(letters, 1), marks / len(data), min(marks / n, 4.0), math.log1p(len(data) / n), len(set(words)) / n, math.log1p(n) / 10]
+
+
+def test_features_and_scores_against_plain_code(spark, pairs):
+    for _, t in pairs[:60] + [(0, None), (0, ""), (0, " \n"), (0, "É x É x"), (0, "word " * 50_000)]:
+        assert quality_rank.features(t) == pytest.approx(plain_features(t), abs=1e-12)
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    texts = dict(pairs)
+    learn = sorted(i for i, y in labels.items() if y is not None and i in texts and zlib.crc32(str(i).encode()) % 5)
+    x = np.array([plain_features(texts[i]) for i in learn])
+    y = np.array([labels[i] for i in learn])
+    mean, scale = x.mean(0), np.where(x.std(0) > 1e-9, x.std(0), 1.0)
+    z = (x - mean) / scale
+    d = (z[y == 1][:, None, :] - z[y == 0][None, :, :]).reshape(-1, x.shape[1])
+    w = np.zeros(x.shape[1])
+    for _ in range(3000):  # plain gradient ascent with growing steps on the penalised likelihood
+        p = 1 / (1 + np.exp(d @ w))
+        w += 0.5 * (d.T @ p / len(d) - quality_rank.RIDGE * w)
+    raw = z @ w
+    cut = np.sort(raw)[[(y == 0).sum() - 1, (y == 0).sum()]].mean()
+    got = {r["doc_id"]: r for r in queries.op3_quality_rank(spark, DATA).collect()}
+    for i, t in pairs:
+        r = got[i]
+        own = ((np.array(plain_features(t)) - mean) / scale) @ w - cut + math.log(0.3 / 0.7)
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.3)
+        if abs(own - math.log(0.3 / 0.7)) > 1.5:  # the gradient hasn't fully settled
+            assert r["predicted"] == int(own > math.log(0.3 / 0.7))
+
+
+def test_repeated_identifiers_teach_once(spark):
+    rows = [(1, "good text, fine.")] * 3 + [(1, "other"), (2, "#### $$$$"), (2, "#### $$$$")]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    ranker = quality_rank.train(table(spark, rows), labels)
+    assert ranker.threshold == 0.0 and not ranker.weights.any()  # the least labels of both are 0: nothing to learn
+
+
 def test_ranking_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, None)], "doc_id long, quality int")
     ranker = quality_rank.train(table(spark, ODD), labels)
@@ -270,6 +324,21 @@ def test_shards_and_slots(spark, pairs):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(16))
 
 
+def test_shards_against_plain_bids(spark):
+    """Every bid of every shard computed again outside Spark."""
+    import xxhash
+
+    def bid(key, shard, weight):
+        held = xxhash.xxh64_intdigest(struct.pack("<q", key), xxhash.xxh64_intdigest(struct.pack("<i", rendezvous.SEED), 42))
+        h = xxhash.xxh64_intdigest(struct.pack("<i", shard), xxhash.xxh64_intdigest(struct.pack("<q", held - (1 << 64) if held >> 63 else held), 42))
+        return -math.log(((h >> 11) + 0.5) / 2**53) / weight
+
+    weights, grown = (1.0, 2.0, 0.5, 1.0), (1.0, 2.0, 0.5, 1.0, 3.0)
+    for r in rendezvous.assign_shards(spark.range(500).withColumnRenamed("id", "doc_id"), weights=weights, grown_weights=grown).collect():
+        for w, found in ((weights, r["shard"]), (grown, r["grown_shard"])):
+            assert found == min(range(len(w)), key=lambda k: bid(r["doc_id"], k, w[k]))
+
+
 def test_weighted_shards(spark):
     rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
     got = rendezvous.assign_shards(rows, weights=(1, 2, 0, 1), grown_weights=(1, 2, 0, 1, 4))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from siftstone.llm import queries, sorted_projection
 from siftstone.llm.components import least_reachable
@@ -82,10 +83,20 @@ def test_crowds_over_many_cells_are_found(spark, monkeypatch):
     assert links.sum() > 100_000 and share >= 0.985
 
 
-def test_passes_follow_the_points():
-    for points in (100, 50_000, 1_000_000, 10_000_000, 30_000_000):
-        alike = (1 - np.arccos(0.9) / np.pi) ** np.ceil(max(0, np.log2(points / sorted_projection.BLOCK)))
-        assert 1 - (1 - alike) ** sorted_projection.passes_for(points, 0.9) >= 0.99
+@pytest.mark.parametrize("points", [5_000, 50_000, 1_000_000, 30_000_000, 1_000_000_000])
+def test_pairs_meet_at_any_size(points):
+    """Pairs at the least cosine share a cell in some pass, measured with the operator's own hashes."""
+    rng = np.random.default_rng(points)
+    a, b = rng.standard_normal((2, 400, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1)[:, None]
+    depth, met = sorted_projection.cell_depth(points), np.zeros(400, bool)
+    assert points / 2**depth <= sorted_projection.BLOCK  # a cell never holds more of evenly spread points
+    for p in range(sorted_projection.passes_for(points, 0.9)):
+        shift = sorted_projection.BITS - depth
+        met |= sorted_projection.hashes(a, p) >> shift == sorted_projection.hashes(b, p) >> shift
+    assert met.mean() >= 0.97
 
 
 def test_on_the_table(spark):
