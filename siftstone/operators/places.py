@@ -108,7 +108,7 @@ def region_of(points: DataFrame, lat: str, lon: str, regions: Sequence[tuple[str
 
 
 #: Sizes of the grids' cells, in degrees; each divides the one before.
-CELLS = (45.0, 15.0, 5.0, 1.0, 0.25, 0.05, 0.01)
+CELLS = (45.0, 9.0, 1.8, 0.36, 0.072, 0.0144)
 SALTS = 64
 
 
@@ -116,8 +116,8 @@ def kth_nearest_km(points: DataFrame, key: str, lat: str, lon: str, k: int = 5,
     """``points`` with the distance to the ``k``-th nearest other distinct point.
 
     Each point looks at the nine cells around it, in the grid that suits its neighbourhood:
-    the finest in which these hold more than ``k`` distinct points, or one or two steps
-    coarser, until the ``k``-th distance found can't be beaten from outside them.  So a dense
+    one or two steps coarser than the finest in which these hold more than ``k`` distinct
+    points, until the ``k``-th distance found can't be beaten from outside them.  So a dense
     place is looked at closely and a lonely one from afar, and no point meets more others
     than a few cells hold.  What the coarsest grid doesn't settle, the loneliest points, is
     compared with all distinct points.  Only the ``k`` nearest of a point are kept before
@@ -129,26 +129,23 @@ def kth_nearest_km(points: DataFrame, key: str, lat: str, lon: str, k: int = 5,
     distinct = here.select(F.col("a_lat").alias("b_lat"), F.col("a_lon").alias("b_lon")).distinct()
     degree = np.pi * geo.EARTH_KM / 180
 
-    def row(c: Column, size: float) -> Column:
-        return F.floor((c + 90) / size).cast("long")
-
-    def column(c: Column, size: float) -> Column:
-        return F.pmod(F.floor((c + 180) / size).cast("long"), F.lit(round(360 / size)))
+    sizes, widths = F.array(*[F.lit(float(c)) for c in cells]), F.array(*[F.lit(round(360 / c)).cast("long") for c in cells])
+    turns = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
 
-    def cell(level: int, r: Column, c: Column) -> Column:
-        return F.struct(F.lit(level).alias("level"), r.alias("r"), F.pmod(c, F.lit(round(360 / cells[level]))).alias("c"))
+    def cell(lat_: Column, lon_: Column, level: Column, dr: int = 0, dc: int = 0) -> Column:
+        size = F.element_at(sizes, level + 1)
+        row, column = F.floor((lat_ + 90) / size).cast("long") + dr, F.floor((lon_ + 180) / size).cast("long") + dc
+        return F.struct(level.alias("level"), row.alias("r"), F.pmod(column, F.element_at(widths, level + 1)).alias("c"))
 
-    levels = range(len(cells))
-    of = distinct.select("b_lat", "b_lon", F.explode(F.array(*[cell(n, row(F.col("b_lat"), cells[n]), column(F.col("b_lon"), cells[n])) for n in levels])).alias("cell"))
+    level = F.explode(F.sequence(F.lit(0), F.lit(len(cells) - 1))).alias("level")
+    b_lat, b_lon, a_lat, a_lon = F.col("b_lat"), F.col("b_lon"), F.col("a_lat"), F.col("a_lon")
+    of = distinct.select("b_lat", "b_lon", level).select("b_lat", "b_lon", cell(b_lat, b_lon, F.col("level")).alias("cell"))
     counts = of.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     # how many distinct points a cell and its eight neighbours hold, from the cells' counts
-    turns = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
-    size_of = F.element_at(F.array(*[F.lit(round(360 / c)) for c in cells]), F.col("cell.level") + 1)
-    spread = [F.struct(F.col("cell.level").alias("level"), (F.col("cell.r") + dr).alias("r"), F.pmod(F.col("cell.c") + dc, size_of).alias("c")) for dr, dc in turns]
-    around = counts.select("n", F.explode(F.array(*spread)).alias("cell")).groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > k)
-    places_ = distinct.select(F.col("b_lat").alias("a_lat"), F.col("b_lon").alias("a_lon"))
-    mine = places_.select("a_lat", "a_lon", F.explode(F.array(*[cell(n, row(F.col("a_lat"), cells[n]), column(F.col("a_lon"), cells[n])) for n in levels])).alias("cell"))
-    finest = mine.join(around, "cell").groupBy("a_lat", "a_lon").agg(F.max("cell.level").alias("level"))
+    spread = [F.struct(F.col("cell.level").alias("level"), (F.col("cell.r") + dr).alias("r"), F.pmod(F.col("cell.c") + dc, F.element_at(widths, F.col("cell.level") + 1)).alias("c")) for dr, dc in turns]
+    around = counts.select("n", F.explode(F.array_distinct(F.array(*spread))).alias("cell")).groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > k)
+    places_ = distinct.select(b_lat.alias("a_lat"), b_lon.alias("a_lon"))
+    finest = of.select(b_lat.alias("a_lat"), b_lon.alias("a_lon"), "cell").join(around, "cell").groupBy("a_lat", "a_lon").agg(F.max("cell.level").alias("level"))
     far = (F.col("a_lat") != F.col("b_lat")) | (F.col("a_lon") != F.col("b_lon"))
     km = geo.haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
     nearest = Window.partitionBy("a_lat", "a_lon").orderBy("km")
@@ -158,16 +155,15 @@ def kth_nearest_km(points: DataFrame, key: str, lat: str, lon: str, k: int = 5,
 
     def looked(todo: DataFrame, back: int) -> DataFrame:
         at = F.greatest(F.col("level") - back, F.lit(0))
-        wanted = F.array(*[F.array(*[cell(n, row(F.col("a_lat"), cells[n]) + dr, column(F.col("a_lon"), cells[n]) + dc) for dr, dc in turns]) for n in levels])
-        asked = todo.select("a_lat", "a_lon", F.explode(F.array_distinct(F.element_at(wanted, at + 1))).alias("cell"))
+        asked = todo.select("a_lat", "a_lon", F.explode(F.array_distinct(F.array(*[cell(a_lat, a_lon, at, dr, dc) for dr, dc in turns]))).alias("cell"))
         # what isn't in the nine cells is a cell away at least, along the meridian or, at the farther edge of the row, along the parallel
-        size = F.element_at(F.array(*[F.lit(c) for c in cells]), at + 1)
+        size = F.element_at(sizes, at + 1)
         reach = F.least(size * degree, size * degree * 0.99 * F.cos(F.radians(F.least(F.lit(89.9), F.abs("a_lat") + 2 * size))))
         met = kth(asked.join(of, "cell"))
         return todo.join(met, ["a_lat", "a_lon"], "left").select("a_lat", "a_lon", "level", F.when(F.col("km") <= reach, F.col("km")).alias("km"))
 
     todo, settled = finest, []
-    for back in (0, 1, 2):
+    for back in (1, 2):
         met = looked(todo, back)
         settled.append(met.filter(F.col("km").isNotNull()).select("a_lat", "a_lon", "km"))
         todo = met.filter(F.col("km").isNull()).select("a_lat", "a_lon", "level")
