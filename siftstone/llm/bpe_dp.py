@@ -35,6 +35,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: Words that a worker keeps, and the characters of the longest of them.
 KEPT_WORDS = 250_000
 KEPT_LENGTH = 48
@@ -42,6 +44,8 @@ KEPT_LENGTH = 48
 KEPT_PAIRS = 500_000
 #: Characters that are encoded together.
 BATCH_CHARACTERS = 400_000
+#: Rows whose ids and texts are held together.
+ROWS = 500
 #: Words that advance together.
 PART = 8_000
 #: A token takes so many bits of a packed pair.
@@ -320,16 +324,20 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = encoder(path)
         for batch in batches:
-            ids = bpe.encode_many([t or "" for t in batch["t"].tolist()])
-            decoded = [bpe.decode(i) for i in ids]
-            out = {
-                id_col: batch["i"],
-                "n_tokens": [len(i) // 4 for i in ids],
-                "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
-                "decoded_sha256": [hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for d in decoded],
-            }
-            yield pd.DataFrame(out | ({"ids": ids, "decoded": decoded} if outputs else {}))
+            for k in range(0, len(batch), ROWS):
+                part = batch.iloc[k : k + ROWS]
+                ids = bpe.encode_many([t or "" for t in part["t"].tolist()])
+                decoded = [bpe.decode(i) for i in ids]
+                out = {
+                    id_col: part["i"].tolist(),
+                    "n_tokens": [len(i) // 4 for i in ids],
+                    "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
+                    "decoded_sha256": [hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for d in decoded],
+                }
+                yield pd.DataFrame(out | ({"ids": ids, "decoded": decoded} if outputs else {}))
         bpe.forget()
+        batch = part = ids = decoded = out = None
+        give_back()
 
     # identifiers travel as strings: pandas has no null among integers
     rows = df.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").alias("t")).mapInPandas(run, schema)

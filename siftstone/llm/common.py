@@ -87,6 +87,21 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def give_back() -> None:
+    """Returns to the system what a task no longer needs: its Python worker lives on, beside an executor that is full."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 #: Ranges of a hash at least, as a power of two, and rows in one beyond that.
 RANGE_BITS, RANGE_ROWS = 10, 200_000
 

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, run_hashes, written
+from .common import WordHashes, give_back, run_hashes, written
 from .components import least_reachable
 from .simhash_cover import SEED, SMALL_BUCKET, masks, signed, spanning
 
@@ -122,6 +122,8 @@ def _fingerprints(rows: DataFrame, width: int, words: int, bits: int) -> DataFra
             out = {"id": batch["id"], "text_hash": batch["text_hash"], "node": node, "size": np.fromiter(map(len, sets), np.int64, len(sets))}
             more = [row.tobytes() for row in compared[:, COMPARED:ALL]]
             yield pd.DataFrame(out | {c: compared[:, k] for k, c in enumerate(BITS)} | {"more": more, "words": list(cut)})
+        batch = sets = packed = each = cut = compared = out = more = None
+        give_back()
 
     return rows.mapInPandas(run, "id string, text_hash bigint, node bigint, size bigint, " + ", ".join(f"{c} bigint" for c in BITS) + ", more binary, words array<bigint>")
 
@@ -159,6 +161,8 @@ def _by_bucket(rows: DataFrame, compare, schema: str) -> DataFrame:
             held = held.iloc[last:]
         if held is not None and len(held):
             yield compared(held)
+        batch = held = None
+        give_back()
 
     def compared(part: pd.DataFrame) -> pd.DataFrame:
         key = part["key"].to_numpy()
@@ -323,6 +327,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"node": batch["node"], "shingles": [shingles(t, width).view(np.int64) for t in batch["text"]]})
+        batch = None
+        give_back()
 
     held = texts.join(wanted, F.col("text_hash") == F.col("h")).select("node", "text").mapInPandas(run, "node bigint, shingles array<bigint>")
     sets = written(held.dropDuplicates(["node"]), "shingles")
