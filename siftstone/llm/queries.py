@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_dp, common, content_dedup, html_main, mixture, quality_rank, rendezvous, simhash_cover, sorted_projection, substring_trees, token_records
+from . import bpe_dp, common, content_dedup, html_main, mixture, quality_rank, rendezvous, simhash_cover, sorted_projection, substring_trees, token_align, token_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,10 @@ def op10_sorted_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorted_projection.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_records": op1_token_records,
     "op2_content_sort_dedup": op2_content_sort_dedup,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_cover": op8_simhash_cover,
     "op9_mixture": op9_mixture,
     "op10_sorted_projection": op10_sorted_projection,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
