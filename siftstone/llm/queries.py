@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_dp, common, content_dedup, html_main, mixture, quality_rank, rendezvous, simhash_cover, sorted_projection, substring_trees, token_align, token_records
+from . import bpe_dp, common, content_dedup, html_main, line_runs, mixture, quality_rank, rendezvous, simhash_cover, sorted_projection, substring_trees, token_align, token_records, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,14 @@ def op10_sorted_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorted_projection.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op11_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.drop_frequent_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -83,6 +91,8 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_cover": op8_simhash_cover,
     "op9_mixture": op9_mixture,
     "op10_sorted_projection": op10_sorted_projection,
+    "op11_line_runs": op11_line_runs,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_token_alignment": op13_token_alignment,
 }
 
@@ -110,6 +120,17 @@ ORACLES: dict[str, str] = {
         SELECT vec_id, coalesce(n.n, 0) AS n_links, m AS component_id, vec_id = m AS kept
         FROM embeddings JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id
     """,
+    "op11_line_runs": r"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        k AS (
+            SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d)
+        ),
+        h AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (keeper <> doc_id) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
+        FROM k LEFT JOIN h USING (key) GROUP BY doc_id
+    """,
     "op2_content_sort_dedup": """
         WITH d AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents
