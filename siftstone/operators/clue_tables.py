@@ -1,4 +1,4 @@
-"""The clue analysis end to end: a status for each photo, counts of a run, hints, grouped payloads, and the validator."""
+"""What is made of a clue analysis: hints, grouped payloads, subsets, and the validator."""
 
 from __future__ import annotations
 
@@ -7,50 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .clues import GROUPS, status
+from .clues import GROUPS
 from .evidence import tags
 
 HOUR, DAY = "within_1_hour", "within_24_hours"
 
 
-def image_summary(photos: DataFrame, evidence: DataFrame, neighbours: DataFrame, times: DataFrame, key: str) -> DataFrame:
-    """A row for each photo with counts of its clues and its ``status``.
-
-    ``photos``: (key, ``latitude``, ``machine_latitude``).  ``evidence``: (key, ``kind``,
-    ``candidate``), kind as in :mod:`clues` or ``coordinate``.  ``neighbours``: (key,
-    ``time_window``).  ``times``: (key,), a row for each relative time.
-    """
-    kind = F.col("kind")
-    said = evidence.groupBy(key).agg(
-        F.count_if(kind == "coordinate").alias("text_points"),
-        F.count_if(kind == "capture").alias("captures"),
-        F.count_if(~kind.isin("coordinate", "capture", "owner_profile")).alias("mentions"),
-        F.count_if(kind == "owner_profile").alias("profiles"),
-    )
-    near = neighbours.groupBy(key).agg(F.count_if(F.col("time_window") == HOUR).alias("hour_neighbours"), F.count_if(F.col("time_window") == DAY).alias("day_neighbours"))
-    told = times.groupBy(key).agg(F.count(F.lit(1)).alias("relative_times"))
-    counts = ["text_points", "captures", "mentions", "profiles", "hour_neighbours", "day_neighbours", "relative_times"]
-    out = photos.join(said, key, "left").join(near, key, "left").join(told, key, "left")
-    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
-    some = lambda c: F.col(c) > 0
-    return out.withColumn(
-        "status",
-        status(
-            provider_coordinates=F.col("latitude").isNotNull(), machine_tags=F.col("machine_latitude").isNotNull(), text_coordinates=some("text_points"), named_capture=some("captures"),
-            hour_neighbour=some("hour_neighbours"), other_mention=some("mentions"), day_neighbour=some("day_neighbours"), relative_time=some("relative_times"), profile_only=some("profiles"),
-        ),
-    )
-
-
-def run_counts(summary: DataFrame) -> DataFrame:
-    """One row with the counts that a run reports: photos, photos of each status, and photos and rows of each clue."""
-    from .clues import STATUSES
-
-    clues = ["text_points", "captures", "mentions", "hour_neighbours", "day_neighbours", "relative_times"]
-    of = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in (*STATUSES, "none")]
-    return summary.agg(F.count(F.lit(1)).alias("photos"), *of, *[F.count_if(F.col(c) > 0).alias(f"with_{c}") for c in clues])
-
-
 def hint(parts: dict[str, Column]) -> Column:
     """A line that sums up what speaks for a place: the parts that aren't null, by name, with bars between them."""
     return F.concat_ws(" | ", *[F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value.cast("string"))) for name, value in parts.items()])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.text import folded_tokens
+from .gazetteer import found_phrases, phrase_words
 
 
 def in_boxes(points: DataFrame, boxes: Sequence[tuple[str, float, float, float, float]], x: str, y: str, name: str = "region") -> DataFrame:
@@ -196,27 +196,11 @@ def match_phrases(units: DataFrame, unit: str, text: Column, aliases: DataFrame,
 
     Returns (unit, ``start`` and ``stop`` in characters, ``length`` in tokens, ``places``: all
     places of the alias).  Tokens are folded (NFKC, case) and an ideograph is one of its own.
-    Aliases of more than ``longest`` tokens or fewer than ``shortest`` characters are none.  A place in a text looks only for the
-    lengths that aliases with its first token have.  ``aliases`` may be of any size: Spark
-    broadcasts it if it is small.  A pass over a unit's few hits then picks.
+    Aliases of more than ``longest`` tokens or fewer than ``shortest`` characters are none.
+    Takes time in proportion to the texts: see :mod:`gazetteer`.
     """
-    names = aliases.select(F.transform(folded_tokens(F.col(alias)), lambda t: t["token"]).alias("words"), F.col(place).alias("p"))
-    names = names.filter(F.size("words").between(1, longest) & (F.char_length(F.array_join("words", " ")) >= shortest)).select(F.array_join("words", " ").alias("phrase"), F.col("words")[0].alias("first"), F.size("words").alias("n"), "p")
-    listed = names.groupBy("phrase").agg(F.sort_array(F.collect_set("p")).alias("places"))
-    heads = names.groupBy("first").agg(F.sort_array(F.collect_set("n")).alias("lengths"))  # no more than ``longest``
-    rows = units.select(unit, folded_tokens(text).alias("t"))
-    starts = rows.select(unit, "t", F.posexplode(F.transform("t", lambda t: t["token"])).alias("at", "first")).join(heads, "first")
-    tried = starts.select(unit, "t", "at", F.explode("lengths").alias("length")).filter(F.col("at") + F.col("length") <= F.size("t"))
-    part = F.slice("t", F.col("at") + 1, F.col("length"))
-    grams = tried.select(
-        unit, "at", "length", F.col("t")[F.col("at")]["start"].alias("start"), F.col("t")[F.col("at") + F.col("length") - 1]["stop"].alias("stop"), F.array_join(F.transform(part, lambda t: t["token"]), " ").alias("phrase")
-    )
-    found = F.struct("at", (-F.col("length")).alias("n"), "start", "stop", "places")
-    hits = grams.join(listed, "phrase").groupBy(unit).agg(F.sort_array(F.collect_list(found)).alias("hits"))
-    picked = F.aggregate(
-        "hits",
-        F.struct(F.lit(0).alias("free"), F.slice("hits", 1, 0).alias("taken")),
-        lambda a, h: F.when(h["at"] >= a["free"], F.struct((h["at"] - h["n"]).alias("free"), F.array_append(a["taken"], h).alias("taken"))).otherwise(a),
-        lambda a: a["taken"],
-    )
-    return hits.select(unit, F.explode(picked).alias("h")).select(unit, "h.start", "h.stop", (-F.col("h.n")).alias("length"), "h.places")
+    names = aliases.select(phrase_words(F.col(alias)).alias("w"), F.col(place).alias("p")).filter(F.size("w").between(1, longest))
+    names = names.select(F.array_join("w", " ").alias("phrase"), "p").filter(F.char_length("phrase") >= shortest)
+    known = names.groupBy("phrase").agg(F.sort_array(F.collect_set("p")).alias("places"))
+    hits = found_phrases(units, [unit], text, known, longest).select(unit, F.explode("hits").alias("h"))
+    return hits.select(unit, "h.start", "h.stop", F.col("h.n").alias("length"), "h.places")

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, geo, text
-from ..operators import candidates, checks, consensus, evidence, places, progress, reconcile, rounds, timeline, versioned
-from . import reviews  # noqa: F401  registers its queries
+from ..functions import dates, geo, phrases, text
+from ..operators import candidates, checks, consensus, evidence, gazetteer, places, progress, reconcile, rounds, timeline, versioned
+from . import clue_queries, reviews  # noqa: F401  these register queries, too
 from .registry import ORACLES, QUERIES, long, query  # noqa: F401
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -469,16 +469,21 @@ def text_coordinates(t):
     sided = F.concat(F.lit("here: "), a, F.lit(".25 S, "), b, F.lit(".55 E"))
     parts = F.concat(a, F.lit("\u00b0 30' 9\" N, "), b, F.lit("\u00b0 "), n, F.lit("' 1.5\" W; 12\u00b0 70' 0\" N, 1\u00b0 0' 0\" E"))
     s = F.when(F.col("c_custkey") % 3 == 0, labelled).when(F.col("c_custkey") % 3 == 1, sided).otherwise(parts)
-    return t("customer").select("c_custkey", F.explode(text.text_coordinates(s)).alias("p")).select("c_custkey", "p.kind", "p.lat", "p.lon")
+    return t("customer").select("c_custkey", F.explode(phrases.text_coordinates(s)).alias("p")).select("c_custkey", "p.kind", "p.lat", "p.lon")
 
 
 @query("""
-    SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_custkey % 80 AS DOUBLE) END AS lat, CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_nationkey AS DOUBLE) END AS lon FROM customer
+    WITH c AS (SELECT c_custkey, c_custkey % 6 AS k, CAST(c_custkey % 80 AS DOUBLE) AS lat, CAST(c_nationkey - 30 AS DOUBLE) AS lon FROM customer)
+    SELECT c_custkey, CASE WHEN k IN (0, 5) THEN NULL ELSE lat END AS lat, CASE WHEN k IN (0, 5) THEN NULL ELSE lon END AS lon FROM c
 """)
 def machine_tag_pair(t):
-    one = F.concat(F.lit("geo:lat="), (F.col("c_custkey") % 80).cast("string"), F.lit(" geo:lon="), F.col("c_nationkey").cast("string"))
-    tags = F.when(F.col("c_custkey") % 3 == 0, F.concat(one, F.lit(" geo:lat=-7.5"))).otherwise(one)
-    lat, lon = text.machine_tag_pair(F.lit(None).cast("string"), tags)
+    """Five ways to tag a point; contradictions, and values off the globe, give none or are passed over."""
+    a, b = (F.col("c_custkey") % 80).cast("string"), (F.col("c_nationkey") - 30).cast("string")
+    ways = [("geo:lat=", " geo:lat=-7.5 geo:lon=", ""), ("geo:lat=", " geo:lon=", ""), ("GEOTAGGED:LAT=", " geotagged:long=1 geotagged:lon=", ""), ('latitude="', '" longitude: ', ""), ("geo:lat=95 lat=", " lon=200 lng=", ""), ("geo:lat=95", " geo:lon=", "")]
+    tags = F.lit(None).cast("string")
+    for k, (x, y, z) in enumerate(ways):
+        tags = F.when(F.col("c_custkey") % 6 == k, F.concat(F.lit(x), a if k != 5 else F.lit(""), F.lit(y), b, F.lit(z))).otherwise(tags)
+    lat, lon = phrases.machine_tag_pair(F.lit(None).cast("string"), tags)
     return t("customer").select("c_custkey", lat.alias("lat"), lon.alias("lon"))
 
 
@@ -493,7 +498,7 @@ def map_link_coordinates(t):
     url = F.lit(None).cast("string")
     for k, (x, y, z) in enumerate(forms):
         url = F.when(F.col("c_custkey") % 7 == k, F.concat(F.lit(x), a, F.lit(y), b, F.lit(z))).otherwise(url)
-    lat, lon = text.link_coordinates(url)
+    lat, lon = phrases.link_coordinates(url)
     return t("customer").select("c_custkey", lat.alias("lat"), lon.alias("lon"))
 
 
@@ -508,10 +513,9 @@ def html_links(t):
 
 @query(r"""
     WITH s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<script[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style[^>]*>.*?</style\s*>', '', 'g') AS h FROM pages),
-    b AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)</?(p|br|div|li)([\s/][^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS x FROM s),
-    e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS x FROM b),
-    l AS (SELECT page_id, list_filter(list_transform(string_split(x, chr(10)), lambda y: trim(regexp_replace(y, '[ \t\x{a0}]+', ' ', 'g'), ' ' || chr(9) || chr(13) || chr(12) || chr(11))), lambda y: y <> '') AS y FROM e)
-    SELECT page_id, array_to_string(y, chr(10)) AS text FROM l
+    b AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)(</?(p|div|li)([\s/][^>]*)?>|<br([\s/][^>]*)?>)', chr(10), 'g'), '<[^>]*>', '', 'g') AS x FROM s),
+    e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS x FROM b)
+    SELECT page_id, trim(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160)) AS text FROM e
 """)
 def visible_text(t):
     return t("pages").select("page_id", text.visible_text(F.col("html"))["text"].alias("text"))
@@ -553,27 +557,29 @@ def relative_time(t):
     phrase = F.lit(None).cast("string")
     for k, form in enumerate(forms):
         phrase = F.when(F.col("o_orderkey") % 6 == k, form).otherwise(phrase)
-    found = t("orders").select("o_orderkey", F.explode(text.relative_times(phrase)).alias("x"))
+    found = t("orders").select("o_orderkey", F.explode(phrases.relative_times(phrase)).alias("x"))
     return found.select("o_orderkey", F.col("x.minutes").alias("m"), F.col("x.relation").alias("r"), F.col("x.narrative").alias("k"))
 
 
 @query(r"""
     WITH tok AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\x{3400}-\x{9fff}]|[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM documents),
-    alias AS (SELECT DISTINCT p AS place, list_transform(regexp_extract_all(a, '[\x{3400}-\x{9fff}]|[\p{L}\p{N}]+'), lambda x: lower(x)) AS a
-              FROM (SELECT CAST(c_nationkey AS VARCHAR) AS p, word AS a FROM (SELECT DISTINCT c_nationkey FROM customer), (SELECT unnest(['the', 'in the', 'the the', 'and']) AS word) WHERE c_nationkey < 3)),
-    ph AS (SELECT array_to_string(a, ' ') AS phrase, len(a) AS n, count(DISTINCT place) AS places FROM alias GROUP BY ALL),
-    pos AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM tok),
-    hit AS (SELECT doc_id, i, max(n) AS n, arg_max(places, n) AS places FROM pos JOIN ph ON array_to_string(w[i + 1:i + n], ' ') = phrase AND i + n <= len(w) GROUP BY doc_id, i),
+    said AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '[\x{3400}-\x{9fff}]|[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM conversations),
+    alias AS (SELECT DISTINCT conv_id % 40 AS place, w[:(conv_id + turn) % 12 + 1] AS a FROM said WHERE len(w) > (conv_id + turn) % 12 UNION SELECT DISTINCT conv_id % 7, w[2:3] FROM said WHERE len(w) > 2),
+    ph AS (SELECT array_to_string(a, ' ') AS phrase, any_value(a[1]) AS first, len(a) AS n, count(DISTINCT place) AS places FROM alias GROUP BY array_to_string(a, ' '), len(a)),
+    pos AS (SELECT doc_id, unnest(list_transform(range(len(w)), lambda i: {i: i, g: w[i + 1:i + 12]})) AS x FROM tok),
+    hit AS (SELECT doc_id, x.i AS i, max(n) AS n, arg_max(places, n) AS places FROM pos JOIN ph ON x.g[1] = first AND array_to_string(x.g[:n], ' ') = phrase AND len(x.g) >= n GROUP BY doc_id, x.i),
     chain AS (SELECT doc_id, list({i: i, n: n, p: places} ORDER BY i) AS h FROM hit GROUP BY doc_id),
     picked AS (SELECT doc_id, unnest(list_reduce(list_prepend({f: 0, t: CAST([] AS STRUCT(i BIGINT, n BIGINT, p BIGINT)[])}, list_transform(h, lambda x: {f: -1, t: [x]})),
         lambda a, b: CASE WHEN b.t[1].i >= a.f THEN {f: CAST(b.t[1].i + b.t[1].n AS INTEGER), t: list_concat(a.t, b.t)} ELSE a END).t) AS x FROM chain)
     SELECT doc_id, x.n AS length, x.p AS places, count(*) AS hits FROM picked GROUP BY ALL
 """)
 def gazetteer_matches(t):
-    """How often each document names a place, by the alias' length; leftmost, then longest, without overlaps."""
-    nation = F.col("c_nationkey").cast("string").alias("place")
-    names = t("customer").filter("c_nationkey < 3").select(nation).distinct().select("place", F.explode(F.array(*[F.lit(w) for w in ("the", "in the", "the the", "and")])).alias("alias"))
-    found = places.match_phrases(t("documents"), "doc_id", F.col("text"), names, "alias", "place")
+    """How often each document names one of the phrases (of one to twelve words) with which conversations begin, by the phrase's length and places; leftmost, then longest, without overlaps."""
+    words = t("conversations").select("conv_id", "turn", gazetteer.phrase_words(F.col("text")).alias("w"))
+    n = ((F.col("conv_id") + F.col("turn")) % 12 + 1).cast("int")
+    begun = words.filter(F.size("w") >= n).select((F.col("conv_id") % 40).alias("place"), F.array_join(F.slice("w", 1, n), " ").alias("alias"))
+    second = words.filter(F.size("w") > 2).select((F.col("conv_id") % 7).alias("place"), F.array_join(F.slice("w", 2, 2), " ").alias("alias"))
+    found = places.match_phrases(t("documents"), "doc_id", F.col("text"), begun.unionByName(second).distinct(), "alias", "place")
     return found.groupBy("doc_id", long("length").alias("length"), long(F.size("places")).alias("places")).agg(F.count(F.lit(1)).alias("hits"))
 
 

@@ -360,69 +360,11 @@ def classification_workbook(t):
     return workbook.classification_sheets(t("orders"), ["o_custkey"], "o_orderpriority")
 
 
-SUMMARY = """
-    ev AS (SELECT event_id, user_id, CASE event_type WHEN 'click' THEN 'title' WHEN 'error' THEN 'coordinate' WHEN 'purchase' THEN 'capture' WHEN 'signup' THEN 'owner_profile' ELSE 'tag' END AS kind FROM events WHERE event_id % 11 < 3),
-    ph AS (SELECT DISTINCT user_id FROM events),
-    s AS (SELECT ph.user_id, CASE WHEN ph.user_id % 17 = 0 THEN CAST(1 AS DOUBLE) END AS latitude, CASE WHEN ph.user_id % 13 = 0 THEN CAST(1 AS DOUBLE) END AS machine_latitude,
-          count(*) FILTER (kind = 'coordinate') AS text_points, count(*) FILTER (kind = 'capture') AS captures, count(*) FILTER (kind IN ('title', 'tag')) AS mentions, count(*) FILTER (kind = 'owner_profile') AS profiles
-          FROM ph LEFT JOIN ev ON ev.user_id = ph.user_id GROUP BY 1, 2, 3),
-    nb AS (SELECT user_id, count(*) FILTER (event_id % 7 = 0) AS hour_neighbours, count(*) FILTER (event_id % 7 = 1) AS day_neighbours FROM events WHERE user_id % 4 = 1 GROUP BY 1),
-    rt AS (SELECT user_id, count(*) AS relative_times FROM events WHERE user_id % 5 = 2 GROUP BY 1),
-    c AS (SELECT s.*, coalesce(hour_neighbours, 0) AS hour_neighbours, coalesce(day_neighbours, 0) AS day_neighbours, coalesce(relative_times, 0) AS relative_times
-          FROM s LEFT JOIN nb ON nb.user_id = s.user_id LEFT JOIN rt ON rt.user_id = s.user_id),
-    summary AS (SELECT *, CASE WHEN latitude IS NOT NULL THEN 'provider_coordinates' WHEN machine_latitude IS NOT NULL THEN 'machine_tags' WHEN text_points > 0 THEN 'text_coordinates' WHEN captures > 0 THEN 'named_capture'
-          WHEN hour_neighbours > 0 THEN 'hour_neighbour' WHEN mentions > 0 THEN 'other_mention' WHEN day_neighbours > 0 THEN 'day_neighbour' WHEN relative_times > 0 THEN 'relative_time' WHEN profiles > 0 THEN 'profile_only' ELSE 'none' END AS status FROM c)
-"""
-
-
-def _summary(t) -> DataFrame:
-    e = t("events")
-    kind = F.col("event_type")
-    named = F.when(kind == "click", "title").when(kind == "error", "coordinate").when(kind == "purchase", "capture").when(kind == "signup", "owner_profile").otherwise("tag")
-    evidence = e.filter("event_id % 11 < 3").select("user_id", named.alias("kind"))
-    photos = e.select("user_id").distinct().select("user_id", F.when(F.col("user_id") % 17 == 0, 1.0).alias("latitude"), F.when(F.col("user_id") % 13 == 0, 1.0).alias("machine_latitude"))
-    window = F.when(F.col("event_id") % 7 == 0, clue_tables.HOUR).when(F.col("event_id") % 7 == 1, clue_tables.DAY)
-    near = e.filter("user_id % 4 = 1").select("user_id", window.alias("time_window")).filter("time_window IS NOT NULL")
-    return clue_tables.image_summary(photos, evidence, near, e.filter("user_id % 5 = 2").select("user_id"), "user_id")
-
-
-@query(f"WITH {SUMMARY} SELECT * FROM summary")
-def clue_summary(t):
-    """Counts of clues and the status of each photo."""
-    return _summary(t)
-
-
-@query(f"""
-    WITH {SUMMARY}
-    SELECT count(*) AS photos, {", ".join(f"count(*) FILTER (status = '{s}') AS n_{s}" for s in (*clues.STATUSES, "none"))},
-           {", ".join(f"count(*) FILTER ({c} > 0) AS with_{c}" for c in ("text_points", "captures", "mentions", "hour_neighbours", "day_neighbours", "relative_times"))}
-    FROM summary
-""")
-def clue_run_counts(t):
-    """The seventeen counts of a run."""
-    return clue_tables.run_counts(_summary(t))
-
-
-@query(f"""
-    WITH {SUMMARY},
-    p AS (SELECT *, latitude IS NOT NULL OR machine_latitude IS NOT NULL OR text_points > 0 OR captures > 0 OR hour_neighbours > 0 AS priority FROM summary)
-    SELECT user_id, CASE WHEN priority THEN 'priority' WHEN status = 'profile_only' THEN 'profile_only' WHEN status = 'none' THEN 'none' ELSE 'other' END AS sheet,
-           concat_ws(' | ', 'status: ' || status, CASE WHEN text_points > 0 THEN 'points: ' || text_points END, CASE WHEN captures > 0 THEN 'named: ' || captures END) AS hint
-    FROM p
-""")
-def location_workbook(t):
-    """Every photo in one of four sheets, with a line that sums up its hints."""
-    some = lambda c: F.when(F.col(c) > 0, F.col(c))
-    sheets = workbook.location_sheets(_summary(t), "status", ["latitude", "machine_latitude", "text_points", "captures", "hour_neighbours"], "user_id")
-    return sheets.select("user_id", "sheet", clue_tables.hint({"status": F.col("status"), "points": some("text_points"), "named": some("captures")}).alias("hint"))
-
-
-@query(f"""
-    WITH {SUMMARY},
-    k AS (SELECT user_id, event_type, ['coordinate', 'named', 'hour_neighbour', 'owner_comment', 'photo_text'][event_id % 5 + 1] AS kind, event_id, ts FROM events),
+@query("""
+    WITH k AS (SELECT user_id, event_type, ['coordinate', 'named', 'hour_neighbour', 'owner_comment', 'photo_text'][event_id % 5 + 1] AS kind, event_id, ts FROM events),
     l AS (SELECT user_id, kind, arg_max(event_type, (ts, event_type)) AS v FROM k GROUP BY ALL),
-    j AS (SELECT user_id, '{{"latest":{{' || string_agg('"' || kind || '":"' || v || '"', ',' ORDER BY kind) || '}},"primary":"' ||
-          arg_min(kind, list_position(['coordinate', 'named', 'hour_neighbour', 'day_neighbour', 'owner_comment', 'photo_text'], kind)) || '","tags":["' || string_agg(kind, '","' ORDER BY kind) || '"]}}' AS payload FROM l GROUP BY 1)
+    j AS (SELECT user_id, '{"latest":{' || string_agg('"' || kind || '":"' || v || '"', ',' ORDER BY kind) || '},"primary":"' ||
+          arg_min(kind, list_position(['coordinate', 'named', 'hour_neighbour', 'day_neighbour', 'owner_comment', 'photo_text'], kind)) || '","tags":["' || string_agg(kind, '","' ORDER BY kind) || '"]}' AS payload FROM l GROUP BY 1)
     SELECT user_id, payload, sha256(payload) AS content_sha256 FROM j
 """)
 def clue_payloads(t):
@@ -455,23 +397,6 @@ def country_context(t):
     return clues.country_context(rows, "photo", "mention", "source", "country", "level", "forced").select("photo", F.array_join("context", ",").alias("context"))
 
 
-@query(f"""
-    WITH {SUMMARY}, v(rule, rows) AS (VALUES ('photos without a summary', 0), ('summaries without a photo', (SELECT count(*) FROM summary WHERE user_id % 10 = 3)), ('photos with several summaries', 0),
-    ('evidence without a photo', (SELECT count(*) FROM ev WHERE user_id % 10 = 3)), ('evidence of unknown kind', (SELECT count(*) FROM ev WHERE kind = 'tag')), ('neighbours without a photo', 0),
-    ('neighbours outside their window', (SELECT count(*) FROM events WHERE user_id % 10 <> 3 AND value > 60)), ('repeated neighbours', (SELECT count(*) FROM (SELECT 1 FROM events WHERE user_id % 10 <> 3 GROUP BY user_id, event_type HAVING count(*) > 1))))
-    SELECT rule, CAST(rows AS BIGINT) AS rows FROM v
-""")
-def output_validator(t):
-    """How many rows break each rule of an analysis, zeros included."""
-    e = t("events")
-    photos = e.filter("user_id % 10 <> 3").select("user_id").distinct()
-    kind = F.col("event_type")
-    named = F.when(kind == "click", "title").when(kind == "error", "coordinate").when(kind == "purchase", "capture").when(kind == "signup", "owner_profile").otherwise("tag")
-    evidence = e.filter("event_id % 11 < 3").select("user_id", named.alias("kind"))
-    near = e.filter("user_id % 10 <> 3").select("user_id", F.lit(clue_tables.HOUR).alias("time_window"), F.col("event_type").alias("relation"), F.col("value").alias("minutes"))
-    return clue_tables.violations(photos, _summary(t), evidence, near, "user_id", ["title", "coordinate", "capture", "owner_profile"])
-
-
 # --- hygiene -------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from siftstone.functions import dates, geo, text
+from siftstone.functions import dates, geo, phrases, text
 from siftstone.operators import candidates, checks, consensus, evidence, places, progress, reconcile, rounds, timeline, versioned
 
 
@@ -150,7 +150,7 @@ def test_phrases_leftmost_longest(spark):
     [("Two hours later", 120, "after"), ("half an hour before", 30, "before"), ("a week ago", 10080, "before"), ("15 min earlier", 15, "before"), ("quarter hour after", 15, "after"), ("3.5 hours later", 210, "after"), ("twenty-four hrs prior to it", 1440, "before"), ("no time", None, None)],
 )
 def test_relative_minutes(spark, phrase, minutes, relation):
-    a, b = text.relative_minutes(F.lit(phrase))
+    a, b = phrases.relative_minutes(F.lit(phrase))
     assert tuple(spark.range(1).select(a, b).first()) == (minutes, relation)
 
 
@@ -161,7 +161,7 @@ def test_https_addresses(spark):
 
 def test_machine_tags_stop_at_contradictions(spark):
     rows = spark.createDataFrame([("geo:lat=1 geo:lon=2", None), ("geo:lat=1 geo:lat=3", "geo:lat=5 geo:lon=6"), (None, "geo:lat=5 geo:lon=6"), ("x", "geo:lat=5 geo:lon=6")], "a string, b string")
-    lat, lon = text.machine_tag_pair(F.col("a"), F.col("b"))
+    lat, lon = phrases.machine_tag_pair(F.col("a"), F.col("b"))
     assert [tuple(r) for r in rows.select(lat, lon).collect()] == [(1.0, 2.0), (None, None), (5.0, 6.0), (5.0, 6.0)]
 
 
@@ -318,7 +318,7 @@ def test_digests_tell_contents_apart(spark):
     ],
 )
 def test_points_in_links(spark, url, point):
-    lat, lon = text.link_coordinates(F.lit(url).cast("string"))
+    lat, lon = phrases.link_coordinates(F.lit(url).cast("string"))
     assert tuple(spark.range(1).select(lat, lon).first()) == point
 
 
@@ -328,7 +328,7 @@ def test_excerpts_tokens_and_texts(spark):
     assert [(t["token"], t["start"], t["stop"]) for t in row.select(text.folded_tokens("b")).first()[0]] == [("new", 0, 3), ("ss", 4, 5), ("日", 5, 6), ("本", 6, 7), ("9", 8, 9)]
     page = "<p>One&amp;<b>two</b><br>three<!-- no --><script>if (a<b) {}</script></p><div><a HREF='x&amp;y'>link</a><a>none</a></div><style>p{}</style>last\xa0 word"
     seen = spark.createDataFrame([(page,), (None,)], "h string").select(text.visible_text("h").alias("v")).collect()
-    assert (seen[0]["v"]["text"], seen[0]["v"]["links"]) == ("One&two\nthree\nlinknone\nlast word", ["x&y"]) and seen[1]["v"]["text"] == ""
+    assert (seen[0]["v"]["text"], seen[0]["v"]["links"]) == ("One&two\nthree\n\nlinknone\nlast\xa0 word", ["x&y"]) and seen[1]["v"]["text"] == ""
     assert spark.range(1).select(text.utf16_parts(F.lit("😀" * 5 + "ab"), F.lit(3))).first()[0] == ["😀"] * 4 + ["😀a", "b"]
     assert spark.range(1).select(text.utf16_parts(F.lit(""), F.lit(3))).first()[0] == [""]
 
@@ -364,7 +364,9 @@ def test_small_helpers(spark):
     one = spark.range(1).select(geo.ramp_colour(F.lit(0.5), (0, 0, 0), (255, 255, 255)), geo.ramp_colour(F.lit(None).cast("double"), (0, 0, 0), (1, 1, 1)), text.slug(F.lit("A b/c!"))).first()
     assert one[0] == "#808080" and one[1] == "#888888" and one[2].startswith("a-b-c-") and len(one[2]) == 16
     score = lambda *a: spark.range(1).select(clues.evidence_score(*map(F.lit, a))).first()[0]
-    assert (score("capture", "settlement", True), score("title", "country", False), score("tag", "region", False), score("x", "settlement", False)) == (97, 30, 47, 20)
+    assert score("explicit_photo_locality", "description", True, True, "settlement", False) == 85 and score("title_place", "title", True, False, "settlement", True) == 72
+    assert score("owner_comment_locality", "comment", True, False, "settlement", False) == 65 and score("comment_place_mention", "comment", False, False, "settlement", False) == 20
+    assert score("title_place", "title", True, True, "country", False) == 30 and score("place_tag", "tag", True, False, "region", False) == 47 and score("map_link", "description", True, False, "point", False) == 140
 
 
 def test_broken_updates(spark):
