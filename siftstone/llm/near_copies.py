@@ -28,7 +28,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, give_back, run_hashes, written
@@ -132,8 +132,10 @@ def _together(nodes: DataFrame, words: int, bits: int) -> DataFrame:
     """(``key``, ``n``, ``node``, ``size``, bits) where ``n`` nodes share a bucket; a key's lowest bits are its table."""
     tables = [(k, m) for k in range(words) for m in masks(RADIUS, bits)]
     key = [F.xxhash64(F.lit(t), F.col("words")[k].bitwiseAND(F.lit(signed(m)))).bitwiseAND(F.lit(-4096)).bitwiseOR(F.lit(t)) for t, (k, m) in enumerate(tables)]
-    dealt = nodes.select(F.explode(F.array(*key)).alias("key"), "node").repartition("key")
-    shared = dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+    dealt = nodes.select(F.explode(F.array(*key)).alias("key"), "node")
+    # counted in part before the shuffle, and joined, so that a crowd's bucket isn't in one task
+    counts = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = dealt.join(counts, "key")
     more = F.when(F.col("n") > FEW, F.col("more")).alias("more")
     return shared.join(nodes.drop("words"), "node").select("key", "n", "node", "size", *BITS, more)
 
