@@ -2,11 +2,13 @@
 
 The markup becomes a tree (end tags that authors leave out are implied).  Parts that say
 what they are (navigation, page header and footer, sidebars, forms, notices, adverts,
-comments, by element, role or the last word of a class or id) go.  Each paragraph earns
+comments, by element, role or the words of a class or id; inside an article by these only if
+sure or if the part looks like it) go.  Each paragraph earns
 points: one, one for each comma, one for each hundred characters up to three.  It passes
 them to its parent, half to its grandparent and less to what is further up; a container's
 sum is discounted by its link density.  The best container is kept, with the siblings whose
-points come near it or that read like its paragraphs, and all that they hold.
+points come near it or that read like its paragraphs, and all that they hold; an article is
+kept whole, with the articles beside it that are worth as much.
 
 Text blocks are the runs of text between block elements, in page order.
 """
@@ -48,8 +50,19 @@ WORDS = frozenset(
     header footer comment comments disqus respond reply replies discussion share sharing social related recommended recommendations
     pagination pager search skip copyright disclaimer hidden outbrain taboola form""".split()
 )
+#: Of these the words that inside an article mark a part by themselves; the others, only what looks like no text.
+SURE = frozenset(
+    """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe
+    subscription signup signin login sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs toolbar comment comments disqus respond reply replies discussion pagination
+    outbrain taboola""".split()
+)
 GOOD = frozenset("article main content post entry story body text page hentry blog".split())
 
+#: Share of link text from which a part of an article looks like a list of links.
+ASIDE_LINKS = 0.3
+#: Points of a sibling, as a share of the best part's.
+SIBLING = 0.2
+
 NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 ENDS = re.compile(r"""[>"']""")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -59,13 +72,13 @@ SPLIT_WORDS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "children", "points", "size", "linked", "commas", "holds_main")
+    __slots__ = ("tag", "attributes", "parent", "children", "points", "size", "linked", "commas", "ends", "holds_main")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None):
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list[Node | str] = []
         self.points = 0.0
-        self.size = self.linked = self.commas = 0
+        self.size = self.linked = self.commas = self.ends = 0
         self.holds_main = False
 
 
@@ -198,8 +211,12 @@ def parse(html: str) -> Node:
     return root
 
 
-def _marked(node: Node) -> bool:
-    """Whether a part says that it isn't main text."""
+def _marked(node: Node, inside: bool) -> bool:
+    """Whether a part says that it isn't main text.
+
+    ``inside`` an article or the main part, a class or id that isn't sure counts only if the
+    part looks like it: many links, or no end of a sentence; a part with the title stays.
+    """
     a = node.attributes
     if node.tag in NOT_MAIN:
         return True
@@ -209,9 +226,12 @@ def _marked(node: Node) -> bool:
         return True
     if node.tag in ("article", "main") and not a.get("class", "").lower().startswith("comment"):
         return False
+    unlike = inside and (node.holds_main or node.ends and _density(node) < ASIDE_LINKS)
     for name in [*a.get("class", "").split(), a.get("id", "")]:
         words = [w.lower() for w in SPLIT_WORDS.split(name) if w and not w.isdigit()]
-        if words and (words[-1] in WORDS or words[0] in WORDS and words[-1] not in GOOD):
+        if not words:
+            continue
+        if words[-1] in (SURE if unlike else WORDS) or words[0] in WORDS and words[-1] not in GOOD and not unlike:
             return True
     return False
 
@@ -225,6 +245,7 @@ def _prune(root: Node) -> None:
         stack += [c for c in node.children if type(c) is Node]
     for node in reversed(order):
         node.holds_main = node.tag in ("article", "main") or any(type(c) is Node and (c.holds_main or c.tag == "h1") for c in node.children)
+    _measure(root)
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
@@ -234,7 +255,7 @@ def _prune(root: Node) -> None:
                 own = c.tag in ("article", "main")
                 if c.tag == "header" and not inside and not c.holds_main:
                     continue
-                if _marked(c) and (c.tag in NOT_MAIN or own or not c.holds_main or inside):
+                if _marked(c, inside) and (c.tag in NOT_MAIN or own or not c.holds_main or inside):
                     continue
                 stack.append((c, inside or own))
             kept.append(c)
@@ -251,6 +272,7 @@ def _measure(root: Node) -> list[Node]:
     for node in reversed(order):
         node.size = sum(len(" ".join(c.split())) if type(c) is str else c.size for c in node.children)
         node.commas = sum(c.count(",") if type(c) is str else c.commas for c in node.children)
+        node.ends = sum(c.count(".") + c.count("!") + c.count("?") if type(c) is str else c.ends for c in node.children)
         node.linked = node.size if node.tag == "a" else sum(c.linked for c in node.children if type(c) is Node)
     return order
 
@@ -259,6 +281,17 @@ def _density(node: Node) -> float:
     return node.linked / node.size if node.size else 0.0
 
 
+def _value(article: Node) -> float:
+    """What the paragraphs anywhere in an article are worth."""
+    total, stack = 0.0, [article]
+    while stack:
+        node = stack.pop()
+        if _is_paragraph(node) and node.size >= 25:
+            total += (1 + node.commas + min(node.size // 100, 3)) * (1 - _density(node))
+        stack += [c for c in node.children if type(c) is Node]
+    return total
+
+
 def _flat(node: Node) -> str:
     out, stack = [], [node]
     while stack:
@@ -340,10 +373,14 @@ def main_text(html: str | None) -> str:
         up = up.parent
     if up is not None:
         best = up  # the whole article, with the sections that scored less
-    if best.tag in ("article", "main", "body", "#root", "html") or best.parent is None:
+    if best.tag == "article" and best.parent is not None:
+        # further articles beside it that read like it
+        least = max(2.0, SIBLING * _value(best))
+        parts = [x for x in best.parent.children if x is best or type(x) is Node and x.tag == "article" and _value(x) >= least]
+    elif best.tag in ("article", "main", "body", "#root", "html") or best.parent is None:
         parts = [best]
     else:
-        near = max(10.0, 0.2 * best.points)
+        near = max(10.0, SIBLING * best.points)
         for x in best.parent.children:
             if type(x) is not Node:
                 continue

@@ -290,6 +290,34 @@ def test_long_pages_take_linear_time(page):
     assert len(page) >= 500_000 and whole < 30  # a quadratic parser takes many minutes
 
 
+LONG = "This is a sentence of the article, which is long enough, and it has commas. It goes on with more, and with more."
+
+
+@pytest.mark.parametrize(
+    "part",
+    ['<div class="share-price">{}</div>', '<section id="form-factor"><p>{}</p></section>', '<div class="related-work"><p>{}</p></div>', '<div class="entry-header"><h1>{}</h1></div>', '<p class="footer">{}</p>', '<div class="social"><p>{}</p></div>'],
+)
+@pytest.mark.parametrize("frame", ["article", "main"])
+def test_names_alone_drop_nothing_of_an_article(part, frame):
+    own = "The price of a share rose, says the report, and it will rise again. Nobody knows why."
+    page = f"<body><nav>menu</nav><{frame}><p>{LONG}</p>{part.format(own)}<p>{LONG}</p></{frame}></body>"
+    assert html_main.main_text(page).split("\n") == [LONG, own, LONG]
+
+
+@pytest.mark.parametrize(
+    "part",
+    ['<div class="ad">Buy now, and pay later. It is cheap!</div>', '<div class="share-links"><a href="x">Tell others</a> <a href="y">Send it</a></div>', '<section id="comments"><p>I like it, really. So do I.</p></section>', '<div class="related"><a href="a">One more</a></div>', '<div class="cookie-notice"><p>We use cookies. Fine.</p></div>', "<footer>Written by us.</footer>"],
+)
+def test_asides_inside_an_article_go(part):
+    assert html_main.main_text(f"<body><article><p>{LONG}</p>{part}<p>{LONG}</p></article></body>").split("\n") == [LONG, LONG]
+
+
+def test_articles_beside_the_best_stay():
+    first, second = LONG + " One.", LONG + " Two."
+    page = f"<body><main><article><p>{first}</p><p>{first}</p></article><article><p>{second}</p></article><article><a href='x'>A teaser with a link</a></article></main></body>"
+    assert html_main.main_text(page).split("\n") == [first, first, second]
+
+
 def test_main_text_of_pages(spark):
     import html
     import re
