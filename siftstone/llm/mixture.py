@@ -26,6 +26,8 @@ Only DataFrame functions run here.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -256,16 +258,19 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """The rows of ``df`` that the mix takes, once for each pass, with ``df``'s columns.
 
     The text of a block that is cut is its first words, joined by single spaces.  Options
-    are those of :func:`mix`.
+    are those of :func:`mix`, and so are the rules: rows without words are never taken, rows
+    alike in identifier, source and text are documents of their own, each with its own passes,
+    and an empty table gives an empty result.
     """
+    key = ["__id", "__source", "__crc", "__size", "__nth"]
     blocks = mix(df, id_col, text_col, source_col, **options).filter("take > 0")
-    takes = blocks.groupBy(F.col(f"`{id_col}`").alias("__id"), F.col("crc").alias("__crc"), F.col("size").alias("__size")).agg(F.collect_list("take").alias("__takes"))
+    takes = blocks.groupBy(F.col(f"`{id_col}`").alias("__id"), F.col("source").alias("__source"), F.col("crc").alias("__crc"), F.col("size").alias("__size"), F.col("nth").alias("__nth"))
+    takes = takes.agg(F.collect_list("take").alias("__takes")).select(*[F.col(c).alias(f"{c}_of") for c in key], "__takes")
     text = F.col(f"`{text_col}`")
-    same = Window.partitionBy("__i", "__c", "__s").orderBy("__c")
-    # Rows alike in identifier and text have their passes in one list: the first of them takes it.
-    keyed = df.withColumns({"__i": F.col(f"`{id_col}`"), "__c": F.crc32(text), "__s": word_count(text)}).withColumn("__nth", F.row_number().over(same)).filter("__nth = 1")
-    on = F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__c") == F.col("__crc")) & (F.col("__s") == F.col("__size"))
-    taken = keyed.join(takes, on).withColumn("__take", F.explode("__takes"))
+    equal = Window.partitionBy("__id", "__source", "__size", "__crc").orderBy("__crc")
+    keyed = df.withColumns({"__id": F.col(f"`{id_col}`"), "__source": F.col(f"`{source_col}`"), "__crc": F.crc32(text), "__size": word_count(text)}).withColumn("__nth", F.row_number().over(equal))
+    on = [F.col(c).eqNullSafe(F.col(f"{c}_of")) if c in ("__id", "__source") else F.col(c) == F.col(f"{c}_of") for c in key]
+    taken = keyed.join(takes, reduce(lambda a, b: a & b, on)).withColumn("__take", F.explode("__takes"))
     words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
-    cut = F.when(F.col("__take") < F.col("__s"), F.array_join(F.slice(words, F.lit(1), F.col("__take").cast("int")), " ")).otherwise(text)
+    cut = F.when(F.col("__take") < F.col("__size"), F.array_join(F.slice(words, F.lit(1), F.col("__take").cast("int")), " ")).otherwise(text)
     return taken.withColumn(text_col, cut).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -21,13 +21,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Documented bound of the fitting sample, in documents and in pairs.
+#: Documented bound of the fitting sample, in documents.
 MOST_LABELS = 20_000
-MOST_PAIRS = 200_000
+#: Good documents whose pairs with all bad ones are summed up at once.
+TILE = 256
 #: The score at the threshold.
 ACCEPTED = 0.3
 RIDGE = 1e-3
-SEED = 7_919
 
 #: Bytes that have a feature of their own: their share of the text.
 SINGLE = b".,!?;:'\"()[]{}<>|*#$%&@/\\=+-_~^`\n\t"
@@ -111,22 +111,47 @@ def fit_pairs(x: np.ndarray, better: np.ndarray, worse: np.ndarray, rounds: int
     return mean, scale, w
 
 
+def fit_all(x: np.ndarray, ups: np.ndarray, downs: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`fit_pairs` for all pairs of a better row (``ups``) and a worse one (``downs``).
+
+    Newton's sums need no pair by itself, only row and column sums of the pairs'
+    probabilities and one product for each tile of them.
+    """
+    mean, scale = x.mean(0), x.std(0)
+    scale = np.where(scale > 1e-9, scale, 1.0)
+    z = (x - mean) / scale
+    up, down = z[ups], z[downs]
+    w, n = np.zeros(x.shape[1]), len(up) * len(down)
+    for _ in range(rounds):
+        high, low = up @ w, down @ w
+        of_up, of_down = np.zeros(len(up)), np.zeros(len(down))  # sums of the probabilities of the wrong order
+        curve_up, curve_down, cross = np.zeros(len(up)), np.zeros(len(down)), np.zeros((len(w), len(w)))
+        for k in range(0, len(up), TILE):
+            at = slice(k, k + TILE)
+            p = 1 / (1 + np.exp(np.clip(high[at, None] - low[None, :], -500, 500)))
+            of_up[at], of_down = p.sum(1), of_down + p.sum(0)
+            p *= 1 - p
+            curve_up[at], curve_down = p.sum(1), curve_down + p.sum(0)
+            cross += up[at].T @ (p @ down)
+        slope = up.T @ of_up - down.T @ of_down
+        curve = up.T @ (curve_up[:, None] * up) + down.T @ (curve_down[:, None] * down) - cross - cross.T
+        step = np.linalg.solve(curve / n + RIDGE * np.eye(len(w)), slope / n - RIDGE * w)
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return mean, scale, w
+
+
 def fit(x: np.ndarray, good: np.ndarray, quantile: float | None = None) -> Ranker:
     """Learns from labelled rows: every good one is preferred to every bad one.
 
-    Pairs beyond ``MOST_PAIRS`` are drawn by a seeded generator.  ``quantile`` of the scores
-    is the threshold; the share of bad labels unless given.  Without both labels all
-    documents have one score, and are accepted.
+    ``quantile`` of the scores is the threshold; the share of bad labels unless given.
+    Without both labels all documents have one score, and are accepted.
     """
     ups, downs = np.flatnonzero(good == 1), np.flatnonzero(good != 1)
     if not len(ups) or not len(downs):
         return Ranker(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0)
-    if len(ups) * len(downs) <= MOST_PAIRS:
-        better, worse = np.repeat(ups, len(downs)), np.tile(downs, len(ups))
-    else:
-        draw = np.random.default_rng(SEED)
-        better, worse = draw.choice(ups, MOST_PAIRS), draw.choice(downs, MOST_PAIRS)
-    mean, scale, w = fit_pairs(x, better, worse)
+    mean, scale, w = fit_all(x, ups, downs)
     ranker = Ranker(mean, scale, w, 0.0)
     below = np.sort(ranker.raw(x))
     k = int(round((len(downs) / len(x) if quantile is None else quantile) * len(x)))
@@ -144,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Null identifiers and labels teach nothing.  Of rows that share an identifier one counts,
     with the least label and the text of the least hash, so what the driver gets is bounded
-    by ``most``.  A null text counts as empty.  Without labels, or with one kind only, every
+    by ``most``.  Identifiers may be of any type that both tables share.  A null text counts as empty.  Without labels, or with one kind only, every
     document has one score and is accepted.
     """
     known = (
@@ -162,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({"i": batch["i"], "y": batch["y"], "h": batch["h"], "x": [features(t) for t in batch["t"].tolist()]})
 
     texts = docs.select(F.col(f"`{id_col}`").alias("i"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
-    found = texts.join(F.broadcast(known), "i").mapInPandas(run, "i bigint, y int, h bigint, x array<double>")
+    met = texts.join(F.broadcast(known), "i").withColumn("i", F.col("i").cast("string"))
+    found = met.mapInPandas(run, "i string, y int, h bigint, x array<double>")
     rows = found.groupBy("i", "y").agg(F.min_by("x", "h").alias("x")).toPandas().sort_values("i")  # at most ``most`` rows
     x = np.array(rows["x"].tolist()) if len(rows) else np.zeros((0, N_FEATURES))
     return fit(x, rows["y"].to_numpy())

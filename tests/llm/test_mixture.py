@@ -121,3 +121,14 @@ def test_repeated_rows_keep_a_row_each(spark, monkeypatch):
     got = queries.op9_mixture(spark, "").collect()
     assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows)
     assert all(r["taken"] <= 3 * r["size"] for r in got)
+
+
+def test_rows_that_differ_in_source_only(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "y"), (2, "d e f g", "x"), (3, "h i j k l m n o", "y"), (1, "a b c", "y"), (4, "p q", None), (4, "p q", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, came = defaultdict(int), defaultdict(int)
+    for b in mixture.mix(df, shards=2).collect():
+        taken[b["doc_id"], b["source"]] += b["take"]
+    for r in mixture.mixed_rows(df, shards=2).collect():
+        came[r["doc_id"], r["source"]] += len(r["text"].split())
+    assert came == {k: v for k, v in taken.items() if v}

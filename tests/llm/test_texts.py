@@ -161,6 +161,25 @@ def test_preference_pairs_recover_an_order():
     assert np.corrcoef((x - mean) / scale @ w, truth)[0, 1] > 0.98
 
 
+def test_all_pairs_are_what_the_pairs_give(monkeypatch):
+    rng = np.random.default_rng(2)
+    x, good = rng.standard_normal((90, 6)), rng.random(90) < 0.4
+    x[good] += 0.5
+    ups, downs = np.flatnonzero(good), np.flatnonzero(~good)
+    monkeypatch.setattr(quality_rank, "TILE", 7)
+    _, _, w = quality_rank.fit_all(x, ups, downs)
+    _, _, pairs = quality_rank.fit_pairs(x, np.repeat(ups, len(downs)), np.tile(downs, len(ups)))
+    assert w == pytest.approx(pairs, abs=1e-9)
+
+
+def test_text_identifiers_and_a_very_long_text(spark):
+    rows = [(f"d{k}", "Good words, and fine ones. " * 3 if k % 2 else "### $$$ ###") for k in range(40)] + [("long", "Good words, and fine ones. " * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    ranker = quality_rank.train(docs, spark.createDataFrame([(f"d{k}", k % 2) for k in range(30)], "doc_id string, quality int"))
+    got = {r["doc_id"]: r["predicted"] for r in quality_rank.score(docs, ranker).collect()}
+    assert all(got[f"d{k}"] == k % 2 for k in range(40)) and got["long"] == 1
+
+
 def plain_features(text):
     """The features, told in words and characters one by one."""
     data = (text or "").encode()
