@@ -7,20 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .checks import CheckFailed, require_none, table_fingerprint
-from .rounds import ranked
+from ..functions.text import json_members, json_overlay, json_without
+from .candidates import byte_chunks
+from .checks import CheckFailed, duplicates, require_none, table_fingerprint
+
+
+#: The key that stands for archived metadata.
+REFERENCE = "archive_record"
+#: Rows and bytes of a shard at most, and bytes of a record.
+SHARD_ROWS, SHARD_BYTES, RECORD_BYTES = 1000, 8 << 20, 16 << 20
 
 
 def compacted(metadata: Column, record: Column, provenance: str) -> Column:
-    """What is left in place of archived metadata: a reference, and the provenance if there is any."""
-    kept = F.get_json_object(metadata, f"$.{provenance}")
-    return F.to_json(F.struct(record.cast("string").alias("archive_record"), kept.alias(provenance)))
+    """What is left in place of archived metadata: a reference, and the provenance, as it is written, if there is any."""
+    return json_overlay(F.to_json(F.struct(record.cast("string").alias(REFERENCE))), json_members(metadata, F.array(F.lit(provenance))))
 
 
-def shards(df: DataFrame, record: str, metadata: str, rows: int = 1000) -> DataFrame:
-    """(record, ``shard``, metadata, ``metadata_md5``): records in order, ``rows`` in a shard."""
-    numbered = ranked(df.select(record, F.col(metadata).alias("metadata_json")), [], [record], "__n")
-    return numbered.select(record, F.floor((F.col("__n") - 1) / rows).cast("long").alias("shard"), "metadata_json", F.md5("metadata_json").alias("metadata_md5"))
+def shards(df: DataFrame, record: str, metadata: str, rows: int = SHARD_ROWS, most_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(record, ``shard``, metadata, ``metadata_md5``): records in order; a shard ends before so many rows or bytes are exceeded.
+
+    A record that is longer than a shard has one of its own; one beyond ``RECORD_BYTES``, and
+    a repeated identifier, abort.
+    """
+    kept = df.select(record, F.col(metadata).alias("metadata_json"), F.lit(0).alias("__all"), F.octet_length(metadata).cast("long").alias("__bytes"))
+    require_none(kept.filter(F.col("__bytes") > RECORD_BYTES).select(record), "metadata are longer than a record may be")
+    require_none(duplicates(kept, [record]), f"{record} is repeated")
+    cut = byte_chunks(kept, "__all", [record], "__bytes", most_bytes, rows, "__chunk")
+    return cut.select(record, (F.col("__chunk") - 1).cast("long").alias("shard"), "metadata_json", F.md5("metadata_json").alias("metadata_md5"))
 
 
 def manifest(archived: DataFrame, record: str) -> DataFrame:
@@ -47,13 +60,37 @@ def swapped(table: DataFrame, archived: DataFrame, record: str, metadata: str, p
 
 
 def restored(table: DataFrame, archived: DataFrame, record: str, metadata: str) -> DataFrame:
-    """``table`` with archived metadata back where its reference stands; raises for references without a record."""
-    reference = F.get_json_object(metadata, "$.archive_record")
-    marked = table.withColumn("__ref", reference)
+    """``table`` with archived metadata back where its reference stands, under the row's other keys.
+
+    Keys that the row has beside its reference win over the archived ones; numbers and all
+    else stay as they are written, and archived text without such keys comes back byte for
+    byte.  Raises for references without a record, and for those that can't be read.
+    """
+    text = F.col(metadata)
+    marked = table.withColumn("__ref", F.get_json_object(metadata, f"$.{REFERENCE}"))
+    require_none(marked.filter(F.col("__ref").isNull() & text.contains(f'"{REFERENCE}"') & F.try_parse_json(text).isNull()).select(record), "references can't be read")
     known = archived.select(F.col(record).cast("string").alias("__a"), "metadata_json")
     out = marked.join(known, F.col("__ref") == F.col("__a"), "left")
     require_none(out.filter(F.col("__ref").isNotNull() & F.col("metadata_json").isNull()).select(record), "references without an archived record")
-    return out.withColumn(metadata, F.coalesce("metadata_json", metadata)).drop("__ref", "__a", "metadata_json")
+    back = json_overlay(F.col("metadata_json"), json_without(text, F.array(F.lit(REFERENCE))))
+    return out.withColumn(metadata, F.when(F.col("metadata_json").isNotNull(), back).otherwise(text)).drop("__ref", "__a", "metadata_json")
+
+
+def fetched(archived: DataFrame, kept: DataFrame, record: str, wanted: DataFrame) -> DataFrame:
+    """The records of ``wanted`` from those shards alone that hold them, each shard checked against its manifest.
+
+    ``kept``: what :func:`manifest` gave.  A shard's first and last record tell which it can
+    be; damaged shards abort, and so do wanted records that no shard holds.
+    """
+    asked = wanted.select(F.col(record).alias("__w")).distinct()
+    of = asked.join(kept.select("shard", "first", "last"), F.col("__w").between(F.col("first"), F.col("last")))
+    some = archived.join(of.select("shard").distinct(), "shard", "left_semi")
+    require_none(some.filter(~F.md5("metadata_json").eqNullSafe(F.col("metadata_md5"))).select(record), "archived records are damaged")
+    told = kept.join(of.select("shard").distinct(), "shard", "left_semi")
+    require_none(told.exceptAll(manifest(some, record)), "shards differ from their manifest")
+    out = some.join(asked, F.col(record) == F.col("__w"), "left_semi")
+    require_none(asked.join(out, F.col(record) == F.col("__w"), "left_anti"), "records that no shard holds")
+    return out
 
 
 def frozen(df: DataFrame, path: str) -> DataFrame:
@@ -85,11 +122,18 @@ def source_profile(df: DataFrame, key: str, texts: Sequence[str]) -> DataFrame:
 def rolling_calls(calls: DataFrame, at: str, key: str, seconds: int = 3600, budget: int = 3500) -> DataFrame:
     """``calls`` with ``in_window`` (calls of the last ``seconds`` up to and with each) and whether these exceed ``budget``.
 
-    The window looks back over each key's own ledger.
+    The window looks back over each key's own ledger.  Time is cut into slices as long as it:
+    a call is counted in its own slice and, for the calls there, in the next, so a task holds
+    two slices of a key at a time and never its whole ledger.  Calls without a time have none.
     """
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    back = Window.partitionBy(key).orderBy(micros).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return calls.withColumn("in_window", F.count(F.lit(1)).over(back)).withColumn("over_budget", F.col("in_window") > budget)
+    length = seconds * 1_000_000
+    own = calls.withColumns({"__at": micros, "__slice": F.floor(micros / length)})
+    twice = own.withColumn("__s", F.explode(F.array("__slice", F.col("__slice") + 1)))
+    back = Window.partitionBy(key, "__s").orderBy("__at").rangeBetween(-length + 1, 0)
+    counted = twice.filter("__at IS NOT NULL").withColumn("in_window", F.count(F.lit(1)).over(back)).filter("__s = __slice")
+    out = counted.unionByName(own.filter("__at IS NULL").withColumns({"__s": F.col("__slice"), "in_window": F.lit(None).cast("long")}))
+    return out.withColumn("over_budget", F.col("in_window") > budget).drop("__at", "__slice", "__s")
 
 
 def next_jobs(queue: DataFrame, slot: str, priority: str, tries: str, at: str, key: str, most: int = 3) -> DataFrame:

@@ -10,8 +10,6 @@ each photo counts all this and takes a status.  Kinds, sources and flags are tho
 
 from __future__ import annotations
 
-import re
-import tempfile
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +20,7 @@ from ..functions.text import visible_text
 from . import clues, evidence, timeline
 from .checks import duplicates, require_none
 from .gazetteer import found_phrases
+from .staging import staged
 
 #: What is told of each text unit, and of evidence that stands in it.
 ORIGIN = ["source", "field", "by_owner", "comment_id", "comment_author", "comment_at"]
@@ -51,17 +50,6 @@ class Analysis(NamedTuple):
     neighbours: DataFrame
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` kept in the folder that ``spark.checkpoint.dir`` names; a local master may leave that unset."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.match(r"local(\[|$)", sc.master):
-            raise RuntimeError(f"set spark.checkpoint.dir: executors of {sc.master} don't share this machine's folders")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="siftstone-"))
-    return df.checkpoint()
-
-
 def text_units(photos: DataFrame) -> DataFrame:
     """The texts of each photo: (``photo``, ``unit``, the columns of ``ORIGIN``, ``text``, ``links``).
 

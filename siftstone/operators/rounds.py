@@ -6,41 +6,30 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
-
-#: Parts into which the values of an order are cut, and leading characters that tell parts of texts.
-RANGES, LETTERS = 1024, 3
-
-
-def _coarse(df: DataFrame, column: str) -> Column:
-    """A value that never falls where ``column`` rises, and takes few values."""
-    c, kind = F.col(f"`{column}`"), df.schema[column].dataType
-    if isinstance(kind, StringType):
-        return F.substring(c, 1, LETTERS)
-    if not isinstance(kind, NumericType):
-        c = F.unix_micros(c.cast("timestamp"))
-    low, high = df.agg(F.min(c).cast("double"), F.max(c).cast("double")).first()
-    if low is None or high <= low:
-        return F.lit(0)
-    return F.floor((c.cast("double") - low) * (RANGES / (high - low))).cast("long")
 
+from .staging import staged
 
 def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """``df`` with the rank, from 1, of each row in its group in ascending ``order`` (columns, nulls first).
 
-    No task ranks a whole group: its rows fall into parts by the first column of the order,
-    counts of the parts are summed up, and ranks are taken within a part.
+    No task ranks a whole group: splitters that Spark samples over all columns of the order
+    deal the rows into ranges of about equal size, the ranges' counts are summed up, and ranks
+    are taken within a range.  Rows alike in the order are told apart by a hash of the whole
+    row, so neither a constant column nor outliers make a large range.  The dealt rows are
+    kept in the checkpoint folder, since sampling again could give other ranges.
     """
-    dealt = df.withColumn("__part", _coarse(df, order[0]))
+    tie = "__tie"
+    dealt = df.withColumn(tie, F.xxhash64(*[F.col(f"`{c}`").cast("string") if df.schema[c].dataType.typeName() in ("map", "variant") else F.col(f"`{c}`") for c in df.columns]))
+    dealt = staged(dealt.repartitionByRange(*[F.col(c).asc_nulls_first() for c in (*group, *order, tie)]).withColumn("__part", F.spark_partition_id()))
     counts = dealt.groupBy(*group, "__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     starts = counts.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(group)], F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = dealt.withColumn("__nth", F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order)))
-    same = F.col("__part").eqNullSafe(F.col("__p"))
+    inside = dealt.withColumn("__nth", F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order, tie)))
+    same = F.col("__part") == F.col("__p")
     for k, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"__g{k}"))
     out = inside.join(starts, same).withColumn(name, (F.col("__start") + F.col("__nth")).cast("long"))
-    return out.drop("__part", "__p", "__nth", "__start", *[f"__g{k}" for k in range(len(group))])
+    return out.drop(tie, "__part", "__p", "__nth", "__start", *[f"__g{k}" for k in range(len(group))])
 
 
 def json_pair(a: Column, b: Column) -> Column:

@@ -492,6 +492,19 @@ def archive_round_trip(t):
     return archive.restored(small, kept, "event_id", "props")
 
 
+@query("""
+    SELECT event_id, CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN '{"k":' || json_extract_string(props, '$.k') || ',"review":{"value": 1.50, "of": "' || event_type || '"}}' ELSE '{"k":' || user_id || '.0}' END AS props FROM events
+""")
+def archive_overrides(t):
+    """Keys that rows have got since they were archived win when these are restored; numbers stay as they are written."""
+    rows = t("events").select("event_id", "user_id", "event_type", "props")
+    kept = archive.shards(rows.filter("event_id % 3 <> 0").select("event_id", "props"), "event_id", "props", 100, 2000)
+    small = archive.swapped(rows, kept, "event_id", "props", "provenance")
+    added = F.when(F.col("event_id") % 3 == 1, _text('{"review": {"value": 1.50, "of": "', F.col("event_type"), '"}}')).when(F.col("event_id") % 3 == 2, _text('{"k": ', F.col("user_id"), ".0}"))
+    since = small.withColumn("props", F.when(added.isNotNull(), text.json_overlay("props", added)).otherwise(F.col("props")))
+    return archive.restored(since, kept, "event_id", "props").select("event_id", "props")
+
+
 @query("""
     SELECT 'doc_id' AS "column", 'bigint' AS type, count(doc_id) AS filled, CAST(1 AS BIGINT) AS place FROM documents UNION ALL SELECT 'text', 'string', count(text), 2 FROM documents UNION ALL
     SELECT 'lang', 'string', count(lang), 3 FROM documents UNION ALL SELECT 'source', 'string', count(source), 4 FROM documents UNION ALL SELECT 'n_chars', 'bigint', count(n_chars), 5 FROM documents

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
-from siftstone.operators import archive, checks, clue_tables, cursor, exports, hygiene, round_plans, rounds, workbook
+from siftstone.operators import archive, candidates, checks, clue_tables, cursor, exports, hygiene, round_plans, rounds, workbook
 from siftstone.plans import reviews
 
 from .conftest import DATA
@@ -132,3 +134,74 @@ def test_subsets_and_unknown_clues(spark):
     assert values(clue_tables.neighbour_subsets(photos, near, "id", F.col("p") > 0), "id", "subset") == [("a", "hour_after"), ("a", "hour_before"), ("c", "priority")]
     with pytest.raises(Exception, match="unknown clue"):
         clue_tables.clue_payload(spark.createDataFrame([("a", "odd", "v", 1)], "id string, k string, v string, at int"), "id", "k", "v", "at").collect()
+
+
+def test_ranks_with_outliers_and_constants(spark):
+    rows = [(k % 2 == 0, 0, float(k) if k else 1e300, f"same beginning {k:05d}", k) for k in range(2000)] + [(None, 0, None, None, 5000)]
+    df = spark.createDataFrame(rows, "b boolean, c int, x double, s string, id int")
+    for order in (["b", "id"], ["c", "x", "id"], ["s"], ["c", "s"], ["c"]):
+        got = {r["id"]: r["n"] for r in rounds.ranked(df, [], order, "n").collect()}
+        assert sorted(got.values()) == list(range(1, len(rows) + 1))
+        if order != ["c"]:
+            key = lambda r, o=order: [(r[c] is not None, r[c]) if r[c] is not None else (False, 0) for c in o]
+            assert [got[r["id"]] for r in sorted(df.collect(), key=key)] == list(range(1, len(rows) + 1))
+    parts = df.repartitionByRange(8, "c", "x").groupBy(F.spark_partition_id()).count().collect()
+    assert max(p["count"] for p in parts) < 600  # a constant first column and an outlier still give even ranges
+    inside = {(r["b"], r["id"]): r["n"] for r in rounds.ranked(df, ["b"], ["id"], "n").collect()}
+    assert inside[None, 5000] == 1 and inside[True, 0] == 1 and inside[False, 1999] == 1000
+
+
+def test_rolling_budget_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    at = sorted(rng.randrange(0, 4000 * 60) / 10 for _ in range(600)) + [100.0] * 5
+    rows = [(k, "one", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)) for k, s in enumerate(at)] + [(-1, "other", dt.datetime(2024, 1, 1)), (-2, "one", None)]
+    got = {r["id"]: (r["in_window"], r["over_budget"]) for r in archive.rolling_calls(spark.createDataFrame(rows, "id int, k string, at timestamp"), "at", "k", 3600, 50).collect()}
+    for i, k, t in rows:
+        n = None if t is None else sum(k == o and u is not None and dt.timedelta(0) <= t - u < dt.timedelta(seconds=3600) for _, o, u in rows)
+        assert got[i] == (n, None if n is None else n > 50)
+
+
+def test_chunks_over_many_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    monkeypatch.setattr(candidates, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(candidates, "BLOCK_CHUNKS", 2)
+    rows = [(g, k, rng.choice([0, 1, 3, 9, 40])) for g, n in (("a", 500), ("b", 1), ("c", 33), (None, 40)) for k in range(n)]
+    for most_bytes, most_rows in ((10, 7), (1, 3), (10_000, 8), (30, 1)):
+        got = {(r["g"], r["i"]): r["chunk"] for r in candidates.byte_chunks(spark.createDataFrame(rows, "g string, i int, s int"), "g", ["i"], "s", most_bytes, most_rows).collect()}
+        for g in ("a", "b", "c", None):
+            chunk, held, count = 0, 0, 0
+            for o, i, s in rows:
+                if o != g:
+                    continue
+                if not count or held + s > most_bytes or count == most_rows:
+                    chunk, held, count = chunk + 1, 0, 0
+                held, count = held + s, count + 1
+                assert got[g, i] == chunk
+
+
+def test_archives_by_bytes_with_overrides(spark):
+    from siftstone.functions import text
+
+    rows = spark.createDataFrame([(k, '{"a": %d.50, "geotag": {"x": 1.0}, "b": "%s"}' % (k, "x" * 40 * k)) for k in range(12)], "id int, meta string")
+    kept = archive.shards(rows, "id", "meta", 5, 1000)
+    sizes = {}
+    for r in kept.collect():
+        sizes.setdefault(r["shard"], []).append(len(r["metadata_json"]))
+    assert all(len(s) <= 5 and (sum(s) <= 1000 or len(s) == 1) for s in sizes.values()) and len(sizes) > 3
+    small = archive.swapped(rows, kept, "id", "meta", "geotag")
+    assert small.filter("id = 3").first()["meta"] == '{"archive_record":"3","geotag":{"x": 1.0}}'
+    assert values(archive.restored(small, kept, "id", "meta"), "id", "meta") == values(rows, "id", "meta")
+    later = small.withColumn("meta", text.json_overlay("meta", F.lit('{"geotag": {"x": 2.00}, "new": [1.0]}')))
+    assert archive.restored(later, kept, "id", "meta").filter("id = 3").first()["meta"] == '{"a":3.50,"geotag":{"x": 2.00},"b":"%s","new":[1.0]}' % ("x" * 120)
+    with pytest.raises(checks.CheckFailed):
+        archive.restored(small.withColumn("meta", F.lit('{"archive_record": "1"')), kept, "id", "meta")
+    told = archive.manifest(kept, "id")
+    assert values(archive.fetched(kept, told, "id", rows.filter("id IN (2, 9)")), "id") == [(2,), (9,)]
+    with pytest.raises(checks.CheckFailed):
+        archive.fetched(kept.withColumn("metadata_md5", F.lit("x")), told, "id", rows.filter("id = 2"))
+    with pytest.raises(checks.CheckFailed):
+        archive.fetched(kept, told, "id", spark.createDataFrame([(77,)], "id int"))
