@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, phrases, text
-from ..operators import candidates, checks, consensus, evidence, gazetteer, places, progress, reconcile, rounds, timeline, versioned
+from ..operators import candidates, checks, consensus, evidence, gazetteer, places, progress, reconcile, region_index, rounds, timeline, versioned
 from . import clue_queries, reviews  # noqa: F401  these register queries, too
 from .registry import ORACLES, QUERIES, long, query  # noqa: F401
 
@@ -674,6 +674,23 @@ def nearest_region(t):
     return places.region_of(rows, "lat", "lon", SQUARES).select("c_custkey", "region")
 
 
+@query("""
+    WITH p AS (SELECT c_custkey, (c_custkey * 7919 % 1300) / 10.0 - 64.97 AS lat, (c_custkey * 104729 % 3400) / 10.0 - 169.97 AS lon FROM customer),
+    s AS (SELECT s_suppkey, s_suppkey * 37 % 320 - 160 AS x, s_suppkey * 53 % 120 - 60 AS y, s_suppkey % 3 + 2 AS h FROM supplier),
+    d AS (SELECT c_custkey, s_suppkey, abs(lon - x) AS dx, abs(lat - y) AS dy, h, cos(radians(lat)) AS k FROM p, s),
+    m AS (SELECT c_custkey, s_suppkey, dx < h AND dy < h AND NOT (dx < 1 AND dy < 1) AS held,
+                 (CASE WHEN dx < 1 AND dy < 1 THEN least((1 - dx) * k, 1 - dy) ELSE sqrt(greatest((dx - h) * k, 0) ^ 2 + greatest(dy - h, 0) ^ 2) END) * pi() * 6371.0088 / 180 AS km FROM d)
+    SELECT c_custkey, coalesce('S' || coalesce(min(s_suppkey) FILTER (held), (min({km: km, s: s_suppkey}) FILTER (km <= 150)).s), 'Other') AS region FROM m GROUP BY 1
+""")
+def polygon_regions(t):
+    """Customers' points in, or within 150 km of, suppliers' squares with holes; the first of several that hold it."""
+    rows = t("customer").select("c_custkey", (F.col("c_custkey") * 7919 % 1300 / 10.0 - 64.97).alias("lat"), (F.col("c_custkey") * 104729 % 3400 / 10.0 - 169.97).alias("lon"))
+    x, y, h = F.col("s_suppkey") * 37 % 320 - 160.0, F.col("s_suppkey") * 53 % 120 - 60.0, F.col("s_suppkey") % 3 + 2.0
+    square = lambda r: F.array(*[F.array(x + a * r, y + b * r) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+    shapes = t("supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("region"), F.col("s_suppkey").alias("place"), F.array(square(h), square(F.lit(1.0))).alias("rings"))
+    return region_index.regions_of(rows, "lat", "lon", shapes, 150.0).select("c_custkey", "region")
+
+
 @query("""
     SELECT CAST(floor(c_acctbal / 1000) AS BIGINT) AS cell_x, CAST(c_nationkey AS BIGINT) AS cell_y, count(*) AS points, count(DISTINCT c_mktsegment) AS series,
            least(38.0, 6 * sqrt(count(DISTINCT c_mktsegment))) AS radius, max(c_custkey) AS newest

@@ -11,10 +11,17 @@ from pyspark.sql import functions as F
 from ..operators.versioned import RESULT
 
 STATE = "label string, version int, seen map<string, struct<label: string, version: int>>"
+#: Submissions of one item and reviewer that are remembered.
+REMEMBERED = 64
 
 
-def saves(commands: DataFrame) -> DataFrame:
-    """The stream of results of a stream of save commands; the rules are those of the batch fold."""
+def saves(commands: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
+    """The stream of results of a stream of save commands; the rules are those of the batch fold.
+
+    The label and version of each item and reviewer stay.  Submissions are remembered as far
+    as a replay of them can still be told from a stale command: the last ``remembered`` saved
+    ones; an older one that comes again is stale, as its version is, and saves nothing.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         label, version, seen = state.get if state.exists else (None, 0, {})
@@ -32,7 +39,8 @@ def saves(commands: DataFrame) -> DataFrame:
                 seen[c.submission] = (label, version)
                 result = "inserted" if version == 1 else "updated"
             out.append((key[0], key[1], int(c.seq), result, label, version))
-        state.update((label, version, seen))
+        last = sorted(seen.items(), key=lambda x: -x[1][1])[:remembered]  # a saved submission's version is its own
+        state.update((label, version, dict(last)))
         yield pd.DataFrame(out, columns=["item", "reviewer", "seq", "result", "label", "version"])
 
     keyed = commands.select(F.col("item").cast("string"), F.col("reviewer").cast("string"), "seq", "submission", "label", "expected")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -284,6 +285,26 @@ def test_statuses_in_order(spark):
     assert values(clues.country_context(c, "id", "m", "s", "c", "l", "f"), "id", "context") == [("a", ["IT"]), ("d", ["SE"])]
 
 
+def test_region_index_against_every_polygon(spark):
+    import random
+
+    from siftstone.operators import region_index
+
+    rng = random.Random(6)
+    shapes = []
+    for k in range(40):
+        x, y, n = rng.uniform(-185, 180), rng.uniform(-85, 80), rng.randrange(3, 9)
+        ring = [[x + rng.uniform(2, 12) * math.cos(a), max(-89.9, min(89.9, y + rng.uniform(1, 6) * math.sin(a)))] for a in sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))]
+        shapes.append((f"r{k}", [ring, [[x - 0.2, y - 0.2], [x + 0.2, y - 0.2], [x, y + 0.3]]]))
+    points = [(k, rng.uniform(-90, 90), rng.uniform(-180, 180)) for k in range(1500)] + [(9000, None, 1.0), (9001, 90.0, 180.0), (9002, -90.0, -180.0)]
+    df = spark.createDataFrame(points + points[:5], "k int, lat double, lon double")
+    polygons = spark.createDataFrame([(n, k, r) for k, (n, r) in enumerate(shapes)], "region string, place long, rings array<array<array<double>>>")
+    for reach in (200.0, 900.0):
+        want = values(places.region_of(df, "lat", "lon", shapes, reach_km=reach), "k", "region")
+        assert values(region_index.regions_of(df, "lat", "lon", polygons, reach_km=reach), "k", "region") == want and len({r for _, r in want}) > 20
+    assert {r["region"] for r in region_index.regions_of(df.limit(3), "lat", "lon", polygons.limit(0)).collect()} == {"Other"}
+
+
 def test_regions_across_the_far_meridian(spark):
     east = [[[100.0, -10.0], [120.0, -10.0], [120.0, 10.0], [100.0, 10.0]]]
     dateline = [[[179.0, -10.0], [181.0, -10.0], [181.0, 10.0], [179.0, 10.0]]]
