@@ -12,6 +12,7 @@ from ..functions.text import utf16_parts
 from .consensus import strict_majority
 from .evidence import distinct_names
 from .hygiene import location_group
+from .rounds import ranked
 
 #: UTF-16 units of a cell, characters of a sheet's name and those that it can't hold.
 CELL_UNITS, NAME_LENGTH, FORBIDDEN = 32_767, 31, r"[\[\]:*?/\\]"
@@ -63,13 +64,9 @@ def review_sheets(df: DataFrame, label: str) -> DataFrame:
 def classification_sheets(votes: DataFrame, item: Sequence[str], label: str, disputed: str = "Disputed") -> DataFrame:
     """(item, ``result``, ``place``): the result by strict majority; sheets stand in the order of their names, disputed ones last."""
     found = strict_majority(votes, item, label, disputed)
-    # as many rows as there are labels
-    kinds = found.select(F.col("result").alias("__r")).distinct().orderBy(F.col("__r") == disputed, "__r").collect()
-    places = {r["__r"]: k for k, r in enumerate(kinds, 1)}
-    place = F.lit(None).cast("int")
-    for name, k in places.items():
-        place = F.when(F.col("result") == name, k).otherwise(place)
-    return found.withColumn("place", place.cast("long"))
+    # a row for each label, of which there may be many: their order is a rank, not an expression
+    kinds = ranked(found.select((F.col("result") == disputed).alias("__last"), F.col("result").alias("__r")).distinct(), [], ["__last", "__r"], "place")
+    return found.join(kinds.select("__r", "place"), F.col("result") == F.col("__r")).drop("__r")
 
 
 def location_sheets(images: DataFrame, status: str, hints: Sequence[str], key: str) -> DataFrame:

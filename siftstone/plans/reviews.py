@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import archive, candidates, checks, clue_tables, clues, cursor, exports, hygiene, round_plans, rounds, workbook
+from ..operators import archive, candidates, checks, clue_tables, clues, cursor, exports, hygiene, publications, round_plans, rounds, workbook
 from .registry import long, query
 
 SCHEMA = "review-label-v6"
@@ -154,6 +154,20 @@ def import_plan(t):
     return planned.crossJoin(F.broadcast(of)).select("page_id", "image_url", "batch_number", "position", "batch_code", title.alias("title"))
 
 
+@query("""
+    WITH d AS (SELECT page_id, url, row_number() OVER (ORDER BY sha256('import:3:' || ordinal), ordinal) - 1 AS i FROM (SELECT page_id, url, row_number() OVER (ORDER BY page_id) AS ordinal FROM pages))
+    SELECT 'PAGES-' || printf('%03d', CAST(i // 6 + 1 AS INTEGER)) AS batch_code, i // 6 + 1 AS batch_position, 'draft' AS campaign_status, i % 6 + 1 AS position, CAST(page_id AS VARCHAR) AS image_id, trim(url) AS image_url, 'Species 9' AS target_scientific_name FROM d
+""")
+def import_publication(t):
+    """Candidates as a campaign with batches and items, proved and published as one."""
+    m = _published_model(t)
+    del m["reviews"]
+    rows = rounds.ranked(t("pages").select(F.col("page_id").cast("string").alias("image_id"), F.trim("url").alias("image_url"), F.lit("web").alias("source_provider"), "page_id"), [], ["page_id"], "ordinal")
+    planned = rounds.logical_batches(rows.withColumn("digest", rounds.hash_order("import", 3, F.col("ordinal"))), "digest", ["ordinal"], 6, "PAGES")
+    after = publications.imported(**m, planned=planned.drop("page_id", "ordinal", "digest", "batch_code"), code="PAGES", title="Pages", target="Species 9", prefix="PAGES", size=6)
+    return _new_items(after, "PAGES").select("batch_code", long("batch_position").alias("batch_position"), "campaign_status", long("position").alias("position"), "image_id", "image_url", "target_scientific_name")
+
+
 # --- rounds --------------------------------------------------------------------------
 
 CATEGORY = "CASE label WHEN 'target_scientific_name' THEN 'scientific_name:' || \"scientificName\" WHEN 'flickr_keyword_match' THEN 'flickr_keyword:' || \"flickrKeyword\" ELSE label END"
@@ -177,6 +191,44 @@ def rereview_round(t):
     return found.select("category", "source_provider", "image_id", "item_id", votes.alias("votes"), "group_number", "members", "position")
 
 
+def _published_model(t) -> dict[str, DataFrame]:
+    """The model's tables with the columns that publications fill."""
+    m = model(t)
+    m["campaigns"] = m["campaigns"].withColumns({"title": F.lit(None).cast("string"), "status": F.lit("open")})
+    m["batches"] = m["batches"].withColumn("title", F.lit(None).cast("string"))
+    return m
+
+
+def _new_items(after: publications.Published, code: str) -> DataFrame:
+    """The items of a round with their campaign and batch."""
+    c = after.campaigns.filter(F.col("campaign_code").startswith(code)).select(F.col("id").alias("campaign_id"), "campaign_code", F.col("title").alias("title"), F.col("status").alias("campaign_status"))
+    b = after.batches.join(c, "campaign_id").select(F.col("id").alias("batch_id"), "campaign_code", c["title"], "batch_code", "campaign_status", F.col("position").alias("batch_position"))
+    return after.items.join(b, "batch_id")
+
+
+NAMED = """CASE WHEN category LIKE 'scientific_name:%' THEN category[17:] WHEN category LIKE 'flickr_keyword:%' THEN 'Keyword match: ' || category[16:] WHEN category = 'artifact_or_illustration' THEN 'Object, artwork or illustration'
+    WHEN category = 'no_biological_subject' THEN 'No clear biological subject' WHEN category = 'arachnid' THEN 'Spider or other arachnid' ELSE upper(category[1]) || replace(category[2:], '_', ' ') END"""
+
+
+@query(f"""
+    WITH {MODEL},
+    v AS (SELECT r.id, item_id, label, updated_at, source_provider, image_id, target_scientific_name,
+                 CASE label WHEN 'target_scientific_name' THEN 'scientific_name:' || coalesce(nullif("scientificName", ''), target_scientific_name, '(unspecified)') WHEN 'flickr_keyword_match' THEN 'flickr_keyword:' || coalesce("flickrKeyword", flickr_search_term, '') ELSE label END AS category
+          FROM reviews r JOIN items i ON i.id = item_id WHERE NOT {SECOND}),
+    m AS (SELECT category, source_provider, image_id, arg_min(item_id, (-epoch_us(updated_at), id)) AS item_id, min(target_scientific_name) AS target, count(*) AS votes FROM v GROUP BY ALL),
+    g AS (SELECT *, dense_rank() OVER (ORDER BY category, target NULLS FIRST, source_provider) AS n FROM m)
+    SELECT 'REREVIEW-R1-' || printf('%03d', n) AS campaign_code, 'Round 2: ' || left({NAMED}, 111) AS title, 'RR-R1-' || printf('%03d', n) || '-001' AS batch_code, source_provider, image_id, CAST(item_id AS VARCHAR) AS original, votes,
+           row_number() OVER (PARTITION BY n ORDER BY md5('["' || source_provider || '", "' || image_id || '"]'), image_id) AS position
+    FROM g
+""")
+def round_publication(t):
+    """A second round with its campaigns, titles, batches and stamped members, proved and published as one."""
+    after = publications.rereview(**_published_model(t), code="R1", at="2024-01-01T00:00:00Z")
+    stamp = lambda path: F.get_json_object("pipeline_metadata", f"$.rereview.{path}")
+    votes = F.size(F.from_json(stamp("source_reviews"), "array<string>"))
+    return _new_items(after, "REREVIEW-R1-").select("campaign_code", "title", "batch_code", "source_provider", "image_id", stamp("original_item_id").alias("original"), long(votes).alias("votes"), long("position").alias("position"))
+
+
 ANSWER = "CASE WHEN label = 'target_scientific_name' OR label = 'model_scientific_name' AND \"scientificName\" = target_scientific_name THEN 'yes' WHEN label IN ('adult_butterfly', 'target_not_present', 'model_scientific_name') THEN 'no' ELSE 'none' END"
 
 
@@ -200,6 +252,29 @@ def _latest(t) -> DataFrame:
     return round_plans.latest_groups(m["items"], m["reviews"], "1995-01-01", "1996-01-01", _answer(), legacy=())
 
 
+@query(f"""
+    WITH {LATEST},
+    a AS (SELECT *, CASE answer WHEN 'yes' THEN 1 WHEN 'no' THEN 2 ELSE 3 END AS n, review_id % 2 AS later FROM grouped),
+    p AS (SELECT *, row_number() OVER (PARTITION BY n, later ORDER BY md5('["' || source_provider || '", "' || image_id || '"]'), source_provider, image_id) AS r, count(*) FILTER (later = 0) OVER (PARTITION BY n) AS before FROM a)
+    SELECT 'REREVIEW-L1-00' || n AS campaign_code, 'Round 2: ' || ['Yes — Species 1', 'No — other butterfly', 'No butterfly / other or unresolved'][n] AS title, 'RR-L1-00' || n AS batch_code, source_provider, image_id,
+           CAST(item_id AS VARCHAR) AS original, CAST(review_id AS VARCHAR) AS review, 'updated' AS rule, r + CASE WHEN later = 1 THEN before ELSE 0 END AS position
+    FROM p
+""")
+def latest_grouping_publication(t):
+    """Latest answers as three folders: half of the images in a new round, the others appended later."""
+    m = _published_model(t)
+    del m["reviews"]
+    kinds = F.when(F.col("answer") == "yes", "yes_target").when(F.col("answer") == "no", "no_target").otherwise("no_butterfly")
+    members = _latest(t).withColumn("answer", kinds)
+    how = {"code": "L1", "target": "Species 1", "rule": {"by": "updated"}, "at": "2024-01-01T00:00:00Z"}
+    first = publications.latest_grouping(**m, members=members.filter("review_id % 2 = 0"), **how)
+    after = publications.latest_grouping(*first, members=members, append=True, **how)
+    stamp = lambda path: F.get_json_object("pipeline_metadata", f"$.rereview.{path}")
+    return _new_items(after, "REREVIEW-L1-").select(
+        "campaign_code", "title", "batch_code", "source_provider", "image_id", stamp("original_item_id").alias("original"), stamp("effective_review_id").alias("review"), stamp("eligibility.by").alias("rule"), long("position").alias("position")
+    )
+
+
 @query(f"WITH {LATEST} SELECT * FROM grouped")
 def latest_answer_round(t):
     return _latest(t)
