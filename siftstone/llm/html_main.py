@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pandas as pd
@@ -211,7 +211,7 @@ def parse(html: str) -> Node:
     return root
 
 
-def _marked(node: Node, inside: bool) -> bool:
+def _marked(node: Node, inside: bool, unlike: Callable[[Node], bool]) -> bool:
     """Whether a part says that it isn't main text.
 
     ``inside`` an article or the main part, a class or id that isn't sure counts only if the
@@ -226,12 +226,13 @@ def _marked(node: Node, inside: bool) -> bool:
         return True
     if node.tag in ("article", "main") and not a.get("class", "").lower().startswith("comment"):
         return False
-    unlike = inside and (node.holds_main or node.ends and _density(node) < ASIDE_LINKS)
     for name in [*a.get("class", "").split(), a.get("id", "")]:
         words = [w.lower() for w in SPLIT_WORDS.split(name) if w and not w.isdigit()]
         if not words:
             continue
-        if words[-1] in (SURE if unlike else WORDS) or words[0] in WORDS and words[-1] not in GOOD and not unlike:
+        if inside and words[-1] in SURE:
+            return True
+        if (words[-1] in WORDS or words[0] in WORDS and words[-1] not in GOOD) and not (inside and unlike(node)):
             return True
     return False
 
@@ -245,7 +246,16 @@ def _prune(root: Node) -> None:
         stack += [c for c in node.children if type(c) is Node]
     for node in reversed(order):
         node.holds_main = node.tag in ("article", "main") or any(type(c) is Node and (c.holds_main or c.tag == "h1") for c in node.children)
-    _measure(root)
+    measured = False
+
+    def unlike(node: Node) -> bool:
+        """Whether a part reads like text; the tree is measured when this is first asked."""
+        nonlocal measured
+        if not measured:
+            _measure(root, ends=True)
+            measured = True
+        return node.holds_main or node.ends > 0 and _density(node) < ASIDE_LINKS
+
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
@@ -255,14 +265,14 @@ def _prune(root: Node) -> None:
                 own = c.tag in ("article", "main")
                 if c.tag == "header" and not inside and not c.holds_main:
                     continue
-                if _marked(c, inside) and (c.tag in NOT_MAIN or own or not c.holds_main or inside):
+                if _marked(c, inside, unlike) and (c.tag in NOT_MAIN or own or not c.holds_main or inside):
                     continue
                 stack.append((c, inside or own))
             kept.append(c)
         node.children = kept
 
 
-def _measure(root: Node) -> list[Node]:
+def _measure(root: Node, ends: bool = False) -> list[Node]:
     """Sets each node's characters of text and of link text; the nodes, parents first."""
     order, stack = [], [root]
     while stack:
@@ -272,7 +282,8 @@ def _measure(root: Node) -> list[Node]:
     for node in reversed(order):
         node.size = sum(len(" ".join(c.split())) if type(c) is str else c.size for c in node.children)
         node.commas = sum(c.count(",") if type(c) is str else c.commas for c in node.children)
-        node.ends = sum(c.count(".") + c.count("!") + c.count("?") if type(c) is str else c.ends for c in node.children)
+        if ends:
+            node.ends = sum(c.count(".") + c.count("!") + c.count("?") if type(c) is str else c.ends for c in node.children)
         node.linked = node.size if node.tag == "a" else sum(c.linked for c in node.children if type(c) is Node)
     return order
 
