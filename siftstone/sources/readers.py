@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.checks import CheckFailed, duplicates, require_columns, require_none
+from ..operators.gazetteer import read_zipped_lines
 
 INFERRED_ROWS = 100
 #: Stands for an unquoted empty value, so that a quoted one stays an empty text.
@@ -125,17 +126,21 @@ def read_archive(spark: SparkSession, path: str, wanted: DataFrame | None = None
 
 
 def read_gazetteer(spark: SparkSession, countries: str, regions: str, settlements: str) -> DataFrame:
-    """Places of three tab-separated dumps, with level, country, region and, for settlements, coordinates and population."""
+    """Places of three tab-separated dumps, with level, country, region, names and, for settlements, coordinates and population.
+
+    A path such as ``towns.zip!towns.txt`` names a member of zip archives.
+    """
 
     def tsv(path: str) -> DataFrame:
-        lines = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
+        archive, _, member = path.partition("!")
+        lines = (read_zipped_lines(spark, archive, member) if member else spark.read.text(path)).filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
         return lines.select(F.split("value", "\t").alias("f"))
 
     f = lambda k: F.get("f", k)
     land = tsv(countries).filter(F.size("f") >= 17).select(f(16).alias("place_id"), f(4).alias("name"), F.lit("country").alias("level"), f(0).alias("country"))
-    part = tsv(regions).filter(F.size("f") >= 4).select(f(3).alias("place_id"), f(1).alias("name"), F.lit("region").alias("level"), F.split(f(0), r"\.")[0].alias("country"), F.get(F.split(f(0), r"\."), 1).alias("admin1"))
+    part = tsv(regions).filter(F.size("f") >= 4).select(f(3).alias("place_id"), f(1).alias("name"), f(2).alias("ascii_name"), F.lit("region").alias("level"), F.split(f(0), r"\.")[0].alias("country"), F.get(F.split(f(0), r"\."), 1).alias("admin1"))
     town = tsv(settlements).filter(F.size("f") >= 15).select(
-        f(0).alias("place_id"), f(1).alias("name"), F.lit("settlement").alias("level"), f(8).alias("country"), f(10).alias("admin1"),
+        f(0).alias("place_id"), f(1).alias("name"), f(2).alias("ascii_name"), f(3).alias("alternates"), F.lit("settlement").alias("level"), f(8).alias("country"), f(10).alias("admin1"),
         f(4).try_cast("double").alias("latitude"), f(5).try_cast("double").alias("longitude"), f(14).try_cast("bigint").alias("population"),
     )
     return town.unionByName(part, allowMissingColumns=True).unionByName(land, allowMissingColumns=True)
