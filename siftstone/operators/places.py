@@ -109,7 +109,29 @@ def region_of(points: DataFrame, lat: str, lon: str, regions: Sequence[tuple[str
 
 #: Sizes of the grids' cells, in degrees; each divides the one before.
 CELLS = (45.0, 9.0, 1.8, 0.36, 0.072, 0.0144)
-SALTS = 64
+#: Degrees of the cells that the loneliest points choose from: 2,592 at most.
+COARSE = 5.0
+
+
+def _in_reach(lonely: DataFrame, distinct: DataFrame, k: int) -> DataFrame:
+    """Pairs of a lonely point and each point that may be among its ``k`` nearest.
+
+    Of each cell of the coarse grid the number of points, and how far they are from its
+    centre, bound their distances from anywhere.  The cells whose farthest points are nearest
+    hold more than ``k`` points within some distance, and only cells that may come below that
+    are looked at.
+    """
+    row, column = F.floor((F.col("b_lat") + 90) / COARSE), F.floor((F.col("b_lon") + 180) / COARSE)
+    placed = distinct.withColumns({"row": row, "column": column})
+    c_lat, c_lon = (F.col("row") + 0.5) * COARSE - 90, (F.col("column") + 0.5) * COARSE - 180
+    cells = placed.groupBy("row", "column").agg(F.count(F.lit(1)).alias("n"), F.max(geo.haversine_km(c_lat, c_lon, F.col("b_lat"), F.col("b_lon"))).alias("radius"))
+    all_ = cells.agg(F.collect_list(F.struct("row", "column", c_lat.alias("lat"), c_lon.alias("lon"), "n", "radius")).alias("cells"))  # one row of 2,592 cells at most
+    far = lambda c: geo.haversine_km(F.col("a_lat"), F.col("a_lon"), c["lat"], c["lon"])
+    seen = lonely.crossJoin(F.broadcast(all_)).withColumn("seen", F.transform("cells", lambda c: F.struct((far(c) + c["radius"]).alias("most"), (far(c) - c["radius"]).alias("least"), c["n"].alias("n"), c["row"].alias("row"), c["column"].alias("column"))))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("km"))
+    reach = F.aggregate(F.array_sort("seen"), start, lambda a, c: F.when(a["n"] > k, a).otherwise(F.struct((a["n"] + c["n"]).alias("n"), c["most"].alias("km"))))
+    asked = seen.withColumn("km", reach["km"] + 1e-6).select("a_lat", "a_lon", F.explode(F.filter("seen", lambda c: c["least"] <= F.col("km"))).alias("c")).select("a_lat", "a_lon", "c.row", "c.column")
+    return asked.join(placed, ["row", "column"]).select("a_lat", "a_lon", "b_lat", "b_lon")
 
 
 def kth_nearest_km(points: DataFrame, key: str, lat: str, lon: str, k: int = 5, cells: Sequence[float] = CELLS, name: str = "isolation_km") -> DataFrame:
@@ -119,9 +141,8 @@ def kth_nearest_km(points: DataFrame, key: str, lat: str, lon: str, k: int = 5,
     one or two steps coarser than the finest in which these hold more than ``k`` distinct
     points, until the ``k``-th distance found can't be beaten from outside them.  So a dense
     place is looked at closely and a lonely one from afar, and no point meets more others
-    than a few cells hold.  What the coarsest grid doesn't settle, the loneliest points, is
-    compared with all distinct points.  Only the ``k`` nearest of a point are kept before
-    anything is shuffled.  Null where there are fewer than ``k`` other points, or without
+    than a few cells hold.  What is left, the loneliest points, looks at those cells of a
+    coarse grid alone that may hold one of its ``k`` nearest.  Null where there are fewer than ``k`` other points, or without
     coordinates.  ``key`` tells points apart; repeated keys share a distance.
     """
     here = points.select(F.col(key).alias("__k"), F.col(lat).cast("double").alias("a_lat"), F.col(lon).cast("double").alias("a_lon"))
@@ -168,9 +189,8 @@ def kth_nearest_km(points: DataFrame, key: str, lat: str, lon: str, k: int = 5,
         settled.append(met.filter(F.col("km").isNotNull()).select("a_lat", "a_lon", "km"))
         todo = met.filter(F.col("km").isNull()).select("a_lat", "a_lon", "level")
     known = reduce(DataFrame.unionByName, settled)
-    lonely = places_.join(known, ["a_lat", "a_lon"], "left_anti").select("a_lat", "a_lon", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    everywhere = distinct.withColumn("salt", F.pmod(F.xxhash64("b_lat", "b_lon"), F.lit(SALTS)).cast("int"))
-    known = known.unionByName(kth(lonely.join(everywhere, "salt")))
+    lonely = places_.join(known, ["a_lat", "a_lon"], "left_anti")
+    known = known.unionByName(kth(_in_reach(lonely, distinct, k)))
     done = here.join(known, ["a_lat", "a_lon"]).groupBy("__k").agg(F.min("km").alias(name))
     return points.join(done, F.col(key).eqNullSafe(F.col("__k")), "left").drop("__k")
 

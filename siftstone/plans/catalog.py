@@ -636,12 +636,18 @@ def place_rank(t):
 
 
 @query(f"""
-    WITH p AS (SELECT n_nationkey AS k, CAST((n_nationkey * 37) % 120 - 60 AS DOUBLE) AS lat, CAST((n_nationkey * 71) % 340 - 170 AS DOUBLE) AS lon FROM nation),
-    d AS (SELECT a.k, {HAVERSINE_SQL.format(a='a.lat', b='b.lat', c='a.lon', d='b.lon')} AS km FROM p a JOIN p b ON a.lat <> b.lat OR a.lon <> b.lon)
+    WITH p AS (SELECT c_custkey AS k, CASE WHEN c_nationkey = 0 THEN c_custkey % 83 * 2.0 - 80 ELSE c_nationkey * 5 - 60 + c_custkey % 97 / 50.0 END AS lat,
+                      CASE WHEN c_nationkey = 0 THEN c_custkey * 71 % 353 - 176.5 ELSE c_nationkey * 13 - 160 + c_custkey % 89 / 40.0 END AS lon FROM customer),
+    u AS (SELECT DISTINCT lat, lon FROM p),
+    d AS (SELECT p.k, {HAVERSINE_SQL.format(a='p.lat', b='u.lat', c='p.lon', d='u.lon')} AS km FROM p JOIN u ON p.lat <> u.lat OR p.lon <> u.lon)
     SELECT k, round(km, 3) AS isolation_km FROM d QUALIFY row_number() OVER (PARTITION BY k ORDER BY km) = 5
 """)
 def isolation_knn(t):
-    p = t("nation").select(F.col("n_nationkey").alias("k"), ((F.col("n_nationkey") * 37) % 120 - 60).cast("double").alias("lat"), ((F.col("n_nationkey") * 71) % 340 - 170).cast("double").alias("lon"))
+    """The fifth nearest other place of each customer; a nation's are near each other, and one nation's lie all over the globe."""
+    k, n, alone = F.col("c_custkey"), F.col("c_nationkey"), F.col("c_nationkey") == 0
+    lat = F.when(alone, k % 83 * 2.0 - 80).otherwise(n * 5 - 60 + k % 97 / 50.0)
+    lon = F.when(alone, k * 71 % 353 - 176.5).otherwise(n * 13 - 160 + k % 89 / 40.0)
+    p = t("customer").select(k.alias("k"), lat.alias("lat"), lon.alias("lon"))
     return places.kth_nearest_km(p, "k", "lat", "lon").select("k", F.round("isolation_km", 3).alias("isolation_km"))
 
 
