@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..operators import archive, candidates, checks, clue_tables, clues, cursor, exports, hygiene, publications, round_plans, rounds, workbook
+from ..sources import readers
 from .registry import long, query
 
 SCHEMA = "review-label-v6"
@@ -547,6 +548,21 @@ def explorer_filter(t):
     return hygiene.explorer_filter(rows, ["c_name", "c_mktsegment"], "BUILD", "ambiguous", (2, -5, 15, 5)).select("c_custkey")
 
 
+@query("""
+    SELECT event_id, '{"id":' || event_id || ',"props":' || CASE WHEN event_id % 4 = 0 THEN 'null' ELSE '{"k":' || json_extract_string(props, '$.k') || ',"a b":[1,{"z":null}],"n":' || user_id || '}' END
+        || ',"list":[{"x":1,"y":"' || event_type || '"},{"x":null}],"late":{"v":"\\"q\\""}}' AS record
+    FROM events
+""")
+def restored_fields(t):
+    """Fields that the known type lacks come back at any depth and in lists."""
+    k = F.get_json_object("props", "$.k")
+    inner = F.when(F.col("event_id") % 4 == 0, F.lit("null")).otherwise(_text('{"n": ', F.col("user_id"), ', "a b": [1, {"z": null}], "k": ', k, "}"))
+    line = _text('{"late": {"v": "\\"q\\""}, "list": [{"y": "', F.col("event_type"), '", "x": 1}, {}], "id": ', F.col("event_id"), ', "props": ', inner, "}")
+    kind = "id bigint, props struct<k: int>, list array<struct<x: int>>"
+    read = t("events").select("event_id", F.from_json(line, kind).alias("known"), F.parse_json(line).alias("rest")).select("event_id", "known.*", "rest")
+    return readers.restored_records(read.drop("event_id")).select(F.col("id").alias("event_id"), "record")
+
+
 # --- archives, profiles, queues ------------------------------------------------------
 
 

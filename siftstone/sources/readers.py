@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from ..operators.checks import CheckFailed, duplicates, require_columns, require_none
 from ..operators.gazetteer import read_zipped_lines
@@ -54,6 +54,39 @@ def read_ndjson(spark: SparkSession, path: str, known: StructType | str) -> Data
     return lines.select(F.from_json("value", known, {"mode": "FAILFAST"}).alias("k"), F.parse_json("value").alias("rest")).select("k.*", "rest")
 
 
+def _leaf(value: Column) -> Column:
+    """A plain value as JSON."""
+    return F.when(value.isNull(), "null").otherwise(F.regexp_replace(F.to_json(F.struct(value.alias("v"))), r'^\{"v":|\}$', ""))
+
+
+def _restored(kind: DataType, typed: Column, raw: Column) -> Column:
+    """JSON of ``typed`` with what ``raw``, a variant of the same value, has besides."""
+    whole = F.coalesce(F.to_json(raw), F.lit("null"))
+    if isinstance(kind, StructType):
+        names = [f.name for f in kind]
+        known = [F.concat(_leaf(F.lit(f.name)), F.lit(":"), _restored(f.dataType, typed[f.name], F.try_variant_get(raw, f"$['{f.name}']", "variant"))) for f in kind]
+        rest = F.filter(F.map_entries(F.try_variant_get(raw, "$", "map<string,variant>")), lambda e: ~e["key"].isin(*names))
+        late = F.transform(rest, lambda e: F.concat(_leaf(e["key"]), F.lit(":"), F.coalesce(F.to_json(e["value"]), F.lit("null"))))
+        body = F.array_join(F.concat(F.array(*known), F.coalesce(late, F.expr("CAST(array() AS ARRAY<STRING>)"))), ",")
+        return F.when(typed.isNull(), whole).otherwise(F.concat(F.lit("{"), body, F.lit("}")))
+    if isinstance(kind, ArrayType):
+        items = F.try_variant_get(raw, "$", "array<variant>")
+        each = F.transform(typed, lambda x, k: _restored(kind.elementType, x, F.get(items, k)))
+        return F.when(typed.isNull(), whole).otherwise(F.concat(F.lit("["), F.array_join(each, ","), F.lit("]")))
+    return _leaf(typed)
+
+
+def restored_records(df: DataFrame, rest: str = "rest") -> DataFrame:
+    """``df`` of :func:`read_ndjson` with ``record``: each line's JSON with known fields as they were read, and all others.
+
+    Fields that the known type lacks come back at any depth, in lists as well, behind the
+    known ones, in the order of names.  The known type decides the expression; no value goes
+    through Python.
+    """
+    known = StructType([f for f in df.schema if f.name != rest])
+    return df.withColumn("record", _restored(known, F.struct(*[F.col(f"`{f.name}`") for f in known]), F.col(rest)))
+
+
 def late_columns(df: DataFrame, rest: str = "rest") -> DataFrame:
     """``df`` of :func:`read_ndjson` with each top-level field that its columns lack as a column of JSON text, in the order of names.
 

@@ -34,6 +34,20 @@ def test_ndjson_keeps_late_fields(spark, tmp_path):
     assert [tuple(r) for r in got] == [(1, None), (2, 1)]
 
 
+def test_unknown_fields_come_back_at_any_depth(spark, tmp_path):
+    import json
+
+    lines = [{"a": 1, "deep": {"b": {"c": 2, "new": [1, {"x": "y"}]}, "late": None}, "items": [{"n": 1, "m": {"z": 0}}, {"n": 2}, {}]}, {"a": None, "other": 'quote " and \\'}, {"deep": None, "items": [], "q'": 1.5}]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    df = readers.read_ndjson(spark, str(tmp_path / "a.jsonl"), "a int, deep struct<b: struct<c: int>>, items array<struct<n: int>>")
+    got = [json.loads(r["record"]) for r in readers.restored_records(df).collect()]
+
+    def without_nulls(x):
+        return {k: without_nulls(v) for k, v in x.items() if v is not None} if isinstance(x, dict) else [without_nulls(v) for v in x] if isinstance(x, list) else x
+
+    assert list(map(without_nulls, got)) == list(map(without_nulls, lines)) and got[0]["deep"]["late"] is None and list(got[0]) == ["a", "deep", "items"]
+
+
 def test_late_fields_become_columns(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"a": 1}\n{"a": 2, "late": {"x": [1]}, "b c": "t"}\n')
     df = readers.late_columns(readers.read_ndjson(spark, str(tmp_path / "a.jsonl"), "a int"))
