@@ -789,11 +789,29 @@ def code_filters(t):
     return t("events").filter(kind.like("p%") | kind.rlike("^(view|click)$")).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events),
+    f AS (SELECT *, (seq - 1) % 7 + 1 AS r, CAST(4 * ((seq - 1) // 7) + [0, 1, 2, 2, 3, 3, 3][(seq - 1) % 7 + 1] AS INTEGER) AS version FROM e),
+    c AS (SELECT CAST(user_id AS VARCHAR) AS item, seq, CAST(CASE r WHEN 5 THEN lag(event_id) OVER w WHEN 6 THEN lag(event_id, 2) OVER w ELSE event_id END AS VARCHAR) AS submission,
+                 CASE r WHEN 5 THEN lag(event_type) OVER w WHEN 6 THEN event_type || '!' ELSE event_type END AS label, CASE r WHEN 3 THEN 0 WHEN 5 THEN lag(version) OVER w ELSE version END AS expected FROM f WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+    s AS (
+        SELECT DISTINCT item, CAST(0 AS BIGINT) AS seq, '' AS result, CAST(NULL AS VARCHAR) AS label, 0 AS version, CAST([] AS STRUCT(s VARCHAR, l VARCHAR, v INTEGER)[]) AS seen FROM c
+        UNION ALL
+        SELECT item, seq, result, CASE WHEN saves THEN new ELSE label END, CASE WHEN saves THEN version + 1 ELSE version END, CASE WHEN saves THEN list_append(seen, {s: submission, l: new, v: version + 1}) ELSE seen END
+        FROM (SELECT *, result IN ('inserted', 'updated') AS saves FROM (
+            SELECT item, seq, submission, new, label, version, seen,
+                   CASE WHEN known IS NOT NULL THEN CASE WHEN known.l = new AND known.v = expected + 1 AND version = known.v THEN 'replayed' ELSE 'conflict' END WHEN expected <> version THEN 'stale' WHEN version = 0 THEN 'inserted' ELSE 'updated' END AS result
+            FROM (SELECT c.item, c.seq, c.submission, c.label AS new, c.expected, s.label, s.version, s.seen, list_filter(s.seen, lambda x: x.s = c.submission)[1] AS known FROM s JOIN c ON c.item = s.item AND c.seq = s.seq + 1)))
+    )
+    SELECT item, 'r' AS reviewer, seq, result, label, version FROM s WHERE seq > 0
+""")
 def review_upsert_fold(t):
-    """Events as saves: every user is an item, the event type a label, and each fifth save comes with an old version."""
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    rows = t("events").withColumn("seq", rank.cast("long"))
-    late = F.floor((F.col("seq") - 1) / 5)
-    expected = F.when(F.col("seq") % 5 == 0, F.lit(0)).otherwise(F.col("seq") - 1 - late).cast("int")
-    return versioned.apply_log(rows.select(F.col("user_id").alias("item"), F.lit("r").alias("reviewer"), "seq", F.col("event_id").cast("string").alias("submission"), F.col("event_type").alias("label"), expected.alias("expected")))
+    """Events as saves: every user is an item, the event type a label; of seven saves one comes with an old version, one again, and one again with another label."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    rows = t("events").withColumn("seq", F.row_number().over(w).cast("long"))
+    rows = rows.withColumns({"r": (F.col("seq") - 1) % 7 + 1, "version": (4 * F.floor((F.col("seq") - 1) / 7)).cast("int") + F.element_at(F.array(*[F.lit(k) for k in (0, 1, 2, 2, 3, 3, 3)]), ((F.col("seq") - 1) % 7 + 1).cast("int"))})
+    r = F.col("r")
+    submission = F.when(r == 5, F.lag("event_id").over(w)).when(r == 6, F.lag("event_id", 2).over(w)).otherwise(F.col("event_id")).cast("string")
+    label = F.when(r == 5, F.lag("event_type").over(w)).when(r == 6, F.concat("event_type", F.lit("!"))).otherwise(F.col("event_type"))
+    expected = F.when(r == 3, 0).when(r == 5, F.lag("version").over(w)).otherwise(F.col("version")).cast("int")
+    return versioned.apply_log(rows.select(F.col("user_id").alias("item"), F.lit("r").alias("reviewer"), "seq", submission.alias("submission"), label.alias("label"), expected.alias("expected")))
