@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, DataType, StructType
 
 from ..operators.checks import CheckFailed, duplicates, require_columns, require_none
 from ..operators.gazetteer import read_zipped_lines
+from ..operators.rounds import ranked
 
 INFERRED_ROWS = 100
 #: Stands for an unquoted empty value, so that a quoted one stays an empty text.
@@ -196,6 +197,35 @@ def read_polygons(spark: SparkSession, path: str, name: str) -> DataFrame:
     return out.withColumn("box", F.array(edge(F.array_min, 0), edge(F.array_min, 1), edge(F.array_max, 0), edge(F.array_max, 1)))
 
 
+def read_vocabularies(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Label vocabularies of any versions, a JSON file each: labels, and what is derived from them.
+
+    Labels: (``version``, ``code``, ``name``, ``group``, ``priority``, ``shortcut``); mappings:
+    (``version``, ``mapping``, ``code``).  Codes, priorities and shortcuts that repeat in a
+    version, and mappings of codes that it lacks, abort.
+    """
+    label = "struct<code: string, displayLabel: string, group: string, priority: int, shortcut: string>"
+    files = spark.read.schema(f"schemaVersion string, labels array<{label}>, mappings map<string, array<string>>").json(path, multiLine=True, mode="FAILFAST")
+    version = F.col("schemaVersion").alias("version")
+    labels = files.select(version, F.explode("labels").alias("l")).select("version", "l.code", F.col("l.displayLabel").alias("name"), "l.group", "l.priority", "l.shortcut")
+    mappings = files.select(version, F.explode("mappings").alias("mapping", "codes")).select("version", "mapping", F.explode("codes").alias("code"))
+    require_none(labels.filter("code IS NULL OR priority IS NULL"), "labels without a code or priority")
+    for column in ("code", "priority"):
+        require_none(duplicates(labels, ["version", column]), f"a version repeats a {column}")
+    require_none(duplicates(labels.filter("shortcut IS NOT NULL"), ["version", "shortcut"]), "a version repeats a shortcut")
+    require_none(mappings.join(labels, ["version", "code"], "left_anti"), "mappings of codes that their version lacks")
+    return labels, mappings
+
+
+def label_priorities(labels: DataFrame, current: str) -> DataFrame:
+    """(``code``, ``priority`` from 0): the current version's labels in their order, then those that only older ones have, by the last version and priority there."""
+    now = F.col("version") == current
+    of = labels.groupBy("code").agg(F.min(F.when(now, F.col("priority"))).alias("p"), F.max(F.struct("version", (-F.col("priority")).alias("q"))).alias("last"))
+    require_none(of.agg(F.count("p").alias("n")).filter("n = 0"), f"no version {current}")
+    ordered = of.select("code", F.col("p").isNull().alias("old"), F.coalesce(F.col("p"), F.lit(0)).alias("p"), F.when(F.col("p").isNull(), F.col("last.version")).alias("v"), (-F.col("last.q")).alias("q"))
+    return ranked(ordered, [], ["old", "p", "v", "q", "code"], "n").select("code", (F.col("n") - 1).cast("int").alias("priority"))
+
+
 def ordinals(spark: SparkSession, n: int) -> DataFrame:
     """0 .. n-1, made where it is needed."""
     return spark.range(n).withColumnRenamed("id", "ordinal")

@@ -35,7 +35,6 @@ def test_ndjson_keeps_late_fields(spark, tmp_path):
 
 
 def test_unknown_fields_come_back_at_any_depth(spark, tmp_path):
-    import json
 
     lines = [{"a": 1, "deep": {"b": {"c": 2, "new": [1, {"x": "y"}]}, "late": None}, "items": [{"n": 1, "m": {"z": 0}}, {"n": 2}, {}]}, {"a": None, "other": 'quote " and \\'}, {"deep": None, "items": [], "q'": 1.5}]
     (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, lines)))
@@ -163,3 +162,24 @@ def test_gazetteer_and_polygons(spark, tmp_path):
 def test_formulas_are_made_safe(spark):
     df = spark.createDataFrame([("=1+1",), ("ok",), (None,)], "t string")
     assert [r[0] for r in sinks.safe_cells(df).collect()] == ["'=1+1", "ok", None]
+
+
+def test_vocabularies_of_several_versions(spark, tmp_path):
+
+    def put(version, codes, mappings):
+        labels = [{"code": c, "displayLabel": c.title(), "group": "g", "priority": k, "shortcut": c[0].upper()} for k, c in enumerate(codes, 1)]
+        (tmp_path / f"{version}.json").write_text(json.dumps({"schemaVersion": version, "singleSelect": True, "labels": labels, "mappings": mappings}, indent=1))
+
+    put("v1", ["moth", "keyword", "bird"], {"insects": ["moth"]})
+    put("v2", ["target", "moth", "bird"], {"insects": ["moth"], "targets": ["target"], "none": []})
+    labels, mappings = readers.read_vocabularies(spark, f"{tmp_path}/*.json")
+    assert labels.count() == 6 and sorted(map(tuple, mappings.collect())) == [("v1", "insects", "moth"), ("v2", "insects", "moth"), ("v2", "targets", "target")]
+    assert [r["code"] for r in readers.label_priorities(labels, "v2").orderBy("priority").collect()] == ["target", "moth", "bird", "keyword"]
+    with pytest.raises(CheckFailed):
+        readers.label_priorities(labels, "v9")
+    put("v3", ["a"], {"x": ["b"]})
+    with pytest.raises(CheckFailed):
+        readers.read_vocabularies(spark, f"{tmp_path}/*.json")
+    put("v3", ["a", "ab"], {})  # one shortcut for two
+    with pytest.raises(CheckFailed):
+        readers.read_vocabularies(spark, f"{tmp_path}/v3.json")
