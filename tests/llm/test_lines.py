@@ -71,7 +71,7 @@ def test_levels_hold_disjoint_runs(spark):
         assert [len(level) for level in runs.levels] == [1, 0, 1]
         met = [r["h1"] for t in runs._all(0) for r in t.collect()]
         assert len(met) == len(set(met)) == 65
-        assert {r["h1"]: r["keeper"] for r in runs.frequent(3).collect()} == {h: 100 - (h - 20 + 5) // 10 for h in range(20, 45)}
+        assert {r["h1"]: r["keeper"] for r in runs.frequent(3).collect()} == {h: 100 - (h - 20) // 10 for h in range(20, 45) if h % 10 < 5}  # the others are in two batches
     finally:
         runs.drop()
     assert not runs.paths
