@@ -35,6 +35,21 @@ def normalise(df: DataFrame, required: Mapping[str, int], optional: Mapping[str,
     return out.withColumn("problem", problem)
 
 
+def parsed_json(df: DataFrame, column: str, fallback: str | None = None, object_: bool = False) -> DataFrame:
+    """``df`` of :func:`normalise` with ``column`` as JSON text that parses, or null; ``problem`` says where it doesn't.
+
+    Where the column is null that of ``fallback`` counts.  An empty text, a number that isn't
+    finite and, with ``object_``, anything but an object are problems; a problem found before
+    comes first.
+    """
+    value = F.coalesce(F.col(column), F.col(fallback)) if fallback else F.col(column)
+    known = F.try_parse_json(value)
+    bad = F.when(value.isNotNull() & known.isNull(), f"{column} isn't JSON")
+    if object_:
+        bad = F.coalesce(bad, F.when(~F.schema_of_variant(known).startswith("OBJECT"), f"{column} isn't an object"))
+    return df.withColumns({"problem": F.coalesce("problem", bad), column: F.when(known.isNotNull(), value)})
+
+
 def with_extras(df: DataFrame, known: Sequence[str], metadata: str) -> DataFrame:
     """Columns beyond ``known`` go into the map ``metadata`` and win over keys that it has; nulls and NaN are left out."""
     extras = [c for c in df.columns if c not in known and c != metadata]

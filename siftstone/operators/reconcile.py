@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import json_overlay
 from .checks import duplicates, require_none
 
 
@@ -50,3 +52,38 @@ def routed(df: DataFrame, name: str, *routes: tuple[str, Column]) -> DataFrame:
     """A row of ``df`` for each route whose condition holds: the sheets that it belongs on."""
     places = F.array(*[F.when(c, F.lit(n)) for n, c in routes])
     return df.withColumn(name, F.explode(F.filter(places, lambda p: p.isNotNull())))
+
+
+def attach_guarded(table: DataFrame, plan: DataFrame, key: str, identity: Sequence[str], column: str, member: str, open_statuses: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``table`` with the plan's ``payload`` laid into ``column``, a JSON object, as ``member``; and (``key``, ``outcome``) of each planned row.
+
+    Outcomes: ``gone`` (no such row), ``identity`` (another image stands there), ``no object``
+    (the column holds other JSON), ``settled`` (there is another payload whose status isn't
+    in ``open_statuses``: a person decided), ``already attached`` and ``attached``.  Only the
+    last changes a row; other members stay as they are written.  A null column is an empty
+    object.  A key that the plan or table repeats aborts.  ``sources.commits.update`` repeats
+    this on what other writers published meanwhile.
+    """
+    require_none(duplicates(plan, [key]), "the plan repeats keys")
+    require_none(duplicates(table, [key]), "the table repeats keys")
+    asked = plan.select(key, F.col("payload").alias("__payload"), *[F.col(c).alias(f"__{c}") for c in identity])
+    out = table.withColumn("__there", F.lit(True)).join(asked.withColumn("__asked", F.lit(True)), key, "full")
+    old = F.coalesce(F.col(column), F.lit("{}"))
+    parsed = F.try_parse_json(old)
+    there = F.try_variant_get(parsed, f"$['{member}']", "variant")
+    known = there.isNotNull() & ~F.is_variant_null(there)
+    same = F.to_json(there).eqNullSafe(F.to_json(F.try_parse_json("__payload")))
+    still_open = F.coalesce(F.try_variant_get(there, "$.status", "string").isin(*open_statuses), F.lit(False))
+    outcome = (
+        F.when(F.col("__there").isNull(), "gone")
+        .when(~F.coalesce(*[F.when(~F.col(c).eqNullSafe(F.col(f"__{c}")), False) for c in identity], F.lit(True)), "identity")
+        .when(~F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False)), "no object")
+        .when(known & same, "already attached")
+        .when(known & ~still_open, "settled")
+        .otherwise("attached")
+    )
+    out = out.withColumn("__outcome", F.when(F.col("__asked"), outcome))
+    over = F.concat(F.lit(f"{{{json.dumps(member)}:"), "__payload", F.lit("}"))
+    merged = F.when(F.col("__outcome") == "attached", json_overlay(F.when(F.col("__outcome") == "attached", old), over)).otherwise(F.col(column))
+    changed = out.filter("__there").withColumn(column, merged).select(*table.columns)
+    return changed, out.filter("__asked").select(key, F.col("__outcome").alias("outcome"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, geo, phrases, text
 from ..operators import candidates, checks, consensus, evidence, gazetteer, places, progress, reconcile, region_index, rounds, timeline, versioned
-from . import clue_queries, reviews  # noqa: F401  these register queries, too
+from . import clue_queries, published, reviews  # noqa: F401  these register queries, too
 from .registry import ORACLES, QUERIES, long, query  # noqa: F401
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
