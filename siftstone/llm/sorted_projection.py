@@ -39,8 +39,10 @@ from .components import least_reachable
 PASSES = 12
 RECALL = 0.995
 BLOCK = 512
-#: The most leading signs of a cell.
+#: The most leading signs of a cell, the least of a range that is ranked, and about how many points one task ranks.
 CELL = 40
+LEAST_SIGNS = 10
+RANKED = 1 << 16
 BITS = 60
 SEED = 31_337
 
@@ -67,14 +69,20 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _places(keyed: DataFrame) -> DataFrame:
-    """(``pass``, ``point``, ``dim``, ``hash``) with ``block``: where the point stands in the pass's order."""
-    dealt = keyed.withColumn("bucket", F.shiftright("hash", BITS - 10).cast("int"))
-    totals = dealt.groupBy(F.col("dim").alias("d"), F.col("pass").alias("p"), F.col("bucket").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("d", "p").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("d", "p", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("dim", "pass", "bucket").orderBy("hash", "point")) - 1)
-    placed = ranked.join(starts, (F.col("dim") == F.col("d")) & (F.col("pass") == F.col("p")) & (F.col("bucket") == F.col("b")))
+def _places(keyed: DataFrame, cell: int) -> DataFrame:
+    """(``pass``, ``point``, ``dim``, ``hash``) with ``block``: where the point stands in the pass's order.
+
+    Ranks are taken within ranges of leading signs.  Ranges are no longer than a cell, whose
+    points are compared in any order, so a range above ``RANKED`` points is dealt over parts.
+    """
+    order = ["dim", "pass", "bucket"]
+    dealt = keyed.withColumn("bucket", F.shiftright("hash", BITS - max(LEAST_SIGNS, cell)))
+    crowds = dealt.groupBy(*order).agg(F.ceil(F.count(F.lit(1)) / RANKED).alias("parts")).filter("parts > 1")
+    dealt = dealt.join(crowds, order, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("point"), "parts"), F.lit(0))).drop("parts")
+    before = Window.partitionBy("dim", "pass").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*order, "part").agg(F.count(F.lit(1)).alias("n")).select(*order, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy(*order, "part").orderBy("hash", "point")) - 1
+    placed = dealt.withColumn("rank", rank).join(starts, [*order, "part"])
     return placed.select("dim", "pass", "point", "hash", F.floor((F.col("start") + F.col("rank")) / BLOCK).cast("long").alias("block"))
 
 
@@ -92,16 +100,24 @@ def passes_for(points: int, cosine: float) -> int:
 
 
 def _pairs(points: DataFrame, cosine: float, passes: int, seed: int, cell: int) -> DataFrame:
-    """The distinct pairs (``a`` < ``b``) of points that share a window or a cell and reach ``cosine``."""
+    """The pairs (``a`` < ``b``) of points that share a window or a cell and reach ``cosine``.
+
+    Each pass compares all points of a cell, so a pair is told by the first pass that gives both
+    one cell, and passes after it leave it out; a crowd's pairs aren't told again in each pass.
+    Only neighbours that share no cell, or not yet, may be told more than once.
+    """
 
     def hash_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, rows in batch.groupby(batch["v"].map(len)):
                 x = _unit(rows["v"])
-                for p in range(passes):
-                    yield pd.DataFrame({"dim": np.int32(dim), "pass": np.int32(p), "point": rows["point"], "hash": hashes(x, p, seed)})
+                of = np.stack([hashes(x, p, seed) for p in range(passes)], 1)
+                yield pd.DataFrame({"dim": np.int32(dim), "point": rows["point"], "v": rows["v"], "hashes": list(of)})
 
-    placed = written(_places(points.select("point", "v").mapInPandas(hash_all, "dim int, pass int, point bigint, hash bigint")), "places")
+    kind = points.schema["v"].dataType.simpleString()
+    hashed = written(points.select("point", "v").mapInPandas(hash_all, f"dim int, point bigint, v {kind}, hashes array<bigint>"), "hashed")
+    keyed = hashed.select("dim", "point", F.posexplode("hashes").alias("pass", "hash"))
+    placed = written(_places(keyed, cell), "places")
     touched = written(placed.select("dim", "pass", "block", F.shiftright("hash", BITS - cell).alias("cell")).distinct(), "touched")
     other = touched.withColumnRenamed("block", "last")
     crowded = touched.join(other, ["dim", "pass", "cell"]).filter("last >= block + 2").select("dim", "pass", "block", "last").distinct()
@@ -110,22 +126,26 @@ def _pairs(points: DataFrame, cosine: float, passes: int, seed: int, cell: int)
     ends = crowded.select("dim", "pass", F.col("block").alias("i"), F.col("last").alias("j"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("block").alias("at")), F.struct(F.lit(1).alias("side"), F.col("last").alias("at")))).alias("e"))
     ends = ends.select("dim", "pass", "i", "j", "e.side", F.col("e.at").alias("block"))
     extra = placed.select("dim", "pass", "point", "block").join(ends, ["dim", "pass", "block"]).select("dim", "pass", "point", "i", "j", "side")
-    rows = usual.unionByName(extra).join(points.select("point", "v"), "point")
+    earlier = F.transform(F.slice("hashes", F.lit(1), F.col("pass")), lambda h: F.shiftright(h, BITS - cell).cast("int" if cell < 31 else "long"))
+    rows = usual.unionByName(extra).join(hashed.select("point", "v", "hashes"), "point").withColumn("cells", earlier).drop("hashes")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         ids, side = group["point"].to_numpy(), group["side"].to_numpy()
         x = _unit(group["v"]) if len(group) else np.zeros((0, 1))
-        left, right = x[side == 0], x[side == 1]
-        i, j = np.nonzero(left @ right.T >= cosine)
-        a, b = [ids[side == 0][i]], [ids[side == 1][j]]
+        cells = np.array(group["cells"].tolist(), np.int64).reshape(len(group), -1 if len(group) else 0)
+        left, right = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
+        i, j = np.nonzero(x[left] @ x[right].T >= cosine)
+        i, j = left[i], right[j]
         if len(group) and group["j"].iloc[0] == group["i"].iloc[0] + 1:
-            i, j = np.nonzero(np.triu(left @ left.T >= cosine, 1))
-            a.append(ids[side == 0][i])
-            b.append(ids[side == 0][j])
-        a, b = np.concatenate(a), np.concatenate(b)
+            k, m = np.nonzero(np.triu(x[left] @ x[left].T >= cosine, 1))
+            i, j = np.concatenate([i, left[k]]), np.concatenate([j, left[m]])
+        told = np.zeros(len(i), bool)
+        for c in cells.T:
+            told |= c[i] == c[j]
+        a, b = ids[i[~told]], ids[j[~told]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return rows.groupBy("dim", "pass", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
+    return rows.groupBy("dim", "pass", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, passes: int | None = None, seed: int = SEED) -> DataFrame:
@@ -149,7 +169,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         "points",
     )
     count = points.count()
-    pairs = written(_pairs(points, cosine, passes or passes_for(count, cosine), seed, cell_depth(count)), "pairs")
+    pairs = written(_pairs(points, cosine, passes or passes_for(count, cosine), seed, cell_depth(count)).distinct(), "pairs")
     ways = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counts = ways.join(points.select(F.col("point").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
     roots = least_reachable(pairs)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from siftstone.llm import queries, sorted_projection
@@ -83,6 +84,25 @@ def test_crowds_over_many_cells_are_found(spark, monkeypatch):
     assert links.sum() > 100_000 and share >= 0.985
 
 
+@pytest.mark.parametrize("ranked", [16, 1 << 16])
+def test_pairs_of_a_crowd_are_told_once(spark, monkeypatch, ranked):
+    monkeypatch.setattr(sorted_projection, "BLOCK", 32)
+    monkeypatch.setattr(sorted_projection, "RANKED", ranked)
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.standard_normal((300, 24)), np.ones(24) + 0.02 * rng.standard_normal((400, 24))])
+    links, _ = brute(list(range(len(x))), x)
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "point long, v array<double>")
+    depth = sorted_projection.cell_depth(len(x))
+    told = sorted_projection._pairs(points, 0.9, 12, sorted_projection.SEED, depth).toPandas()
+    hashed = np.stack([sorted_projection.hashes(sorted_projection._unit(pd.Series(list(x))), p) for p in range(12)], 1) >> (sorted_projection.BITS - depth)
+    meet = (hashed[told["a"]] == hashed[told["b"]]).any(1)
+    assert 2 * len(told.drop_duplicates()) == links.sum()
+    # a pair may be told as neighbours before it shares a cell, but only once as sharing one
+    assert meet.mean() > 0.99 and len(told) < 1.2 * len(told.drop_duplicates())
+    df = points.withColumnsRenamed({"point": "vec_id", "v": "embedding"})
+    assert {r["vec_id"]: r["n_links"] for r in sorted_projection.near_vectors(df).collect()} == dict(enumerate(links.tolist()))
+
+
 @pytest.mark.parametrize("points", [5_000, 50_000, 1_000_000, 30_000_000, 1_000_000_000])
 def test_pairs_meet_at_any_size(points):
     """Pairs at the least cosine share a cell in some pass, measured with the operator's own hashes."""
