@@ -8,9 +8,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import json_overlay
+from ..functions.text import json_overlay, without_keys_like
 from .checks import duplicates, require_none
 
+#: What a round of reviews says of an image, by how it is read.
+ROUND_COUNTS = ("review_count", "reviewer_count")
+ROUND_FLAGS = ("unanimous", "has_conflicting_reviews")
+ROUND_TEXTS = ("unanimous_result", "strict_majority_result", "first_saved_at_utc", "last_updated_at_utc", "result_counts_json")
+#: A source's own coordinates, and how a source says where its coordinates are from.
+SOURCE_POINT = ("latitude", "longitude", "accuracy")
+SEARCHED = "flickr.photos.search"
+
 
 def reconcile(source: DataFrame, reviews: DataFrame, key: Sequence[str], flag: str = "has_saved_review", check: bool = True) -> DataFrame:
     """``source`` with the review of each row, one to one; ``flag`` says whether there is one.
@@ -87,3 +95,39 @@ def attach_guarded(table: DataFrame, plan: DataFrame, key: str, identity: Sequen
     merged = F.when(F.col("__outcome") == "attached", json_overlay(F.when(F.col("__outcome") == "attached", old), over)).otherwise(F.col(column))
     changed = out.filter("__there").withColumn(column, merged).select(*table.columns)
     return changed, out.filter("__asked").select(key, F.col("__outcome").alias("outcome"))
+
+
+def _round(name: str) -> dict[str, Column]:
+    """A round's columns out of saved texts: counts are 0 without a review, flags and empty texts null, the reviews a list."""
+    text = lambda c: F.nullif(F.trim(F.col(f"`{name}_{c}`").cast("string")), F.lit(""))
+    reviews = F.col(f"`{name}_reviews_json`")
+    return (
+        {f"{name}_{c}": F.coalesce(text(c).cast("bigint"), F.lit(0)) for c in ROUND_COUNTS}
+        | {f"{name}_{c}": F.when(text(c).isNotNull(), F.lower(text(c)) == "true") for c in ROUND_FLAGS}
+        | {f"{name}_{c}": F.nullif(F.col(f"`{name}_{c}`").cast("string"), F.lit("")) for c in ROUND_TEXTS}
+        | {f"{name}_reviews_json": F.coalesce(without_keys_like()(reviews), F.lit("[]"))}
+    )
+
+
+def joined_images(source: DataFrame, reviews: DataFrame, located: DataFrame, key: Sequence[str], photo: str, rounds: Sequence[str] = ("first_round", "second_round"), rest: Sequence[str] = ()) -> DataFrame:
+    """Each row of ``source`` with its saved review, both rounds typed, and the best coordinates known of it.
+
+    ``source`` and ``reviews`` share ``key``; both must hold a key once, and no review may lack
+    its source.  Reviews hold texts: ``image_id``, what :data:`ROUND_COUNTS` and the others
+    name for each round, and ``rest``.  Keys like addresses of persons are removed from their JSON.
+
+    The source's own coordinates are placeholders and go; ``located`` (``photo``, ``latitude``,
+    ``longitude``, ``accuracy``, ``geolocation_source``), one row a photo, takes their place.  Only
+    where that has none do the source's count: if they are a point with an accuracy of 1 to 16.
+    Its comments are renamed, as they are of the discovery.
+    """
+    require_none(duplicates(located, [photo]), "responses repeat photos")
+    asked = reviews.select(*key, F.col("image_id").alias("veritaxa_image_id"), *[F.col(f"`{r}_{c}`") for r in rounds for c in (*ROUND_COUNTS, *ROUND_FLAGS, *ROUND_TEXTS, "reviews_json")], *rest)
+    own = {c: F.col(c).try_cast("double") if c != "accuracy" else F.col(c).try_cast("int") for c in SOURCE_POINT}
+    first = source.withColumns({f"__{c}": v for c, v in own.items()}).drop(*SOURCE_POINT)
+    first = first.withColumnsRenamed({c: f"discovery_{c}" for c in ("comments_text", "comments_count")})
+    out = reconcile(first, asked, key).join(located.select(photo, *SOURCE_POINT, "geolocation_source"), photo, "left")
+    usable = F.col("latitude").isNull() & F.coalesce(F.col("__latitude").between(-90, 90) & F.col("__longitude").between(-180, 180) & F.col("__accuracy").between(1, 16), F.lit(False))
+    found = {c: F.when(usable, F.col(f"__{c}")).otherwise(F.col(c)) for c in SOURCE_POINT} | {"geolocation_source": F.when(usable, SEARCHED).otherwise(F.col("geolocation_source"))}
+    typed = {n: c for r in rounds for n, c in _round(r).items()}
+    return out.withColumns(found | typed).drop(*[f"__{c}" for c in SOURCE_POINT])

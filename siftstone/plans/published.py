@@ -46,6 +46,52 @@ def response_cache(t):
     return wanted.join(found, "p_partkey", "left").select("p_partkey", F.coalesce("r", F.lit(0)).cast("long").alias("returned"), F.coalesce("s", F.lit(0)).cast("long").alias("sold"))
 
 
+# --- sources, reviews and responses --------------------------------------------------
+
+ROUNDS = {"first_round": "< TIMESTAMP '1995-01-01'", "second_round": ">= TIMESTAMP '1995-01-01'"}
+
+
+def _round_sql(name: str, when: str) -> str:
+    of = f"FILTER (o_orderdate {when})"
+    return f"""
+        count(*) {of} AS {name}_review_count, count(DISTINCT o_orderstatus) {of} AS {name}_reviewer_count,
+        CASE WHEN count(*) {of} > 0 THEN count(DISTINCT o_orderpriority) {of} = 1 END AS {name}_unanimous, CASE WHEN count(*) {of} > 0 THEN count(DISTINCT o_orderpriority) {of} > 1 END AS {name}_has_conflicting_reviews,
+        CASE WHEN count(DISTINCT o_orderpriority) {of} = 1 THEN min(o_orderpriority) {of} END AS {name}_unanimous_result, CAST(min(o_orderdate) {of} AS VARCHAR) AS {name}_first_saved_at_utc,
+        CASE WHEN count(*) {of} > 0 THEN '[{{"n": ' || count(*) {of} || '}}]' ELSE '[]' END AS {name}_reviews_json"""
+
+
+@query(f"""
+    WITH r AS (SELECT o_custkey, {", ".join(_round_sql(*r) for r in ROUNDS.items())} FROM orders GROUP BY 1),
+    s AS (SELECT c_custkey, c_mktsegment AS source, c_name AS discovery_comments_text, r.* EXCLUDE (o_custkey), o_custkey IS NOT NULL AS has_saved_review, 'img' || o_custkey AS veritaxa_image_id,
+                 c_nationkey < 8 AS known, c_acctbal / 60 AS lat, c_nationkey * 8 AS lon, c_custkey % 20 AS accuracy FROM customer LEFT JOIN r ON o_custkey = c_custkey),
+    u AS (SELECT *, NOT known AND abs(lat) <= 90 AND lon <= 180 AND accuracy BETWEEN 1 AND 16 AS own FROM s)
+    SELECT c_custkey, source, discovery_comments_text, has_saved_review, veritaxa_image_id, CASE WHEN known THEN 5.5 WHEN own THEN lat END AS latitude, CASE WHEN known THEN CAST(c_custkey % 90 AS DOUBLE) WHEN own THEN CAST(lon AS DOUBLE) END AS longitude,
+           CAST(CASE WHEN known THEN 16 WHEN own THEN accuracy END AS INTEGER) AS accuracy, CASE WHEN known THEN 'response' WHEN own THEN 'flickr.photos.search' END AS geolocation_source,
+           {", ".join(f"coalesce({n}_review_count, 0) AS {n}_review_count, coalesce({n}_reviewer_count, 0) AS {n}_reviewer_count, {n}_unanimous, {n}_has_conflicting_reviews, {n}_unanimous_result, {n}_first_saved_at_utc, coalesce({n}_reviews_json, '[]') AS {n}_reviews_json" for n in ROUNDS)}
+    FROM u
+""")
+def joined_images(t):
+    """Customers as a source, their orders as two rounds of saved reviews, some located by responses."""
+    columns = [F.concat(F.lit("img"), "o_custkey").alias("image_id")]
+    for name, when in ROUNDS.items():
+        of = F.expr(f"o_orderdate {when}")
+        n, kinds = F.count_if(of), F.count_distinct(F.when(of, F.col("o_orderpriority")))
+        flag = lambda c: F.when(c, "True").otherwise("false")  # noqa: E731  saved as texts
+        saved = {
+            "review_count": n.cast("string"), "reviewer_count": F.count_distinct(F.when(of, F.col("o_orderstatus"))).cast("string"), "unanimous": F.when(n > 0, flag(kinds == 1)).otherwise(""),
+            "has_conflicting_reviews": F.when(n > 0, flag(kinds > 1)), "unanimous_result": F.when(kinds == 1, F.min(F.when(of, F.col("o_orderpriority")))).otherwise(""), "strict_majority_result": F.lit(""),
+            "first_saved_at_utc": F.min(F.when(of, F.col("o_orderdate").cast("string"))), "last_updated_at_utc": F.lit(None).cast("string"), "result_counts_json": F.lit("{}"),
+            "reviews_json": F.when(n > 0, F.concat(F.lit('[{"n": '), n, F.lit(', "reviewer_email": "a@b.c"}]'))),
+        }
+        columns += [c.alias(f"{name}_{k}") for k, c in saved.items()]
+    reviews = t("orders").groupBy("o_custkey").agg(*columns).join(t("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("source")), "o_custkey").withColumnRenamed("o_custkey", "c_custkey")
+    point = [(F.col("c_acctbal") / 60).alias("latitude"), (F.col("c_nationkey") * 8).alias("longitude"), (F.col("c_custkey") % 20).alias("accuracy")]
+    source = t("customer").select("c_custkey", F.col("c_mktsegment").alias("source"), F.col("c_name").alias("comments_text"), *point)
+    located = t("customer").filter("c_nationkey < 8").select("c_custkey", F.lit(5.5).alias("latitude"), (F.col("c_custkey") % 90).cast("double").alias("longitude"), F.lit(16).alias("accuracy"), F.lit("response").alias("geolocation_source"))
+    found = reconcile.joined_images(source, reviews, located, ["source", "c_custkey"], "c_custkey")
+    return found.drop(*[f"{n}_{c}" for n in ROUNDS for c in ("strict_majority_result", "last_updated_at_utc", "result_counts_json")])
+
+
 # --- guarded updates -----------------------------------------------------------------
 
 

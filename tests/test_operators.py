@@ -93,6 +93,23 @@ def test_reconcile_fails_closed(spark):
         reconcile.reconcile(s, spark.createDataFrame([(3, "x")], "k int, v string"), ["k"])
 
 
+def test_images_join_their_reviews_and_places(spark):
+    texts = [f"{r}_{c}" for r in ("first_round", "second_round") for c in (*reconcile.ROUND_COUNTS, *reconcile.ROUND_FLAGS, *reconcile.ROUND_TEXTS, "reviews_json")]
+    saved = {"first_round_review_count": "3", "first_round_unanimous": "TRUE", "first_round_has_conflicting_reviews": "", "first_round_reviews_json": '[{"userEmail": "x", "label": "a"}]', "first_round_result_counts_json": ""}
+    reviews = spark.createDataFrame([("s", "1", "img1", *[saved.get(c) for c in texts])], "source string, id string, image_id string, " + ", ".join(f"{c} string" for c in texts))
+    source = spark.createDataFrame([("s", "1", "10.5", "20", "5", "hi", None), ("s", "2", "north", "20", "5", None, 1), ("s", "3", "10", "20", "17", None, 1), ("s", "4", "1", "2", "3", None, 1)], "source string, id string, latitude string, longitude string, accuracy string, comments_text string, extra int")
+    located = spark.createDataFrame([("4", 7.0, 8.0, 9, "response")], "id string, latitude double, longitude double, accuracy int, geolocation_source string")
+    got = {r["id"]: r for r in reconcile.joined_images(source, reviews, located, ["source", "id"], "id").collect()}
+    one = got["1"].asDict()
+    assert (one["latitude"], one["accuracy"], one["geolocation_source"], one["discovery_comments_text"], one["has_saved_review"]) == (10.5, 5, reconcile.SEARCHED, "hi", True) and "comments_text" not in one
+    assert (one["first_round_review_count"], one["first_round_unanimous"], one["first_round_has_conflicting_reviews"], one["first_round_result_counts_json"], one["second_round_review_count"]) == (3, True, None, None, 0)
+    assert one["first_round_reviews_json"] == '[{"label": "a"}]' and got["2"]["second_round_reviews_json"] == "[]" and got["2"]["has_saved_review"] is False
+    assert [got[k]["latitude"] for k in "234"] == [None, None, 7.0] and got["4"]["geolocation_source"] == "response"
+    for bad in ((source.union(source), reviews, located), (source, reviews.union(reviews), located), (source.limit(0), reviews, located), (source, reviews, located.union(located))):
+        with pytest.raises(checks.CheckFailed):
+            reconcile.joined_images(*bad, ["source", "id"], "id")
+
+
 def test_neighbours_in_time(spark):
     at = lambda h, m=0: dt.datetime(2024, 1, 2, h, m)
     rows = spark.createDataFrame([("a", 1, at(12)), ("a", 2, at(13)), ("a", 3, at(12)), ("a", 4, at(10, 30)), ("b", 5, at(12))], "owner string, id int, at timestamp_ntz")
