@@ -191,7 +191,7 @@ CELLS_SQL = """
 
 
 @query(f"""
-    WITH {IMAGES_SQL}, shown AS (SELECT * FROM judged WHERE problem IS NULL AND (day IS NULL OR year(day) BETWEEN 1994 AND 1998)), {CELLS_SQL}
+    WITH {IMAGES_SQL}, shown AS (SELECT * FROM judged WHERE problem IS NULL AND (day IS NULL OR year(day) BETWEEN 1999 AND 2001)), {CELLS_SQL}
     SELECT row_number() OVER (ORDER BY key) AS place, coalesce(nullif(fallback_url, ''), image_url) AS image_url, coalesce(date, '') AS date, printf('%.6f, %.6f', lat, lon) AS geotag,
            CASE WHEN c_custkey % 9 = 0 THEN '''' ELSE '' END || coalesce(label, '') AS label
     FROM centres
@@ -199,8 +199,8 @@ CELLS_SQL = """
 def map_selection(t):
     """All images that the years leave visible, asked for in the order of keys."""
     shown = _shown(t)
-    wanted = shown.filter(dates.in_years(F.col("day"), 1994, 1998)).select("key")
-    return map_rows.selected(shown, ranked(wanted, [], ["key"], "place"), (1994, 1998))
+    wanted = shown.filter(dates.in_years(F.col("day"), 1999, 2001)).select("key")
+    return map_rows.selected(shown, ranked(wanted, [], ["key"], "place"), (1999, 2001))
 
 
 @query(f"WITH {IMAGES_SQL}, shown AS (SELECT * FROM judged WHERE problem IS NULL), {CELLS_SQL} SELECT key, CAST(ix AS BIGINT) || ':' || CAST(iy AS BIGINT) AS cell, label, nullif(dataset_label, '') AS dataset FROM centres")
