@@ -155,7 +155,11 @@ def published(batches: DataFrame, items: DataFrame, opened: DataFrame, closed: D
     return batches.join(marks, "id", "left").withColumn("status", F.coalesce("__to", "status")).drop("__to")
 
 
-def with_latest_members(items: DataFrame, members: DataFrame) -> DataFrame:
-    """``items`` with the latest member (``position``, ``stamp``) of a shuffled round that names them as its original; others drop out."""
-    latest = members.groupBy("original_id").agg(F.max_by(F.struct("position", "stamp"), F.struct("made", "position")).alias("m"))
+def with_latest_members(items: DataFrame, members: DataFrame, tie: str | None = None) -> DataFrame:
+    """``items`` with the latest member (``position``, ``stamp``) of a shuffled round that names them as its original; others drop out.
+
+    Of members made at once at one position that with the smallest ``tie``, a number, counts.
+    """
+    order = F.struct("made", "position", *([(-F.col(tie)).alias("tie")] if tie else []))
+    latest = members.groupBy("original_id").agg(F.max_by(F.struct("position", "stamp"), order).alias("m"))
     return items.join(latest, F.col("id") == F.col("original_id")).select(items["*"], F.col("m.position").alias("member_position"), F.col("m.stamp").alias("member_stamp"))

@@ -687,8 +687,8 @@ def publish_round(t):
 def latest_members(t):
     """Items with the latest of the members that a shuffled round made of them."""
     m = model(t)
-    members = m["reviews"].select(F.col("item_id").alias("original_id"), (F.col("id") % 50).alias("position"), F.col("label").alias("stamp"), F.col("updated_at").alias("made"))
-    return round_plans.with_latest_members(m["items"].select("id", "image_id"), members)
+    members = m["reviews"].select(F.col("item_id").alias("original_id"), (F.col("id") % 50).alias("position"), F.col("label").alias("stamp"), F.col("updated_at").alias("made"), F.col("id").alias("review"))
+    return round_plans.with_latest_members(m["items"].select("id", "image_id"), members, "review")
 
 
 @query("""

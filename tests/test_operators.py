@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftstone.functions import dates, geo, phrases, text
-from siftstone.operators import candidates, checks, consensus, evidence, places, progress, reconcile, rounds, timeline, versioned
+from siftstone.operators import candidates, checks, consensus, evidence, places, progress, reconcile, round_plans, rounds, timeline, versioned
 
 
 def values(df, *columns):
@@ -418,3 +418,11 @@ def test_saves_of_others_images(spark):
     reviews = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", "x")], "image string, reviewer string")
     commands = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("c", "x")], "image string, reviewer string")
     assert values(versioned.guarded(commands, reviews), "image", "reviewer", "blocked") == [("a", "x", False), ("a", "y", True), ("b", "x", False), ("c", "x", False)]
+
+
+def test_latest_members_made_at_once(spark):
+    """Of members alike in time and position the first review's counts, in whatever order they come."""
+    for ids in ([3, 1, 2], [1, 2, 3], [2, 3, 1]):
+        members = spark.createDataFrame([(7, 5, f"s{k}", 9, k) for k in ids] + [(7, 4, "s0", 9, 0)], "original_id long, position int, stamp string, made int, review long").coalesce(1)
+        found = round_plans.with_latest_members(spark.createDataFrame([(7,)], "id long"), members, "review").collect()
+        assert [tuple(r) for r in found] == [(7, 5, "s1")]
