@@ -3,8 +3,8 @@
 Each polygon is covered by cells of a grid of degrees: cells inside it, cells that its edges
 touch, and cells within reach of these.  Points join the cells of their own.  Inside cells
 settle containment; in the others the point meets those polygons alone whose edge or reach
-the cell has, grouped by polygon, so each polygon's rings are read once for many points and
-no table of polygons is held whole anywhere.
+the cell has, in groups of some polygons, so each polygon's rings are read once for many
+points and no table of polygons is held whole anywhere.  Polygons with equal rings are one.
 """
 
 from __future__ import annotations
@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from .places import edge_km, in_rings
+from .staging import staged
 
 #: Degrees of a cell, and parts into which the points that meet one polygon are dealt.
 CELL, SALTS = 1.0, 16
+#: Polygons, and their corners, that one group measures about, and rows of cells that are sent on at once.
+TOGETHER, CORNERS, ROWS = 256, 1 << 18, 1 << 16
 INSIDE, EDGE, NEAR = 0, 1, 2
 _KM = math.pi * geo.EARTH_KM / 180
 
@@ -68,35 +71,51 @@ def regions_of(points: DataFrame, lat: str, lon: str, polygons: DataFrame, reach
 
     ``polygons``: (``region``, ``place``, ``rings`` of [lon, lat]; inner rings are holes), a row
     for each place.  Points without coordinates get null; without polygons all get ``other``.
-    Equal points are looked up once.
+    Equal points are looked up once, and so are equal polygons.
     """
-    cells_of = polygons.select("place", "rings")
+    names = polygons.select("place", F.col("region").alias("__region"))
+    polygons = staged(polygons.groupBy("rings").agg(F.min("place").alias("place")))  # equal ones are equally far, so the first stands for them
+    corners = F.aggregate("rings", F.lit(0).cast("long"), lambda n, ring: n + F.size(ring))
+    many, edges = polygons.agg(F.count(F.lit(1)), F.coalesce(F.sum(corners), F.lit(0))).first()
+    parts = max(1, -(-many // TOGETHER), -(-edges // CORNERS))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for place, rings in zip(batch["place"], batch["rings"], strict=True):
-                rows = covering([np.array([list(p) for p in r], float) for r in rings], reach_km, cell)
-                yield pd.DataFrame(rows, columns=["r", "c", "kind"]).assign(place=place)
-
-    cells = cells_of.mapInPandas(cut, "r long, c long, kind int, place long")
+            found = []
+            for place, rings in zip(batch["place"].tolist(), batch["rings"], strict=True):
+                found += [(*row, place) for row in covering([np.array([list(p) for p in r], float) for r in rings], reach_km, cell)]
+                if len(found) >= ROWS:
+                    yield pd.DataFrame(found, columns=["r", "c", "kind", "place"])
+                    found = []
+            yield pd.DataFrame(found, columns=["r", "c", "kind", "place"])
+
+    cells = polygons.select("place", "rings").mapInPandas(cut, "r long, c long, kind int, place long")
     here = points.select(F.col(lat).cast("double").alias("y"), F.col(lon).cast("double").alias("x")).dropna().distinct()
     here = here.withColumns({"r": F.least(F.floor((F.col("y") + 90) / cell), F.lit(round(180 / cell) - 1)), "c": F.floor((F.col("x") + 180) / cell)})
     met = here.join(cells, ["r", "c"]).groupBy("y", "x", "place").agg(F.min("kind").alias("kind"), F.bool_or(F.col("kind") == NEAR).alias("near"))
-    salted = met.filter(F.col("kind") != INSIDE).withColumn("salt", F.pmod(F.xxhash64("y", "x"), F.lit(SALTS)).cast("int"))
-    needed = polygons.select("place", "rings", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    part = F.pmod(F.xxhash64("place"), F.lit(parts)).alias("part")
+    salted = met.filter(F.col("kind") != INSIDE).select("*", part, F.pmod(F.xxhash64("y", "x"), F.lit(SALTS)).cast("int").alias("salt"))
+    needed = polygons.select("place", "rings", part, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
 
     def measure(pairs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(pairs) or not len(own):
             return pd.DataFrame({"y": [], "x": [], "place": [], "held": pd.Series([], dtype=bool), "km": []})
-        rings = [np.array([list(p) for p in r], float) for r in own["rings"].iloc[0]]
-        y, x = pairs["y"].to_numpy(), pairs["x"].to_numpy()
-        held = (pairs["kind"].to_numpy() == EDGE) & in_rings(x, y, rings)
-        return pd.DataFrame({"y": y, "x": x, "place": pairs["place"], "held": held, "km": np.where(pairs["near"], edge_km(y, x, rings), np.inf)})
-
-    measured = salted.groupBy("place", "salt").cogroup(needed.groupBy("place", "salt")).applyInPandas(measure, "y double, x double, place long, held boolean, km double")
+        shapes = dict(zip(own["place"].tolist(), own["rings"], strict=True))
+        pairs = pairs.sort_values("place")
+        y, x, place, edge, near = (pairs[c].to_numpy() for c in ("y", "x", "place", "kind", "near"))
+        held, km = np.zeros(len(pairs), bool), np.full(len(pairs), np.inf)
+        starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True]).tolist()
+        for begin, end in zip(starts, starts[1:], strict=False):
+            of = slice(begin, end)
+            rings = [np.array([list(p) for p in r], float) for r in shapes[int(place[begin])]]
+            held[of] = (edge[of] == EDGE) & in_rings(x[of], y[of], rings)
+            km[of] = np.where(near[of], edge_km(y[of], x[of], rings), np.inf)
+        return pd.DataFrame({"y": y, "x": x, "place": place, "held": held, "km": km})
+
+    measured = salted.groupBy("part", "salt").cogroup(needed.groupBy("part", "salt")).applyInPandas(measure, "y double, x double, place long, held boolean, km double")
     sure = met.filter(F.col("kind") == INSIDE).select("y", "x", "place", F.lit(True).alias("held"), F.lit(0.0).alias("km"))
     best = sure.unionByName(measured).groupBy("y", "x").agg(F.min(F.when(F.col("held"), F.col("place"))).alias("inside"), F.min(F.when(F.col("km") <= reach_km, F.struct("km", "place"))).alias("nearest"))
-    named = best.select("y", "x", F.coalesce("inside", "nearest.place").alias("place")).join(polygons.select("place", F.col("region").alias("__region")), "place")
+    named = best.select("y", "x", F.coalesce("inside", "nearest.place").alias("place")).join(names, "place")
     out = points.join(named.select(F.col("y").alias("__y"), F.col("x").alias("__x"), "__region"), (F.col(lat).cast("double") == F.col("__y")) & (F.col(lon).cast("double") == F.col("__x")), "left")
     known = F.col(lat).isNotNull() & F.col(lon).isNotNull()
     return out.withColumn(name, F.when(known, F.coalesce("__region", F.lit(other)))).drop("__y", "__x", "__region")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftstone.functions import dates, geo, phrases, text
-from siftstone.operators import candidates, checks, consensus, evidence, places, progress, reconcile, round_plans, rounds, timeline, versioned
+from siftstone.operators import candidates, checks, consensus, evidence, places, progress, reconcile, region_index, round_plans, rounds, timeline, versioned
 
 
 def values(df, *columns):
@@ -434,3 +434,13 @@ def test_closed_references(spark):
     row = spark.createDataFrame([(page,), (None,)], "h string").select(text.closed_visible_text("h").alias("closed"), text.visible_text("h")["text"].alias("open")).collect()
     assert row[0]["closed"] == "a &&amp&am &lt; éé &ltx &nosuch; <\n&ampamp;" and row[1]["closed"] == ""
     assert row[0]["open"] == "a &&&am &lt; éé <x &nosuch; <\n&amp;"
+
+
+def test_equal_polygons_and_groups(spark):
+    """Of equal polygons the first counts, wherever its name stands in the alphabet, and one group measures many."""
+    square = lambda x, y, r: [[[x - r, y - r], [x + r, y - r], [x + r, y + r], [x - r, y + r]]]
+    shapes = spark.createDataFrame([(f"n{99 - k}", k, square(k % 20 * 10 - 95.0, 5.0, 2.3)) for k in range(60)], "region string, place long, rings array<array<array<double>>>")
+    points = spark.createDataFrame([(k, 5.0 + k % 3, k % 20 * 10 - 95.0 + k % 2) for k in range(40)] + [(40, 80.0, 0.0)], "k long, lat double, lon double")
+    found = region_index.regions_of(points, "lat", "lon", shapes, 50.0)
+    assert sorted((r["k"], r["region"]) for r in found.collect()) == [(k, f"n{99 - k % 20}") for k in range(40)] + [(40, "Other")]
+    assert "FlatMapCoGroupsInPandas [part" in found._jdf.queryExecution().executedPlan().toString()
