@@ -10,7 +10,8 @@ the dictionary settles them.  Of what is found, the leftmost and longest stay.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.text import FOLDED_TOKEN, fold, folded_tokens
+from .staging import staged
+
+if TYPE_CHECKING:
+    import pyarrow as pa
 
 #: Tokens of a phrase at most.
 LONGEST = 12
@@ -42,6 +47,8 @@ COUNTRY_NAMES = {
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
 #: Bits that one row of Spark's bitmap aggregate holds.
 ROW_BITS = 32_768
+#: Runs of tokens that a task sends on at once.
+RUNS = 1 << 15
 
 
 def phrase_words(name: Column) -> Column:
@@ -142,18 +149,41 @@ def runs(text: str, bits: int, whole: bytes, begin: bytes, longest: int) -> list
     return out
 
 
-def candidates(phrases: DataFrame, longest: int = LONGEST):
-    """A function on texts: the runs of tokens that may be one of ``phrases``, as an array."""
+def tried_runs(units: DataFrame, unit: Sequence[str], text: Column, phrases: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """(unit, ``at``, ``n``, ``start``, ``stop``, ``phrase``): the runs of tokens that may be one of ``phrases``, a row for each.
+
+    A task holds ``RUNS`` of them, or those of one text, at a time, however many a batch of texts has.
+    """
     bits, whole, begin = sieve(phrases)
     sent = phrases.sparkSession.sparkContext.broadcast((whole, begin))  # 32 MB at most
+    rows = units.select(*unit, text.alias("__text"))
+    schema = StructType([*(f for f in rows.schema if f.name != "__text"), *_RUN])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
 
-    @F.pandas_udf(ArrayType(_RUN))
-    def find(text: pd.Series) -> pd.Series:
         w, b = sent.value
-        names = _RUN.names
-        return pd.Series([[dict(zip(names, r, strict=True)) for r in runs(t or "", bits, w, b, longest)] for t in text], dtype=object, index=text.index)
+        kinds = [pa.int32()] * 4 + [pa.string()]
+
+        def made(batch, of: list[int], found: list[tuple]) -> pa.RecordBatch:
+            own = batch.select(list(unit)).take(pa.array(of, pa.int64()))
+            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*own.columns, *columns], names=schema.names)
 
-    return find
+        for batch in batches:
+            of: list[int] = []
+            found: list[tuple] = []
+            for k, t in enumerate(batch.column("__text")):
+                here = runs(t.as_py() or "", bits, w, b, longest)
+                of += [k] * len(here)
+                found += here
+                if len(found) >= RUNS:
+                    yield made(batch, of, found)
+                    of, found = [], []
+            if found:
+                yield made(batch, of, found)
+
+    return rows.mapInArrow(find, schema)
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
@@ -172,19 +202,24 @@ def _leftmost_longest(at: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([one(np.asarray(a), np.asarray(b)) for a, b in zip(at, n, strict=True)], dtype=object, index=at.index)
 
 
-def found_phrases(units: DataFrame, unit: Sequence[str], text: Column, known: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(unit, ``hits``): the phrases of ``known`` in each text, as an array of (``at``, ``n`` tokens, ``start``, ``stop``, ``places``) by place.
+def phrase_hits(units: DataFrame, unit: Sequence[str], text: Column, known: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """(unit, ``at``, ``n`` tokens, ``start``, ``stop``, ``places``): the phrases of ``known`` in each text, a row for each.
 
-    Leftmost, then longest, without overlaps.  ``known``: (``phrase``, ``places``).  Texts
-    without any have no row; null and empty texts have none.  ``unit`` tells texts apart;
-    rows that share it are one text.
+    Leftmost, then longest, without overlaps.  ``known``: (``phrase``, ``places``).  Null and
+    empty texts have none.  ``unit`` tells texts apart; rows that share it are one text.
     """
-    find = candidates(known, longest)
-    tried = units.select(*unit, F.explode(find(text)).alias("r")).select(*unit, "r.*")
-    met = tried.join(known.select("phrase", "places"), "phrase")
-    rows = met.groupBy(*unit).agg(F.collect_list(F.struct("at", "n", "start", "stop", "places")).alias("all"))
-    kept = _leftmost_longest(F.col("all.at"), F.col("all.n"))
-    return rows.withColumn("kept", kept).select(*unit, F.transform("kept", lambda k: F.get("all", k)).alias("hits"))
+    known = staged(known.select("phrase", "places"))
+    met = tried_runs(units, unit, text, known, longest).join(known.select("phrase"), "phrase")
+    rows = met.groupBy(*unit).agg(F.collect_list(F.struct("at", "n", "start", "stop", "phrase")).alias("all"))
+    kept = rows.withColumn("kept", _leftmost_longest(F.col("all.at"), F.col("all.n"))).select(*unit, F.explode(F.transform("kept", lambda k: F.get("all", k))).alias("h"))
+    # the places of a phrase, which may be many, join only what stays
+    return kept.select(*unit, "h.*").join(known, "phrase").drop("phrase")
+
+
+def found_phrases(units: DataFrame, unit: Sequence[str], text: Column, known: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """(unit, ``hits``): what :func:`phrase_hits` finds, as an array by place in the text; texts without any have no row."""
+    rows = phrase_hits(units, unit, text, known, longest)
+    return rows.groupBy(*unit).agg(F.array_sort(F.collect_list(F.struct("at", "n", "start", "stop", "places"))).alias("hits"))
 
 
 def read_zipped_lines(spark: SparkSession, path: str, member: str) -> DataFrame:

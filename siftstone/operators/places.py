@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .gazetteer import found_phrases, phrase_words
+from .gazetteer import phrase_hits, phrase_words
 
 
 def in_boxes(points: DataFrame, boxes: Sequence[tuple[str, float, float, float, float]], x: str, y: str, name: str = "region") -> DataFrame:
@@ -222,5 +222,4 @@ def match_phrases(units: DataFrame, unit: str, text: Column, aliases: DataFrame,
     names = aliases.select(phrase_words(F.col(alias)).alias("w"), F.col(place).alias("p")).filter(F.size("w").between(1, longest))
     names = names.select(F.array_join("w", " ").alias("phrase"), "p").filter(F.char_length("phrase") >= shortest)
     known = names.groupBy("phrase").agg(F.sort_array(F.collect_set("p")).alias("places"))
-    hits = found_phrases(units, [unit], text, known, longest).select(unit, F.explode("hits").alias("h"))
-    return hits.select(unit, "h.start", "h.stop", F.col("h.n").alias("length"), "h.places")
+    return phrase_hits(units, [unit], text, known, longest).select(unit, "start", "stop", F.col("n").alias("length"), "places")

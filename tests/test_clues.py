@@ -172,3 +172,14 @@ def test_analysis_of_nothing_and_of_repeats(spark, known):
         clue_chain.analyse(twice, none, provider, known)
     with pytest.raises(CheckFailed):
         clue_chain.analyse(spark.createDataFrame([photo(None)], PHOTOS), none, provider, known)
+
+
+def test_runs_leave_a_task_in_bounded_batches(spark, monkeypatch):
+    """However many runs the texts of one Arrow batch hold, few are held at once."""
+    monkeypatch.setattr(gazetteer, "RUNS", 50)
+    known = spark.createDataFrame([("rome", [1, 2]), ("new york", [3])], "phrase string, places array<int>")
+    units = spark.createDataFrame([(k, "Rome, New York " * 20) for k in range(30)] + [(30, None), (31, "")], "u int, t string").coalesce(1)
+    tried = gazetteer.tried_runs(units, ["u"], F.col("t"), known)
+    assert "MapInArrow" in tried._jdf.queryExecution().executedPlan().toString() and tried.count() == 30 * 40
+    hits = {r["u"]: r["hits"] for r in gazetteer.found_phrases(units, ["u"], F.col("t"), known).collect()}
+    assert set(hits) == set(range(30)) and [(h["at"], h["n"], h["places"]) for h in hits[7][:3]] == [(0, 1, [1, 2]), (1, 2, [3]), (3, 1, [1, 2])] and len(hits[7]) == 40
