@@ -36,9 +36,10 @@ def duplicates(df: DataFrame, keys: Sequence[str], count: str = "n") -> DataFram
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count)).filter(F.col(count) > 1)
 
 
-def not_contiguous(df: DataFrame, group: Sequence[str], position: str) -> DataFrame:
-    """Groups whose positions aren't exactly 1..n."""
-    found = df.groupBy(*group).agg(F.min(position).alias("low"), F.max(position).alias("high"), F.countDistinct(position).alias("kinds"), F.count(F.lit(1)).alias("n"))
+def not_contiguous(df: DataFrame, group: Sequence[str], position: str, repeats: bool = False) -> DataFrame:
+    """Groups whose positions aren't exactly 1..n; ``repeats``: whether a position may be there more than once."""
+    rows = df.groupBy(*group, position).agg(F.count(F.lit(1)).alias("rows"))
+    found = rows.groupBy(*group).agg(F.min(position).alias("low"), F.max(position).alias("high"), F.count(position).alias("kinds"), F.sum(F.lit(1) if repeats else F.col("rows")).alias("n"))
     return found.filter((F.col("low") != 1) | (F.col("high") != F.col("n")) | (F.col("kinds") != F.col("n")))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 
 def batch_progress(batches: DataFrame, items: DataFrame, reviews: DataFrame, batch: str, item: str, reviewer: str, caller) -> DataFrame:
     """``batches`` with ``total`` (items), ``team`` (items that anyone reviewed) and ``personal`` (that ``caller`` did).
@@ -49,21 +51,27 @@ def neighbours(items: DataFrame, batch: Sequence[str], position: str) -> DataFra
 def seek(items: DataFrame, anchors: DataFrame, batch: Sequence[str], position: str, anchor: str) -> DataFrame:
     """For each anchor, which need not be a position of an item, the position after and before it, with wrap-around.
 
-    Positions and anchors stand in one order, and each anchor looks back to the last position
-    below and ahead to the first above it, so anchors aren't joined with the items of their
-    batch.  Anchors of batches without items drop out.
+    Positions and anchors stand in one order, which sampled splitters deal into ranges, so
+    neither a task holds a whole batch nor are anchors joined with its items.  Each anchor
+    looks back to the last position below and ahead to the first above it in its range, else
+    at the ends of the ranges beside it.  Anchors of batches without items drop out.
     """
     at = items.select(*batch, F.col(position).cast("long").alias("__at"), F.lit(1).alias("__item")).distinct()
-    asked = anchors.select(*batch, F.col(anchor).cast("long").alias("__at"), F.lit(0).alias("__item"), F.lit(True).alias("__asked")).distinct()
-    both = at.withColumn("__asked", F.lit(False)).unionByName(asked)
-    w = Window.partitionBy(*batch)
+    asked = anchors.select(*batch, F.col(anchor).cast("long").alias("__at"), F.lit(0).alias("__item")).distinct()
+    both = staged(at.unionByName(asked).repartitionByRange(*batch, "__at").withColumn("__part", F.spark_partition_id()))
     seen = F.when(F.col("__item") == 1, F.col("__at"))
-    below = w.orderBy("__at").rangeBetween(Window.unboundedPreceding, -1)
-    above = w.orderBy("__at").rangeBetween(1, Window.unboundedFollowing)
-    found = both.withColumns({"before": F.max(seen).over(below), "after": F.min(seen).over(above)}).filter("__asked")
-    ends = items.groupBy(*batch).agg(F.min(position).cast("long").alias("first"), F.max(position).cast("long").alias("last"))
-    out = found.join(ends, list(batch))
-    return out.select(*batch, F.col("__at").alias(anchor), F.coalesce("after", "first").alias("next_position"), F.coalesce("before", "last").alias("previous_position"))
+    w = Window.partitionBy(*batch, "__part").orderBy("__at")
+    below, above = w.rangeBetween(Window.unboundedPreceding, -1), Window.partitionBy(*batch, "__part").orderBy(F.desc("__at")).rangeBetween(Window.unboundedPreceding, -1)
+    found = both.withColumns({"before": F.max(seen).over(below), "after": F.min(seen).over(above)}).filter("__item = 0")
+    ranges = both.groupBy(*batch, "__part").agg(F.min(seen).alias("low"), F.max(seen).alias("high"))
+    of = Window.partitionBy(*batch).orderBy("__part")  # a row for each range
+    whole = Window.partitionBy(*batch)
+    ends = ranges.select(
+        *batch, "__part", F.max("high").over(of.rowsBetween(Window.unboundedPreceding, -1)).alias("left"), F.min("low").over(of.rowsBetween(1, Window.unboundedFollowing)).alias("right"),
+        F.min("low").over(whole).alias("first"), F.max("high").over(whole).alias("last"),
+    )
+    out = found.join(ends.filter("first IS NOT NULL"), [*batch, "__part"])
+    return out.select(*batch, F.col("__at").alias(anchor), F.coalesce("after", "right", "first").alias("next_position"), F.coalesce("before", "left", "last").alias("previous_position"))
 
 
 def resume(items: DataFrame, batch: Sequence[str], position: str, item: str, reviewed: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import utf16_parts
@@ -37,7 +37,13 @@ def continued(df: DataFrame, columns: Sequence[str], most: int = CELL_UNITS) ->
 
 def capacities(df: DataFrame, columns: Sequence[str], most: int = CELL_UNITS) -> DataFrame:
     """One row: how many cells the longest text of each column takes."""
-    return df.agg(*[F.coalesce(F.max(F.size(utf16_parts(F.col(c), F.lit(most)))), F.lit(1)).cast("long").alias(c) for c in columns])
+
+    def cells(c: str) -> Column:
+        text = F.col(c)
+        plain = ~text.rlike(r"[\x{10000}-\x{10FFFF}]")  # no character of two units, which a cut may not part
+        return F.when(plain, F.greatest(F.ceil(F.char_length(text) / most), F.lit(1))).otherwise(F.size(utf16_parts(F.when(~plain, text), F.lit(most))))
+
+    return df.agg(*[F.coalesce(F.max(cells(c)), F.lit(1)).cast("long").alias(c) for c in columns])
 
 
 def sheet_names(titles: Sequence[str]) -> dict[str, str]:

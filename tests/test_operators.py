@@ -444,3 +444,28 @@ def test_equal_polygons_and_groups(spark):
     found = region_index.regions_of(points, "lat", "lon", shapes, 50.0)
     assert sorted((r["k"], r["region"]) for r in found.collect()) == [(k, f"n{99 - k % 20}") for k in range(40)] + [(40, "Other")]
     assert "FlatMapCoGroupsInPandas [part" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_seek_in_ranges(spark):
+    """Neighbours stand in other ranges than the anchor, and no window holds a whole batch of items."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that ranges aren't put together
+    try:
+        items = spark.createDataFrame([(b, 10 * k) for b in (1, 2) for k in range(40)] + [(1, 390)], "b int, p int")
+        anchors = spark.createDataFrame([(b, a) for b in (1, 2, 3) for a in (-7, 0, 5, 195, 200, 390, 999)], "b int, a int")
+        out = progress.seek(items, anchors, ["b"], "p", "a")
+        want = {-7: (0, 390), 0: (10, 390), 5: (10, 0), 195: (200, 190), 200: (210, 190), 390: (0, 380), 999: (0, 390)}
+        assert {(r["b"], r["a"]): (r["next_position"], r["previous_position"]) for r in out.collect()} == {(b, a): w for b in (1, 2) for a, w in want.items()}
+        assert "RangeFrame, 1, unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString()  # it would read the rest of a batch for each row
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_capacities_and_repeated_positions(spark):
+    """Only texts with characters of two units go to Python; a repeated position may be allowed."""
+    from siftstone.operators import workbook
+
+    rows = spark.createDataFrame([("a" * 9, "x", ""), ("😀" * 5, None, ""), ("aa😀" * 2, "é" * 7, None)], "a string, b string, c string")
+    assert tuple(workbook.capacities(rows, ["a", "b", "c"], 3).first()) == (5, 3, 1)
+    seats = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 2), (3, 1), (4, 1), (4, 3), (5, None)], "g int, p int")
+    assert [r["g"] for r in checks.not_contiguous(seats, ["g"], "p").orderBy("g").collect()] == [1, 2, 4, 5]
+    assert [r["g"] for r in checks.not_contiguous(seats, ["g"], "p", repeats=True).orderBy("g").collect()] == [2, 4, 5]
