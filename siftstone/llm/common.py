@@ -69,6 +69,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is sorted and merged: a table that grows with the input never passes through the driver as a broadcast."""
+    return df.hint("merge")
+
+
 def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z, and nothing else, in lower case."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import apart, written
 
 MOST_ROUNDS = 60
 
@@ -37,11 +37,11 @@ def least_reachable(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.filter("b > a").join(apart(least), F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = written(large, "edges")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         lower = down.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        tied = down.join(lower, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        tied = down.join(apart(lower), F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         now = written(tied.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
         is_ = _signature(now)
         if is_ == was:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, give_back, run_hashes, written
+from .common import WordHashes, apart, give_back, run_hashes, written
 from .components import least_reachable
 from .simhash_cover import SEED, SMALL_BUCKET, masks, signed, spanning
 
@@ -135,9 +135,9 @@ def _together(nodes: DataFrame, words: int, bits: int) -> DataFrame:
     dealt = nodes.select(F.explode(F.array(*key)).alias("key"), "node")
     # counted in part before the shuffle, and joined, so that a crowd's bucket isn't in one task
     counts = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = dealt.join(counts, "key")
+    shared = dealt.join(apart(counts), "key")
     more = F.when(F.col("n") > FEW, F.col("more")).alias("more")
-    return shared.join(nodes.drop("words"), "node").select("key", "n", "node", "size", *BITS, more)
+    return shared.join(apart(nodes.drop("words")), "node").select("key", "n", "node", "size", *BITS, more)
 
 
 def _blocks(n: Column) -> Column:
@@ -261,7 +261,7 @@ def _pairs_between(rows: DataFrame, similarity: float) -> DataFrame:
     as_any = F.transform(F.sequence(F.lit(0), minor - 1), lambda u: F.struct(own_b.alias("b"), u.alias("u"), F.lit(1).alias("side")))
     as_few = F.transform(F.sequence(F.lit(0), whole - 1), lambda b: F.struct(b.alias("b"), own_u.alias("u"), F.lit(2).alias("side")))
     cells = F.when(whole == 1, one).when(F.col("label") == F.col("major"), as_any).otherwise(F.concat(as_any, as_few))
-    dealt = rows.join(mixed_, F.col("key") == F.col("of")).select("key", "node", "size", "label", *BITS, "more", F.explode(cells).alias("cell"))
+    dealt = rows.join(apart(mixed_), F.col("key") == F.col("of")).select("key", "node", "size", "label", *BITS, "more", F.explode(cells).alias("cell"))
     dealt = dealt.select(F.xxhash64("key", "cell.b", "cell.u").alias("key"), "cell.side", "node", "size", "label", *BITS, "more")
 
     def compare(part: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
@@ -303,7 +303,7 @@ def _pairs_between(rows: DataFrame, similarity: float) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose shingles' Jaccard similarity reaches ``similarity``."""
     one, two = (sets.select(F.col("node").alias(e), F.col("shingles").alias(f"s{e}")) for e in "ab")
-    sized = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    sized = pairs.join(apart(one), "a").join(apart(two), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return sized.filter(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
@@ -324,7 +324,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     docs = written(_fingerprints(texts, width, words, bits).withColumn("id", F.col("id").cast(kind)), "fingerprints")
     nodes = docs.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", *BITS, "more", "words")])
     together = written(_together(written(nodes, "nodes"), words, bits), "buckets")
-    wanted = docs.join(_candidates(together), "node").groupBy("node").agg(F.min("text_hash").alias("h"))
+    wanted = docs.join(apart(_candidates(together)), "node").groupBy("node").agg(F.min("text_hash").alias("h"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -332,14 +332,14 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         batch = None
         give_back()
 
-    held = texts.join(wanted, F.col("text_hash") == F.col("h")).select("node", "text").mapInPandas(run, "node bigint, shingles array<bigint>")
+    held = texts.join(apart(wanted), F.col("text_hash") == F.col("h")).select("node", "text").mapInPandas(run, "node bigint, shingles array<bigint>")
     sets = written(held.dropDuplicates(["node"]), "shingles")
     in_first = F.col("key").bitwiseAND(F.lit(4095)) < FIRST_WORDS * len(masks(RADIUS, bits))
     first = written(_verified(_first_pairs(together.filter(in_first)), sets, similarity), "first")
     roots = least_reachable(first)
     known = roots.select(F.col("node").alias("m"), F.col("root").alias("label"))
-    labelled = written(together.join(known, F.col("node") == F.col("m"), "left").withColumn("label", F.coalesce("label", "node")).drop("m", "n"), "labelled")
+    labelled = written(together.join(apart(known), F.col("node") == F.col("m"), "left").withColumn("label", F.coalesce("label", "node")).drop("m", "n"), "labelled")
     more = _verified(_pairs_between(labelled, similarity), sets, similarity)
     roots = least_reachable(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)).withColumnRenamed("node", "m")
-    of = docs.select("id", "text_hash", "node").join(roots, F.col("node") == F.col("m"), "left")
+    of = docs.select("id", "text_hash", "node").join(apart(roots), F.col("node") == F.col("m"), "left")
     return of.select(F.col("id").alias(id_col), "text_hash", "node", F.coalesce("root", "node").alias("component"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_dp, content_dedup, mixture, near_copies, quality_rank
-from .common import written
+from .common import apart, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -43,10 +43,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = near_copies.near_copies(docs, width=SHINGLE, similarity=SIMILARITY)
     row = F.struct("doc_id", "text_hash")
     heads = groups.filter("doc_id IS NOT NULL").groupBy("component").agg(F.min(row).alias("head"))
-    dropped = groups.join(heads, "component").filter(F.col("doc_id").isNotNull() & (row != F.col("head")))
+    dropped = groups.join(apart(heads), "component").filter(F.col("doc_id").isNotNull() & (row != F.col("head")))
     dropped = written(dropped.select("doc_id", "text_hash").distinct(), "dropped")
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    return hashed.join(dropped, ["doc_id", "text_hash"], "left_anti").select(*docs.columns)
+    return hashed.join(apart(dropped), ["doc_id", "text_hash"], "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,3 +86,10 @@ def test_repeated_identifiers(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(1, a), (2, other), (0, b)])
     got = stages.near_dedup(spark, table(spark, [(1, a), (1, b)]), "").collect()
     assert len(got) == 1
+
+
+def test_no_table_of_texts_is_broadcast(spark):
+    """However small the tables look, none that grows with the texts passes through the driver."""
+    df = spark.createDataFrame([(k, f"one two three four five six seven {k % 3} nine ten") for k in range(30)], "doc_id long, text string")
+    found = near_copies.near_copies(df)
+    assert found.count() == 30 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
