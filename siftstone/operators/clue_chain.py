@@ -62,15 +62,15 @@ def text_units(photos: DataFrame) -> DataFrame:
     """
     none = F.lit(None).cast("string")
 
-    def unit(number: Column, source: str, field: str, by_owner: Column, raw: Column, id_: Column = none, author: Column = none, at: Column = none) -> Column:
-        parts = {"unit": number, "source": F.lit(source), "field": F.lit(field), "by_owner": by_owner, "comment_id": id_, "comment_author": author, "comment_at": at, "raw": raw}
+    def unit(number: Column, source: str, field: str, by_owner: Column, raw: Column, id_: Column = none, author: Column = none, at: Column = none, current: Column = none) -> Column:
+        parts = {"unit": number, "source": F.lit(source), "field": F.lit(field), "by_owner": by_owner, "comment_id": id_, "comment_author": author, "comment_at": at, "raw": raw, "current": current}
         return F.struct(*[c.alias(n) for n, c in parts.items()])
 
     own = F.lit(True)
     listed = lambda n: F.lit(n).cast("long")
     fixed = F.array(
-        unit(listed(0), "title", "current_title", own, F.get("titles", 0)), unit(listed(1), "title", "raw_title", own, F.get("titles", 1)),
-        unit(listed(2), "description", "current_description", own, F.get("descriptions", 0)), unit(listed(3), "description", "raw_description", own, F.get("descriptions", 1)),
+        unit(listed(0), "title", "current_title", own, F.get("titles", 0)), unit(listed(1), "title", "raw_title", own, F.get("titles", 1), current=F.get("titles", 0)),
+        unit(listed(2), "description", "current_description", own, F.get("descriptions", 0)), unit(listed(3), "description", "raw_description", own, F.get("descriptions", 1), current=F.get("descriptions", 0)),
         unit(listed(4), "owner_profile", "profile", own, F.col("profile")),
     )
     said = F.transform(
@@ -85,14 +85,11 @@ def text_units(photos: DataFrame) -> DataFrame:
     data = F.col("raw").contains(":") & F.col("raw").contains("=") & ~F.lower("raw").startswith("geo")
     author = F.col("m.author")
     of_tags = tags.filter(~data).select("photo", unit(-1 - F.col("m.at").cast("long"), "tag", "tags", F.when(author != "", author == F.col("m.owner")), F.col("raw"), none, author).alias("u"))
-    rows = rows.unionByName(of_tags.select("photo", "u.*")).filter("raw IS NOT NULL AND raw <> ''").withColumn("seen", visible_text("raw"))
+    rows = rows.unionByName(of_tags.select("photo", "u.*")).filter("raw IS NOT NULL AND raw <> '' AND (current IS NULL OR raw <> current)")
+    rows = rows.withColumns({"seen": visible_text("raw"), "again": visible_text("current")})
     # A profile's location is plain text.
-    rows = rows.withColumn("text", F.when(F.col("source") == "owner_profile", F.col("raw")).otherwise(F.col("seen.text"))).filter("text <> ''")
-    rows = rows.select("photo", "unit", *ORIGIN, "text", F.when(F.col("source") == "owner_profile", F.slice("seen.links", 1, 0)).otherwise(F.col("seen.links")).alias("links"))
-    fields = F.col("unit").between(0, 3)
-    first = rows.filter(fields).select("photo", F.floor(F.col("unit") / 2).alias("half"), "text").groupBy("photo", "half", "text").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = first.select("photo", (F.col("half") * 2 + 1).alias("unit"))
-    return rows.join(again, ["photo", "unit"], "left_anti")
+    rows = rows.withColumn("text", F.when(F.col("source") == "owner_profile", F.col("raw")).otherwise(F.col("seen.text"))).filter("text <> '' AND (current IS NULL OR text <> again.text)")
+    return rows.select("photo", "unit", *ORIGIN, "text", F.when(F.col("source") == "owner_profile", F.slice("seen.links", 1, 0)).otherwise(F.col("seen.links")).alias("links"))
 
 
 def _read(units: DataFrame, known: DataFrame) -> DataFrame:
@@ -166,7 +163,9 @@ def _evidence(read: DataFrame, photos: DataFrame, provider: DataFrame) -> DataFr
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return evidence.dedup(out.withColumn("candidate_count", F.size("candidates").cast("long")), [*RECORD, "candidate_count"])
+    # dealt by photo, so that what follows needs no further shuffle
+    out = out.repartition("photo").withColumn("candidate_count", F.size("candidates").cast("long"))
+    return evidence.dedup(out, [*RECORD, "candidate_count"])
 
 
 def _machine_points(photos: DataFrame) -> DataFrame:
@@ -218,11 +217,11 @@ def analyse(photos: DataFrame, located: DataFrame, provider: DataFrame, known: D
     require_none(duplicates(photos, ["photo"]), "photos are repeated")
     provider = provider.join(photos.select("photo").unionByName(located.select("photo")).distinct(), "photo", "left_semi").filter(geo.valid_point(F.col("latitude"), F.col("longitude"))).dropDuplicates(["photo"])
     own = provider.join(photos.select("photo"), "photo", "left_semi")
-    read = staged(_read(text_units(photos), known))
+    read = staged(_read(staged(text_units(photos)), known))
     found, times = _evidence(read, photos, own), _times(read)
     at = dates.capture_time(F.col("taken"), F.col("unknown"), F.col("granularity"))
     targets = photos.select("photo", "owner", at.alias("at")).filter("at IS NOT NULL AND owner IS NOT NULL")
-    near = timeline.nearest(timeline.interval_join(targets, anchors(photos, located, provider), "owner", "at", "photo"), "photo")
+    near = timeline.nearest_anchors(targets, staged(anchors(photos, located, provider)), "owner", "at", "photo")
     return Analysis(_summary(photos, found, times, near), found, times, near)
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from ..functions.phrases import once
 from ..functions.text import FOLDED_TOKEN, fold, folded_tokens
 from .staging import staged
 
@@ -173,8 +174,9 @@ def tried_runs(units: DataFrame, unit: Sequence[str], text: Column, phrases: Dat
         for batch in batches:
             of: list[int] = []
             found: list[tuple] = []
+            looked = once(lambda t: runs(t, bits, w, b, longest))
             for k, t in enumerate(batch.column("__text")):
-                here = runs(t.as_py() or "", bits, w, b, longest)
+                here = looked(t.as_py() or "")
                 of += [k] * len(here)
                 found += here
                 if len(found) >= RUNS:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import clue_chain, clue_tables, clues, gazetteer, workbook
+from ..operators import clue_chain, clue_tables, clues, gazetteer, staging, workbook
 from .registry import long, query
 
 #: Parts that every size of the tables has.
@@ -40,8 +40,8 @@ def _photos(t) -> DataFrame:
     town = t("part").groupBy("p_name").agg(F.min("p_partkey").alias("first"))
     part = t("part").filter(F.col("p_partkey") < PARTS).join(town, "p_name").select("p_partkey", _name("p_name").alias("town"), (F.col("first") % 5).alias("land"))
     region = t("region").select("r_regionkey", _name("r_name").alias("region"))
-    o = t("orders").select(F.col("o_orderkey").alias("photo"), (F.col("o_custkey") % 50).cast("string").alias("owner"), F.col("o_orderdate"), (F.col("o_orderkey") % 12).alias("k"), (F.col("o_orderkey") % PARTS).alias("__part"))
-    rows = o.join(part, F.col("__part") == F.col("p_partkey"))
+    o = t("orders").select(F.col("o_orderkey").alias("photo"), (F.col("o_custkey") % 50).cast("string").alias("owner"), F.col("o_orderdate"), (F.col("o_orderkey") % 12).alias("k"), (F.col("o_orderkey") % PARTS).alias("__part")).repartition("photo")
+    rows = o.join(F.broadcast(part), F.col("__part") == F.col("p_partkey"))  # a row for each of PARTS
     rows = rows.join(F.broadcast(region), F.when(F.col("k") == 2, F.col("land")).otherwise(F.col("photo") % 5) == F.col("r_regionkey"))  # five rows
     none, no = F.lit(None).cast("string"), F.lit("")
     k, a, b = F.col("k"), (F.col("photo") % 80 + 1).cast("string"), (F.col("photo") % 170).cast("string")
@@ -66,7 +66,7 @@ def _photos(t) -> DataFrame:
 
 
 def _analysis(t) -> clue_chain.Analysis:
-    photos = _photos(t)
+    photos = staging.staged(_photos(t))
     provider = photos.filter(F.col("photo") % 97 == 0).select("photo", "latitude", "longitude")
     return clue_chain.analyse(photos, photos.filter(F.col("photo") % 10 == 0), provider, _known(t))
 

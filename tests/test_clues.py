@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 import time
 import zipfile
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftstone.functions import phrases
-from siftstone.operators import clue_chain, gazetteer
+from siftstone.operators import clue_chain, clue_tables, gazetteer, timeline
 from siftstone.operators.checks import CheckFailed
 from siftstone.sources import readers
 
@@ -183,3 +184,39 @@ def test_runs_leave_a_task_in_bounded_batches(spark, monkeypatch):
     assert "MapInArrow" in tried._jdf.queryExecution().executedPlan().toString() and tried.count() == 30 * 40
     hits = {r["u"]: r["hits"] for r in gazetteer.found_phrases(units, ["u"], F.col("t"), known).collect()}
     assert set(hits) == set(range(30)) and [(h["at"], h["n"], h["places"]) for h in hits[7][:3]] == [(0, 1, [1, 2]), (1, 2, [3]), (3, 1, [1, 2])] and len(hits[7]) == 40
+
+
+def test_nearest_anchors_without_pairs(spark):
+    """The same as from all pairs: ties, a row's own anchor at its time or another, ends of windows and slices, missing values."""
+    rnd = random.Random(1)
+    start = dt.datetime(2020, 1, 1)
+    at = lambda: start + dt.timedelta(seconds=rnd.choice([rnd.randrange(2000) * 600, rnd.randrange(1_200_000)]), microseconds=rnd.choice([0, 0, 1, 999_999]))
+    rows = [(k, rnd.choice(["a", "b", None]), at() if rnd.random() < 0.95 else None) for k in range(300)]
+    known = [(k, o, t if rnd.random() < 0.7 else at()) for k, o, t in rows[:150]] + [(1000 + k, rnd.choice(["a", "b"]), at()) for k in range(60)]
+    kinds = "photo int, owner string, at timestamp_ntz"
+    targets, anchors = spark.createDataFrame(rows, kinds), spark.createDataFrame(known, kinds)
+    pairs = timeline.nearest(timeline.interval_join(targets, anchors, "owner", "at", "photo"), "photo")
+    found = timeline.nearest_anchors(targets, anchors, "owner", "at", "photo")
+    assert found.columns == pairs.columns and pairs.count() > 300
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_units_read_each_text_once(spark):
+    """A raw title that shows what the current one shows is left out without a second look at all texts."""
+    rows = [("a", ["Rome", "<b>Rome</b>"], ["x", "y"]), ("b", ["", "Rome"], [None, "y"]), ("c", ["Rome", "Rome"], None)]
+    photos = spark.createDataFrame(rows, "photo string, titles array<string>, descriptions array<string>")
+    none = {"owner": "string", "tags": "array<struct<raw: string, author: string>>", "raw_tags": "string", "comments": "array<struct<id: string, author: string, at: string, text: string>>", "profile": "string"}
+    units = clue_chain.text_units(photos.withColumns({n: F.lit(None).cast(t) for n, t in none.items()}))
+    assert sorted((r["photo"], r["unit"], r["text"]) for r in units.collect()) == [("a", 0, "Rome"), ("a", 2, "x"), ("a", 3, "y"), ("b", 1, "Rome"), ("b", 3, "y"), ("c", 0, "Rome")]
+    assert "Join" not in units._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_violations_in_one_pass(spark):
+    keys = lambda *ks: spark.createDataFrame([(k,) for k in ks], "id string")
+    evidence = spark.createDataFrame([("a", "map_link"), ("x", "odd"), (None, None), ("b", "map_link")], "id string, kind string")
+    near = spark.createDataFrame([("a", clue_tables.HOUR, "earlier", 61.0), ("a", clue_tables.HOUR, "earlier", 1.0), ("x", clue_tables.DAY, "later", 1440.0), (None, clue_tables.DAY, "later", 2000.0)], "id string, time_window string, relation string, minutes double")
+    found = clue_tables.violations(keys("a", "a", "b", None, None), keys("a", "c", "c", None), evidence, near, "id", ["map_link"])
+    assert [r["rows"] for r in found.collect()] == [2, 3, 1, 2, 2, 2, 2, 1]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    empty = clue_tables.violations(keys(), keys(), evidence.limit(0), near.limit(0), "id", ["map_link"])
+    assert [r["rows"] for r in empty.collect()] == [0] * 8
