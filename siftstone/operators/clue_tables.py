@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,24 +49,28 @@ def violations(photos: DataFrame, summary: DataFrame, evidence: DataFrame, neigh
     photos and have known kinds; a neighbour is within its window, and of each photo, window
     and relation there is one at most.
     """
-    own = photos.select(key).distinct()
-
-    def rule(name: str, df: DataFrame) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("rule"), "rows")
-
     limit = F.when(F.col("time_window") == HOUR, 60).otherwise(1440)
-    rules = {
-        "photos without a summary": own.join(summary, key, "left_anti"),
-        "summaries without a photo": summary.join(own, key, "left_anti"),
-        "photos with several summaries": summary.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"),
-        "evidence without a photo": evidence.join(own, key, "left_anti"),
-        "evidence of unknown kind": evidence.filter(~F.coalesce(F.col("kind").isin(*kinds), F.lit(False))),
-        "neighbours without a photo": neighbours.join(own, key, "left_anti"),
-        "neighbours outside their window": neighbours.filter(F.abs("minutes") > limit),
-        "repeated neighbours": neighbours.groupBy(key, "time_window", "relation").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"),
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    each = neighbours.groupBy(key, "time_window", "relation").agg(F.count(F.lit(1)).alias("near"), F.count_if(F.abs("minutes") > limit).alias("outside"))
+    tables = [
+        (photos.select(key).distinct(), {"own": one}),
+        (summary, {"summed": one}),
+        (evidence, {"evidence": one, "unknown": (~F.coalesce(F.col("kind").isin(*kinds), F.lit(False))).cast("long")}),
+        (each, {"near": F.col("near"), "outside": F.col("outside"), "repeated": (F.col("near") > 1).cast("long")}),
+    ]
+    names = [n for _, columns in tables for n in columns]
+    # one row of counts for each key, from a single pass over each table
+    counted = reduce(DataFrame.unionByName, [df.select(key, *[columns.get(n, none).alias(n) for n in names]) for df, columns in tables]).groupBy(key).agg(*[F.sum(n).alias(n) for n in names])
+    owned = (F.col("own") > 0) & F.col(key).isNotNull()
+    rows = {
+        "photos without a summary": F.count_if((F.col("own") > 0) & ~(owned & (F.col("summed") > 0))),
+        "summaries without a photo": F.sum(F.when(~owned, F.col("summed"))),
+        "photos with several summaries": F.count_if(F.col("summed") > 1),
+        "evidence without a photo": F.sum(F.when(~owned, F.col("evidence"))),
+        "evidence of unknown kind": F.sum("unknown"),
+        "neighbours without a photo": F.sum(F.when(~owned, F.col("near"))),
+        "neighbours outside their window": F.sum("outside"),
+        "repeated neighbours": F.sum("repeated"),
     }
-    out = None
-    for name, df in rules.items():
-        one = rule(name, df)
-        out = one if out is None else out.unionByName(one)
-    return out
+    rules = F.array(*[F.struct(F.lit(name).alias("rule"), F.coalesce(n, none).alias("rows")) for name, n in rows.items()])
+    return counted.agg(rules.alias("rules")).select(F.explode("rules").alias("r")).select("r.*")
