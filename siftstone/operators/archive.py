@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import json_members, json_overlay, json_without
+from ..functions.text import json_overlay_members, json_overlay_others
 from .candidates import byte_chunks
 from .checks import CheckFailed, duplicates, require_none, table_fingerprint
+from .staging import staged
 
 
 #: The key that stands for archived metadata.
@@ -20,7 +21,7 @@ SHARD_ROWS, SHARD_BYTES, RECORD_BYTES = 1000, 8 << 20, 16 << 20
 
 def compacted(metadata: Column, record: Column, provenance: str) -> Column:
     """What is left in place of archived metadata: a reference, and the provenance, as it is written, if there is any."""
-    return json_overlay(F.to_json(F.struct(record.cast("string").alias(REFERENCE))), json_members(metadata, F.array(F.lit(provenance))))
+    return json_overlay_members(F.to_json(F.struct(record.cast("string").alias(REFERENCE))), metadata, F.array(F.lit(provenance)))
 
 
 def shards(df: DataFrame, record: str, metadata: str, rows: int = SHARD_ROWS, most_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -33,7 +34,8 @@ def shards(df: DataFrame, record: str, metadata: str, rows: int = SHARD_ROWS, mo
     require_none(kept.filter(F.col("__bytes") > RECORD_BYTES).select(record), "metadata are longer than a record may be")
     require_none(duplicates(kept, [record]), f"{record} is repeated")
     cut = byte_chunks(kept, "__all", [record], "__bytes", most_bytes, rows, "__chunk")
-    return cut.select(record, (F.col("__chunk") - 1).cast("long").alias("shard"), "metadata_json", F.md5("metadata_json").alias("metadata_md5"))
+    # kept, as what reads an archive (checks, swaps, manifests) would cut it again each time
+    return staged(cut.select(record, (F.col("__chunk") - 1).cast("long").alias("shard"), "metadata_json", F.md5("metadata_json").alias("metadata_md5")))
 
 
 def manifest(archived: DataFrame, record: str) -> DataFrame:
@@ -67,12 +69,12 @@ def restored(table: DataFrame, archived: DataFrame, record: str, metadata: str)
     byte.  Raises for references without a record, and for those that can't be read.
     """
     text = F.col(metadata)
-    marked = table.withColumn("__ref", F.get_json_object(metadata, f"$.{REFERENCE}"))
+    marked = staged(table.withColumn("__ref", F.get_json_object(metadata, f"$.{REFERENCE}")))  # the checks read it, too
     require_none(marked.filter(F.col("__ref").isNull() & text.contains(f'"{REFERENCE}"') & F.try_parse_json(text).isNull()).select(record), "references can't be read")
     known = archived.select(F.col(record).cast("string").alias("__a"), "metadata_json")
     out = marked.join(known, F.col("__ref") == F.col("__a"), "left")
     require_none(out.filter(F.col("__ref").isNotNull() & F.col("metadata_json").isNull()).select(record), "references without an archived record")
-    back = json_overlay(F.col("metadata_json"), json_without(text, F.array(F.lit(REFERENCE))))
+    back = json_overlay_others(F.col("metadata_json"), text, F.array(F.lit(REFERENCE)))
     return out.withColumn(metadata, F.when(F.col("metadata_json").isNotNull(), back).otherwise(text)).drop("__ref", "__a", "metadata_json")
 
 

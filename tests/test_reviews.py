@@ -205,3 +205,14 @@ def test_archives_by_bytes_with_overrides(spark):
         archive.fetched(kept.withColumn("metadata_md5", F.lit("x")), told, "id", rows.filter("id = 2"))
     with pytest.raises(checks.CheckFailed):
         archive.fetched(kept, told, "id", spark.createDataFrame([(77,)], "id int"))
+
+
+def test_archives_are_cut_and_swapped_once(spark):
+    """What reads an archive or a swapped table doesn't make it again, and restoring takes one step in Python."""
+    table = spark.createDataFrame([(1, '{"a": 1, "provenance": {"p": 2}}'), (2, "{}"), (3, '{"a": 1.50}'), (4, None)], "id bigint, m string")
+    kept = archive.shards(table.filter("id <> 3 AND m IS NOT NULL"), "id", "m", 2)
+    small = archive.swapped(table, kept, "id", "m", "provenance")
+    back = archive.restored(small.withColumn("m", F.when(F.col("id") == 1, F.regexp_replace("m", r"\}$", ',"late":1.0}')).otherwise(F.col("m"))), kept, "id", "m")
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (kept, small, back)]
+    assert "InPandas" not in "".join(plans) and [p.count("ArrowEvalPython") for p in plans] == [0, 1, 1]
+    assert {r["id"]: r["m"] for r in back.collect()} == {1: '{"a":1,"provenance":{"p": 2},"late":1.0}', 2: "{}", 3: '{"a": 1.50}', 4: None}
