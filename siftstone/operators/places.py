@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from .gazetteer import phrase_hits, phrase_words
+from .staging import staged
 
 
 def in_boxes(points: DataFrame, boxes: Sequence[tuple[str, float, float, float, float]], x: str, y: str, name: str = "region") -> DataFrame:
@@ -107,90 +108,57 @@ def region_of(points: DataFrame, lat: str, lon: str, regions: Sequence[tuple[str
     return points.withColumn(name, find(F.col(lat).cast("double"), F.col(lon).cast("double")))
 
 
-#: Sizes of the grids' cells, in degrees; each divides the one before.
-CELLS = (45.0, 9.0, 1.8, 0.36, 0.072, 0.0144)
-#: Degrees of the cells that the loneliest points choose from: 2,592 at most.
-COARSE = 5.0
+#: Grids of cubes around the unit sphere, each half as wide as the one before: from 2, which holds an octant, to some 12 metres.
+LEVELS = 21
+#: Bits of one coordinate of a cube in its number.
+BITS = 21
 
 
-def _in_reach(lonely: DataFrame, distinct: DataFrame, k: int) -> DataFrame:
-    """Pairs of a lonely point and each point that may be among its ``k`` nearest.
+def _cube(lat: Column, lon: Column, level: Column, turn: Sequence[int] = (0, 0, 0)) -> Column:
+    """The number of the cube of a grid that holds a point, or of the one ``turn`` cubes away."""
+    out = F.lit(0).cast("long")
+    for at, step in zip(geo.unit_sphere(lat, lon), turn, strict=True):
+        out = F.shiftleft(out, BITS).bitwiseOR(F.floor(at * F.pow(F.lit(2.0), level - 1)).cast("long") + (step + (1 << (BITS - 1))))
+    return out
 
-    Of each cell of the coarse grid the number of points, and how far they are from its
-    centre, bound their distances from anywhere.  The cells whose farthest points are nearest
-    hold more than ``k`` points within some distance, and only cells that may come below that
-    are looked at.
-    """
-    row, column = F.floor((F.col("b_lat") + 90) / COARSE), F.floor((F.col("b_lon") + 180) / COARSE)
-    placed = distinct.withColumns({"row": row, "column": column})
-    c_lat, c_lon = (F.col("row") + 0.5) * COARSE - 90, (F.col("column") + 0.5) * COARSE - 180
-    cells = placed.groupBy("row", "column").agg(F.count(F.lit(1)).alias("n"), F.max(geo.haversine_km(c_lat, c_lon, F.col("b_lat"), F.col("b_lon"))).alias("radius"))
-    all_ = cells.agg(F.collect_list(F.struct("row", "column", c_lat.alias("lat"), c_lon.alias("lon"), "n", "radius")).alias("cells"))  # one row of 2,592 cells at most
-    far = lambda c: geo.haversine_km(F.col("a_lat"), F.col("a_lon"), c["lat"], c["lon"])
-    seen = lonely.crossJoin(F.broadcast(all_)).withColumn("seen", F.transform("cells", lambda c: F.struct((far(c) + c["radius"]).alias("most"), (far(c) - c["radius"]).alias("least"), c["n"].alias("n"), c["row"].alias("row"), c["column"].alias("column"))))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("km"))
-    reach = F.aggregate(F.array_sort("seen"), start, lambda a, c: F.when(a["n"] > k, a).otherwise(F.struct((a["n"] + c["n"]).alias("n"), c["most"].alias("km"))))
-    asked = seen.withColumn("km", reach["km"] + 1e-6).select("a_lat", "a_lon", F.explode(F.filter("seen", lambda c: c["least"] <= F.col("km"))).alias("c")).select("a_lat", "a_lon", "c.row", "c.column")
-    return asked.join(placed, ["row", "column"]).select("a_lat", "a_lon", "b_lat", "b_lon")
-
-
-def kth_nearest_km(points: DataFrame, key: str, lat: str, lon: str, k: int = 5, cells: Sequence[float] = CELLS, name: str = "isolation_km") -> DataFrame:
+
+def kth_nearest_km(points: DataFrame, key: str, lat: str, lon: str, k: int = 5, levels: int = LEVELS, name: str = "isolation_km") -> DataFrame:
     """``points`` with the distance to the ``k``-th nearest other distinct point.
 
-    Each point looks at the nine cells around it, in the grid that suits its neighbourhood:
-    one or two steps coarser than the finest in which these hold more than ``k`` distinct
-    points, until the ``k``-th distance found can't be beaten from outside them.  So a dense
-    place is looked at closely and a lonely one from afar, and no point meets more others
-    than a few cells hold.  What is left, the loneliest points, looks at those cells of a
-    coarse grid alone that may hold one of its ``k`` nearest.  Null where there are fewer than ``k`` other points, or without
+    Points lie in grids of cubes around the sphere, which have neither poles nor a seam.  Each
+    looks at the 27 cubes around it in the finest grid whose cube holds it and ``k`` others.
+    These are within the cube's diagonal, so the next coarser grid, in which nothing nearer
+    than two such cubes is missed, settles what the first did not.  As the next finer cubes
+    hold ``k`` points at most, few points look at a cube, however many it holds: pairs grow
+    with the points and the levels.  Only more than ``k`` points in one cube of the finest
+    grid all meet each other.  Null where there are fewer than ``k`` other points, or without
     coordinates.  ``key`` tells points apart; repeated keys share a distance.
     """
     here = points.select(F.col(key).alias("__k"), F.col(lat).cast("double").alias("a_lat"), F.col(lon).cast("double").alias("a_lon"))
-    here = here.filter(geo.valid_point(F.col("a_lat"), F.col("a_lon")) | ((F.col("a_lat") == 0) & (F.col("a_lon") == 0))).dropDuplicates(["a_lat", "a_lon", "__k"])
-    distinct = here.select(F.col("a_lat").alias("b_lat"), F.col("a_lon").alias("b_lon")).distinct()
-    degree = np.pi * geo.EARTH_KM / 180
-
-    sizes, widths = F.array(*[F.lit(float(c)) for c in cells]), F.array(*[F.lit(round(360 / c)).cast("long") for c in cells])
-    turns = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
-
-    def cell(lat_: Column, lon_: Column, level: Column, dr: int = 0, dc: int = 0) -> Column:
-        size = F.element_at(sizes, level + 1)
-        row, column = F.floor((lat_ + 90) / size).cast("long") + dr, F.floor((lon_ + 180) / size).cast("long") + dc
-        return F.struct(level.alias("level"), row.alias("r"), F.pmod(column, F.element_at(widths, level + 1)).alias("c"))
-
-    level = F.explode(F.sequence(F.lit(0), F.lit(len(cells) - 1))).alias("level")
-    b_lat, b_lon, a_lat, a_lon = F.col("b_lat"), F.col("b_lon"), F.col("a_lat"), F.col("a_lon")
-    of = distinct.select("b_lat", "b_lon", level).select("b_lat", "b_lon", cell(b_lat, b_lon, F.col("level")).alias("cell"))
-    counts = of.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    # how many distinct points a cell and its eight neighbours hold, from the cells' counts
-    spread = [F.struct(F.col("cell.level").alias("level"), (F.col("cell.r") + dr).alias("r"), F.pmod(F.col("cell.c") + dc, F.element_at(widths, F.col("cell.level") + 1)).alias("c")) for dr, dc in turns]
-    around = counts.select("n", F.explode(F.array_distinct(F.array(*spread))).alias("cell")).groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > k)
-    places_ = distinct.select(b_lat.alias("a_lat"), b_lon.alias("a_lon"))
-    finest = of.select(b_lat.alias("a_lat"), b_lon.alias("a_lon"), "cell").join(around, "cell").groupBy("a_lat", "a_lon").agg(F.max("cell.level").alias("level"))
-    far = (F.col("a_lat") != F.col("b_lat")) | (F.col("a_lon") != F.col("b_lon"))
-    km = geo.haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
+    here = here.filter(geo.valid_point(F.col("a_lat"), F.col("a_lon")) | ((F.col("a_lat") == 0) & (F.col("a_lon") == 0)))
+    a_lat, a_lon, b_lat, b_lon = F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # these tables are small for the pairs that come of them
+    distinct = staged(here.select("a_lat", "a_lon").distinct().repartition(parts, "a_lat", "a_lon"))
+    of = distinct.select(a_lat.alias("b_lat"), a_lon.alias("b_lon"), F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("at"))
+    of = of.withColumn("cube", _cube(b_lat, b_lon, F.col("at")))
+    full = of.groupBy("at", "cube").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k).drop("n")
+    finest = of.join(full.hint("merge"), ["at", "cube"]).groupBy(b_lat.alias("a_lat"), b_lon.alias("a_lon")).agg(F.max("at").alias("level"))
+    todo = distinct.join(finest, ["a_lat", "a_lon"], "left").select("a_lat", "a_lon", F.coalesce("level", F.lit(0)).alias("level"))
     nearest = Window.partitionBy("a_lat", "a_lon").orderBy("km")
 
-    def kth(pairs: DataFrame) -> DataFrame:
-        return pairs.filter(far).select("a_lat", "a_lon", km.alias("km")).withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") == k).drop("nth")
-
     def looked(todo: DataFrame, back: int) -> DataFrame:
-        at = F.greatest(F.col("level") - back, F.lit(0))
-        asked = todo.select("a_lat", "a_lon", F.explode(F.array_distinct(F.array(*[cell(a_lat, a_lon, at, dr, dc) for dr, dc in turns]))).alias("cell"))
-        # what isn't in the nine cells is a cell away at least, along the meridian or, at the farther edge of the row, along the parallel
-        size = F.element_at(sizes, at + 1)
-        reach = F.least(size * degree, size * degree * 0.99 * F.cos(F.radians(F.least(F.lit(89.9), F.abs("a_lat") + 2 * size))))
-        met = kth(asked.join(of, "cell"))
-        return todo.join(met, ["a_lat", "a_lon"], "left").select("a_lat", "a_lon", "level", F.when(F.col("km") <= reach, F.col("km")).alias("km"))
-
-    todo, settled = finest, []
-    for back in (1, 2):
-        met = looked(todo, back)
-        settled.append(met.filter(F.col("km").isNotNull()).select("a_lat", "a_lon", "km"))
-        todo = met.filter(F.col("km").isNull()).select("a_lat", "a_lon", "level")
-    known = reduce(DataFrame.unionByName, settled)
-    lonely = places_.join(known, ["a_lat", "a_lon"], "left_anti")
-    known = known.unionByName(kth(_in_reach(lonely, distinct, k)))
+        """``todo`` with the distance, null if something nearer may be outside the cubes."""
+        around = F.array(*[_cube(a_lat, a_lon, F.col("at"), turn) for turn in product((-1, 0, 1), repeat=3)])
+        asked = todo.withColumn("at", F.greatest(F.col("level") - back, F.lit(0))).withColumn("cube", F.explode(around)).repartition(parts, "at", "cube")
+        pairs = asked.join(of.hint("merge"), ["at", "cube"]).filter((a_lat != b_lat) | (a_lon != b_lon))
+        met = pairs.select("a_lat", "a_lon", "level", "at", geo.haversine_km(a_lat, a_lon, b_lat, b_lon).alias("km")).withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") == k)
+        reach = geo.arc_km(F.pow(F.lit(2.0), 1 - F.col("at"))) * 0.999999
+        met = met.select("a_lat", "a_lon", F.when((F.col("at") == 0) | (F.col("km") <= reach), F.col("km")).alias("km"))
+        return todo.join(met, ["a_lat", "a_lon"], "left").select("a_lat", "a_lon", "level", "km")
+
+    first = staged(looked(todo, 0))
+    rest = looked(first.filter(F.col("km").isNull() & (F.col("level") > 0)).drop("km"), 1)
+    known = first.unionByName(rest).filter(F.col("km").isNotNull()).select("a_lat", "a_lon", "km")
     done = here.join(known, ["a_lat", "a_lon"]).groupBy("__k").agg(F.min("km").alias(name))
     return points.join(done, F.col(key).eqNullSafe(F.col("__k")), "left").drop("__k")
 

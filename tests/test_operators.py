@@ -338,6 +338,39 @@ def test_nearest_of_few_and_dense_points(spark):
     assert {r["isolation_km"] for r in few.collect()} == {None}
 
 
+def most_rows(spark, run) -> int:
+    """The most rows that any step of the queries within ``run`` made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    most = 0
+    for at in range(before, store.executionsCount()):
+        execution = store.executionsList().apply(at)
+        kinds, texts = execution.metrics(), store.executionMetrics(execution.executionId())
+        for m in (kinds.apply(i) for i in range(kinds.size())):
+            if m.name() == "number of output rows" and texts.contains(m.accumulatorId()):
+                most = max(most, int(texts.apply(m.accumulatorId()).split()[-1].replace(",", "")))
+    return most
+
+
+def test_lonely_points_do_not_meet_a_crowd(spark):
+    crowd = [(k, 10 + k % 50 * 0.02, 20 + k // 50 * 0.02) for k in range(2000)]
+    alone = [(10_000 + k, 60 + k % 20 * 1.4, -175 + k // 20 * 11.7) for k in range(600)]
+    points = spark.createDataFrame(crowd + alone, "k int, lat double, lon double")
+    found = []
+    rows = most_rows(spark, lambda: found.extend(places.kth_nearest_km(points, "k", "lat", "lon").collect()))
+    assert len(found) == 2600 and min(r["isolation_km"] for r in found) > 2
+    assert rows < 200 * 2600  # the lonely points alone could make 1,200,000 pairs with the crowd
+
+
+def test_nearest_across_pole_and_seam(spark):
+    rows = [(k, 89.9, k * 60.0 - 180) for k in range(6)] + [(10 + k, 0.0, lon) for k, lon in enumerate((179.9, -179.9, 180.0, -180.0, 179.8, -179.8))]
+    got = {r["k"]: r["isolation_km"] for r in places.kth_nearest_km(spark.createDataFrame(rows, "k int, lat double, lon double"), "k", "lat", "lon").collect()}
+    degree = 3.141592653589793 * geo.EARTH_KM / 180
+    assert all(got[k] == pytest.approx(0.2 * degree, rel=1e-6) for k in range(6))
+    assert got[10] == pytest.approx(0.3 * degree, rel=1e-6) and got[14] == pytest.approx(0.4 * degree, rel=1e-6) and got[12] == pytest.approx(0.2 * degree, rel=1e-6)
+
+
 def test_digests_tell_contents_apart(spark):
     rows = spark.createDataFrame([(1, "a|b", "c"), (2, "a", "b|c"), (3, None, "-"), (4, "-", None), (5, "1:a", None)], "k int, x string, y string")
     assert len({r["fingerprint"] for r in checks.fingerprint(rows, ["k"], ["x", "y"]).collect()}) == 5
