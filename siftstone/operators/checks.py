@@ -74,6 +74,17 @@ def require_unchanged_rows(before: DataFrame, after: DataFrame, keys: Sequence[s
     require_none(differing(b, a), "rows have changed")
 
 
+def lost_or_changed(before: DataFrame, after: DataFrame, keys: Sequence[str], content: Sequence[str]) -> DataFrame:
+    """Keys of ``before`` whose rows ``after`` doesn't hold as often with the same content; keys that only ``after`` has don't count.
+
+    One shuffle of keys and fingerprints by key, without a join.
+    """
+    b = fingerprint(before, keys, content).withColumns({"__b": F.lit(1), "__a": F.lit(0)})
+    a = fingerprint(after, keys, content).withColumns({"__b": F.lit(0), "__a": F.lit(1)})
+    versions = b.unionByName(a).repartition(*keys).groupBy(*keys, "fingerprint").agg(F.sum("__b").alias("b"), F.sum("__a").alias("a"))
+    return versions.groupBy(*keys).agg(F.bool_or(F.col("b") > 0).alias("was"), F.bool_or(F.col("a") != F.col("b")).alias("differs")).filter("was AND differs").select(*keys)
+
+
 def changed(before: DataFrame, after: DataFrame, keys: Sequence[str], name: str = "fingerprint") -> DataFrame:
     """Keys of ``before`` that ``after`` lacks or holds with another fingerprint."""
     b = before.select(*keys, F.col(name).alias("__was"))

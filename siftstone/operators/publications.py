@@ -16,13 +16,14 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import display_name, has_key, json_overlay
+from ..functions.text import display_name, has_key, json_with
 from . import round_plans
-from .checks import duplicates, not_contiguous, require_none, require_unchanged_rows
+from .checks import CheckFailed, duplicates, lost_or_changed, not_contiguous, require_none
 from .rounds import ranked
+from .staging import staged
 
 #: What codes of second rounds begin with, characters of a category's name in a title, and bytes of metadata that must be archived first.
 ROUND, BATCH, TITLE, BULKY = "REREVIEW-", "RR-", 111, 8192
@@ -73,12 +74,15 @@ def _added(table: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _prove(before: Published, after: Published, members: int, code: str) -> None:
     """Raises unless old items are unchanged, and the round has so many members, each once, in places without gaps."""
-    require_unchanged_rows(before.items, after.items.join(before.items.select("id"), "id", "left_semi"), ["id"], [c for c in before.items.columns if c != "id"])
+    require_none(lost_or_changed(before.items, after.items, ["id"], [c for c in before.items.columns if c != "id"]), "rows have changed")
     own = after.campaigns.filter(F.col("campaign_code").startswith(code)).select(F.col("id").alias("campaign_id"))
     batches = after.batches.join(own, "campaign_id", "left_semi").select(F.col("id").alias("batch_id"))
     new = after.items.join(batches, "batch_id", "left_semi")
-    require_none(new.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") != members), "the round's members are not as many as planned")
-    require_none(duplicates(new, ["batch_id", "source_provider", "image_id"]), "images repeat in a batch")
+    found = new.groupBy("batch_id", "source_provider", "image_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.max("n").alias("most")).first()  # one row
+    if found["all"] != members:
+        raise CheckFailed(f"the round's members are not as many as planned: {found['all']}, not {members}")
+    if members and found["most"] > 1:
+        require_none(duplicates(new, ["batch_id", "source_provider", "image_id"]), "images repeat in a batch")
     require_none(not_contiguous(new, ["batch_id"], "position"), "positions have gaps")
 
 
@@ -104,8 +108,8 @@ def rereview(campaigns: DataFrame, batches: DataFrame, items: DataFrame, reviews
     bulky = items.filter((F.octet_length("pipeline_metadata") >= BULKY) & ~has_key(F.col("pipeline_metadata"), ARCHIVED))
     require_none(bulky.select("id"), "metadata must be archived first")
     members = round_plans.rereview_round(items, with_fallbacks(reviews, items))
-    groups = members.select("group_number", "category", "target_scientific_name").distinct()
-    count = members.count()
+    groups = staged(members.select("group_number", "category", "target_scientific_name", "members").distinct())  # a row for each batch
+    count = groups.agg(F.sum("members")).first()[0]
     if not count:
         raise ValueError("no reviews to look at again")
     title = F.concat(F.lit("Round 2: "), F.substring(category_name(F.col("category")), 1, TITLE))
@@ -113,10 +117,8 @@ def rereview(campaigns: DataFrame, batches: DataFrame, items: DataFrame, reviews
     number = F.col("group_number")
     new_campaigns = groups.select((number + campaign - 1).alias("id"), _code(own, number).alias("campaign_code"), title.alias("title"), "target_scientific_name", F.lit("open").alias("status"))
     new_batches = groups.select((number + batch - 1).alias("id"), (number + campaign - 1).alias("campaign_id"), F.concat(_code(f"{BATCH}{code}-", number), F.lit("-001")).alias("batch_code"), title.alias("title"), F.lit(1).alias("position"), F.lit("open").alias("status"))
-    stamp = F.to_json(F.struct(F.struct(
-        F.lit(code).alias("round_code"), "category", F.lit(at).alias("snapshot_at"), F.col("item_id").alias("original_item_id"), F.col("votes").alias("source_reviews")
-    ).alias(round_plans.ROUND_KEY)))
-    placed = ranked(members.withColumn("__stamp", stamp), [], ["group_number", "position"], "__n")
+    stamp = F.to_json(F.struct(F.lit(code).alias("round_code"), "category", F.lit(at).alias("snapshot_at"), F.col("item_id").alias("original_item_id"), F.col("votes").alias("source_reviews")))
+    placed = _numbered(members.withColumn("__stamp", stamp), groups.select("group_number", "members"), "group_number", "position")
     new_items = _members(items, placed, (number + batch - 1), F.col("position"), item)
     if replace:
         campaigns, batches = _retired(campaigns, batches, own)
@@ -125,12 +127,23 @@ def rereview(campaigns: DataFrame, batches: DataFrame, items: DataFrame, reviews
     return out
 
 
+def _numbered(placed: DataFrame, sizes: DataFrame, group: str, position: str) -> DataFrame:
+    """``placed`` with ``__n``, its number from 1 over all groups in their order; positions have no gaps, and ``sizes`` says how long groups are."""
+    before = Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)  # a row for each group
+    g, n = sizes.columns
+    starts = sizes.select(F.col(g).alias("__g"), F.col(n).alias("__size")).withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0)))
+    return placed.join(starts, F.col(group) == F.col("__g")).withColumn("__n", F.col("__before") + F.col(position)).drop("__g", "__size", "__before")
+
+
 def _members(items: DataFrame, placed: DataFrame, batch: Column, position: Column, first: int) -> DataFrame:
-    """Copies of the items that stand for members (``item_id``, ``__stamp``, ``__n``), stamped, in their new places."""
+    """Copies of the items that stand for members (``item_id``, ``__stamp``, ``__n``), stamped, in their new places.
+
+    They are made once and kept: the proof and the readers see the same rows.
+    """
     to = placed.select(F.col("item_id").alias("__of"), (F.col("__n") + first - 1).alias("__id"), batch.alias("__batch"), position.alias("__position"), "__stamp")
     rows = items.join(to, F.col("id") == F.col("__of"))
-    stamped = json_overlay(F.coalesce("pipeline_metadata", F.lit("{}")), F.col("__stamp"))
-    return rows.withColumns({"id": F.col("__id"), "batch_id": F.col("__batch"), "position": F.col("__position"), "pipeline_metadata": stamped}).select(*items.columns)
+    stamped = json_with(F.coalesce("pipeline_metadata", F.lit("{}")), F.lit(round_plans.ROUND_KEY), F.col("__stamp"))
+    return rows.withColumns({"id": F.col("__id"), "batch_id": F.col("__batch"), "position": F.col("__position"), "pipeline_metadata": stamped}).select(*items.columns).transform(staged)
 
 
 def latest_grouping(
@@ -167,9 +180,9 @@ def latest_grouping(
     fresh = members.join(old.select("source_provider", "image_id"), ["source_provider", "image_id"], "left_anti")
     last = old.groupBy(F.col("batch_id").alias("__b")).agg(F.max("position").alias("__last"))
     told = F.struct(*[F.lit(v).alias(k) for k, v in rule.items()])
-    stamp = F.to_json(F.struct(F.struct(
+    stamp = F.to_json(F.struct(
         F.lit(code).alias("round_code"), F.col("answer").alias("category"), told.alias("eligibility"), F.lit(at).alias("snapshot_at"), F.col("item_id").alias("original_item_id"), F.col("review_id").alias("effective_review_id")
-    ).alias(round_plans.ROUND_KEY)))
+    ))
     placed = round_plans.digest_positions(fresh.join(there, "answer").withColumn("__stamp", stamp), ["to"], "source_provider", "image_id", ["source_provider", "image_id"], "__rank")
     placed = ranked(placed, [], ["to", "__rank"], "__n").join(last, F.col("to") == F.col("__b"), "left")
     new_items = _members(items, placed, F.col("to"), F.coalesce("__last", F.lit(0)) + F.col("__rank"), _next_id(items))

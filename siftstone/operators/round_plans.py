@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import has_key, json_point
 from .checks import duplicates, not_contiguous, require_none
 from .rounds import append_positions, balanced, digest_positions, group_numbers, ranked
+from .staging import staged
 
 #: The key that marks items of a second round, and labels whose category has a value of its own.
 ROUND_KEY = "rereview"
@@ -42,9 +43,9 @@ def rereview_round(items: DataFrame, reviews: DataFrame) -> DataFrame:
     snapshot = F.struct("updated_at", F.col("review_id").alias("id"), "label")
     first = F.min_by("item_id", F.struct((-F.unix_micros(F.col("updated_at").cast("timestamp"))).alias("late"), "review_id"))
     keys = ["category", "source_provider", "image_id"]
-    members = votes.join(old, "item_id").groupBy(*keys).agg(
+    members = staged(votes.join(old, "item_id").groupBy(*keys).agg(
         first.alias("item_id"), F.min("target_scientific_name").alias("target_scientific_name"), F.array_sort(F.collect_list(snapshot)).alias("votes")
-    )
+    ))  # kept, as the groups, the ranges and the ranks all read it
     groups = group_numbers(members, ["category", "target_scientific_name", "source_provider"])
     same = [members[c].eqNullSafe(groups[c]) for c in ("category", "target_scientific_name", "source_provider")]
     numbered = members.join(groups, same[0] & same[1] & same[2]).select(members["*"], F.col("group_number").cast("long").alias("group_number"), "members")

@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from siftstone.operators import archive, candidates, checks, clue_tables, cursor, exports, hygiene, round_plans, rounds, workbook
+from siftstone.operators import archive, candidates, checks, clue_tables, cursor, exports, hygiene, publications, round_plans, rounds, workbook
 from siftstone.plans import reviews
 
 from .conftest import DATA
@@ -216,3 +216,46 @@ def test_archives_are_cut_and_swapped_once(spark):
     plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (kept, small, back)]
     assert "InPandas" not in "".join(plans) and [p.count("ArrowEvalPython") for p in plans] == [0, 1, 1]
     assert {r["id"]: r["m"] for r in back.collect()} == {1: '{"a":1,"provenance":{"p": 2},"late":1.0}', 2: "{}", 3: '{"a": 1.50}', 4: None}
+
+
+def counted(spark):
+    """A column as it is, and how many rows it has been worked out for."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def same(x):
+        seen.add(1)
+        return x
+
+    return F.udf(same, "string").asNondeterministic(), seen
+
+
+def test_second_round_is_made_once(spark):
+    """Votes are read once, members are stamped once, and the proof reads what is published."""
+    m = reviews._published_model(lambda name: spark.read.parquet(f"{DATA}/{name}.parquet"))
+    votes = m["reviews"].localCheckpoint()
+    label, seen = counted(spark)
+    after = publications.rereview(**m | {"reviews": votes.withColumn("label", label("label"))}, code="R1", at="2024-01-01T00:00:00Z")
+    assert "ArrowEvalPython" not in after.items._jdf.queryExecution().optimizedPlan().toString()
+    assert seen.value == votes.count()
+    last = m["items"].agg(F.max("id")).first()[0]
+    new = after.items.filter(F.col("id") > last)
+    order = [(r["id"], (r["batch_id"], r["position"])) for r in new.select("id", "batch_id", "position").orderBy("id").collect()]
+    assert [k for k, _ in order] == list(range(last + 1, last + 1 + len(order))) and order == sorted(order, key=lambda r: r[1])
+
+
+def test_kept_rows_are_told_from_lost_and_changed_ones(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "id int, x string")
+    before = rows((1, "a"), (2, None), (3, "c"), (3, "c"), (4, "d"), (5, "e"))
+    after = rows((5, "e"), (5, "e"), (4, "D"), (3, "c"), (2, None), (1, "a"), (9, "new"), (9, "newer"))
+    assert values(checks.lost_or_changed(before, after, ["id"], ["x"]), "id") == [(3,), (4,), (5,)]
+    assert values(checks.lost_or_changed(before, rows((1, "a")), ["id"], ["x"]), "id") == [(2,), (3,), (4,), (5,)]
+    assert not values(checks.lost_or_changed(before, before.unionByName(rows((9, "x"))), ["id"], ["x"]), "id")
+
+
+def test_one_member_laid_over(spark):
+    from siftstone.functions import text
+
+    rows = spark.createDataFrame([("{}",), ('{"a": 1.50, "k": null}',), ('{"k":{"b": 2.0}}',), ("[1]",), ("x",), (None,)], "m string")
+    value = '{"b": 2.0}'
+    got = rows.select(text.json_with("m", F.lit("k"), F.lit(value)), text.json_overlay("m", F.lit('{"k":%s}' % value))).collect()
+    assert all(a == b for a, b in got) and [a for a, _ in got][:3] == ['{"k":{"b": 2.0}}', '{"a":1.50,"k":{"b": 2.0}}', '{"k":{"b": 2.0}}']
