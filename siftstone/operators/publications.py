@@ -158,7 +158,8 @@ def latest_grouping(
     (``campaign_code``) open again.
     """
     own = f"{ROUND}{code}-"
-    groups = items.sparkSession.createDataFrame([(k, g, title.format(target=target)) for k, (g, title) in enumerate(GROUPS.items(), 1)], "number int, answer string, name string")
+    known = [F.struct(F.lit(k).alias("number"), F.lit(g).alias("answer"), F.lit(title.format(target=target)).alias("name")) for k, (g, title) in enumerate(GROUPS.items(), 1)]
+    groups = items.sparkSession.range(1).select(F.inline(F.array(*known)))
     require_none(members.join(groups, "answer", "left_anti").select("answer"), "answers that no group takes")
     found = campaigns.filter(F.col("campaign_code").startswith(own))
     number = F.col("number")
@@ -177,14 +178,14 @@ def latest_grouping(
     rounds_ = batches.join(found.select(F.col("id").alias("campaign_id")), "campaign_id", "left_semi").select(F.col("id").alias("batch_id"))
     old = items.join(rounds_, "batch_id", "left_semi")
     had = old.count()
-    fresh = members.join(old.select("source_provider", "image_id"), ["source_provider", "image_id"], "left_anti")
+    fresh = staged(members.join(old.select("source_provider", "image_id"), ["source_provider", "image_id"], "left_anti"))
     last = old.groupBy(F.col("batch_id").alias("__b")).agg(F.max("position").alias("__last"))
     told = F.struct(*[F.lit(v).alias(k) for k, v in rule.items()])
     stamp = F.to_json(F.struct(
         F.lit(code).alias("round_code"), F.col("answer").alias("category"), told.alias("eligibility"), F.lit(at).alias("snapshot_at"), F.col("item_id").alias("original_item_id"), F.col("review_id").alias("effective_review_id")
     ))
     placed = round_plans.digest_positions(fresh.join(there, "answer").withColumn("__stamp", stamp), ["to"], "source_provider", "image_id", ["source_provider", "image_id"], "__rank")
-    placed = ranked(placed, [], ["to", "__rank"], "__n").join(last, F.col("to") == F.col("__b"), "left")
+    placed = _numbered(placed, placed.groupBy("to").agg(F.count(F.lit(1)).alias("n")), "to", "__rank").join(last, F.col("to") == F.col("__b"), "left")
     new_items = _members(items, placed, F.col("to"), F.coalesce("__last", F.lit(0)) + F.col("__rank"), _next_id(items))
     kept_campaigns, kept_batches = _retired(campaigns, batches, own, target)
     if reopen is not None:

@@ -69,7 +69,7 @@ def latest_groups(items: DataFrame, reviews: DataFrame, begin: str, end: str, an
     keys = ["source_provider", "image_id"]
     eligible = rows.filter((inside("made") | inside("updated_at")) & (F.col("updated_at") >= F.col("item_made"))).select(*keys).distinct()
     latest = rows.join(eligible, keys, "left_semi").groupBy(*keys).agg(F.max_by(F.struct("item_id", "review_id", "label", "scientificName", "target_scientific_name"), F.struct("updated_at", "review_id")).alias("r"))
-    latest = latest.select(*keys, "r.*")
+    latest = staged(latest.select(*keys, "r.*"))
     require_none(latest.filter(F.col("label").isin(*legacy)), "latest answers with labels of old versions")
     return latest.withColumn("answer", answer).select(*keys, "item_id", "review_id", "answer")
 

@@ -259,3 +259,21 @@ def test_one_member_laid_over(spark):
     value = '{"b": 2.0}'
     got = rows.select(text.json_with("m", F.lit("k"), F.lit(value)), text.json_overlay("m", F.lit('{"k":%s}' % value))).collect()
     assert all(a == b for a, b in got) and [a for a, _ in got][:3] == ['{"k":{"b": 2.0}}', '{"a":1.50,"k":{"b": 2.0}}', '{"k":{"b": 2.0}}']
+
+
+def test_latest_grouping_takes_members_once(spark):
+    """A grouping and what is appended to it: each reads its members for the check of their answers, and to keep the new ones."""
+    m = reviews._published_model(lambda name: spark.read.parquet(f"{DATA}/{name}.parquet"))
+    del m["reviews"]
+    kinds = F.element_at(F.array(*[F.lit(g) for g in publications.GROUPS]), (F.col("id") % 3 + 1).cast("int"))
+    members = m["items"].dropDuplicates(["source_provider", "image_id"]).select("source_provider", "image_id", F.col("id").alias("item_id"), F.col("id").alias("review_id"), kinds.alias("answer")).localCheckpoint()
+    how = {"code": "L9", "target": "Species 1", "rule": {"by": "updated"}, "at": "2024-01-01T00:00:00Z"}
+    answer, seen = counted(spark)
+    first = publications.latest_grouping(**m, members=members.filter("item_id % 2 = 0").withColumn("answer", answer("answer")), **how)
+    half = members.filter("item_id % 2 = 0").count()
+    assert seen.value <= 2 * half
+    answer, seen = counted(spark)
+    after = publications.latest_grouping(*first, members=members.withColumn("answer", answer("answer")), append=True, **how)
+    assert seen.value <= 2 * members.count()
+    assert "ArrowEvalPython" not in after.items._jdf.queryExecution().optimizedPlan().toString()
+    assert after.items.count() == m["items"].count() + members.count() and values(first.items, "id", "position") == values(after.items.join(first.items.select("id"), "id", "left_semi"), "id", "position")
