@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.text import has_key, json_point
 from .checks import duplicates, not_contiguous, require_none
@@ -156,11 +157,13 @@ def published(batches: DataFrame, items: DataFrame, opened: DataFrame, closed: D
     return batches.join(marks, "id", "left").withColumn("status", F.coalesce("__to", "status")).drop("__to")
 
 
-def with_latest_members(items: DataFrame, members: DataFrame, tie: str | None = None) -> DataFrame:
+def with_latest_members(items: DataFrame, members: DataFrame, *ties: str) -> DataFrame:
     """``items`` with the latest member (``position``, ``stamp``) of a shuffled round that names them as its original; others drop out.
 
-    Of members made at once at one position that with the smallest ``tie``, a number, counts.
+    Of members made at once at one position that with the smallest ``ties`` counts, such as
+    where it stands in its input.  A null time or position is later than any.
     """
-    order = F.struct("made", "position", *([(-F.col(tie)).alias("tie")] if tie else []))
-    latest = members.groupBy("original_id").agg(F.max_by(F.struct("position", "stamp"), order).alias("m"))
+    zero = F.lit(0) if isinstance(members.schema["made"].dataType, NumericType) else F.lit("1970-01-01").cast(members.schema["made"].dataType)
+    order = F.struct((zero - F.col("made")).alias("made"), (-F.col("position")).alias("position"), *ties)  # falling, as ties may be texts
+    latest = members.groupBy("original_id").agg(F.min_by(F.struct("position", "stamp"), order).alias("m"))
     return items.join(latest, F.col("id") == F.col("original_id")).select(items["*"], F.col("m.position").alias("member_position"), F.col("m.stamp").alias("member_stamp"))

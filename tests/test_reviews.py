@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftstone.operators import archive, candidates, checks, clue_tables, cursor, exports, hygiene, publications, round_plans, rounds, workbook
 from siftstone.plans import reviews
+from siftstone.plans.registry import ORACLES, QUERIES
 
 from .conftest import DATA
 
@@ -277,3 +278,23 @@ def test_latest_grouping_takes_members_once(spark):
     assert seen.value <= 2 * members.count()
     assert "ArrowEvalPython" not in after.items._jdf.queryExecution().optimizedPlan().toString()
     assert after.items.count() == m["items"].count() + members.count() and values(first.items, "id", "position") == values(after.items.join(first.items.select("id"), "id", "left_semi"), "id", "position")
+
+
+def test_latest_members_in_the_order_of_their_file(spark, tmp_path):
+    """Of reviews alike in time and position the first in the file counts, as in one thread of DuckDB, and one without a time is later than any."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for name in ("region", "nation", "customer"):
+        pq.write_table(pq.read_table(f"{DATA}/{name}.parquet"), tmp_path / f"{name}.parquet")
+    orders = pq.read_table(f"{DATA}/orders.parquet").slice(0, 0)
+    day, late = dt.datetime(1995, 1, 1), dt.datetime(1996, 1, 1)
+    made = [(300, 1, late, "4-x"), (100, 1, late, "1-x"), (200, 1, late, "2-x"), (7, 1, day, "3-x"), (104, 2, late, "5-x"), (504, 2, None, "1-x"), (700, 3, day, "1-x"), (900, 3, day, "2-x")]
+    rows = [{"o_orderkey": k, "o_custkey": c, "o_orderstatus": "O", "o_totalprice": 1.0, "o_orderdate": at, "o_orderpriority": p} for k, c, at, p in made]
+    pq.write_table(pa.Table.from_pylist(rows, orders.schema), tmp_path / "orders.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    for f in tmp_path.glob("*.parquet"):
+        con.sql(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    want = sorted(con.sql(ORACLES["latest_members"]).fetchall())
+    assert len(want) == 3 and sorted(tuple(r) for r in QUERIES["latest_members"](spark, str(tmp_path)).collect()) == want
