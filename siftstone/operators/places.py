@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .gazetteer import phrase_hits, phrase_words
+from .gazetteer import phrase_counts, phrase_hits, phrase_words
 from .staging import staged
 
 
@@ -179,6 +179,12 @@ def map_cells(points: DataFrame, cell: Sequence[str], series: str, at: str, key:
     return out.join(listed, list(cell))
 
 
+def _phrases(aliases: DataFrame, alias: str, place: str, longest: int, shortest: int) -> DataFrame:
+    names = aliases.select(phrase_words(F.col(alias)).alias("w"), F.col(place).alias("p")).filter(F.size("w").between(1, longest))
+    names = names.select(F.array_join("w", " ").alias("phrase"), "p").filter(F.char_length("phrase") >= shortest)
+    return names.groupBy("phrase").agg(F.sort_array(F.collect_set("p")).alias("places"))
+
+
 def match_phrases(units: DataFrame, unit: str, text: Column, aliases: DataFrame, alias: str, place: str, longest: int = 12, shortest: int = 1) -> DataFrame:
     """Occurrences of aliases (token sequences) in texts: leftmost, then longest, without overlaps.
 
@@ -187,7 +193,11 @@ def match_phrases(units: DataFrame, unit: str, text: Column, aliases: DataFrame,
     Aliases of more than ``longest`` tokens or fewer than ``shortest`` characters are none.
     Takes time in proportion to the texts: see :mod:`gazetteer`.
     """
-    names = aliases.select(phrase_words(F.col(alias)).alias("w"), F.col(place).alias("p")).filter(F.size("w").between(1, longest))
-    names = names.select(F.array_join("w", " ").alias("phrase"), "p").filter(F.char_length("phrase") >= shortest)
-    known = names.groupBy("phrase").agg(F.sort_array(F.collect_set("p")).alias("places"))
+    known = _phrases(aliases, alias, place, longest, shortest)
     return phrase_hits(units, [unit], text, known, longest).select(unit, "start", "stop", F.col("n").alias("length"), "places")
+
+
+def count_phrases(units: DataFrame, unit: str, text: Column, aliases: DataFrame, alias: str, place: str, longest: int = 12, shortest: int = 1) -> DataFrame:
+    """(unit, ``length``, ``places``, ``hits``): how many of the occurrences of :func:`match_phrases` a text has by their length and number of places."""
+    known = _phrases(aliases, alias, place, longest, shortest).withColumn("places", F.size("places"))
+    return phrase_counts(units, [unit], text, known, longest).select(unit, F.col("n").alias("length"), "places", "hits")

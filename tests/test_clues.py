@@ -6,15 +6,21 @@ import datetime as dt
 import random
 import time
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from siftstone.functions import phrases
+from siftstone.functions.text import FOLDED_TOKEN, fold
 from siftstone.operators import clue_chain, clue_tables, gazetteer, timeline
 from siftstone.operators.checks import CheckFailed
+from siftstone.operators.places import count_phrases
+from siftstone.plans import catalog
 from siftstone.sources import readers
 
+from .conftest import DATA
+
 PLACES = [
     # place, name, level, country, ascii name, alternates, latitude, longitude
     ("1", "Italy", "country", "IT", None, None, None, None), ("2", "Georgia", "country", "GE", None, None, None, None), ("3", "United Kingdom", "country", "GB", None, None, None, None),
@@ -220,3 +226,57 @@ def test_violations_in_one_pass(spark):
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     empty = clue_tables.violations(keys(), keys(), evidence.limit(0), near.limit(0), "id", ["map_link"])
     assert [r["rows"] for r in empty.collect()] == [0] * 8
+
+
+ODD = ["straße", "STRASSE", "ﬁn", "ǆ", "ﷺ", "日", "本日", "각", "각", "İx", "é", "é1", "x" * 40, "٣", "a", "b", "Rome", "new", "york"]
+
+
+@pytest.mark.parametrize("way", ["as it is", "crowded bitmaps", "too many to send", "no frequent ones"])
+def test_phrases_against_brute_force(spark, monkeypatch, way):
+    """The same hits and counts, whether bitmaps let much pass, tasks know what is no phrase and what is frequent, and units have several rows."""
+    if way in ("crowded bitmaps", "too many to send"):
+        monkeypatch.setattr(gazetteer, "LEAST_BITS", 1 << 15)
+        monkeypatch.setattr(gazetteer, "MOST_BITS", 1 << 15)
+    if way == "too many to send":
+        monkeypatch.setattr(gazetteer, "MOST_FALSE", 0)
+    monkeypatch.setattr(gazetteer, "FREQUENT", {"no frequent ones": 0}.get(way, 12))
+    monkeypatch.setattr(gazetteer, "CHARACTERS", 300)
+    monkeypatch.setattr(gazetteer, "RUNS", 20)
+    rnd = random.Random(4)
+    line = lambda n: rnd.choice([" ", ", ", "-", "  "]).join(rnd.choice(ODD) for _ in range(n))
+    names = {" ".join(fold(m[0]) for m in FOLDED_TOKEN.finditer(line(rnd.randrange(1, 4)))) for _ in range(90)} - {""}
+    names |= {f"w{k} w{k + 1} w{k + 2}" for k in range(8000)}
+    known = {p: [k, k + 1][: 1 + k % 2] for k, p in enumerate(sorted(names))}
+    rows = [(k % 37, line(rnd.randrange(60))) for k in range(40)] + [(k, line(rnd.randrange(60))) for k in range(50, 120)] + [(200, None), (201, ""), (None, "new york"), (202, " ".join(f"w{rnd.randrange(9)}" for _ in range(3000)))]
+    want = []
+    for u in {u for u, _ in rows}:
+        found = []
+        for text in (t for v, t in rows if v == u):
+            spans = [(fold(m[0]), m.start(), m.end()) for m in FOLDED_TOKEN.finditer(text or "")]
+            found += [(at, -n, spans[at][1], spans[at + n - 1][2], p) for at in range(len(spans)) for n in range(1, min(12, len(spans) - at) + 1) if (p := " ".join(x[0] for x in spans[at : at + n])) in known]
+        free = 0
+        for at, n, start, stop, p in sorted(found, key=lambda x: x[:2]):
+            if at >= free:
+                free = at - n
+                want.append((u, at, -n, start, stop, tuple(known[p])))
+    units = spark.createDataFrame(rows, "u int, t string").repartition(3)
+    one = {u for u, _ in rows} - {0, 1, 2}  # which of equally long hits of several rows stays is open
+    listed = spark.createDataFrame(list(known.items()), "phrase string, places array<int>")
+    got = [(r["u"], r["at"], r["n"], r["start"], r["stop"], tuple(r["places"])) for r in gazetteer.phrase_hits(units, ["u"], F.col("t"), listed).collect()]
+    in_order = lambda x: sorted((r for r in x if r[0] in one), key=repr)
+    assert len(want) > 1000 and in_order(got) == in_order(want)
+    assert sorted((r[1], r[2]) for r in got if r[0] in (0, 1, 2)) == sorted((r[1], r[2]) for r in want if r[0] in (0, 1, 2))
+    counts = gazetteer.phrase_counts(units, ["u"], F.col("t"), listed.withColumn("places", F.size("places"))).collect()
+    assert in_order(tuple(r) for r in counts) == in_order((*k, n) for k, n in Counter((u, n, len(p)) for u, _, n, _, _, p in want).items())
+
+
+def test_only_what_stays_leaves_a_task(spark):
+    """Runs aren't gathered by text; where they are counted, a text's frequent phrases are one row for each length and number of places."""
+    plan = catalog.QUERIES["gazetteer_matches"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "_leftmost_longest" not in plan
+    names = spark.createDataFrame([("Rome", 1), ("New York", 2), ("York", 3)], "a string, p int")
+    units = spark.createDataFrame([(k, "Rome, New York, York " * 500) for k in range(3)], "u int, t string")
+    found = count_phrases(units, "u", F.col("t"), names, "a", "p")
+    assert sorted(tuple(r) for r in found.collect()) == [(k, n, 1, 500 * (3 - n)) for k in range(3) for n in (1, 2)]
+    inner = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in inner and "spots" not in inner
